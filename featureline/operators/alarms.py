@@ -45,7 +45,8 @@ def dense_points(points: DataFrame, series: Sequence[str], unit: str = "minute")
     step = F.expr(f"INTERVAL 1 {unit.upper()}")
     order = Window.partitionBy(*series).orderBy("minute")
     gap_start = F.coalesce(F.lag("minute").over(order) + step, F.col("minute"))
-    filled = points.withColumn("_at", F.explode(F.sequence(gap_start, F.col("minute"), step)))
+    filled = points.withColumn("_from", gap_start).withColumn(
+        "_at", F.explode(F.sequence(F.col("_from"), F.col("minute"), step)))
     value = F.when(F.col("_at") == F.col("minute"), F.col("value"))
     return filled.select(*series, F.col("_at").alias("minute"), value.alias("value"))
 

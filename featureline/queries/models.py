@@ -1 +1,264 @@
+"""M1 to M12."""
 
+from __future__ import annotations
+
+import uuid
+from datetime import datetime, timezone
+
+from pyspark.sql import SparkSession, functions as F
+
+from featureline.functions.exprs import wall_clock
+from featureline.operators.asof import historical_features
+from featureline.operators.metrics import standardize
+from featureline.operators.model import (ForestConfig, fit_forest, load_model, predict, save_model, score_foreign,
+                                         score_rows)
+from featureline.operators.registry import (Registry, append, current_aliases, next_versions, resolve,
+                                            version_tags)
+from featureline.operators.split import stratified_split
+from featureline.plans.score import as_predictions, score_models
+from featureline.plans.train import TrainConfig, row_key, train_on
+from featureline.queries import base as b
+from featureline.queries.base import query, table
+from featureline.session import work_dir
+from featureline.sources.catalog import apply_schedules, judge_schedules
+from featureline.sources.tables import read_predictions, score_spine, write_predictions
+
+RUN_AT = datetime(2001, 8, 2, tzinfo=timezone.utc)
+FEATURES = tuple(b.CUSTOMER_VIEW.features)
+TRAIN = TrainConfig(base="", registry="", views=(b.CUSTOMER_VIEW,))
+
+
+def _split(spark, sf):
+    return stratified_split(b.training_rows(spark, sf), "churned", row_key(TRAIN))
+
+
+_SCALED = ["account_balance", "num_transactions"]
+
+
+@query("m1_standardize", f"""
+WITH {b.CUSTOMER_FEATURES_SQL},
+s AS (SELECT avg(account_balance) AS m1, stddev_pop(account_balance) AS d1, avg(num_transactions) AS m2,
+             stddev_pop(num_transactions) AS d2 FROM customer_features WHERE event_timestamp < TIMESTAMP '2000-01-01')
+SELECT entity_id, event_timestamp, round((account_balance - m1) / d1, 6) AS account_balance,
+       round((num_transactions - m2) / d2, 6) AS num_transactions FROM customer_features, s""")
+def standardized(spark, sf):
+    """Statistics of the earlier rows, applied to all rows."""
+    features = b.customer_features(spark, sf)
+    early = features.filter(F.col("event_timestamp") < b.ntz("2000-01-01 00:00:00"))
+    scaled = standardize(features, early, _SCALED)
+    return scaled.select("entity_id", "event_timestamp", *[F.round(c, 6).alias(c) for c in _SCALED])
+
+
+_MODELS: dict[tuple, str] = {}
+
+
+def _model_path(spark: SparkSession, sf: str) -> str:
+    """A forest fitted on the training part and saved; once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        train = _split(spark, sf).filter(~F.col("is_validation"))
+        path = work_dir(spark, "model")
+        save_model(fit_forest(train, ForestConfig(FEATURES, "churned")), path)
+        _MODELS[key] = path
+    return _MODELS[key]
+
+
+@query("m2_random_forest")
+def forest(spark, sf):
+    """Importance of each input of the fitted forest."""
+    model = load_model(_model_path(spark, sf))
+    inputs = model.stages[-3].getInputCols()
+    importances = model.stages[-1].featureImportances.toArray().tolist()
+    return spark.createDataFrame([(n, float(i), model.stages[-1].getNumTrees) for n, i in zip(inputs, importances)],
+                                 "input string, importance double, n_trees int")
+
+
+@query("m3_pipeline_round_trip")
+def pipeline_round_trip(spark, sf):
+    """A fitted pipeline before and after it was stored gives the same answers."""
+    model = load_model(_model_path(spark, sf))
+    path = work_dir(spark, "model-copy")
+    save_model(model, path)
+    validation = _split(spark, sf).filter("is_validation")
+    first = predict(model, validation).select("entity_id", F.col("probability").alias("p1"))
+    second = predict(load_model(path), validation).select("entity_id", F.col("probability").alias("p2"))
+    return first.join(second, "entity_id").agg(F.count(F.lit(1)).alias("n_rows"),
+                                               F.count_if(F.col("p1") != F.col("p2")).alias("n_different"))
+
+
+@query("m4_predict_class")
+def predict_class(spark, sf):
+    validation = _split(spark, sf).filter("is_validation")
+    return predict(load_model(_model_path(spark, sf)), validation).select("entity_id", "churned", "prediction")
+
+
+@query("m5_predict_probability")
+def predict_probability(spark, sf):
+    validation = _split(spark, sf).filter("is_validation")
+    return predict(load_model(_model_path(spark, sf)), validation).select("entity_id", "churned", "probability")
+
+
+def _scoring_rows(spark, sf):
+    spine = score_spine(table(spark, sf, "customer").withColumnRenamed("c_custkey", "entity_id"),
+                        RUN_AT, b.NTZ)
+    return historical_features(spine, b.CUSTOMER_FEATURE_REFS, (b.CUSTOMER_VIEW,),
+                               {"customer_features": b.customer_features(spark, sf)}, time_range=(RUN_AT, RUN_AT))
+
+
+@query("m6_batch_scoring")
+def batch_scoring(spark, sf):
+    """Every customer scored with the stored model, written as NDJSON and read back."""
+    scored = score_rows(load_model(_model_path(spark, sf)), _scoring_rows(spark, sf))
+    rows = as_predictions(scored, "models:/churn_model@champion", 1, RUN_AT)
+    folder = write_predictions(rows, work_dir(spark, "predictions"), "churn_model", RUN_AT)
+    return read_predictions(spark, folder).withColumn("predicted_at", wall_clock(F.col("predicted_at")))
+
+
+def _linear_model():
+    """Stands for a model that is not Spark's: a fixed formula over a pandas batch."""
+    return lambda batch: (batch["num_transactions"].fillna(0) * 0.5 - batch["account_balance"].fillna(0) * 0.25)
+
+
+@query("m6_foreign_model", f"""
+WITH {b.CUSTOMER_FEATURES_SQL}
+SELECT entity_id, event_timestamp, num_transactions * 0.5::DOUBLE - account_balance * 0.25::DOUBLE AS score
+FROM customer_features""")
+def foreign_model(spark, sf):
+    rows = b.customer_features(spark, sf).select("entity_id", "event_timestamp", "num_transactions", "account_balance")
+    return score_foreign(rows, _linear_model, ["num_transactions", "account_balance"]).select(
+        "entity_id", "event_timestamp", "score")
+
+
+@query("m7_experiment_log", f"""
+WITH {b.TRAINING_RUNS_SQL}
+SELECT run_id, name AS experiment, CAST(n_rows AS VARCHAR) AS n_train, round(f1_score, 6) AS f1_score, created_at
+FROM training_runs""")
+def experiment_log(spark, sf):
+    """Runs appended to the run table with their params and metrics, and queried back."""
+    folder = work_dir(spark, "runs")
+    runs = b.training_runs(spark, sf).select(
+        "run_id", F.col("name").alias("experiment"), F.col("created_at").cast("timestamp").alias("started_at"),
+        F.create_map(F.lit("n_train"), F.col("n_rows").cast("string")).alias("params"),
+        F.create_map(F.lit("f1_score"), F.col("f1_score")).alias("metrics"),
+        F.create_map(F.lit("model_name"), F.col("name")).alias("tags"), F.lit(None).cast("string").alias("artifact"))
+    registry = Registry(spark, folder)
+    append(runs, registry.path("runs"))
+    return registry.read("runs").select(
+        "run_id", "experiment", F.col("params")["n_train"].alias("n_train"),
+        F.round(F.col("metrics")["f1_score"], 6).alias("f1_score"),
+        wall_clock(F.col("started_at")).alias("created_at"))
+
+
+def _versions(spark, sf):
+    """Runs before 1999 are registered already; the others come as one batch."""
+    runs = b.training_runs(spark, sf)
+    cut = b.ntz("1999-01-01 00:00:00")
+    nothing = spark.createDataFrame([], "name string, version long")
+    earlier = next_versions(nothing, runs.filter(F.col("created_at") < cut), ["created_at"])
+    later = next_versions(earlier.select("name", "version"), runs.filter(F.col("created_at") >= cut), ["created_at"])
+    return earlier.unionByName(later)
+
+
+_VERSIONS_SQL = b.TRAINING_RUNS_SQL + """,
+versions AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY created_at) AS version FROM training_runs)"""
+
+
+@query("m8_register_versions", f"""
+WITH {_VERSIONS_SQL}
+SELECT name, version, run_id, created_at, CAST(round_even(CAST(f1_score AS DECIMAL(20,12)), 4) AS DOUBLE) AS f1_score
+FROM versions""")
+def register_versions(spark, sf):
+    versions = _versions(spark, sf).withColumn("tags", version_tags(
+        F.col("run_id"), F.col("f1_score"), F.col("roc_auc")))
+    return versions.select("name", "version", F.col("tags")["run_id"].alias("run_id"), "created_at",
+                           F.col("tags")["f1_score"].cast("double").alias("f1_score"))
+
+
+def _aliases(spark, sf):
+    return _versions(spark, sf).select("name", F.lit("champion").alias("alias"), "version",
+                                       F.col("created_at").alias("set_at"))
+
+
+@query("m9_current_alias", f"""
+WITH {_VERSIONS_SQL}
+SELECT name, 'champion' AS alias, max(version) AS version, max(created_at) AS set_at FROM versions GROUP BY name""")
+def current_alias(spark, sf):
+    """Every run moved the alias to its version; the last one counts."""
+    return current_aliases(_aliases(spark, sf))
+
+
+@query("m10_resolve_champion", f"""
+WITH {_VERSIONS_SQL}
+SELECT name, 'models:/' || name || '@champion' AS model_uri, version, run_id, 'runs/' || run_id AS source FROM versions
+QUALIFY row_number() OVER (PARTITION BY name ORDER BY version DESC) = 1""")
+def resolve_champion(spark, sf):
+    versions = _versions(spark, sf).withColumn("source", F.concat(F.lit("runs/"), F.col("run_id")))
+    return resolve(_aliases(spark, sf), versions)
+
+
+_SCHEDULE_SQL = f"""
+WITH {b.CATALOG_SQL},
+updates AS (SELECT 'model-' || CAST(o_custkey AS VARCHAR) AS model_name,
+    CASE WHEN bool_or(o_orderpriority = '1-URGENT') THEN 'rate(1 day)' END AS cron_schedule FROM orders GROUP BY 1),
+champions AS (SELECT DISTINCT 'model-' || CAST(o_custkey AS VARCHAR) AS name FROM orders WHERE o_orderstatus = 'F'),
+judged AS (SELECT u.model_name, u.cron_schedule,
+    CASE WHEN c.model_name IS NULL THEN 'unknown_model' WHEN u.cron_schedule IS NULL THEN 'cleared'
+         WHEN h.name IS NULL THEN 'no_champion' ELSE 'set' END AS status
+  FROM updates u LEFT JOIN catalog c ON c.model_name = u.model_name LEFT JOIN champions h ON h.name = u.model_name)"""
+
+
+def _judged(spark, sf):
+    orders = table(spark, sf, "orders").withColumn(
+        "model_name", F.concat(F.lit("model-"), F.col("o_custkey").cast("string")))
+    updates = orders.groupBy("model_name").agg(
+        F.when(F.bool_or(F.col("o_orderpriority") == "1-URGENT"), F.lit("rate(1 day)")).alias("cron_schedule"))
+    champions = orders.filter("o_orderstatus = 'F'").select(F.col("model_name").alias("name")).distinct()
+    return judge_schedules(b.catalog_rows(spark, sf), updates, champions)
+
+
+@query("m10_judge_schedules", _SCHEDULE_SQL + " SELECT * FROM judged")
+def schedules_judged(spark, sf):
+    """Scheduling needs a champion; clearing does not."""
+    return _judged(spark, sf)
+
+
+@query("m10_apply_schedules", _SCHEDULE_SQL + """
+SELECT c.model_name, c.owner, c.is_active,
+  CASE WHEN j.status IN ('set', 'cleared') THEN TIMESTAMP '2001-08-02' ELSE c.updated_at END AS updated_at,
+  CASE WHEN j.status IN ('set', 'cleared') THEN j.cron_schedule ELSE c.cron_schedule END AS cron_schedule
+FROM catalog c LEFT JOIN judged j ON j.model_name = c.model_name""")
+def schedules_applied(spark, sf):
+    return apply_schedules(b.catalog_rows(spark, sf), _judged(spark, sf), b.ntz("2001-08-02 00:00:00"))
+
+
+@query("m11_catalog_scoring")
+def catalog_scoring(spark, sf):
+    """Two models with their own spines go through one point-in-time join."""
+    path = _model_path(spark, sf)
+    customers = table(spark, sf, "customer").withColumnRenamed("c_custkey", "entity_id")
+    spines = {
+        "churn_model": score_spine(customers, RUN_AT, b.NTZ),
+        "retention_model": score_spine(customers.filter("c_acctbal >= 0"), RUN_AT, b.NTZ),
+    }
+    refs = ",".join(b.CUSTOMER_FEATURE_REFS)
+    rows = [{"model_name": name, "feature_refs": refs} for name in spines]
+    champions = {name: {"source": path, "model_uri": f"models:/{name}@champion", "version": 1} for name in spines}
+    scored = score_models(rows, spines, champions, (b.CUSTOMER_VIEW,),
+                          {"customer_features": b.customer_features(spark, sf)}, RUN_AT, spine_time=(RUN_AT, RUN_AT),
+                          output="probability")
+    return scored.withColumn("predicted_at", wall_clock(F.col("predicted_at")))
+
+
+@query("m12_train_job")
+def train_end_to_end(spark, sf):
+    """Join, split, fit, evaluate, log, register and promote; returns the logged run."""
+    folder = work_dir(spark, "registry")
+    cfg = TrainConfig(base=sf, registry=folder, views=(b.CUSTOMER_VIEW,), model_name=f"churn_{uuid.uuid4().hex[:6]}")
+    train_on(spark, b.train_entities(spark, sf), b.churn_labels(spark, sf),
+             {"customer_features": b.customer_features(spark, sf)}, cfg)
+    registry = Registry(spark, folder)
+    runs = registry.read("runs").select(
+        "run_id", F.col("params")["n_train"].cast("long").alias("n_train"),
+        F.col("params")["n_val"].cast("long").alias("n_validation"), F.col("metrics")["accuracy"].alias("accuracy"),
+        F.col("metrics")["f1_score"].alias("f1_score"), F.col("metrics")["roc_auc"].alias("roc_auc"))
+    return runs.join(registry.champions().select("run_id", "version"), "run_id")

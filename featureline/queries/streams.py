@@ -1 +1,56 @@
+"""T1 and T2."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from featureline.functions.exprs import wall_clock
+from featureline.queries import base as b
+from featureline.queries.base import query
+from featureline.operators.alarms import AlarmRule
+from featureline.session import work_dir
+from featureline.sources.online import OnlineTable
+from featureline.streaming.alarm import alarm_stream, minute_metrics, start_alarm_stream
+from featureline.streaming.materialize import feature_stream, materialize_stream
+
+
+@query("t1_stream_materialize", f"""
+WITH {b.CUSTOMER_FEATURES_SQL}
+SELECT * FROM customer_features QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY event_timestamp DESC) = 1""")
+def stream_materialize(spark, sf):
+    """Feature files in any order, a few per micro-batch, into the online table."""
+    folder = work_dir(spark, "stream")
+    b.customer_features(spark, sf).write.option("maxRecordsPerFile", 1_000_000).parquet(f"{folder}/features")
+    online = OnlineTable(spark, f"{folder}/online", b.CUSTOMER_VIEW)
+    stream = feature_stream(spark, b.CUSTOMER_VIEW, f"{folder}/features", files_per_batch=4)
+    materialize_stream(stream, online, f"{folder}/checkpoint").awaitTermination()
+    return online.read()
+
+
+STREAM_RULE = AlarmRule("avg", 10.0, n=5, m=3, missing_breaches=False)
+
+
+@query("t2_stream_alarm", """
+WITH p AS (SELECT event_type AS series, CAST(date_trunc('minute', ts) AS TIMESTAMP) AS "minute",
+             CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS value
+           FROM events GROUP BY ALL
+           HAVING date_trunc('minute', min(ts)) + INTERVAL 1 MINUTE
+                  <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 1 HOUR),
+g AS (SELECT series, unnest(generate_series(min("minute"), max("minute"), INTERVAL 1 MINUTE)) AS "minute"
+      FROM p GROUP BY series),
+d AS (SELECT g.series, g."minute", p.value, coalesce(p.value > 10, false) AS breaching
+      FROM g LEFT JOIN p USING (series, "minute")),
+w AS (SELECT *, sum(CAST(breaching AS INTEGER)) OVER f AS b, count(*) OVER f AS seen FROM d
+      WINDOW f AS (PARTITION BY series ORDER BY "minute" ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+SELECT series, "minute", round(value, 6) AS value, breaching, CAST(b AS BIGINT) AS breaches,
+       seen >= 5 AND b >= 3 AS in_alarm FROM w""")
+def stream_alarm(spark, sf):
+    """All events as a stream; minutes the watermark has not passed at the end are still open."""
+    folder = work_dir(spark, "alarms")
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    points = minute_metrics(events, F.col("event_type"), F.col("ts"), F.col("value"), STREAM_RULE.statistic, "1 hour")
+    alarms = alarm_stream(points, STREAM_RULE)
+    start_alarm_stream(alarms, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").withColumns({
+        "minute": wall_clock(F.col("minute")), "value": F.round("value", 6)})
