@@ -7,7 +7,6 @@ import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -22,6 +21,7 @@ from featureline.operators.registry import CHAMPION, Registry
 from featureline.operators.split import stratified_split
 from featureline.schema import CUSTOMER_FEATURE_REFS, CUSTOMER_FEATURES, ENTITY_ID, EVENT_TIMESTAMP, FeatureView
 from featureline.schema import parse_refs
+from featureline.session import work_dir
 from featureline.sources.tables import FEATURES_DIR, read_labels, read_training_spine, read_view, label_scan
 
 logger = logging.getLogger(__name__)
@@ -88,20 +88,15 @@ def evaluate(model: PipelineModel, validation: DataFrame, label: str) -> dict[st
     return {"accuracy": one["accuracy"], "f1_score": one["f1_score"], "roc_auc": auc["roc_auc"]}
 
 
-def fit_and_evaluate(merged: DataFrame, cfg: TrainConfig) -> tuple[PipelineModel, dict, int, int]:
+def stored_split(merged: DataFrame, cfg: TrainConfig, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(training, validation) rows, kept as a table in two folders so that each is read alone."""
     features = [feature for _, feature in parse_refs(list(cfg.refs), cfg.views)]
     complete = apply_missing_policy(merged, features, cfg.missing)
     split = stratified_split(complete, cfg.label, row_key(cfg), cfg.share, cfg.seed)
-    # Read by every level of the forest and by the metrics; rows that are lost are computed again.
-    split = split.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        train, validation = split.filter(~F.col("is_validation")), split.filter("is_validation")
-        sizes = split.agg(F.count_if(~F.col("is_validation")).alias("t"), F.count_if("is_validation").alias("v")).first()
-        model = fit_forest(train, ForestConfig(tuple(features), cfg.label, cfg.num_trees, cfg.max_depth, cfg.max_bins,
-                                               cfg.seed, cfg.missing))
-        return model, evaluate(model, validation, cfg.label), sizes["t"], sizes["v"]
-    finally:
-        split.unpersist()
+    split.write.mode("errorifexists").partitionBy("is_validation").parquet(folder)
+    spark = merged.sparkSession
+    stored = spark.read.schema(split.schema).parquet(folder)
+    return stored.filter(~F.col("is_validation")), stored.filter("is_validation")
 
 
 def train_job(spark: SparkSession, cfg: TrainConfig, now: datetime | None = None) -> TrainResult:
@@ -116,20 +111,24 @@ def train_on(spark: SparkSession, spine: DataFrame, labels: DataFrame, tables: d
     """The job on given tables."""
     started = now or datetime.now(timezone.utc)
     run_id = uuid.uuid4().hex
-    merged = not_empty(training_set(spine, labels, tables, cfg).persist(StorageLevel.MEMORY_AND_DISK))
-    try:
-        model, metrics, n_train, n_validation = fit_and_evaluate(merged, cfg)
-        artifact = f"{cfg.registry.rstrip('/')}/artifacts/{run_id}/model"
-        save_model(model, artifact)
-        registry = Registry(spark, cfg.registry)
-        features = [feature for _, feature in parse_refs(list(cfg.refs), cfg.views)]
-        registry.log_input(run_id, dataset_profile(merged, "features_with_labels", cfg.base, cfg.label))
-        registry.log_run(run_id, cfg.experiment, started, {
-            "model_class": "RandomForestClassifier", "n_estimators": cfg.num_trees, "random_state": cfg.seed,
-            "n_train": n_train, "n_val": n_validation, "features": ",".join(features), "label_column": cfg.label,
-        }, metrics, {"model_name": cfg.model_name}, artifact)
-    finally:
-        merged.unpersist()
+    # Written tables instead of a long lineage: every later step scans them, and a lost executor costs one scan.
+    folder = work_dir(spark, f"train-{run_id}")
+    training_set(spine, labels, tables, cfg).write.mode("errorifexists").parquet(f"{folder}/merged")
+    merged = not_empty(spark.read.parquet(f"{folder}/merged"))
+    train, validation = stored_split(merged, cfg, f"{folder}/split")
+    n_train, n_validation = train.count(), validation.count()
+    features = [feature for _, feature in parse_refs(list(cfg.refs), cfg.views)]
+    model = fit_forest(train, ForestConfig(tuple(features), cfg.label, cfg.num_trees, cfg.max_depth, cfg.max_bins,
+                                           cfg.seed, cfg.missing))
+    metrics = evaluate(model, validation, cfg.label)
+    artifact = f"{cfg.registry.rstrip('/')}/artifacts/{run_id}/model"
+    save_model(model, artifact)
+    registry = Registry(spark, cfg.registry)
+    registry.log_input(run_id, dataset_profile(merged, "features_with_labels", cfg.base, cfg.label))
+    registry.log_run(run_id, cfg.experiment, started, {
+        "model_class": "RandomForestClassifier", "n_estimators": cfg.num_trees, "random_state": cfg.seed,
+        "n_train": n_train, "n_val": n_validation, "features": ",".join(features), "label_column": cfg.label,
+    }, metrics, {"model_name": cfg.model_name}, artifact)
     version = registry.register(cfg.model_name, run_id, artifact, metrics["f1_score"], metrics["roc_auc"], started)
     registry.set_alias(cfg.model_name, CHAMPION, version, started)
     uri = f"models:/{cfg.model_name}@{CHAMPION}"

@@ -21,15 +21,26 @@ from featureline.queries import base as b
 from featureline.queries.base import query, table
 from featureline.session import work_dir
 from featureline.sources.catalog import apply_schedules, judge_schedules
-from featureline.sources.tables import read_predictions, score_spine, write_predictions
+from featureline.sources.tables import read_predictions, score_spine, write_predictions, write_table
 
 RUN_AT = datetime(2001, 8, 2, tzinfo=timezone.utc)
 FEATURES = tuple(b.CUSTOMER_VIEW.features)
 TRAIN = TrainConfig(base="", registry="", views=(b.CUSTOMER_VIEW,))
 
 
-def _split(spark, sf):
-    return stratified_split(b.training_rows(spark, sf), "churned", row_key(TRAIN))
+_SPLITS: dict[tuple, str] = {}
+
+
+def _split(spark: SparkSession, sf: str):
+    """Training rows with their split, written once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SPLITS:
+        folder = work_dir(spark, "split")
+        write_table(b.training_rows(spark, sf), f"{folder}/merged")
+        merged = spark.read.parquet(f"{folder}/merged")
+        write_table(stratified_split(merged, "churned", row_key(TRAIN)), f"{folder}/split")
+        _SPLITS[key] = f"{folder}/split"
+    return spark.read.parquet(_SPLITS[key])
 
 
 _SCALED = ["account_balance", "num_transactions"]
