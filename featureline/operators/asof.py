@@ -140,7 +140,7 @@ def _join_group(spine, keys, group, spine_ts, allow_exact, time_range, hot_rows)
 
     features = []
     for w in group:
-        table = in_time_range(w.view, w.table, time_range).na.drop(subset=keys)
+        table = in_time_range(w.view, w.table, time_range).filter(skew.complete_key(keys))
         ts = F.col(w.view.ts_col).cast(spine.schema[spine_ts].dataType)
         features.append(table.select(
             *[F.col(key).cast(spine_types[key]).alias(key) for key in keys],

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from featureline.operators.skew import HOT_ROWS, skew_join
+
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], ts_col: str, tiebreak: Sequence[str] = ()) -> DataFrame:
     """The newest row per key. An aggregate, so every task sends at most one row per key."""
@@ -22,20 +24,23 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str])
     return best.select(*[F.col(c) if c in keys else F.col(f"_best.`{c}`").alias(c) for c in df.columns])
 
 
-def inner_join(features: DataFrame, labels: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows present on both sides; the optimizer picks the join and splits skewed partitions."""
-    return features.join(labels, list(keys), "inner")
+def inner_join(features: DataFrame, labels: DataFrame, keys: Sequence[str], hot_rows: int | None = HOT_ROWS,
+               feature_keys: DataFrame | None = None) -> DataFrame:
+    """Rows present on both sides. ``feature_keys`` holds the keys of the features where they are cheaper to read."""
+    return skew_join(features, labels, keys, "inner", hot_rows, feature_keys)
 
 
-def suffix_join(left: DataFrame, right: DataFrame, on: Sequence[str], suffixes: tuple[str, str]) -> DataFrame:
+def suffix_join(left: DataFrame, right: DataFrame, on: Sequence[str], suffixes: tuple[str, str],
+                hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Inner join that keeps both copies of equally named columns, told apart by suffix."""
     shared = [c for c in left.columns if c in right.columns and c not in on]
     left = left.withColumnsRenamed({c: c + suffixes[0] for c in shared})
     right = right.withColumnsRenamed({c: c + suffixes[1] for c in shared})
-    return left.join(right, list(on), "inner")
+    return skew_join(left, right, on, "inner", hot_rows)
 
 
-def keyed_insert(existing: DataFrame, requests: DataFrame, key: str, order_cols: Sequence[str]) -> DataFrame:
+def keyed_insert(existing: DataFrame, requests: DataFrame, key: str, order_cols: Sequence[str],
+                 hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Requests with ``status``: the first request of an unknown key is accepted, all others conflict.
 
     ``order_cols`` tell requests of one key apart and order them.
@@ -43,7 +48,7 @@ def keyed_insert(existing: DataFrame, requests: DataFrame, key: str, order_cols:
     order = F.struct(*order_cols)
     firsts = requests.groupBy(key).agg(F.min(order).alias("_first"))
     firsts = firsts.join(existing.select(key), key, "left_anti")
-    judged = requests.join(firsts, key, "left")
+    judged = skew_join(requests, firsts, [key], "left", hot_rows)
     return judged.withColumn(
         "status", F.when(F.col("_first") == order, F.lit("accepted")).otherwise(F.lit("conflict"))
     ).drop("_first")
@@ -100,5 +105,5 @@ def unmatched_report(left: DataFrame, right: DataFrame, keys: Sequence[str]) ->
 
 
 def unmatched_rows(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    return (left.join(right.select(*keys), list(keys), "left_anti"),
-            right.join(left.select(*keys), list(keys), "left_anti"))
+    return (skew_join(left, right.select(*keys).distinct(), keys, "left_anti"),
+            skew_join(right, left.select(*keys).distinct(), keys, "left_anti"))

@@ -106,7 +106,7 @@ def leakage_report(features: DataFrame, labels: DataFrame, keys: Sequence[str] =
     at = F.col("_ts")
 
     def reduced(df: DataFrame, is_feature: int) -> DataFrame:
-        return (df.filter(F.col(ts_col).isNotNull()).na.drop(subset=keys)
+        return (df.filter(F.col(ts_col).isNotNull() & skew.complete_key(keys))
                 .groupBy(*keys, F.col(ts_col).alias("_ts")).agg(F.count(F.lit(1)).alias("_n"))
                 .withColumns({"_f": F.col("_n") * is_feature, "_l": F.col("_n") * (1 - is_feature)}).drop("_n"))
 

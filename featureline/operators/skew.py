@@ -1,4 +1,4 @@
-"""Finding keys that hold too many rows and cutting their rows into time ranges.
+"""Finding keys that hold too many rows, cutting their rows into time ranges, and salting joins on them.
 
 A window over one key runs in one task. Keys above ``hot_rows`` rows are cut into ranges
 of about equal size, so that the window runs per (key, range) instead. What comes to the
@@ -9,15 +9,19 @@ all rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import timedelta
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 HOT_ROWS = 2_000_000
 MAX_HOT_KEYS = 256
 MAX_RANGES = 256
 NULL_KEY_SPREAD = 1024
+SALTS = 64
 
 TICK = timedelta(microseconds=1)
 
@@ -35,22 +39,30 @@ class HotRanges:
         return df.join(F.broadcast(self.table), self.keys, "left")
 
 
+def complete_key(keys: Sequence[str]) -> Column:
+    return reduce(and_, [F.col(key).isNotNull() for key in keys])
+
+
+def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> list[Row]:
+    """The largest keys above ``hot_rows`` rows with their row count ``_n``; usually none, at most MAX_HOT_KEYS."""
+    counts = rows.filter(complete_key(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.filter(F.col("_n") > hot_rows).orderBy(F.col("_n").desc()).limit(MAX_HOT_KEYS).collect()
+
+
+def key_table(rows: DataFrame, keys: Sequence[str], hot: list[Row]) -> DataFrame:
+    schema = T.StructType([rows.schema[key] for key in keys])
+    return rows.sparkSession.createDataFrame([tuple(r[key] for key in keys) for r in hot], schema)
+
+
 def hot_ranges(rows: DataFrame, keys: list[str], ts_col: str, hot_rows: int = HOT_ROWS) -> HotRanges | None:
     """Range starts for the hot keys of ``rows``; None when no key is hot (the usual case)."""
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = (
-        counts.filter(F.col("_n") > hot_rows)
-        .filter(" and ".join(f"`{key}` is not null" for key in keys))
-        .orderBy(F.col("_n").desc()).limit(MAX_HOT_KEYS).collect()
-    )
+    hot = hot_keys(rows, keys, hot_rows)
     if not hot:
         return None
     spark = rows.sparkSession
-    key_fields = [rows.schema[key] for key in keys]
-    hot_df = spark.createDataFrame([tuple(r[key] for key in keys) for r in hot], T.StructType(key_fields))
     steps = min(MAX_RANGES, -(-hot[0]["_n"] // hot_rows))
     quantiles = (
-        rows.join(F.broadcast(hot_df), keys, "left_semi")
+        rows.join(F.broadcast(key_table(rows, keys, hot)), keys, "left_semi")
         .filter(F.col(ts_col).isNotNull())
         .groupBy(*keys)
         .agg(F.percentile_approx(ts_col, [i / steps for i in range(1, steps)] or [0.5], 10 * steps).alias("_q"))
@@ -62,7 +74,7 @@ def hot_ranges(rows: DataFrame, keys: list[str], ts_col: str, hot_rows: int = HO
         starts, copies = _ranges(list(row["_q"]))
         cut.append((*key, starts, copies))
     table = spark.createDataFrame(cut, T.StructType([
-        *key_fields,
+        *[rows.schema[key] for key in keys],
         T.StructField("_starts", T.ArrayType(rows.schema[ts_col].dataType)),
         T.StructField("_copies", T.ArrayType(T.IntegerType())),
     ]))
@@ -102,7 +114,30 @@ def spread(copies: Column) -> Column:
 
 def null_key_group(keys: list[str]) -> Column:
     """0 for rows with a complete key; rows without one match nothing and are spread out."""
-    missing = F.lit(False)
-    for key in keys:
-        missing = missing | F.col(key).isNull()
-    return F.when(missing, F.pmod(F.spark_partition_id(), F.lit(NULL_KEY_SPREAD))).otherwise(F.lit(0))
+    return F.when(complete_key(keys), F.lit(0)).otherwise(F.pmod(F.spark_partition_id(), F.lit(NULL_KEY_SPREAD)))
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
+              hot_rows: int | None = HOT_ROWS, left_keys: DataFrame | None = None) -> DataFrame:
+    """Equi-join that spreads the rows of hot keys over SALTS groups.
+
+    Rows of a key that is hot on one side get a salt there and one copy per salt on the other
+    side. Without hot keys this is the plain join. For outer, semi and anti joins only the left
+    side is salted. ``left_keys`` may hold the keys of the left rows in a cheaper frame.
+    """
+    keys = list(keys)
+    if hot_rows is None:
+        return left.join(right, keys, how)
+    hot = {"_sl": hot_keys((left_keys or left).select(*keys), keys, hot_rows)}
+    if how == "inner":
+        hot["_sr"] = hot_keys(right.select(*keys), keys, hot_rows)
+    hot = {salt: rows for salt, rows in hot.items() if rows}
+    for salt, rows in hot.items():
+        marks = F.broadcast(key_table(left, keys, rows).withColumn("_hot", F.lit(True)))
+        own = F.when(F.col("_hot"), F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(F.lit(0))
+        every = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+        salted, copied = (left, right) if salt == "_sl" else (right, left)
+        salted = salted.join(marks, keys, "left").withColumn(salt, own).drop("_hot")
+        copied = copied.join(marks, keys, "left").withColumn(salt, every).drop("_hot")
+        left, right = (salted, copied) if salt == "_sl" else (copied, salted)
+    return left.join(right, [*keys, *hot], how).drop(*hot)

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-DIGITS = 4
+from featureline.session import work_dir
+
+DIGITS = (4, 8, 32)
+MAX_TIED = 1_000_000
 MAX_SMALL_CLASSES = 10_000
 
 
@@ -35,35 +41,88 @@ def order_hash(seed: int, row_key: Column) -> Column:
 
 
 def stratified_split(df: DataFrame, label: str, row_key: Column | str, share: float = 0.2, seed: int = 42,
-                     digits: int = DIGITS) -> DataFrame:
+                     max_tied: int = MAX_TIED) -> DataFrame:
     """Adds ``is_validation``: exactly the quota of each class, picked in order of a seeded hash of the row key.
 
-    No class is sorted as a whole. A histogram of the first ``digits`` hex digits finds the
-    bucket in which a class reaches its quota; only the rows of that bucket are ranked.
+    No class is sorted as a whole. A histogram over the first hex digits of the hash finds the
+    bucket in which a class reaches its quota, and only the rows of that bucket are ranked. While
+    a bucket holds more than ``max_tied`` rows, it is cut finer by the next digits. If that many
+    rows share one hash they are copies of one key; then a stored row number cuts them further.
     """
     key = F.col(row_key) if isinstance(row_key, str) else row_key
-    hashed = df.withColumn("_h", order_hash(seed, key)).withColumn("_b", F.substring("_h", 1, digits))
-    boundary = _boundaries(hashed, label, share)
-    # One row per class. Labels have few classes; with more than MAX_SMALL_CLASSES the join is left to the optimizer.
-    known = boundary.limit(MAX_SMALL_CLASSES + 1).collect()
-    if len(known) <= MAX_SMALL_CLASSES:
-        boundary = F.broadcast(df.sparkSession.createDataFrame(known, boundary.schema))
-    placed = hashed.join(boundary, F.col(label).eqNullSafe(F.col("_l")))
+    hashed = df.withColumn("_h", order_hash(seed, key))
+    done = None
+    digits = DIGITS[0]
+    bucket = F.substring("_h", 1, digits)
+    cuts = _cuts(hashed.withColumn("_b", bucket), label, _quota(hashed, label, share))
+    for finer in DIGITS[1:]:
+        if cuts.largest <= max_tied:
+            break
+        inside = cuts.mark(hashed, label).filter(F.substring("_h", 1, digits) == F.col("_cut"))
+        cuts = _cuts(inside.withColumn("_b", F.substring("_h", 1, finer)).drop("_cut", "_need"), label, cuts.quota())
+        digits = finer
+    placed = cuts.mark(hashed, label).withColumn("_b", F.substring("_h", 1, digits))
     clear = placed.filter(F.col("_b") != F.col("_cut")).withColumn("is_validation", F.col("_b") < F.col("_cut"))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", key))
-    tied = placed.filter(F.col("_b") == F.col("_cut")).withColumn("is_validation", rank <= F.col("_need"))
-    return clear.unionByName(tied).select(*df.columns, "is_validation")
+    tied = placed.filter(F.col("_b") == F.col("_cut"))
+    if cuts.largest > max_tied:
+        done, tied = _split_copies(tied, label, cuts)
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", F.xxhash64(*df.columns)))
+    tied = tied.withColumn("is_validation", rank <= F.col("_need"))
+    parts = [clear, tied] + ([done] if done is not None else [])
+    return reduce(DataFrame.unionByName, [p.select(*df.columns, "is_validation") for p in parts])
+
+
+def _quota(hashed: DataFrame, label: str, share: float) -> DataFrame:
+    return validation_quota(class_counts(hashed, label), label, share).select(
+        F.col(label).alias("_l"), F.col("n_validation").alias("_quota"))
+
+
+@dataclass(frozen=True)
+class _Cuts:
+    """Per class (``_l``): the bucket ``_cut`` in which the quota is reached and the rows ``_need``ed from it."""
 
+    table: DataFrame
+    largest: int
+    small: bool
 
-def _boundaries(hashed: DataFrame, label: str, share: float) -> DataFrame:
-    """Per class the first hash bucket at which the quota is reached, and the rows still needed from it."""
-    histogram = hashed.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("n"))
-    quota = validation_quota(histogram.groupBy(label).agg(F.sum("n").alias("n")), label, share)
+    def mark(self, rows: DataFrame, label: str) -> DataFrame:
+        table = F.broadcast(self.table) if self.small else self.table
+        return rows.join(table, F.col(label).eqNullSafe(F.col("_l"))).drop("_l")
+
+    def quota(self) -> DataFrame:
+        return self.table.select("_l", F.col("_need").alias("_quota"))
+
+
+def _cuts(rows: DataFrame, label: str, quota: DataFrame) -> _Cuts:
+    """One histogram over ``_b`` per class."""
+    histogram = rows.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("n"))
     upto = (Window.partitionBy(label).orderBy("_b")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     filled = histogram.withColumn("_upto", F.sum("n").over(upto)).join(
-        quota.select(F.col(label).alias("_l"), "n_validation"), F.col(label).eqNullSafe(F.col("_l")))
-    need = F.col("n_validation") - (F.col("_upto") - F.col("n"))
-    first = filled.filter(F.col("_upto") >= F.col("n_validation")).groupBy("_l").agg(
-        F.min(F.struct("_b", need.alias("need"))).alias("_first"))
-    return first.select("_l", F.col("_first._b").alias("_cut"), F.col("_first.need").alias("_need"))
+        quota, F.col(label).eqNullSafe(F.col("_l")))
+    need = F.col("_quota") - (F.col("_upto") - F.col("n"))
+    first = filled.filter(F.col("_upto") >= F.col("_quota")).groupBy("_l").agg(
+        F.min(F.struct("_b", need.alias("need"), "n")).alias("_first"))
+    cuts = first.select("_l", F.col("_first._b").alias("_cut"), F.col("_first.need").alias("_need"),
+                        F.col("_first.n").alias("_n"))
+    # One row per class. Labels have few classes; with more than MAX_SMALL_CLASSES nothing is broadcast.
+    known = cuts.limit(MAX_SMALL_CLASSES + 1).collect()
+    small = len(known) <= MAX_SMALL_CLASSES
+    if small:
+        cuts = rows.sparkSession.createDataFrame(known, cuts.schema)
+    largest = max((r["_n"] for r in known), default=0)
+    return _Cuts(cuts.drop("_n"), largest, small)
+
+
+def _split_copies(tied: DataFrame, label: str, cuts: _Cuts) -> tuple[DataFrame, DataFrame]:
+    """Rows of one hash, cut by a row number that is stored first, so that every pass sees the same numbers."""
+    spark = tied.sparkSession
+    folder = work_dir(spark, "copies")
+    (tied.drop("_need", "_cut", "_b")
+     .withColumn("_r", F.md5(F.monotonically_increasing_id().cast("string"))).write.parquet(folder))
+    numbered = spark.read.parquet(folder)
+    finer = numbered.withColumn("_b", F.substring("_r", 1, DIGITS[0]))
+    cuts = _cuts(finer, label, cuts.quota())
+    placed = cuts.mark(finer, label)
+    clear = placed.filter(F.col("_b") != F.col("_cut")).withColumn("is_validation", F.col("_b") < F.col("_cut"))
+    return clear, placed.filter(F.col("_b") == F.col("_cut"))

@@ -73,7 +73,8 @@ def training_set(spine: DataFrame, labels: DataFrame, tables: dict[str, DataFram
     """Features as of each spine row, kept where there is a label for the same key and time."""
     features = historical_features(spine, list(cfg.refs), cfg.views, tables, allow_exact=cfg.allow_exact,
                                    hot_rows=cfg.hot_rows)
-    return inner_join(features, label_scan(labels, cfg.label), [ENTITY_ID, EVENT_TIMESTAMP])
+    return inner_join(features, label_scan(labels, cfg.label), [ENTITY_ID, EVENT_TIMESTAMP], cfg.hot_rows,
+                      feature_keys=spine)
 
 
 def row_key(cfg: TrainConfig):

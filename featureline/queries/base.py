@@ -9,6 +9,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from featureline.operators.asof import historical_features
+from featureline.operators.keyed import inner_join
 from featureline.schema import CUSTOMER, CUSTOMER_FEATURE_REFS, CUSTOMER_FEATURES, Entity, FeatureView
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,7 +98,7 @@ def churn_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """True where no order follows within 180 days."""
     times = label_times(spark, sf_dir)
     at, day = F.col("event_timestamp"), F.col("o_orderdate")
-    active = (table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate")
+    active = (table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate").distinct()
               .join(times.select("c_custkey", "event_timestamp"), F.col("o_custkey") == F.col("c_custkey"))
               .filter((day > at) & (day <= at + F.lit(timedelta(days=180))))
               .select("c_custkey", F.lit(True).alias("_active")).distinct())
@@ -127,10 +128,10 @@ def nation_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label rows with their features as of the label time, and the label."""
-    features = historical_features(
-        train_entities(spark, sf_dir), CUSTOMER_FEATURE_REFS, (CUSTOMER_VIEW,),
-        {"customer_features": customer_features(spark, sf_dir)})
-    return features.join(churn_labels(spark, sf_dir), ["entity_id", "event_timestamp"], "inner")
+    spine = train_entities(spark, sf_dir)
+    features = historical_features(spine, CUSTOMER_FEATURE_REFS, (CUSTOMER_VIEW,),
+                                   {"customer_features": customer_features(spark, sf_dir)})
+    return inner_join(features, churn_labels(spark, sf_dir), ["entity_id", "event_timestamp"], feature_keys=spine)
 
 
 def catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

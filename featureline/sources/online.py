@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from featureline.functions.exprs import ts_literal
 from featureline.operators.keyed import latest_per_key
 from featureline.operators.registry import append, read_or_empty
+from featureline.operators.skew import complete_key
 from featureline.schema import FeatureView
 
 STATE = T.StructType([
@@ -73,7 +74,7 @@ class OnlineTable:
         last = self._last_state()
         ts = F.col(self.view.ts_col)
         ts_type = table.schema[self.view.ts_col].dataType
-        rows = table.filter(ts <= ts_literal(end, ts_type)).na.drop(subset=self.view.keys)
+        rows = table.filter((ts <= ts_literal(end, ts_type)) & complete_key(self.view.keys))
         if last is not None and last["interval_end"]:
             rows = rows.filter(ts > ts_literal(last["interval_end"], ts_type))
         sequence = (last["sequence"] if last else 0) + 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from featureline.operators.skew import complete_key
 from featureline.schema import FeatureView
 from featureline.sources.online import OnlineTable
 
@@ -24,7 +25,7 @@ def materialize_stream(stream: DataFrame, online: OnlineTable, checkpoint: str)
     not matter.
     """
     def take(batch: DataFrame, batch_id: int) -> None:
-        online.merge(batch.na.drop(subset=[*online.view.keys, online.view.ts_col]), f"batch-{batch_id:09d}")
+        online.merge(batch.filter(complete_key([*online.view.keys, online.view.ts_col])), f"batch-{batch_id:09d}")
 
     return (stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
