@@ -17,7 +17,8 @@ from featureline.operators.quality import null_counts
 
 @dataclass(frozen=True)
 class ForestConfig:
-    """``max_depth`` and ``max_bins`` bound the trees; ``missing`` is fail, drop or impute."""
+    """``max_depth`` and ``max_bins`` bound the trees. ``missing`` is fail, drop or impute; with fail a row that
+    lacks a feature stops scoring too, otherwise it is scored with the medians of the training rows."""
 
     features: tuple[str, ...]
     label: str
@@ -33,17 +34,21 @@ def columns_with_nulls(df: DataFrame, columns: Sequence[str]) -> list[str]:
     return [c for c in columns if counts[f"{c}_nulls"]]
 
 
-def scaling_stages(features: Sequence[str], with_nulls: Sequence[str] = ()) -> list:
-    """Features to doubles, medians for nulls plus indicator columns, one vector, standardised."""
+def scaling_stages(features: Sequence[str], with_nulls: Sequence[str] = (), fill: bool = True) -> list:
+    """Features to doubles, medians for nulls, indicators for ``with_nulls``, one vector, standardised.
+
+    With ``fill`` every feature gets a median, also those complete in training: rows to be
+    scored later may lack them.
+    """
     casts = [f"CAST(`{c}` AS DOUBLE) AS `{c}__value`" for c in features]
     casts += [f"CAST(`{c}` IS NULL AS DOUBLE) AS `{c}__missing`" for c in with_nulls]
     stages: list = [SQLTransformer(statement=f"SELECT *, {', '.join(casts)} FROM __THIS__")]
     inputs = [f"{c}__value" for c in features]
-    if with_nulls:
-        stages.append(Imputer(strategy="median", inputCols=[f"{c}__value" for c in with_nulls],
-                              outputCols=[f"{c}__filled" for c in with_nulls]))
-        inputs = [f"{c}__filled" if c in with_nulls else f"{c}__value" for c in features]
-        inputs += [f"{c}__missing" for c in with_nulls]
+    if fill:
+        filled = [f"{c}__filled" for c in features]
+        stages.append(Imputer(strategy="median", inputCols=inputs, outputCols=filled))
+        inputs = filled
+    inputs = inputs + [f"{c}__missing" for c in with_nulls]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="raw_vector", handleInvalid="error"))
     stages.append(StandardScaler(inputCol="raw_vector", outputCol="scaled_vector", withMean=True, withStd=True))
     return stages
@@ -55,7 +60,7 @@ def forest_pipeline(cfg: ForestConfig, with_nulls: Sequence[str] = ()) -> Pipeli
         numTrees=cfg.num_trees, maxDepth=cfg.max_depth, maxBins=cfg.max_bins, seed=cfg.seed,
         impurity="gini", featureSubsetStrategy="sqrt",
     )
-    return Pipeline(stages=[*scaling_stages(cfg.features, with_nulls), forest])
+    return Pipeline(stages=[*scaling_stages(cfg.features, with_nulls, cfg.missing != "fail"), forest])
 
 
 def fit_forest(train: DataFrame, cfg: ForestConfig) -> PipelineModel:
