@@ -79,7 +79,13 @@ def split_valid(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFr
 
 
 def validate(df: DataFrame, rules: Sequence[Rule], mode: str = "fail") -> DataFrame:
-    """Valid rows. In ``fail`` mode one bad row stops the job with its count and some samples."""
+    """Valid rows. One bad row stops the job in ``fail`` mode before it goes on, with the count and some samples,
+    and in ``inline`` mode when the row is reached, without a pass of its own. ``split`` leaves bad rows out."""
+    if mode == "inline":
+        judged = with_errors(df, rules)
+        text = F.concat(F.lit("invalid row: "), F.array_join(ERRORS, "; "))
+        return _coerced(judged.filter(F.when(F.size(ERRORS) > 0, F.raise_error(text)).otherwise(F.lit(True)))
+                        .drop(ERRORS), rules)
     valid, rejected = split_valid(df, rules)
     if mode == "fail":
         samples = rejected.limit(SAMPLES).collect()

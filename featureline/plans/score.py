@@ -58,7 +58,7 @@ def score_job(spark: SparkSession, cfg: ScoreConfig, run_ts: datetime | None = N
     champion = Registry(spark, cfg.registry).champion(cfg.model_name)
     scored = score_rows(load_model(champion["source"]), features, cfg.output)
     predictions = as_predictions(scored, champion["model_uri"], champion["version"], run_ts)
-    return write_predictions(validate(predictions, PREDICTION_RULES, mode="split"), cfg.prefix, cfg.model_name,
+    return write_predictions(validate(predictions, PREDICTION_RULES, mode="inline"), cfg.prefix, cfg.model_name,
                              run_ts, run_id)
 
 
@@ -100,6 +100,7 @@ def score_catalog(spark: SparkSession, catalog: DataFrame, base: str, registry:
                                              run_ts) for row in rows}
     tables = view_tables(spark, views, base, view_paths or {})
     scored = score_models(rows, spines, champions, views, tables, run_ts, spine_time=(run_ts, run_ts), output=output)
+    scored = validate(scored, PREDICTION_RULES, mode="inline")
     folder = run_folder(predictions or f"{base}/{PREDICTIONS_DIR}", "catalog", run_ts)
     (scored.write.mode("errorifexists").partitionBy("model_name")
      .option("timestampFormat", JSON_TIMESTAMP).json(folder))

@@ -20,9 +20,9 @@ def feature_stream(spark: SparkSession, view: FeatureView, path: str, files_per_
 def materialize_stream(stream: DataFrame, online: OnlineTable, checkpoint: str) -> StreamingQuery:
     """Takes in all files that are there and stops; the next start goes on where this one ended.
 
-    Each micro-batch is reduced to one row per key before it is merged. A batch that comes again
-    is known by its id, and a late row never replaces a newer one, so the order of files does
-    not matter.
+    Each micro-batch is reduced to one row per key before it is merged. A late row never replaces
+    a newer one and a batch that comes again adds nothing new, so neither the order of files nor a
+    repeated batch matters.
     """
     def take(batch: DataFrame, batch_id: int) -> None:
         online.merge(batch.filter(complete_key([*online.view.keys, online.view.ts_col])), f"batch-{batch_id:09d}")

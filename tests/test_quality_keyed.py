@@ -49,6 +49,14 @@ def test_split_mode_converts_the_valid_rows(spark):
     assert rows(rejected, "entity_id") == [("b",)]
 
 
+def test_inline_mode_stops_when_the_row_is_reached(spark):
+    df = spark.createDataFrame([("a", "2026-01-15"), ("b", "never")], TEXT_SPINE)
+    checked = validate(df, SPINE_RULES, mode="inline")
+    with pytest.raises(Exception, match="invalid row: event_timestamp: not a time"):
+        checked.collect()
+    assert validate(df.filter("entity_id = 'a'"), SPINE_RULES, mode="inline").count() == 1
+
+
 def test_training_spine_is_utc_and_projected(spark):
     df = spark.createDataFrame([("a", ts("2026-01-15 12:00:00"), 1)],
                                "entity_id string, event_timestamp timestamp_ntz, extra int")

@@ -112,12 +112,24 @@ def test_online_takes_each_interval_once_and_newer_wins(spark, folder):
 
 def test_online_ignores_late_rows_and_repeated_batches(spark, folder):
     online = OnlineTable(spark, folder, VIEW)
+    late = feature_rows(spark, [("a", ts("2024-01-01"), 1), ("b", ts("2024-01-01"), 7)])
     online.merge(feature_rows(spark, [("a", ts("2024-01-03"), 3)]), "one")
-    online.merge(feature_rows(spark, [("a", ts("2024-01-01"), 1), ("b", ts("2024-01-01"), 7)]), "two")
-    online.merge(feature_rows(spark, [("a", ts("2025-01-01"), 99)]), "two")
+    online.merge(late, "two")
+    online.merge(late, "two")
     assert rows(online.read(), "entity_id", "a") == [("a", 3), ("b", 7)]
 
 
+def test_online_folders_are_merged_now_and_then(spark, folder):
+    online = OnlineTable(spark, folder, VIEW, full_every=3)
+    for i in range(8):
+        online.merge(feature_rows(spark, [("a", ts("2024-01-01") + timedelta(days=i), i), (f"k{i}", ts("2024-01-01"), i)]),
+                     f"run{i}")
+        assert online.read().filter("entity_id = 'a'").first()["a"] == i
+        assert online.read().count() == i + 2
+    state = spark.read.parquet(online.state_path)
+    assert [r["sequence"] for r in state.filter("is_full").orderBy("sequence").collect()] == [1, 4, 7]
+
+
 # --- registry --------------------------------------------------------------------------------
 
 def test_versions_count_on_and_alias_moves(spark, folder):
