@@ -58,17 +58,21 @@ def historical_features(
     clash = {name for w in wanted for _, name in w.columns} & set(spine.columns)
     if clash:
         raise FeaturelineError(f"feature names already in the spine: {sorted(clash)}")
-    if time_range is None and prune:
-        # As text: the session's reading of the time, whatever zone the driver runs in.
-        first_last = spine.agg(F.min(spine_ts).cast("string"), F.max(spine_ts).cast("string")).first()
-        time_range = (first_last[0], first_last[1]) if first_last[0] is not None else None
-
     by_keys: dict[tuple[str, ...], list[_Wanted]] = {}
     for w in wanted:
         by_keys.setdefault(tuple(w.view.keys), []).append(w)
+    incomplete = dict.fromkeys(by_keys, True)
+    if time_range is None and prune:
+        # As text: the session's reading of the time, whatever zone the driver runs in.
+        facts = spine.agg(F.min(spine_ts).cast("string"), F.max(spine_ts).cast("string"),
+                          *[F.bool_or(~skew.complete_key(keys)) for keys in by_keys]).first()
+        time_range = (facts[0], facts[1]) if facts[0] is not None else None
+        incomplete = dict(zip(by_keys, facts[2:]))
     result = spine
     for keys, group in by_keys.items():
-        result = _join_group(result, list(keys), group, spine_ts, allow_exact, time_range, hot_rows)
+        points = spine.select(*keys, F.col(spine_ts).alias("_ts"))
+        result = _join_group(result, points, list(keys), group, spine_ts, allow_exact, time_range, hot_rows,
+                             bool(incomplete[keys]))
     order = [name for _, name in _output_names(parse_refs(refs, views), full_names)]
     return result.select(*spine.columns, *order)
 
@@ -127,28 +131,24 @@ def _feature_row(w: _Wanted, ts: Column) -> Column:
     return F.struct(*fields)
 
 
-def _join_group(spine, keys, group, spine_ts, allow_exact, time_range, hot_rows) -> DataFrame:
-    spine_types = {key: spine.schema[key].dataType for key in keys}
-    payload = [c for c in spine.columns]
+def _join_group(spine, points, keys, group, spine_ts, allow_exact, time_range, hot_rows, incomplete) -> DataFrame:
+    """Spine and feature rows in one frame: keys, ``_ts``, ``_side``, one ``_f<i>`` per view, and the rest of the
+    spine as ``_p<i>``. Keys and time are not carried twice."""
+    payload = [c for c in spine.columns if c not in keys and c != spine_ts]
     spine_side, feature_side = (1, 0) if allow_exact else (0, 1)
     slots = [f"_f{i}" for i in range(len(group))]
 
-    def with_slots(df: DataFrame, filled: int | None, types) -> DataFrame:
-        return df.withColumns({
-            slot: (F.col("_row") if i == filled else F.lit(None).cast(types[i])) for i, slot in enumerate(slots)
-        }).drop("_row")
-
     features = []
     for w in group:
         table = in_time_range(w.view, w.table, time_range).filter(skew.complete_key(keys))
         ts = F.col(w.view.ts_col).cast(spine.schema[spine_ts].dataType)
         features.append(table.select(
-            *[F.col(key).cast(spine_types[key]).alias(key) for key in keys],
+            *[F.col(key).cast(spine.schema[key].dataType).alias(key) for key in keys],
             ts.alias("_ts"), _feature_row(w, ts).alias("_row"),
         ))
-    types = [f.schema["_row"].dataType for f in features]
 
-    points = spine.select(*keys, F.col(spine_ts).alias("_ts"))
+    carried = {f"_p{i}": c for i, c in enumerate(payload)}
+    rows = spine.select(*keys, F.col(spine_ts).alias("_ts"), *[F.col(c).alias(p) for p, c in carried.items()])
     hot = None
     if hot_rows is not None:
         seen = points
@@ -156,27 +156,32 @@ def _join_group(spine, keys, group, spine_ts, allow_exact, time_range, hot_rows)
             seen = seen.unionByName(f.select(*keys, "_ts"))
         hot = skew.hot_ranges(seen, keys, "_ts", hot_rows)
 
-    rows = spine.select(*keys, F.col(spine_ts).alias("_ts"), F.struct(*payload).alias("_s"))
-    if hot is None:
-        spine_rows = rows.withColumn("_g", skew.null_key_group(keys)).withColumn("_copy", F.lit(0))
-        feature_rows = [with_slots(f, i, types).withColumns({"_g": F.lit(0), "_copy": F.lit(0)})
-                        for i, f in enumerate(features)]
+    if hot is not None:
+        spine_rows, feature_rows = _cut_hot(rows, features, hot, keys)
+        groups = [*keys, "_g", "_copy"]
+    elif incomplete:
+        spine_rows = rows.withColumn("_g", skew.null_key_group(keys))
+        feature_rows = [f.withColumn("_g", F.lit(0)) for f in features]
+        groups = [*keys, "_g"]
     else:
-        spine_rows, feature_rows = _cut_hot(rows, features, hot, keys, types, with_slots, slots)
+        spine_rows, feature_rows, groups = rows, features, keys
 
-    combined = with_slots(spine_rows.withColumn("_row", F.lit(None)), None, types).withColumn(
-        "_side", F.lit(spine_side))
-    empty_payload = F.lit(None).cast(combined.schema["_s"].dataType)
-    for f in feature_rows:
-        combined = combined.unionByName(f.withColumns({"_s": empty_payload, "_side": F.lit(feature_side)}))
+    empty_slots = {slot: F.lit(None).cast(f.schema["_row"].dataType) for slot, f in zip(slots, features)}
+    empty_payload = {p: F.lit(None).cast(spine.schema[c].dataType) for p, c in carried.items()}
+    combined = spine_rows.withColumns({"_side": F.lit(spine_side), **empty_slots})
+    for slot, f in zip(slots, feature_rows):
+        filled = {**empty_slots, slot: F.col("_row")}
+        combined = combined.unionByName(
+            f.withColumns({"_side": F.lit(feature_side), **empty_payload, **filled}).drop("_row"))
 
-    window = (Window.partitionBy(*keys, "_g", "_copy").orderBy("_ts", "_side", *slots)
+    window = (Window.partitionBy(*groups).orderBy("_ts", "_side", *slots)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     matched = combined.select(
-        "_s", "_ts", "_side", *[F.last(slot, ignorenulls=True).over(window).alias(slot) for slot in slots],
+        *keys, "_ts", "_side", *carried, *[F.last(slot, ignorenulls=True).over(window).alias(slot) for slot in slots],
     ).filter(F.col("_side") == spine_side)
 
-    out = [F.col(f"_s.`{c}`").alias(c) for c in payload]
+    places = {c: p for p, c in carried.items()} | {spine_ts: "_ts"}
+    out = [F.col(places.get(c, c)).alias(c) for c in spine.columns]
     for slot, w in zip(slots, group):
         alive = F.lit(True)
         if w.ttl:
@@ -185,7 +190,7 @@ def _join_group(spine, keys, group, spine_ts, allow_exact, time_range, hot_rows)
     return matched.select(*out)
 
 
-def _cut_hot(rows, features, hot, keys, types, with_slots, slots):
+def _cut_hot(rows, features, hot, keys):
     """Groups for hot keys: ``_g`` is the time range, ``_copy`` spreads one crowded range."""
     index = skew.range_index(F.col("_ts"))
     is_hot = F.col("_starts").isNotNull()
@@ -197,31 +202,28 @@ def _cut_hot(rows, features, hot, keys, types, with_slots, slots):
         "_g": F.when(is_hot, index + 1).otherwise(skew.null_key_group(keys)),
         "_copy": F.when(is_hot, skew.spread(skew.copies_of(index))).otherwise(F.lit(0)),
     }).drop(*helper)
-    used = (marked.filter(is_hot).select(*keys, (index + 1).alias("_g")).distinct())
+    used = marked.filter(is_hot).select(*keys, (index + 1).alias("_g")).distinct()
 
     feature_rows = []
-    for i, f in enumerate(features):
+    for f in features:
         f = hot.mark(f)
-        cold = f.filter(~is_hot).drop(*helper)
-        feature_rows.append(with_slots(cold, i, types).withColumns({"_g": F.lit(0), "_copy": F.lit(0)}))
+        cold = f.filter(~is_hot).drop(*helper).withColumns({"_g": F.lit(0), "_copy": F.lit(0)})
 
         # One row per (key, time) is enough: the greatest wins. Collapsed before the shuffle.
-        best = (f.filter(is_hot).groupBy(*keys, "_ts").agg(F.max("_row").alias("_row")))
-        best = hot.mark(best)
+        best = hot.mark(f.filter(is_hot).groupBy(*keys, "_ts").agg(F.max("_row").alias("_row")))
         local = best.select(*keys, "_ts", "_row", (index + 1).alias("_g"), "_copies")
         newest = local.groupBy(*keys, "_g").agg(F.max("_row").alias("_row"))
         # At most MAX_RANGES summary rows per key, so this window stays small.
-        before = (Window.partitionBy(*keys).orderBy("_g", F.col("_row").isNull())
-                  .rowsBetween(Window.unboundedPreceding, -1))
+        before = Window.partitionBy(*keys).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+        nothing = F.lit(None).cast(f.schema["_row"].dataType)
         seeds = (
-            newest.unionByName(used.withColumn("_row", F.lit(None).cast(types[i])))
+            newest.unionByName(used.withColumn("_row", nothing))
             .groupBy(*keys, "_g").agg(F.max("_row").alias("_row"))
             .select(*keys, "_g", F.last("_row", ignorenulls=True).over(before).alias("_row"))
             .filter(F.col("_row").isNotNull())
             .select(*keys, F.col("_row.ts").alias("_ts"), "_row", "_g")
         )
-        seeds = hot.mark(seeds).drop("_starts")
-        copied = local.unionByName(seeds).withColumn(
+        copied = local.unionByName(hot.mark(seeds).drop("_starts")).withColumn(
             "_copy", F.explode(F.sequence(F.lit(0), F.element_at("_copies", F.col("_g")) - 1))).drop("_copies")
-        feature_rows.append(with_slots(copied, i, types))
+        feature_rows.append(cold.unionByName(copied))
     return spine_rows, feature_rows
