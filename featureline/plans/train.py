@@ -81,9 +81,13 @@ def row_key(cfg: TrainConfig):
     return F.concat_ws("|", F.col(ENTITY_ID), F.col(EVENT_TIMESTAMP).cast("string"))
 
 
-def evaluate(model: PipelineModel, validation: DataFrame, label: str) -> dict[str, float | None]:
-    """Accuracy, F1 of the positive class and the exact area under the ROC curve (null for one class)."""
-    scored = predict(model, validation).select(label, "prediction", "probability")
+def evaluate(model: PipelineModel, validation: DataFrame, label: str, folder: str) -> dict[str, float | None]:
+    """Accuracy, F1 of the positive class and the exact area under the ROC curve (null for one class).
+
+    The scored rows are kept in ``folder``: the model runs over them once, the metrics pass over its answers.
+    """
+    predict(model, validation).select(label, "prediction", "probability").write.mode("errorifexists").parquet(folder)
+    scored = validation.sparkSession.read.parquet(folder)
     one = classification_metrics(scored, label, "prediction").first()
     auc = roc_auc(scored, label, "probability").first()
     return {"accuracy": one["accuracy"], "f1_score": one["f1_score"], "roc_auc": auc["roc_auc"]}
@@ -121,7 +125,7 @@ def train_on(spark: SparkSession, spine: DataFrame, labels: DataFrame, tables: d
     features = [feature for _, feature in parse_refs(list(cfg.refs), cfg.views)]
     model = fit_forest(train, ForestConfig(tuple(features), cfg.label, cfg.num_trees, cfg.max_depth, cfg.max_bins,
                                            cfg.seed, cfg.missing))
-    metrics = evaluate(model, validation, cfg.label)
+    metrics = evaluate(model, validation, cfg.label, f"{folder}/scored")
     artifact = f"{cfg.registry.rstrip('/')}/artifacts/{run_id}/model"
     save_model(model, artifact)
     registry = Registry(spark, cfg.registry)

@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession, functions as F
 
-from featureline.functions.exprs import wall_clock
+from featureline.functions.exprs import utc_timestamp, wall_clock
 from featureline.operators.asof import historical_features
 from featureline.operators.metrics import standardize
 from featureline.operators.model import (ForestConfig, fit_forest, load_model, predict, save_model, score_foreign,
@@ -84,7 +84,9 @@ def forest(spark, sf):
                                  "input string, importance double, n_trees int")
 
 
-@query("m3_pipeline_round_trip")
+@query("m3_pipeline_round_trip", f"""
+WITH {b.AS_OF_LABELS_SQL}
+SELECT CAST(ceil(0.2 * count(*)) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_different FROM training_rows""")
 def pipeline_round_trip(spark, sf):
     """A fitted pipeline before and after it was stored gives the same answers."""
     model = load_model(_model_path(spark, sf))
@@ -109,6 +111,18 @@ def predict_probability(spark, sf):
     return predict(load_model(_model_path(spark, sf)), validation).select("entity_id", "churned", "probability")
 
 
+@query("m5_class_follows_probability", f"""
+WITH {b.AS_OF_LABELS_SQL}
+SELECT CAST(ceil(0.2 * count(*)) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_outside, CAST(0 AS BIGINT) AS n_different
+FROM training_rows""")
+def class_follows_probability(spark, sf):
+    """The class is the one with the larger probability, and probabilities lie in [0, 1]."""
+    scored = predict(load_model(_model_path(spark, sf)), _split(spark, sf).filter("is_validation"))
+    p = F.col("probability")
+    return scored.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~p.between(0, 1)).alias("n_outside"),
+                      F.count_if(F.col("prediction") != (p > 0.5).cast("double")).alias("n_different"))
+
+
 def _scoring_rows(spark, sf):
     spine = score_spine(table(spark, sf, "customer").withColumnRenamed("c_custkey", "entity_id"),
                         RUN_AT, b.NTZ)
@@ -148,7 +162,7 @@ def experiment_log(spark, sf):
     """Runs appended to the run table with their params and metrics, and queried back."""
     folder = work_dir(spark, "runs")
     runs = b.training_runs(spark, sf).select(
-        "run_id", F.col("name").alias("experiment"), F.col("created_at").cast("timestamp").alias("started_at"),
+        "run_id", F.col("name").alias("experiment"), utc_timestamp(F.col("created_at")).alias("started_at"),
         F.create_map(F.lit("n_train"), F.col("n_rows").cast("string")).alias("params"),
         F.create_map(F.lit("f1_score"), F.col("f1_score")).alias("metrics"),
         F.create_map(F.lit("model_name"), F.col("name")).alias("tags"), F.lit(None).cast("string").alias("artifact"))

@@ -59,7 +59,7 @@ d AS (SELECT g.series, g."minute", p.value, coalesce(p.value > {threshold}, {mis
       FROM g LEFT JOIN p USING (series, "minute")),
 w AS (SELECT *, sum(CAST(breaching AS INTEGER)) OVER f AS b, count(*) OVER f AS seen FROM d
       WINDOW f AS (PARTITION BY series ORDER BY "minute" ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW))
-SELECT series, "minute", round(value, 6) AS value, breaching, CAST(b AS BIGINT) AS breaches,
+SELECT series, "minute", round(value, 9) AS value, breaching, CAST(b AS BIGINT) AS breaches,
        seen >= {n} AND b >= {m} AS in_alarm FROM w"""
 
 
@@ -74,19 +74,19 @@ def _series(spark, sf):
 @query("o2_utilisation_alarm", _alarm_sql(_MEAN, 80, 5, 5, "true"))
 def utilisation_alarm(spark, sf):
     points = metric_points(_series(spark, sf), ["series"], "ts", F.col("value"), UTILISATION.statistic)
-    return alarm_states(points, ["series"], UTILISATION).withColumn("value", F.round("value", 6))
+    return alarm_states(points, ["series"], UTILISATION).withColumn("value", F.round("value", 9))
 
 
 @query("o2_throttle_alarm", _alarm_sql(_SUM, 0, 1, 1, "false"))
 def throttle_alarm(spark, sf):
     points = metric_points(_series(spark, sf), ["series"], "ts", F.col("value"), THROTTLES.statistic)
-    return alarm_states(points, ["series"], THROTTLES).withColumn("value", F.round("value", 6))
+    return alarm_states(points, ["series"], THROTTLES).withColumn("value", F.round("value", 9))
 
 
 @query("o3_dashboard", f"""
-SELECT 'cpu' AS series, CAST(date_trunc('minute', ts) AS TIMESTAMP) AS "minute", round({_MEAN}, 6) AS value
+SELECT 'cpu' AS series, CAST(date_trunc('minute', ts) AS TIMESTAMP) AS "minute", round({_MEAN}, 9) AS value
 FROM events WHERE event_type = 'view' GROUP BY ALL
-UNION ALL SELECT 'memory', CAST(date_trunc('minute', ts) AS TIMESTAMP), round({_MEAN}, 6)
+UNION ALL SELECT 'memory', CAST(date_trunc('minute', ts) AS TIMESTAMP), round({_MEAN}, 9)
 FROM events WHERE event_type = 'click' GROUP BY ALL
 UNION ALL SELECT 'connections', CAST(date_trunc('minute', ts) AS TIMESTAMP), CAST(count(*) AS DOUBLE)
 FROM events GROUP BY ALL
@@ -101,4 +101,4 @@ def minute_dashboard(spark, sf):
         "connections": (F.lit(True), one, "sum"), "throttles": ((kind == "error") & (value > 50), one, "sum"),
         "errors": (kind == "error", one, "sum"),
     }
-    return dashboard(table(spark, sf, "events"), "ts", widgets).withColumn("value", F.round("value", 6))
+    return dashboard(table(spark, sf, "events"), "ts", widgets).withColumn("value", F.round("value", 9))

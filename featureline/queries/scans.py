@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import SparkSession, functions as F, types as T
 
-from featureline.functions.exprs import wall_clock
+from featureline.functions.exprs import utc_timestamp, wall_clock
 from featureline.operators.keyed import lookup, lookup_one
 from featureline.operators.profile import drop_keys, feature_matrix, input_example
 from featureline.queries import base as b
@@ -81,7 +81,7 @@ def _predictions(spark: SparkSession, sf: str):
     """Deterministic scores; no model needed."""
     scored = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("entity_id"), (F.col("c_acctbal") / 4).alias("score"))
-    return prediction_rows(scored, "models:/churn_model@champion", F.lit(RUN_TS).cast("timestamp"), F.lit(3))
+    return prediction_rows(scored, "models:/churn_model@champion", utc_timestamp(b.ntz(RUN_TS)), F.lit(3))
 
 
 def _zoneless(df):
@@ -258,7 +258,7 @@ def latest_run(spark, sf):
     folder = work_dir(spark, "predictions")
     for status in ("F", "O", "P"):
         scored = orders.filter(F.col("o_orderstatus") == status).groupBy(F.col("o_custkey").alias("entity_id")).agg(
-            F.max("o_totalprice").alias("score"), F.max("o_orderdate").cast("timestamp").alias("at"))
+            F.max("o_totalprice").alias("score"), utc_timestamp(F.max("o_orderdate")).alias("at"))
         write_predictions(prediction_rows(scored, f"models:/{status.lower()}@champion", F.col("at")),
                           folder, "churn_model", RUN_AT, status)
     newest = latest_predictions(read_predictions(spark, f"{folder}/churn_model").drop("run", "model_version"))

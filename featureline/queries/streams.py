@@ -42,7 +42,7 @@ d AS (SELECT g.series, g."minute", p.value, coalesce(p.value > 10, false) AS bre
       FROM g LEFT JOIN p USING (series, "minute")),
 w AS (SELECT *, sum(CAST(breaching AS INTEGER)) OVER f AS b, count(*) OVER f AS seen FROM d
       WINDOW f AS (PARTITION BY series ORDER BY "minute" ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
-SELECT series, "minute", round(value, 6) AS value, breaching, CAST(b AS BIGINT) AS breaches,
+SELECT series, "minute", round(value, 9) AS value, breaching, CAST(b AS BIGINT) AS breaches,
        seen >= 5 AND b >= 3 AS in_alarm FROM w""")
 def stream_alarm(spark, sf):
     """All events as a stream; minutes the watermark has not passed at the end are still open."""
@@ -53,4 +53,4 @@ def stream_alarm(spark, sf):
     alarms = alarm_stream(points, STREAM_RULE)
     start_alarm_stream(alarms, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/out").withColumns({
-        "minute": wall_clock(F.col("minute")), "value": F.round("value", 6)})
+        "minute": wall_clock(F.col("minute")), "value": F.round("value", 9)})

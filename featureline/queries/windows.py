@@ -71,10 +71,10 @@ d AS (SELECT g.series, g."minute", p.value, coalesce(p.value > 18, true) AS brea
       FROM g LEFT JOIN p USING (series, "minute")),
 w AS (SELECT *, sum(CAST(breaching AS INTEGER)) OVER f AS b, count(*) OVER f AS seen FROM d
       WINDOW f AS (PARTITION BY series ORDER BY "minute" ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
-SELECT series, "minute", round(value, 6) AS value, breaching, CAST(b AS BIGINT) AS breaches,
+SELECT series, "minute", round(value, 9) AS value, breaching, CAST(b AS BIGINT) AS breaches,
        seen >= 5 AND b >= 3 AS in_alarm FROM w""")
 def m_of_n(spark, sf):
     """Hourly means per event type, alarm at 3 of 5."""
     points = metric_points(table(spark, sf, "events").withColumn("series", F.col("event_type")), ["series"], "ts",
                            F.col("value"), "avg", "hour")
-    return alarm_states(points, ["series"], ALARM_RULE, "hour").withColumn("value", F.round("value", 6))
+    return alarm_states(points, ["series"], ALARM_RULE, "hour").withColumn("value", F.round("value", 9))

@@ -7,13 +7,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import TimestampNTZType
 
+from featureline.functions.exprs import utc_timestamp
 from featureline.operators.alarms import AlarmRule
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-OUTPUT = ("series string, minute timestamp, value double, breaching boolean, breaches long, in_alarm boolean")
-MINUTE = pd.Timedelta(minutes=1)
+OUTPUT = "series string, minute_no long, value double, breaching boolean, breaches long, in_alarm boolean"
 
 
 def minute_metrics(stream: DataFrame, series: Column, ts: Column, value: Column, statistic: str,
@@ -23,45 +24,39 @@ def minute_metrics(stream: DataFrame, series: Column, ts: Column, value: Column,
     Rows later than ``late`` are dropped; Spark counts them in the query progress.
     """
     total = {"avg": F.avg, "sum": F.sum}[statistic](F.col("_value"))
-    rows = stream.select(series.cast("string").alias("series"), ts.cast("timestamp").alias("_ts"),
-                         value.cast("double").alias("_value"))
+    rows = stream.select(series.cast("string").alias("series"), ts.alias("_ts"), value.cast("double").alias("_value"))
+    if isinstance(rows.schema["_ts"].dataType, TimestampNTZType):
+        rows = rows.withColumn("_ts", utc_timestamp(F.col("_ts")))
     return (rows.withWatermark("_ts", late).groupBy("series", F.window("_ts", "1 minute"))
             .agg(total.alias("value")).select("series", F.col("window.start").alias("minute"), "value"))
 
 
 class _Alarm(StatefulProcessor):
-    """Per series: the last minute seen and the breaches of the last ``n`` minutes, as text of 0 and 1."""
+    """Per series: the number of the last minute seen and the breaches of the last ``n`` minutes, as text of 0 and 1."""
 
     def __init__(self, rule: AlarmRule):
         self.rule = rule
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("recent", "minute timestamp, recent string")
+        self.state = handle.getValueState("recent", "last long, recent string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        points = pd.concat(list(rows)).sort_values("minute")
+        values = pd.concat(list(rows)).set_index("minute_no")["value"].sort_index()
         last, recent = self.state.get() if self.state.exists() else (None, "")
-        last = pd.Timestamp(last) if last is not None else None
-        if last is None:
-            first = points["minute"].iloc[0]
-        else:
-            last = last.tz_localize(None)
-            first = last + MINUTE
-        values = points.set_index("minute")["value"]
         # Minutes without a point are filled from the minute after the last one seen.
-        dense = values.reindex(pd.date_range(first, points["minute"].iloc[-1], freq=MINUTE))
+        first = values.index[0] if last is None else last + 1
+        dense = values.reindex(range(first, values.index[-1] + 1))
         breaching = (dense > self.rule.threshold) | (dense.isna() & self.rule.missing_breaches)
         flags = [c == "1" for c in recent] + breaching.tolist()
         history = pd.Series(flags, dtype="int64")
         breaches = history.rolling(self.rule.n, min_periods=1).sum().iloc[len(recent):]
         seen = pd.Series(range(1, len(history) + 1)).iloc[len(recent):]
         yield pd.DataFrame({
-            "series": key[0], "minute": dense.index, "value": dense.to_numpy(), "breaching": breaching.to_numpy(),
+            "series": key[0], "minute_no": dense.index, "value": dense.to_numpy(), "breaching": breaching.to_numpy(),
             "breaches": breaches.astype("int64").to_numpy(),
             "in_alarm": ((seen >= self.rule.n) & (breaches >= self.rule.m)).to_numpy(),
         })
-        kept = max(self.rule.n, 1)
-        self.state.update((dense.index[-1].to_pydatetime(), "".join("1" if f else "0" for f in flags[-kept:])))
+        self.state.update((int(dense.index[-1]), "".join("1" if f else "0" for f in flags[-self.rule.n:])))
 
     def close(self) -> None:
         pass
@@ -69,8 +64,12 @@ class _Alarm(StatefulProcessor):
 
 def alarm_stream(points: DataFrame, rule: AlarmRule) -> DataFrame:
     """Dense minutes with alarm state; the state holds ``n`` flags per series."""
-    return points.groupBy("series").transformWithStateInPandas(
+    # Whole minutes since 1970: no time zone reaches the Python side.
+    numbered = points.select("series", (F.unix_seconds("minute") / 60).cast("long").alias("minute_no"), "value")
+    states = numbered.groupBy("series").transformWithStateInPandas(
         _Alarm(rule), outputStructType=OUTPUT, outputMode="append", timeMode="none")
+    return states.select("series", F.timestamp_seconds(F.col("minute_no") * 60).alias("minute"), "value", "breaching",
+                         "breaches", "in_alarm")
 
 
 def start_alarm_stream(alarms: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
