@@ -35,9 +35,14 @@ def wall_clock(ts: Column) -> Column:
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz"))
 
 
-def ts_literal(ts: datetime | str, like: DataType) -> Column:
-    """A constant of the column's own timestamp type, so that filters on it reach the scan."""
+def ts_literal(ts: datetime | str | int, like: DataType) -> Column:
+    """A constant of the column's own timestamp type, so that filters on it reach the scan.
+
+    A whole number stands for microseconds since 1970 in UTC.
+    """
     zoneless = isinstance(like, TimestampNTZType)
+    if isinstance(ts, int):
+        return wall_clock(F.timestamp_micros(F.lit(ts))) if zoneless else F.timestamp_micros(F.lit(ts))
     if isinstance(ts, datetime):
         if zoneless and ts.tzinfo is not None:
             ts = ts.astimezone(timezone.utc).replace(tzinfo=None)
@@ -50,6 +55,11 @@ def parse_iso(text: Column) -> Column:
     return text.try_cast("timestamp")
 
 
+def exact_time(ts: Column, dtype: DataType) -> Column:
+    """A time in the form ``ts_literal`` takes without loss: text without a zone, or microseconds in UTC."""
+    return ts.cast("string") if isinstance(dtype, TimestampNTZType) else F.unix_micros(ts)
+
+
 def minus(ts: Column, days: Column | int = 0, hours: Column | int = 0) -> Column:
     days, hours = (x if isinstance(x, Column) else F.lit(x) for x in (days, hours))
     return ts - F.make_dt_interval(days.cast("int"), hours.cast("int"))

@@ -17,8 +17,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from featureline.errors import FeaturelineError
-from featureline.functions.exprs import ts_literal
+from featureline.errors import FeaturelineError, SchemaMismatch
+from featureline.functions.exprs import exact_time, ts_literal
 from featureline.operators import skew
 from featureline.schema import EVENT_TIMESTAMP, FeatureView, parse_refs
 
@@ -42,7 +42,7 @@ def historical_features(
     spine_ts: str = EVENT_TIMESTAMP,
     allow_exact: bool = False,
     full_names: bool = False,
-    time_range: tuple[datetime | str, datetime | str] | None = None,
+    time_range: tuple[datetime | str | int, datetime | str | int] | None = None,
     prune: bool = True,
     hot_rows: int | None = skew.HOT_ROWS,
 ) -> DataFrame:
@@ -60,11 +60,13 @@ def historical_features(
         raise FeaturelineError(f"feature names already in the spine: {sorted(clash)}")
     by_keys: dict[tuple[str, ...], list[_Wanted]] = {}
     for w in wanted:
+        if w.table.schema[w.view.ts_col].dataType != spine.schema[spine_ts].dataType:
+            raise SchemaMismatch(f"times of view {w.view.name} and of the spine differ in type")
         by_keys.setdefault(tuple(w.view.keys), []).append(w)
     incomplete = dict.fromkeys(by_keys, True)
     if time_range is None and prune:
-        # As text: the session's reading of the time, whatever zone the driver runs in.
-        facts = spine.agg(F.min(spine_ts).cast("string"), F.max(spine_ts).cast("string"),
+        ts_type = spine.schema[spine_ts].dataType
+        facts = spine.agg(exact_time(F.min(spine_ts), ts_type), exact_time(F.max(spine_ts), ts_type),
                           *[F.bool_or(~skew.complete_key(keys)) for keys in by_keys]).first()
         time_range = (facts[0], facts[1]) if facts[0] is not None else None
         incomplete = dict(zip(by_keys, facts[2:]))
@@ -96,7 +98,7 @@ def _group_refs(refs, views, tables, full_names: bool) -> list[_Wanted]:
             for name, cols in columns.items()]
 
 
-def in_time_range(view: FeatureView, table: DataFrame, time_range: tuple[datetime | str, datetime | str] | None) -> DataFrame:
+def in_time_range(view: FeatureView, table: DataFrame, time_range: tuple[datetime | str | int, datetime | str | int] | None) -> DataFrame:
     """Feature rows that any spine row of the given time range could match.
 
     The bounds are constants, so they reach the Parquet reader; with a date-partitioned
@@ -141,7 +143,7 @@ def _join_group(spine, points, keys, group, spine_ts, allow_exact, time_range, h
     features = []
     for w in group:
         table = in_time_range(w.view, w.table, time_range).filter(skew.complete_key(keys))
-        ts = F.col(w.view.ts_col).cast(spine.schema[spine_ts].dataType)
+        ts = F.col(w.view.ts_col)
         features.append(table.select(
             *[F.col(key).cast(spine.schema[key].dataType).alias(key) for key in keys],
             ts.alias("_ts"), _feature_row(w, ts).alias("_row"),

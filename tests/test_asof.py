@@ -9,7 +9,7 @@ import pytest
 from conftest import rows, ts
 from pyspark.sql import functions as F, types as T
 
-from featureline.errors import FeaturelineError
+from featureline.errors import FeaturelineError, SchemaMismatch
 from featureline.operators.asof import historical_features
 from featureline.schema import CUSTOMER, Entity, FeatureView
 
@@ -221,3 +221,29 @@ def test_date_partitions_are_skipped(spark, folder):
     plan = explained(out)
     assert "PartitionFilters: [isnotnull(event_date" in plan
     assert out.first()["a"] == 30
+
+
+def test_times_of_different_types_are_refused(spark):
+    s = spark.createDataFrame([("x", ts("2024-01-10"), "s")], "entity_id string, event_timestamp timestamp, note string")
+    f = spark.createDataFrame([("x", ts("2024-01-09"), 1, 2)], FEATURES)
+    with pytest.raises(SchemaMismatch):
+        historical_features(s, "v:a", (VIEW,), {"v": f})
+
+
+def test_zoned_times_are_cut_exactly(spark, folder):
+    """In the hour that a clock runs through twice, nothing is lost."""
+    schema = "entity_id string, event_timestamp timestamp, a long, b long"
+    micros = 1730611800 * 10**6  # 2024-11-03 05:30 UTC, 01:30 in New York, again at 06:30 UTC
+    f = spark.createDataFrame([(micros - 60 * 10**6, 1), (micros + 3540 * 10**6, 2)], "t long, a long").select(
+        F.lit("x").alias("entity_id"), F.timestamp_micros("t").alias("event_timestamp"), "a", F.col("a").alias("b"))
+    f.write.parquet(f"{folder}/f")
+    view = FeatureView("v", (CUSTOMER,), VIEW.schema, ttl=timedelta(minutes=30))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        spine = spark.range(1).select(F.lit("x").alias("entity_id"),
+                                      F.timestamp_micros(F.lit(micros + 3600 * 10**6)).alias("event_timestamp"))
+        table = spark.read.schema(schema).parquet(f"{folder}/f")
+        assert historical_features(spine, "v:a", (view,), {"v": table}).first()["a"] == 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
