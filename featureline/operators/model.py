@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from featureline.operators.quality import null_counts
 
+SMALL_ROWS = 1_000_000
+
 
 @dataclass(frozen=True)
 class ForestConfig:
@@ -66,6 +68,9 @@ def forest_pipeline(cfg: ForestConfig, with_nulls: Sequence[str] = ()) -> Pipeli
 def fit_forest(train: DataFrame, cfg: ForestConfig) -> PipelineModel:
     with_nulls = columns_with_nulls(train, cfg.features) if cfg.missing == "impute" else []
     rows = train.select(*cfg.features, F.col(cfg.label).cast("double").alias("_label"))
+    if rows.count() <= SMALL_ROWS:
+        # A small table is read as one or two partitions, and the trees are grown over them level by level.
+        rows = rows.repartition(train.sparkSession.sparkContext.defaultParallelism)
     return forest_pipeline(cfg, with_nulls).fit(rows)
 
 
