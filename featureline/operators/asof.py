@@ -202,7 +202,7 @@ def _cut_hot(rows, features, hot, keys):
     marked = hot.mark(rows)
     spine_rows = marked.withColumns({
         "_g": F.when(is_hot, index + 1).otherwise(skew.null_key_group(keys)),
-        "_copy": F.when(is_hot, skew.spread(skew.copies_of(index))).otherwise(F.lit(0)),
+        "_copy": F.when(is_hot, skew.spread(rows, skew.copies_of(index))).otherwise(F.lit(0)),
     }).drop(*helper)
     used = marked.filter(is_hot).select(*keys, (index + 1).alias("_g")).distinct()
 

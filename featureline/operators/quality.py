@@ -102,7 +102,22 @@ def not_empty(df: DataFrame, what: str = "merged training dataset") -> DataFrame
 
 def leakage_report(features: DataFrame, labels: DataFrame, keys: Sequence[str] = (ENTITY_ID,),
                    ts_col: str = EVENT_TIMESTAMP, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
-    """One row: pairs (feature row, label row) of one entity, and how many have the feature not before the label.
+    """One row: pairs (feature row, label row) of one key, and how many have the feature not before the label."""
+    return leakage_by_key(features, labels, keys, ts_col, hot_rows).agg(
+        F.coalesce(F.sum("n_pairs"), F.lit(0)).cast(PAIRS).alias("n_pairs"),
+        F.coalesce(F.sum("n_leaking"), F.lit(0)).cast(PAIRS).alias("n_leaking"),
+    ).withColumn("passed", F.col("n_leaking") == 0)
+
+
+def leaking_keys(features: DataFrame, labels: DataFrame, keys: Sequence[str] = (ENTITY_ID,),
+                 ts_col: str = EVENT_TIMESTAMP, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
+    """The keys with at least one feature row that is not before a label, and their counts."""
+    return leakage_by_key(features, labels, keys, ts_col, hot_rows).filter(F.col("n_leaking") > 0)
+
+
+def leakage_by_key(features: DataFrame, labels: DataFrame, keys: Sequence[str], ts_col: str,
+                   hot_rows: int | None) -> DataFrame:
+    """Per key the number of pairs and of leaking pairs.
 
     The pairs are counted, never formed: per key the rows are reduced to counts per time and a
     running sum over time says how many labels lie at or before each feature. Hot keys are cut
@@ -133,11 +148,8 @@ def leakage_report(features: DataFrame, labels: DataFrame, keys: Sequence[str] =
     per_group = per_group.withColumn("_earlier", F.coalesce(F.sum("_l").over(before), F.lit(0)))
     per_key = per_group.groupBy(*keys).agg(
         F.sum("_f").alias("_f"), F.sum("_l").alias("_l"),
-        (F.sum("_leak") + F.sum(_times("_f", "_earlier"))).cast(PAIRS).alias("_leak"))
-    return per_key.agg(
-        F.coalesce(F.sum(_times("_f", "_l")), F.lit(0)).cast(PAIRS).alias("n_pairs"),
-        F.coalesce(F.sum("_leak"), F.lit(0)).cast(PAIRS).alias("n_leaking"),
-    ).withColumn("passed", F.col("n_leaking") == 0)
+        (F.sum("_leak") + F.sum(_times("_f", "_earlier"))).cast(PAIRS).alias("n_leaking"))
+    return per_key.select(*keys, _times("_f", "_l").cast(PAIRS).alias("n_pairs"), "n_leaking")
 
 
 def _times(a: str, b: str) -> Column:

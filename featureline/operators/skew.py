@@ -107,9 +107,12 @@ def copies_of(index: Column) -> Column:
     return F.element_at(F.col("_copies"), index + 1)
 
 
-def spread(copies: Column) -> Column:
-    """A copy number for a row: follows the input partition, so a repeated task picks the same one."""
-    return F.pmod(F.spark_partition_id(), copies)
+def spread(df: DataFrame, copies: Column) -> Column:
+    """A copy number for a row, from its values and its input partition: a repeated task picks the same one,
+    rows of one partition differ by their values, and equal rows by their partition."""
+    hashable = [f.name for f in df.schema.fields
+                if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType)]
+    return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hashable], F.spark_partition_id()), copies).cast("int")
 
 
 def null_key_group(keys: list[str]) -> Column:
@@ -134,9 +137,9 @@ def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     hot = {salt: rows for salt, rows in hot.items() if rows}
     for salt, rows in hot.items():
         marks = F.broadcast(key_table(left, keys, rows).withColumn("_hot", F.lit(True)))
-        own = F.when(F.col("_hot"), F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(F.lit(0))
         every = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
         salted, copied = (left, right) if salt == "_sl" else (right, left)
+        own = F.when(F.col("_hot"), spread(salted, F.lit(SALTS))).otherwise(F.lit(0))
         salted = salted.join(marks, keys, "left").withColumn(salt, own).drop("_hot")
         copied = copied.join(marks, keys, "left").withColumn(salt, every).drop("_hot")
         left, right = (salted, copied) if salt == "_sl" else (copied, salted)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F, types as T
 
 from featureline.operators.asof import historical_features
 from featureline.operators.quality import (ERRORS, PREDICTION_RULES, SPINE_RULES, apply_missing_policy, completeness,
-                                           leakage_report, leaking_count, not_empty, split_valid, with_errors)
+                                           leakage_report, leaking_count, leaking_keys, not_empty, split_valid, with_errors)
 from featureline.functions.exprs import wall_clock
 from featureline.queries import base as b
 from featureline.queries.base import query, table
@@ -106,6 +106,18 @@ def leakage(spark, sf):
     return report.withColumns({c: F.col(c).cast("long") for c in ("n_pairs", "n_leaking")})
 
 
+@query("d4_leaking_keys", """
+WITH f AS (SELECT user_id, ts FROM events WHERE event_type = 'view'),
+l AS (SELECT user_id, ts FROM events WHERE event_type = 'signup')
+SELECT user_id, count(*) AS n_pairs, count(*) FILTER (WHERE f.ts >= l.ts) AS n_leaking
+FROM f JOIN l USING (user_id) GROUP BY user_id HAVING count(*) FILTER (WHERE f.ts >= l.ts) > 0""")
+def leaking_users(spark, sf):
+    events = table(spark, sf, "events")
+    found = leaking_keys(events.filter("event_type = 'view'"), events.filter("event_type = 'signup'"),
+                         ["user_id"], "ts")
+    return found.withColumns({c: F.col(c).cast("long") for c in ("n_pairs", "n_leaking")})
+
+
 @query("d4_leakage_many_labels", """
 WITH f AS (SELECT user_id, ts FROM events WHERE event_type = 'view'),
 l AS (SELECT user_id, ts FROM events WHERE event_type = 'purchase')

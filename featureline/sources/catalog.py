@@ -49,9 +49,10 @@ def judge_schedules(catalog: DataFrame, updates: DataFrame, champions: DataFrame
 
 
 def apply_schedules(catalog: DataFrame, judged: DataFrame, now: Column) -> DataFrame:
-    """The catalog after the updates that may be applied; ``updated_at`` moves for those rows only."""
+    """The catalog after the updates that may be applied; ``updated_at`` moves forward for those rows only."""
     allowed = judged.filter(F.col("status").isin("set", "cleared")).select("model_name", "cron_schedule")
-    return keyed_update(catalog, allowed, "model_name", ["cron_schedule"], {"updated_at": now})
+    return keyed_update(catalog, allowed, "model_name", ["cron_schedule"],
+                        {"updated_at": F.greatest(now, F.col("updated_at") + F.expr("INTERVAL 1 MICROSECOND"))})
 
 
 def get_all(catalog: DataFrame) -> DataFrame:

@@ -82,3 +82,8 @@ def start_alarm_stream(alarms: DataFrame, path: str, checkpoint: str) -> Streami
                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     finally:
         conf.set(STATE_STORE, before)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows (pre-aggregated per task) that came after the watermark and were dropped, over the kept progress reports."""
+    return sum(op["numRowsDroppedByWatermark"] for report in query.recentProgress for op in report["stateOperators"])

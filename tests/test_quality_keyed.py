@@ -161,6 +161,16 @@ def test_joins_with_hot_keys_on_either_side(spark, hot_rows):
     assert both.columns == ["k", "t_l", "t_r"] and rows(both) == expected
 
 
+def test_hot_rows_of_one_partition_are_spread(spark):
+    from featureline.operators.skew import SALTS, spread
+
+    df = spark.range(0, 2000, 1, 1).select(F.lit("h").alias("k"), "id")
+    copies = df.select(spread(df, F.lit(SALTS)).alias("c")).groupBy("c").count().collect()
+    assert len(copies) == SALTS and max(r["count"] for r in copies) < 100
+    equal = spark.range(0, 2000, 1, 50).select(F.lit("h").alias("k"))
+    assert equal.select(spread(equal, F.lit(SALTS)).alias("c")).distinct().count() > 20
+
+
 def test_unmatched(spark):
     l = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, x int")
     r = spark.createDataFrame([("a", 1), ("a", 5), ("c", 6)], "k string, y int")

@@ -9,7 +9,7 @@ from featureline.operators.alarms import THROTTLES, UTILISATION, AlarmRule, alar
 from featureline.operators.logs import count_by, parse_lines
 from featureline.schema import CUSTOMER, FeatureView
 from featureline.sources.online import OnlineTable
-from featureline.streaming.alarm import alarm_stream, minute_metrics, start_alarm_stream
+from featureline.streaming.alarm import alarm_stream, late_rows, minute_metrics, start_alarm_stream
 from featureline.streaming.materialize import feature_stream, materialize_stream
 
 VIEW = FeatureView("v", (CUSTOMER,), T.StructType([T.StructField("a", T.LongType())]), ts_type=T.TimestampNTZType())
@@ -107,6 +107,7 @@ def test_stream_alarm_equals_batch_for_shuffled_input(spark, folder, missing):
     metrics = minute_metrics(stream, F.col("series"), F.col("t"), F.col("v"), rule.statistic, "30 minutes")
     query = start_alarm_stream(alarm_stream(metrics, rule), f"{folder}/out", f"{folder}/cp")
     query.awaitTermination()
+    assert late_rows(query) == 0
     got = states(spark.read.parquet(f"{folder}/out").filter("series != 'end'"))
     batch = metric_points(spark.createDataFrame(data, schema), ["series"], "t", F.col("v"), "avg")
     assert got == states(alarm_states(batch, ["series"], rule))
@@ -123,3 +124,18 @@ def test_log_lines(spark):
     assert first["timestamp"] == datetime(2026, 1, 15, 12) and first["line"] == 7 and first["level"] == "ERROR"
     assert first["extra"] == {"run_id": "r1", "n": "3", "exception": '["a","b"]'}
     assert rows(count_by(logs, "level", "run_id")) == [("ERROR", "r1", 1), ("INFO", "r1", 1), (None, None, 3)]
+
+
+def test_rows_behind_the_watermark_are_dropped_and_counted(spark, folder):
+    schema = "series string, t timestamp_ntz, v double"
+    for i, (minute, value) in enumerate([(0, 1.0), (600, 2.0), (601, 2.0), (1, 99.0), (1200, 3.0), (1800, 4.0)]):
+        spark.createDataFrame([("a", START + timedelta(minutes=minute), value)], schema).coalesce(1) \
+            .write.parquet(f"{folder}/in/part={i}")
+    stream = (spark.readStream.schema(schema + ", part int").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"))
+    metrics = minute_metrics(stream, F.col("series"), F.col("t"), F.col("v"), "sum", "10 minutes")
+    query = start_alarm_stream(alarm_stream(metrics, THROTTLES), f"{folder}/out", f"{folder}/cp")
+    query.awaitTermination()
+    assert late_rows(query) == 1
+    got = {(r["minute"] - START) // timedelta(minutes=1): r["value"] for r in
+           spark.read.parquet(f"{folder}/out").filter("value is not null").collect()}
+    assert got == {0: 1.0, 600: 2.0, 601: 2.0, 1200: 3.0}
