@@ -26,16 +26,18 @@ def build_session(app: str = "featureline", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
+_own: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder path under the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of this machine: on a cluster the
-    executors could not see it.
+    Only a local session may go without that setting; it then gets a folder of this machine, one for each process.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own.setdefault("base", "") or tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        _own["base"] = base
     return f"{base.rstrip('/')}/featureline/{name}-{uuid.uuid4().hex[:12]}"
