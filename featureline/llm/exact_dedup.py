@@ -23,7 +23,7 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from featureline.llm.frames import fields, record
 from featureline.session import work_dir
@@ -189,3 +189,23 @@ def exact_groups(docs: DataFrame, *, id: str = "doc_id", text: str = "text", buc
     return joined.select(F.col("id").alias(id), F.when(alone, F.col("id")).otherwise(F.col("_keep")).alias("keep_id"),
                          F.coalesce("n", F.lit(1)).alias("group_size"),
                          (alone | (F.col("row") == F.col("_row"))).alias("kept"), "text_sha256")
+
+
+def remove_copies(docs: DataFrame, *, id: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """The rows that stay; all columns stay. Rows without an id are told apart by their texts alone."""
+    spark, path = docs.sparkSession, work_dir(docs.sparkSession, "groups")
+    exact_groups(docs, id=id, text=text, bucket_bytes=bucket_bytes).write.parquet(path)
+    groups = spark.read.parquet(path)
+    # An id whose rows differ in text may stay in one group and go in another: such rows are matched by text, too.
+    stays = groups.where("kept").select(F.col(id).alias("_id"), "text_sha256")
+    gone = groups.where("NOT kept").select(F.col(id).alias("_id")).distinct()
+    doubtful = groups.groupBy(F.col(id).alias("_id")).agg(F.count("*").alias("_n"), F.max(F.col("kept").cast("int")).alias("_kept")) \
+        .where("_n > 1 AND _kept = 1").select("_id")
+    sure = docs.join(gone, docs[id].eqNullSafe(F.col("_id")), "left_anti")
+    digest = F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", "").cast("binary"), 256)
+    mixed = docs.join(doubtful, docs[id].eqNullSafe(F.col("_id")), "left_semi").join(gone, docs[id].eqNullSafe(F.col("_id")), "left_semi") \
+        .withColumn("_sha", digest)
+    first = Window.partitionBy(id, "_sha").orderBy(F.desc(F.length(text)), text)
+    kept = mixed.join(stays, mixed[id].eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("text_sha256")), "left_semi") \
+        .withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k", "_sha")
+    return sure.unionByName(kept)
