@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featureline.llm import bpe, chat, decontaminate, exact_dedup, ngram_join, sharding, token_counts, toxicity
+from featureline.llm import (bpe, bwt_dedup, chat, decontaminate, exact_dedup, ngram_join, sharding, substring_dedup, token_counts,
+                             toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,6 +117,20 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+@query("op8_substring_dedup", r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, k, md5(array_to_string(w[k:k + 12], ' ')) AS s
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM docs WHERE len(w) >= 13)),
+firsts AS (SELECT s, min(doc_id) AS f FROM windows GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS p FROM windows JOIN firsts USING (s) WHERE f < doc_id),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept
+    FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM docs) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
 def learnable():
     """Label rows that may be learnt from."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0
@@ -126,3 +141,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels"), learn=learnable())
     return scored.select("doc_id", (~learnable()).alias("held_out"), "score", "predicted")
+
+
+@query("op10_suffix_array_dedup", r"""
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+windows AS (SELECT doc_id, k, md5(substr(h, 2 * k + 1, 100)) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS k FROM docs WHERE n >= 50)),
+firsts AS (SELECT s, min(doc_id) AS f FROM windows GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS p FROM windows JOIN firsts USING (s) WHERE f < doc_id),
+spans AS (SELECT x.doc_id, count(*) AS n_spans FROM gone x ANTI JOIN (SELECT doc_id, p + 1 AS p FROM gone) USING (doc_id, p) GROUP BY 1),
+kept AS (SELECT doc_id, count(*) AS left_over, string_agg(substr(h, 2 * p + 1, 2), '' ORDER BY p) AS kept
+    FROM (SELECT doc_id, h, unnest(range(0, n)) AS p FROM docs) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, n - coalesce(left_over, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM docs LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_bytes=False)
