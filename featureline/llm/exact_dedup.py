@@ -5,8 +5,8 @@ the hash; a bucket owns all slots that share its own, shorter prefix. While a bu
 ``bucket_bytes``, it is split in two, and the directory doubles where a split needs a longer prefix. One byte for each slot (the length of its bucket's
 prefix) describes it all; ``MAX_DEPTH`` bounds it to 16 MB, and buckets that are overfull there just grow on.
 
-Texts reach the index once for every batch and distinct text (copies inside a batch are joined before the shuffle, so a large group of
-copies is never gathered). Owner tasks take ranges of keys, read them in key order, and keep the texts of one key as a chain: equal
+Texts reach the index once for every ``SLICE`` rows and distinct text (copies among them are joined before the shuffle, so a large
+group of copies shrinks by that much). Owner tasks take ranges of keys, read them in key order, and keep the texts of one key as a chain: equal
 bytes join an entry, other bytes with the same hash begin the next one. Every bucket is a folder of Parquet files.
 
 Normalising deletes the characters ``[\\x20\\x09-\\x0D]``. Null texts count as empty, so null, empty and blank texts are one group. Of equal texts the row with
@@ -32,6 +32,8 @@ BUCKET_BYTES = 64 << 20
 MAX_DEPTH = 24
 #: Ranges of keys for each shuffle partition.
 OWNERS = 4
+#: Rows that are handled at once; copies among them are joined before the shuffle.
+SLICE = 512
 _BLANKS = b" \t\n\v\f\r"
 _ROWS = T.StructType(fields("id long, key long, size long, n_cp long, text_sha256 string"))
 _ENTRIES = T.StructType(fields("key long, owner int, body binary, n long, n_cp long, id long"))
@@ -52,14 +54,23 @@ def _better(a: tuple, b: tuple) -> tuple:
     return min(a, b, key=lambda x: (-x[0], x[1] is None, x[1] or 0))
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of ``SLICE`` rows, so that a worker never holds a whole batch of texts twice."""
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        bodies = [normalised(t) for t in texts]
-        yield record(_ROWS, {"id": batch.column("id"), "key": pa.array([_key(b) for b in bodies], pa.int64()),
-                             "size": pa.array([len(b) for b in bodies], pa.int64()),
-                             "n_cp": pa.array([len(t or "") for t in texts], pa.int64()),
-                             "text_sha256": pa.array([sha256(b).hexdigest() for b in bodies], pa.string())})
+        for at in range(0, len(batch), SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
+        rows = []
+        for t in batch.column("text"):
+            t = t.as_py() or ""
+            body = normalised(t)
+            rows.append((_key(body), len(body), len(t), sha256(body).hexdigest()))
+        key, size, n_cp, digest = zip(*rows)
+        yield record(_ROWS, {"id": batch.column("id"), "key": pa.array(key, pa.int64()), "size": pa.array(size, pa.int64()),
+                             "n_cp": pa.array(n_cp, pa.int64()), "text_sha256": pa.array(digest, pa.string())})
 
 
 def _chained(found: dict[int, list], key: int, body: bytes, n: int, best: tuple) -> None:
@@ -74,9 +85,10 @@ def _chained(found: dict[int, list], key: int, body: bytes, n: int, best: tuple)
 
 def _entries(owner_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             found: dict[int, list] = {}
-            for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+            for i, t in zip(batch.column("id").to_pylist(), batch.column("text")):
+                t = t.as_py()
                 body = normalised(t)
                 _chained(found, _key(body), body, 1, (len(t or ""), i))
             flat = [(k, (k + _TOP) >> (64 - owner_bits), *e[:2], *e[2]) for k, chain in found.items() for e in chain]
@@ -106,13 +118,13 @@ def _owners(directory):
             return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=_INDEX.names)
 
         last, found, out, held = None, {}, [], 0
-        for batch in batches:
+        for batch in _slices(batches):
             for row in zip(*(batch.column(c).to_pylist() for c in ("key", "body", "n", "n_cp", "id"))):
                 key, body, n, n_cp, i = row
                 if key != last and last is not None:
                     out += rows(last, found.pop(last))
                     held += len(out[-1][-1])
-                    if held > 4 << 20 or len(out) >= 10_000:
+                    if held > 1 << 20 or len(out) >= SLICE:
                         yield batch_of(out)
                         out, held = [], 0
                 last = key
