@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import DataType, TimestampNTZType
+from pyspark.sql.types import DataType, DoubleType, FloatType, TimestampNTZType
 
 ISO_SECONDS = "yyyyMMdd'T'HHmmss'Z'"
 DAY = "yyyy-MM-dd"
@@ -43,16 +43,31 @@ def ts_literal(ts: datetime | str | int, like: DataType) -> Column:
     zoneless = isinstance(like, TimestampNTZType)
     if isinstance(ts, int):
         return wall_clock(F.timestamp_micros(F.lit(ts))) if zoneless else F.timestamp_micros(F.lit(ts))
-    if isinstance(ts, datetime):
-        if zoneless and ts.tzinfo is not None:
-            ts = ts.astimezone(timezone.utc).replace(tzinfo=None)
-        ts = ts.isoformat(sep=" ")
-    return F.lit(ts).cast("timestamp_ntz" if zoneless else "timestamp")
+    return F.lit(utc_text(ts, like)).cast("timestamp_ntz" if zoneless else "timestamp")
+
+
+def utc_text(ts: datetime | str, like: DataType) -> str:
+    """A time as text: in UTC and with its zone, or without one for zone-less columns. Times without a zone are UTC."""
+    if isinstance(ts, str):
+        try:
+            ts = datetime.fromisoformat(ts.strip())
+        except ValueError:
+            return ts  # a form only Spark knows
+    ts = ts.replace(tzinfo=timezone.utc) if ts.tzinfo is None else ts.astimezone(timezone.utc)
+    return (ts.replace(tzinfo=None) if isinstance(like, TimestampNTZType) else ts).isoformat(sep=" ")
 
 
 def parse_iso(text: Column) -> Column:
-    """ISO-8601 text to a timestamp; text that is not one becomes null."""
-    return text.try_cast("timestamp")
+    """ISO-8601 text to a timestamp; text without a zone is UTC, text that is not a time becomes null."""
+    zoned = F.regexp_like(F.trim(text), F.lit(r"(?i)[0-9:](z|[+-][0-9]{1,2}(:?[0-9]{2}){0,2}|[ ]?(utc|gmt|[a-z]+/[a-z_]+).*)$")) \
+        & F.regexp_like(F.trim(text), F.lit("^[^T ]+[T ]"))
+    return F.when(zoned, text.try_cast("timestamp")).otherwise(utc_timestamp(text.try_cast("timestamp_ntz")))
+
+
+def partition_date(ts: Column, dtype: DataType, grain: str = "day") -> Column:
+    """The first day of the time's day, week, month ... in UTC, whatever the session zone is."""
+    utc = ts if isinstance(dtype, TimestampNTZType) else wall_clock(ts)
+    return F.to_date(F.date_trunc(grain, utc.cast("timestamp_ntz")))
 
 
 def exact_time(ts: Column, dtype: DataType) -> Column:
@@ -74,7 +89,15 @@ def day_text(ts: Column) -> Column:
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """``x`` between low and high; null and NaN stay what they are."""
+    inside = F.greatest(F.lit(low), F.least(F.lit(high), x))
+    return F.when(x.isNull() | F.isnan(x.cast("double")), x).otherwise(inside)
+
+
+def is_missing(column: str, dtype: DataType) -> Column:
+    """Null, or NaN where the type has it."""
+    col = F.col(column)
+    return col.isNull() | F.isnan(col) if isinstance(dtype, (DoubleType, FloatType)) else col.isNull()
 
 
 def as_float(x: Column) -> Column:

@@ -36,8 +36,8 @@ def metric_points(df: DataFrame, series: Sequence[str], ts_col: str, value: Colu
     return df.groupBy(*series, start.alias("minute")).agg(total.alias("value"))
 
 
-def dense_points(points: DataFrame, series: Sequence[str], unit: str = "minute") -> DataFrame:
-    """Every interval from a series' first to its last point; ``value`` is null where there was none.
+def dense_points(points: DataFrame, series: Sequence[str], unit: str = "minute", until: Column | None = None) -> DataFrame:
+    """Every interval from a series' first to its last point, or on to ``until``; ``value`` is null where there was none.
 
     The gaps are filled behind each point from the point before it, so the work is spread like
     the points are and no time table is joined.
@@ -48,15 +48,25 @@ def dense_points(points: DataFrame, series: Sequence[str], unit: str = "minute")
     filled = points.withColumn("_from", gap_start).withColumn(
         "_at", F.explode(F.sequence(F.col("_from"), F.col("minute"), step)))
     value = F.when(F.col("_at") == F.col("minute"), F.col("value"))
+    if until is not None:  # a series that went silent has no point that its gap could be filled from
+        end = F.date_trunc(unit, until).cast(points.schema["minute"].dataType)
+        last = points.groupBy(*series).agg(F.max("minute").alias("_last")).filter(F.col("_last") < end)
+        silent = last.select(*series, F.explode(F.sequence(F.col("_last") + step, end, step)).alias("minute"))
+        return filled.select(*series, F.col("_at").alias("minute"), value.alias("value")).unionByName(
+            silent.withColumn("value", F.lit(None).cast(points.schema["value"].dataType)))
     return filled.select(*series, F.col("_at").alias("minute"), value.alias("value"))
 
 
-def alarm_states(points: DataFrame, series: Sequence[str], rule: AlarmRule, unit: str = "minute") -> DataFrame:
+def alarm_states(points: DataFrame, series: Sequence[str], rule: AlarmRule, unit: str = "minute",
+                 until: Column | None = None) -> DataFrame:
     """Dense points with ``breaching``, the number of breaches in the last ``n`` and ``in_alarm``.
 
+    ``until`` is the time up to which a series should have points (the time of the check): without it, a series that has stopped is
+    judged up to its own last point only.
+
     A series holds one row per interval whatever the raw volume; before ``n`` points there is no alarm.
     """
-    dense = dense_points(points, series, unit)
+    dense = dense_points(points, series, unit, until)
     breach = F.coalesce(F.col("value") > rule.threshold, F.lit(rule.missing_breaches))
     frame = Window.partitionBy(*series).orderBy("minute").rowsBetween(-(rule.n - 1), 0)
     return dense.withColumn("breaching", breach).withColumns({

@@ -18,7 +18,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from featureline.errors import FeaturelineError, SchemaMismatch
-from featureline.functions.exprs import exact_time, ts_literal
+from featureline.functions.exprs import exact_time, partition_date, ts_literal
 from featureline.operators import skew
 from featureline.schema import EVENT_TIMESTAMP, FeatureView, parse_refs
 
@@ -114,9 +114,10 @@ def in_time_range(view: FeatureView, table: DataFrame, time_range: tuple[datetim
     if view.ttl:
         table = table.filter(ts >= first - F.lit(view.ttl))
     if view.date_column and view.date_column in table.columns:
-        table = table.filter(F.col(view.date_column) <= F.to_date(last))
+        day = lambda ts: partition_date(ts, ts_type, view.date_grain)
+        table = table.filter(F.col(view.date_column) <= day(last))
         if view.ttl:
-            table = table.filter(F.col(view.date_column) >= F.to_date(first - F.lit(view.ttl)))
+            table = table.filter(F.col(view.date_column) >= day(first - F.lit(view.ttl)))
     return table
 
 

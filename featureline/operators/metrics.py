@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isfinite
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SCORE_RANGES = 512
+#: Distinct scores that one score range holds, about.
+RANGE_SCORES = 1_000_000
 
 
 def scaler_statistics(df: DataFrame, columns: Sequence[str], ddof: int = 0) -> DataFrame:
@@ -48,36 +50,43 @@ def classification_metrics(df: DataFrame, truth: str, predicted: str, by: Sequen
     })
 
 
-def roc_auc(df: DataFrame, truth: str, score: str, ranges: int = SCORE_RANGES) -> DataFrame:
+def roc_auc(df: DataFrame, truth: str, score: str, range_scores: int = RANGE_SCORES) -> DataFrame:
     """One row: positives, negatives and the area under the ROC curve; equal scores count half.
 
     Rows shrink to one per distinct score. The running count of negatives goes over score
-    ranges of about equal size first (at most ``ranges`` rows) and then inside each range, so
-    no task sees all scores. ``roc_auc`` is null when only one class is present.
+    ranges of about ``range_scores`` scores first and then inside each range, so
+    no task sees all scores. Infinite scores count like any other; NaN and null scores and null truths are left out and counted in
+    ``n_unscored``. ``roc_auc`` is null when only one class is present.
     """
     t = F.col(truth).cast("int") == 1
     # Adding 0.0 makes -0.0 and 0.0 one score.
-    by_score = (df.select((F.col(score).cast("double") + F.lit(0.0)).alias("_score"), t.alias("_t"))
-                .filter(F.col("_score").isNotNull() & F.col("_t").isNotNull())
-                .groupBy("_score").agg(F.count_if("_t").alias("_pos"), F.count_if(~F.col("_t")).alias("_neg")))
-    cuts = by_score.approxQuantile("_score", [i / ranges for i in range(1, ranges)], 0.5 / ranges)
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    rows = df.select((F.col(score).cast("double") + F.lit(0.0)).alias("_score"), t.alias("_t"))
+    known = F.col("_score").isNotNull() & ~F.isnan("_score") & F.col("_t").isNotNull()
+    # Rows that can't be ranked are one more score, null, and only counted.
+    by_score = rows.withColumn("_score", F.when(known, F.col("_score"))).groupBy("_score").agg(
+        F.count_if("_t").alias("_pos"), F.count_if(~F.col("_t")).alias("_neg"), F.count(F.lit(1)).alias("_n"))
+    left_out, by_score = by_score.filter("_score IS NULL"), by_score.filter("_score IS NOT NULL").drop("_n")
+    ranges = -(-by_score.count() // range_scores)
+    cuts = by_score.approxQuantile("_score", [i / ranges for i in range(1, ranges)], 0.5 / ranges) if ranges > 1 else []
+    splits = [float("-inf"), *sorted({c for c in cuts if isfinite(c)}), float("inf")]
     ranged = Bucketizer(splits=splits, inputCol="_score", outputCol="_r").transform(by_score) \
         if len(splits) > 2 else by_score.withColumn("_r", F.lit(0.0))
     below = Window.partitionBy(F.lit(0)).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy("_r").agg(F.sum("_neg").alias("_range_neg")).select(
         "_r", F.coalesce(F.sum("_range_neg").over(below), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy("_r").orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
-    # offsets has at most `ranges` rows, whatever the data.
-    counted = ranged.withColumn("_inside", F.coalesce(F.sum("_neg").over(inside), F.lit(0))).join(
-        F.broadcast(offsets), "_r")
+    # offsets has one row per range.
+    counted = ranged.withColumn("_inside", F.coalesce(F.sum("_neg").over(inside), F.lit(0))).join(offsets, "_r")
     wins = F.col("_pos").cast("double") * (F.col("_offset") + F.col("_inside") + F.col("_neg") / 2)
+    counted = counted.select("_pos", "_neg", wins.alias("_win"), F.lit(0).cast("long").alias("_n")).unionByName(
+        left_out.select(F.lit(0).cast("long").alias("_pos"), F.lit(0).cast("long").alias("_neg"), F.lit(0.0).alias("_win"), "_n"))
     totals = counted.agg(
         F.coalesce(F.sum("_pos"), F.lit(0)).alias("n_positive"),
-        F.coalesce(F.sum("_neg"), F.lit(0)).alias("n_negative"), F.sum(wins).alias("_wins"))
+        F.coalesce(F.sum("_neg"), F.lit(0)).alias("n_negative"), F.sum("_win").alias("_wins"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_unscored"))
     p, n = F.col("n_positive"), F.col("n_negative")
     return totals.select(
-        "n_positive", "n_negative",
+        "n_positive", "n_negative", "n_unscored",
         F.when((p > 0) & (n > 0), F.col("_wins") / (p.cast("double") * n)).alias("roc_auc"),
         ((p == 0) | (n == 0)).alias("one_class"),
     )

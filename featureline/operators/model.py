@@ -14,12 +14,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from featureline.operators.quality import null_counts
 
-SMALL_ROWS = 1_000_000
-
 
 @dataclass(frozen=True)
 class ForestConfig:
-    """``max_depth`` and ``max_bins`` bound the trees. ``missing`` is fail, drop or impute; with fail a row that
+    """``max_depth`` and ``max_bins`` bound the trees. ``partitions`` is how many parts the training rows are dealt into by their
+    hash: with the seed it decides the model, so it follows neither the table's size nor the cores; set it so that a part fits an executor. ``missing`` is fail, drop or impute; with fail a row that
     lacks a feature stops scoring too, otherwise it is scored with the medians of the training rows."""
 
     features: tuple[str, ...]
@@ -29,6 +28,8 @@ class ForestConfig:
     max_bins: int = 32
     seed: int = 42
     missing: str = "impute"
+    partitions: int = 32
+    max_memory_mb: int = 512
 
 
 def columns_with_nulls(df: DataFrame, columns: Sequence[str]) -> list[str]:
@@ -43,7 +44,7 @@ def scaling_stages(features: Sequence[str], with_nulls: Sequence[str] = (), fill
     scored later may lack them.
     """
     casts = [f"CAST(`{c}` AS DOUBLE) AS `{c}__value`" for c in features]
-    casts += [f"CAST(`{c}` IS NULL AS DOUBLE) AS `{c}__missing`" for c in with_nulls]
+    casts += [f"CAST(`{c}` IS NULL OR isnan(CAST(`{c}` AS DOUBLE)) AS DOUBLE) AS `{c}__missing`" for c in with_nulls]
     stages: list = [SQLTransformer(statement=f"SELECT *, {', '.join(casts)} FROM __THIS__")]
     inputs = [f"{c}__value" for c in features]
     if fill:
@@ -60,17 +61,18 @@ def forest_pipeline(cfg: ForestConfig, with_nulls: Sequence[str] = ()) -> Pipeli
     forest = RandomForestClassifier(
         featuresCol="scaled_vector", labelCol="_label", predictionCol="prediction",
         numTrees=cfg.num_trees, maxDepth=cfg.max_depth, maxBins=cfg.max_bins, seed=cfg.seed,
-        impurity="gini", featureSubsetStrategy="sqrt",
+        impurity="gini", featureSubsetStrategy="sqrt", maxMemoryInMB=cfg.max_memory_mb,
     )
     return Pipeline(stages=[*scaling_stages(cfg.features, with_nulls, cfg.missing != "fail"), forest])
 
 
 def fit_forest(train: DataFrame, cfg: ForestConfig) -> PipelineModel:
     with_nulls = columns_with_nulls(train, cfg.features) if cfg.missing == "impute" else []
-    rows = train.select(*cfg.features, F.col(cfg.label).cast("double").alias("_label"))
-    if rows.count() <= SMALL_ROWS:
-        # A small table is read as one or two partitions, and the trees are grown over them level by level.
-        rows = rows.repartition(train.sparkSession.sparkContext.defaultParallelism)
+    # The forest draws its samples by part and place, so both follow from the rows alone.
+    spread = F.pmod(F.xxhash64(*train.columns), F.lit(cfg.partitions))
+    rows = train.select(*cfg.features, F.col(cfg.label).cast("double").alias("_label"), spread.alias("_part"),
+                        F.xxhash64(*train.columns).alias("_row"))
+    rows = rows.repartition(cfg.partitions, "_part").sortWithinPartitions("_part", "_row").drop("_part", "_row")
     return forest_pipeline(cfg, with_nulls).fit(rows)
 
 

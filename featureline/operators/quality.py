@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from featureline.errors import EmptyDataset, InvalidRows, MissingFeatures
-from featureline.functions.exprs import parse_iso
+from featureline.functions.exprs import is_missing, parse_iso
 from featureline.operators import skew
 from featureline.schema import ENTITY_ID, EVENT_TIMESTAMP
 
@@ -163,13 +165,13 @@ def leaking_count(joined: DataFrame, feature_ts: str, label_ts: str) -> DataFram
 
 
 def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row with the null count of every column, in one pass."""
-    return df.agg(*[F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in columns])
+    """One row with the count of missing values (null or NaN) of every column, in one pass."""
+    return df.agg(*[F.count_if(is_missing(c, df.schema[c].dataType)).alias(f"{c}_nulls") for c in columns])
 
 
 def completeness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: shape, nulls per feature and whether all features are there."""
-    nulls = [F.count_if(F.col(c).isNull()) for c in columns]
+    nulls = [F.count_if(is_missing(c, df.schema[c].dataType)) for c in columns]
     total = nulls[0]
     for n in nulls[1:]:
         total = total + n
@@ -184,7 +186,7 @@ def apply_missing_policy(df: DataFrame, features: Sequence[str], policy: str) ->
     if policy == "impute":
         return df
     if policy == "drop":
-        return df.na.drop(subset=list(features))
+        return df.filter(~reduce(or_, [is_missing(c, df.schema[c].dataType) for c in features]))
     if policy != "fail":
         raise ValueError(f"unknown policy {policy!r}")
     counts = null_counts(df, features).first().asDict()

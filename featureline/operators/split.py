@@ -9,9 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from featureline.session import work_dir
 
-DIGITS = (4, 8, 32)
+DIGITS = (4, 8, 32, 48)
 MAX_TIED = 1_000_000
-MAX_SMALL_CLASSES = 10_000
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -42,15 +41,17 @@ def order_hash(seed: int, row_key: Column) -> Column:
 
 def stratified_split(df: DataFrame, label: str, row_key: Column | str, share: float = 0.2, seed: int = 42,
                      max_tied: int = MAX_TIED) -> DataFrame:
-    """Adds ``is_validation``: exactly the quota of each class, picked in order of a seeded hash of the row key.
+    """Adds ``is_validation``: exactly the quota of each class, picked in order of a seeded hash of the row key, then of the whole row.
 
     No class is sorted as a whole. A histogram over the first hex digits of the hash finds the
     bucket in which a class reaches its quota, and only the rows of that bucket are ranked. While
     a bucket holds more than ``max_tied`` rows, it is cut finer by the next digits. If that many
-    rows share one hash they are copies of one key; then a stored row number cuts them further.
+    rows share all digits they are equal in every column; then a stored row number cuts them, and it makes no difference which are
+    picked. ``max_tied`` changes the plan, never the rows.
     """
     key = F.col(row_key) if isinstance(row_key, str) else row_key
-    hashed = df.withColumn("_h", order_hash(seed, key))
+    whole_row = F.lpad(F.hex(F.xxhash64(*df.columns)), 16, "0")
+    hashed = df.withColumn("_h", F.concat(order_hash(seed, key), whole_row))
     done = None
     digits = DIGITS[0]
     bucket = F.substring("_h", 1, digits)
@@ -66,7 +67,7 @@ def stratified_split(df: DataFrame, label: str, row_key: Column | str, share: fl
     tied = placed.filter(F.col("_b") == F.col("_cut"))
     if cuts.largest > max_tied:
         done, tied = _split_copies(tied, label, cuts)
-    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h", F.xxhash64(*df.columns)))
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("_h"))
     tied = tied.withColumn("is_validation", rank <= F.col("_need"))
     parts = [clear, tied] + ([done] if done is not None else [])
     return reduce(DataFrame.unionByName, [p.select(*df.columns, "is_validation") for p in parts])
@@ -83,11 +84,9 @@ class _Cuts:
 
     table: DataFrame
     largest: int
-    small: bool
 
     def mark(self, rows: DataFrame, label: str) -> DataFrame:
-        table = F.broadcast(self.table) if self.small else self.table
-        return rows.join(table, F.col(label).eqNullSafe(F.col("_l"))).drop("_l")
+        return rows.join(self.table, F.col(label).eqNullSafe(F.col("_l"))).drop("_l")
 
     def quota(self) -> DataFrame:
         return self.table.select("_l", F.col("_need").alias("_quota"))
@@ -105,13 +104,13 @@ def _cuts(rows: DataFrame, label: str, quota: DataFrame) -> _Cuts:
         F.min(F.struct("_b", need.alias("need"), "n")).alias("_first"))
     cuts = first.select("_l", F.col("_first._b").alias("_cut"), F.col("_first.need").alias("_need"),
                         F.col("_first.n").alias("_n"))
-    # One row per class. Labels have few classes; with more than MAX_SMALL_CLASSES nothing is broadcast.
-    known = cuts.limit(MAX_SMALL_CLASSES + 1).collect()
-    small = len(known) <= MAX_SMALL_CLASSES
-    if small:
-        cuts = rows.sparkSession.createDataFrame(known, cuts.schema)
-    largest = max((r["_n"] for r in known), default=0)
-    return _Cuts(cuts.drop("_n"), largest, small)
+    # One row per class, written once; Spark knows its size and picks the join.
+    spark = rows.sparkSession
+    folder = work_dir(spark, "cuts")
+    cuts.write.parquet(folder)
+    cuts = spark.read.parquet(folder)
+    largest = cuts.agg(F.coalesce(F.max("_n"), F.lit(0))).first()[0]
+    return _Cuts(cuts.drop("_n"), largest)
 
 
 def _split_copies(tied: DataFrame, label: str, cuts: _Cuts) -> tuple[DataFrame, DataFrame]:

@@ -4,24 +4,28 @@ from __future__ import annotations
 
 import logging
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
+from functools import reduce
+from operator import or_
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import TimestampType
 
+from featureline.functions.exprs import is_missing, wall_clock
 from featureline.operators import skew
 from featureline.operators.asof import historical_features
 from featureline.operators.keyed import inner_join
 from featureline.operators.metrics import classification_metrics, roc_auc
 from featureline.operators.model import ForestConfig, fit_forest, predict, save_model
-from featureline.operators.profile import dataset_profile
+from featureline.operators.profile import dataset_profile, input_example, row_counts
 from featureline.operators.quality import apply_missing_policy, not_empty
 from featureline.operators.registry import CHAMPION, Registry
 from featureline.operators.split import stratified_split
 from featureline.schema import CUSTOMER_FEATURE_REFS, CUSTOMER_FEATURES, ENTITY_ID, EVENT_TIMESTAMP, FeatureView
 from featureline.schema import parse_refs
-from featureline.session import work_dir
+from featureline.session import remove_folder, work_dir
 from featureline.sources.tables import FEATURES_DIR, read_labels, read_training_spine, read_view, label_scan
 
 logger = logging.getLogger(__name__)
@@ -45,6 +49,7 @@ class TrainConfig:
     max_depth: int = 10
     max_bins: int = 32
     missing: str = "impute"
+    partitions: int = 32
     allow_exact: bool = False
     hot_rows: int | None = skew.HOT_ROWS
 
@@ -58,6 +63,10 @@ class TrainResult:
     metrics: dict[str, float | None]
     n_train: int
     n_validation: int
+    n_features: int = 0
+    n_labels: int = 0
+    n_merged: int = 0
+    n_incomplete: int = 0
 
 
 def view_tables(spark: SparkSession, views, base: str, paths: dict[str, str]) -> dict[str, DataFrame]:
@@ -77,8 +86,12 @@ def training_set(spine: DataFrame, labels: DataFrame, tables: dict[str, DataFram
                       feature_keys=spine)
 
 
-def row_key(cfg: TrainConfig):
-    return F.concat_ws("|", F.col(ENTITY_ID), F.col(EVENT_TIMESTAMP).cast("string"))
+def row_key(rows: DataFrame) -> Column:
+    """Entity and UTC time as text, the same under any session zone."""
+    ts = F.col(EVENT_TIMESTAMP)
+    if isinstance(rows.schema[EVENT_TIMESTAMP].dataType, TimestampType):
+        ts = wall_clock(ts)
+    return F.concat_ws("|", F.col(ENTITY_ID), ts.cast("string"))
 
 
 def evaluate(model: PipelineModel, validation: DataFrame, label: str, folder: str) -> dict[str, float | None]:
@@ -97,13 +110,28 @@ def stored_split(merged: DataFrame, cfg: TrainConfig, folder: str) -> tuple[Data
     """(training, validation) rows, kept as a table in two folders so that each is read alone."""
     features = [feature for _, feature in parse_refs(list(cfg.refs), cfg.views)]
     complete = apply_missing_policy(merged, features, cfg.missing)
-    split = stratified_split(complete, cfg.label, row_key(cfg), cfg.share, cfg.seed)
+    split = stratified_split(complete, cfg.label, row_key(complete), cfg.share, cfg.seed)
     split.write.mode("errorifexists").partitionBy("is_validation").parquet(folder)
     spark = merged.sparkSession
     stored = spark.read.schema(split.schema).parquet(folder)
     return stored.filter(~F.col("is_validation")), stored.filter("is_validation")
 
 
+def from_catalog(row, cfg: TrainConfig) -> TrainConfig:
+    """The settings with what a catalog row says: name, label, feature references, experiment."""
+    refs = tuple(r.strip() for r in row["feature_refs"].split(",") if r.strip()) if row["feature_refs"] else cfg.refs
+    return replace(cfg, model_name=row["model_name"], refs=refs, label=row["label_column"] or cfg.label,
+                   experiment=row["experiment"] or cfg.experiment)
+
+
+def stage_counts(train: DataFrame, validation: DataFrame, features: list[str]) -> dict[str, int]:
+    """Rows of both parts, and rows that lack a feature (dropped before, or filled by the model), in one pass."""
+    both = train.unionByName(validation)
+    lacking = reduce(or_, [is_missing(c, both.schema[c].dataType) for c in features])
+    return both.agg(F.count_if(~F.col("is_validation")).alias("n_train"), F.count_if("is_validation").alias("n_validation"),
+                    F.count_if(lacking).alias("n_imputed")).first().asDict()
+
+
 def train_job(spark: SparkSession, cfg: TrainConfig, now: datetime | None = None) -> TrainResult:
     spine = read_training_spine(spark, cfg.base)
     labels = read_labels(spark, cfg.base, cfg.label)
@@ -120,22 +148,32 @@ def train_on(spark: SparkSession, spine: DataFrame, labels: DataFrame, tables: d
     folder = work_dir(spark, f"train-{run_id}")
     training_set(spine, labels, tables, cfg).write.mode("errorifexists").parquet(f"{folder}/merged")
     merged = not_empty(spark.read.parquet(f"{folder}/merged"))
-    train, validation = stored_split(merged, cfg, f"{folder}/split")
-    n_train, n_validation = train.count(), validation.count()
     features = [feature for _, feature in parse_refs(list(cfg.refs), cfg.views)]
+    train, validation = stored_split(merged, cfg, f"{folder}/split")
+    # The join keeps every spine row, so the spine's count is that of the features.
+    sizes = {r["stage"]: r["n_rows"] for r in row_counts(
+        {"n_features": spine, "n_labels": labels, "n_merged": merged}).collect()}
+    sizes |= stage_counts(train, validation, features)
+    n_train, n_validation = sizes["n_train"], sizes["n_validation"]
+    sizes["n_dropped"] = sizes["n_merged"] - n_train - n_validation
     model = fit_forest(train, ForestConfig(tuple(features), cfg.label, cfg.num_trees, cfg.max_depth, cfg.max_bins,
-                                           cfg.seed, cfg.missing))
+                                           cfg.seed, cfg.missing, cfg.partitions))
     metrics = evaluate(model, validation, cfg.label, f"{folder}/scored")
     artifact = f"{cfg.registry.rstrip('/')}/artifacts/{run_id}/model"
     save_model(model, artifact)
+    input_example(train.select(ENTITY_ID, EVENT_TIMESTAMP, *features), [ENTITY_ID, EVENT_TIMESTAMP]).drop(
+        ENTITY_ID, EVENT_TIMESTAMP).write.json(f"{cfg.registry.rstrip('/')}/artifacts/{run_id}/input_example")
     registry = Registry(spark, cfg.registry)
     registry.log_input(run_id, dataset_profile(merged, "features_with_labels", cfg.base, cfg.label))
     registry.log_run(run_id, cfg.experiment, started, {
         "model_class": "RandomForestClassifier", "n_estimators": cfg.num_trees, "random_state": cfg.seed,
-        "n_train": n_train, "n_val": n_validation, "features": ",".join(features), "label_column": cfg.label,
+        "n_train": n_train, "n_val": n_validation, **{k: sizes[k] for k in (
+            "n_features", "n_labels", "n_merged", "n_dropped", "n_imputed")}, "features": ",".join(features), "label_column": cfg.label,
     }, metrics, {"model_name": cfg.model_name}, artifact)
     version = registry.register(cfg.model_name, run_id, artifact, metrics["f1_score"], metrics["roc_auc"], started)
     registry.set_alias(cfg.model_name, CHAMPION, version, started)
     uri = f"models:/{cfg.model_name}@{CHAMPION}"
     logger.info("trained %s version %d run %s %s", cfg.model_name, version, run_id, metrics)
-    return TrainResult(run_id, version, artifact, uri, metrics, n_train, n_validation)
+    remove_folder(spark, folder)
+    return TrainResult(run_id, version, artifact, uri, metrics, n_train, n_validation, sizes["n_features"],
+                       sizes["n_labels"], sizes["n_merged"], sizes["n_dropped"] + sizes["n_imputed"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from featureline.operators.keyed import suffix_join
@@ -115,7 +117,7 @@ SELECT CAST(sum(pos) AS BIGINT) AS n_positive, CAST(sum(neg) AS BIGINT) AS n_neg
 
 @query("a9_roc_auc", f"WITH {SCORED_SQL}, {_auc_sql('scored', 'toxic = 1')}")
 def auc(spark, sf):
-    return roc_auc(scored_documents(spark, sf), "toxic", "score").withColumn("roc_auc", F.round("roc_auc", 9))
+    return roc_auc(scored_documents(spark, sf), "toxic", "score").drop("n_unscored").withColumn("roc_auc", F.round("roc_auc", 9))
 
 
 @query("a9_roc_auc_many_scores", "WITH o AS (SELECT o_totalprice AS score, o_orderstatus FROM orders), "
@@ -123,7 +125,7 @@ def auc(spark, sf):
 def auc_many_scores(spark, sf):
     """Nearly every score differs: the running count goes over score ranges."""
     orders = table(spark, sf, "orders").select((F.col("o_orderstatus") == "F").alias("finished"), "o_totalprice")
-    return roc_auc(orders, "finished", "o_totalprice").withColumn("roc_auc", F.round("roc_auc", 9))
+    return roc_auc(orders, "finished", "o_totalprice", range_scores=5_000).drop("n_unscored").withColumn("roc_auc", F.round("roc_auc", 9))
 
 
 @query("a10_not_empty", f"WITH {b.AS_OF_LABELS_SQL} SELECT count(*) AS n_rows FROM training_rows")
@@ -144,7 +146,17 @@ def profile(spark, sf):
     return dataset_profile(table(spark, sf, "orders"), "orders", "orders.parquet", "o_orderstatus", digest=False)
 
 
-@query("a11_dataset_digest")
+@query("a11_dataset_digest", """
+SELECT count(*) AS n_rows, true AS same_in_any_order, true AS changes_with_a_row FROM lineitem""")
 def digest(spark, sf):
-    """With the digest of all rows; the hash is Spark's own, so there is no SQL for it."""
-    return dataset_profile(table(spark, sf, "lineitem"), "lineitem", "lineitem.parquet", "l_returnflag")
+    """The digest of all rows is the same in any order, and another one where a row is taken out or changed."""
+    rows = table(spark, sf, "lineitem")
+    key = rows.orderBy("l_orderkey", "l_linenumber").first()
+    first = (F.col("l_orderkey") == key["l_orderkey"]) & (F.col("l_linenumber") == key["l_linenumber"])
+    changed = rows.withColumn("l_quantity", F.when(first, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    forms = {"a": rows, "b": rows.repartition(7, "l_suppkey").sortWithinPartitions("l_quantity"), "c": rows.filter(~first), "d": changed}
+    digests = [dataset_profile(df, "lineitem", "lineitem.parquet", "l_returnflag").limit(1).select(
+        F.col("n_rows").alias(f"{k}_n"), F.col("digest").alias(k)) for k, df in forms.items()]
+    one = reduce(lambda x, y: x.join(y), digests)
+    return one.select(F.col("a_n").alias("n_rows"), (F.col("a") == F.col("b")).alias("same_in_any_order"),
+                      ((F.col("a") != F.col("c")) & (F.col("a") != F.col("d"))).alias("changes_with_a_row"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from featureline.functions import exprs as e
 from featureline.queries import base as b
@@ -72,12 +72,13 @@ def clipped(spark, sf):
 
 @query("f09_churn_probability", f"""
 WITH {b.CUSTOMER_FEATURES_SQL}
-SELECT entity_id, event_timestamp, round(greatest(0.05::DOUBLE, least(0.95::DOUBLE, 0.2::DOUBLE
-         + 0.5::DOUBLE * (days_since_last_txn / 365.0::DOUBLE) - 0.3::DOUBLE * (account_balance / 50000.0::DOUBLE))), 9)
+SELECT entity_id, event_timestamp, CASE WHEN days_since_last_txn IS NOT NULL AND account_balance IS NOT NULL THEN
+         round(greatest(0.05::DOUBLE, least(0.95::DOUBLE, 0.2::DOUBLE
+         + 0.5::DOUBLE * (days_since_last_txn / 365.0::DOUBLE) - 0.3::DOUBLE * (account_balance / 50000.0::DOUBLE))), 9) END
          AS p
-FROM customer_features WHERE days_since_last_txn IS NOT NULL""")
+FROM customer_features""")
 def churn_probability(spark, sf):
-    rows = b.customer_features(spark, sf).filter("days_since_last_txn IS NOT NULL")
+    rows = b.customer_features(spark, sf)
     p = e.churn_probability(F.col("account_balance"), F.col("days_since_last_txn"))
     return rows.select("entity_id", "event_timestamp", F.round(p, 9).alias("p"))
 
@@ -113,7 +114,7 @@ WITH {b.CUSTOMER_FEATURES_SQL}
 SELECT entity_id, event_timestamp, days_since_last_txn IS NULL AS missing FROM customer_features""")
 def is_null(spark, sf):
     return b.customer_features(spark, sf).select("entity_id", "event_timestamp",
-                                                 F.col("days_since_last_txn").isNull().alias("missing"))
+                                                 e.is_missing("days_since_last_txn", T.LongType()).alias("missing"))
 
 
 @query("f14_uri_parts", """

@@ -19,6 +19,7 @@ from featureline.plans.score import as_predictions, score_models
 from featureline.plans.train import TrainConfig, row_key, train_on
 from featureline.queries import base as b
 from featureline.queries.base import query, table
+from featureline.queries.windows import _split_sql
 from featureline.session import work_dir
 from featureline.sources.catalog import apply_schedules, judge_schedules
 from featureline.sources.tables import read_predictions, score_spine, write_predictions, write_table
@@ -28,6 +29,13 @@ FEATURES = tuple(b.CUSTOMER_VIEW.features)
 TRAIN = TrainConfig(base="", registry="", views=(b.CUSTOMER_VIEW,))
 
 
+# The validation rows as SQL, and facts about answers that SQL can state without the model.
+_VALIDATION_SQL = f"""
+WITH {b.AS_OF_LABELS_SQL},
+keyed AS (SELECT *, entity_id || '|' || CAST(event_timestamp AS VARCHAR) AS k FROM training_rows),
+split AS ({_split_sql("keyed", "churned", "k")}),
+validation AS (SELECT entity_id, keyed.churned FROM keyed JOIN split USING (k) WHERE is_validation)"""
+
 _SPLITS: dict[tuple, str] = {}
 
 
@@ -38,7 +46,7 @@ def _split(spark: SparkSession, sf: str):
         folder = work_dir(spark, "split")
         write_table(b.training_rows(spark, sf), f"{folder}/merged")
         merged = spark.read.parquet(f"{folder}/merged")
-        write_table(stratified_split(merged, "churned", row_key(TRAIN)), f"{folder}/split")
+        write_table(stratified_split(merged, "churned", row_key(merged)), f"{folder}/split")
         _SPLITS[key] = f"{folder}/split"
     return spark.read.parquet(_SPLITS[key])
 
@@ -74,14 +82,24 @@ def _model_path(spark: SparkSession, sf: str) -> str:
     return _MODELS[key]
 
 
-@query("m2_random_forest")
+@query("m2_random_forest", f"""
+WITH {b.AS_OF_LABELS_SQL},
+split AS ({_split_sql("(SELECT *, entity_id || '|' || CAST(event_timestamp AS VARCHAR) AS k FROM training_rows)", "churned", "k")}),
+train AS (SELECT t.* FROM training_rows t JOIN split s
+  ON s.k = t.entity_id || '|' || CAST(t.event_timestamp AS VARCHAR) WHERE NOT s.is_validation),
+inputs AS (SELECT unnest(['age', 'account_balance', 'num_transactions', 'days_since_last_txn']) AS f,
+  unnest([count(*) - count(age), count(*) - count(account_balance), count(*) - count(num_transactions),
+          count(*) - count(days_since_last_txn)]) AS nulls FROM train)
+SELECT f || '__filled' AS input, 100 AS n_trees, true AS importances_sum_to_one FROM inputs
+UNION ALL SELECT f || '__missing', 100, true FROM inputs WHERE nulls > 0""")
 def forest(spark, sf):
-    """Importance of each input of the fitted forest."""
+    """Inputs of the fitted forest: a filled column for each feature, an indicator for each that has gaps."""
     model = load_model(_model_path(spark, sf))
     inputs = model.stages[-3].getInputCols()
-    importances = model.stages[-1].featureImportances.toArray().tolist()
-    return spark.createDataFrame([(n, float(i), model.stages[-1].getNumTrees) for n, i in zip(inputs, importances)],
-                                 "input string, importance double, n_trees int")
+    importances = model.stages[-1].featureImportances.toArray()
+    whole = bool(abs(importances.sum() - 1) < 1e-9 and (importances >= 0).all() and len(importances) == len(inputs))
+    return spark.createDataFrame([(n, model.stages[-1].getNumTrees, whole) for n in inputs],
+                                 "input string, n_trees int, importances_sum_to_one boolean")
 
 
 @query("m3_pipeline_round_trip", f"""
@@ -99,16 +117,20 @@ def pipeline_round_trip(spark, sf):
                                                F.count_if(F.col("p1") != F.col("p2")).alias("n_different"))
 
 
-@query("m4_predict_class")
+@query("m4_predict_class", f"{_VALIDATION_SQL} SELECT entity_id, churned, true AS is_class FROM validation")
 def predict_class(spark, sf):
+    """Every validation row gets one of the two classes."""
     validation = _split(spark, sf).filter("is_validation")
-    return predict(load_model(_model_path(spark, sf)), validation).select("entity_id", "churned", "prediction")
+    return predict(load_model(_model_path(spark, sf)), validation).select(
+        "entity_id", "churned", F.col("prediction").isin(0.0, 1.0).alias("is_class"))
 
 
-@query("m5_predict_probability")
+@query("m5_predict_probability", f"{_VALIDATION_SQL} SELECT entity_id, churned, true AS in_unit_range FROM validation")
 def predict_probability(spark, sf):
+    """Every validation row gets a probability."""
     validation = _split(spark, sf).filter("is_validation")
-    return predict(load_model(_model_path(spark, sf)), validation).select("entity_id", "churned", "probability")
+    return predict(load_model(_model_path(spark, sf)), validation).select(
+        "entity_id", "churned", F.col("probability").between(0, 1).alias("in_unit_range"))
 
 
 @query("m5_class_follows_probability", f"""
@@ -130,13 +152,17 @@ def _scoring_rows(spark, sf):
                                {"customer_features": b.customer_features(spark, sf)}, time_range=(RUN_AT, RUN_AT))
 
 
-@query("m6_batch_scoring")
+@query("m6_batch_scoring", """
+SELECT CAST(c_custkey AS VARCHAR) AS entity_id, 'models:/churn_model@champion' AS model_uri, CAST(1 AS BIGINT) AS model_version,
+  TIMESTAMP '2001-08-02' AS predicted_at, true AS is_class FROM customer""")
 def batch_scoring(spark, sf):
     """Every customer scored with the stored model, written as NDJSON and read back."""
     scored = score_rows(load_model(_model_path(spark, sf)), _scoring_rows(spark, sf))
     rows = as_predictions(scored, "models:/churn_model@champion", 1, RUN_AT)
     folder = write_predictions(rows, work_dir(spark, "predictions"), "churn_model", RUN_AT)
-    return read_predictions(spark, folder).withColumn("predicted_at", wall_clock(F.col("predicted_at")))
+    return read_predictions(spark, folder).select(
+        "entity_id", "model_uri", "model_version", wall_clock(F.col("predicted_at")).alias("predicted_at"),
+        F.col("score").isin(0.0, 1.0).alias("is_class"))
 
 
 def _linear_model():
@@ -256,7 +282,10 @@ def schedules_applied(spark, sf):
     return apply_schedules(b.catalog_rows(spark, sf), _judged(spark, sf), b.ntz("2001-08-02 00:00:00"))
 
 
-@query("m11_catalog_scoring")
+@query("m11_catalog_scoring", """
+SELECT CAST(c_custkey AS VARCHAR) AS entity_id, name AS model_name, 'models:/' || name || '@champion' AS model_uri,
+  CAST(1 AS BIGINT) AS model_version, TIMESTAMP '2001-08-02' AS predicted_at, true AS in_unit_range
+FROM customer, (SELECT unnest(['churn_model', 'retention_model']) AS name) WHERE name = 'churn_model' OR c_acctbal >= 0""")
 def catalog_scoring(spark, sf):
     """Two models with their own spines go through one point-in-time join."""
     path = _model_path(spark, sf)
@@ -271,10 +300,15 @@ def catalog_scoring(spark, sf):
     scored = score_models(rows, spines, champions, (b.CUSTOMER_VIEW,),
                           {"customer_features": b.customer_features(spark, sf)}, RUN_AT, spine_time=(RUN_AT, RUN_AT),
                           output="probability")
-    return scored.withColumn("predicted_at", wall_clock(F.col("predicted_at")))
+    return scored.select("entity_id", "model_name", "model_uri", "model_version",
+                         wall_clock(F.col("predicted_at")).alias("predicted_at"), F.col("score").between(0, 1).alias("in_unit_range"))
 
 
-@query("m12_train_job")
+@query("m12_train_job", f"""
+WITH {b.AS_OF_LABELS_SQL}
+SELECT (SELECT count(*) FROM as_of_labels) AS n_features, (SELECT count(*) FROM churn_labels) AS n_labels, count(*) AS n_merged,
+  count(*) - CAST(ceil(0.2 * count(*)) AS BIGINT) AS n_train, CAST(ceil(0.2 * count(*)) AS BIGINT) AS n_validation,
+  CAST(1 AS BIGINT) AS version, true AS metrics_in_range FROM training_rows""")
 def train_end_to_end(spark, sf):
     """Join, split, fit, evaluate, log, register and promote; returns the logged run."""
     folder = work_dir(spark, "registry")
@@ -283,7 +317,7 @@ def train_end_to_end(spark, sf):
              {"customer_features": b.customer_features(spark, sf)}, cfg)
     registry = Registry(spark, folder)
     runs = registry.read("runs").select(
-        "run_id", F.col("params")["n_train"].cast("long").alias("n_train"),
-        F.col("params")["n_val"].cast("long").alias("n_validation"), F.col("metrics")["accuracy"].alias("accuracy"),
-        F.col("metrics")["f1_score"].alias("f1_score"), F.col("metrics")["roc_auc"].alias("roc_auc"))
-    return runs.join(registry.champions().select("run_id", "version"), "run_id")
+        "run_id", *(F.col("params")[n].cast("long").alias(n) for n in ("n_features", "n_labels", "n_merged", "n_train")),
+        F.col("params")["n_val"].cast("long").alias("n_validation"),
+        F.forall(F.map_values("metrics"), lambda x: x.between(0, 1)).alias("metrics_in_range"))
+    return runs.join(registry.champions().select("run_id", "version"), "run_id").drop("run_id")

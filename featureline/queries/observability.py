@@ -49,11 +49,12 @@ def log_counts(spark, sf):
     return count_by(parse_lines(_log_lines(spark, sf)), "level", "k")
 
 
-def _alarm_sql(value: str, threshold: float, n: int, m: int, missing: str) -> str:
+def _alarm_sql(value: str, threshold: float, n: int, m: int, missing: str, kinds: str = "true",
+               until: str = 'max("minute")') -> str:
     return f"""
 WITH p AS (SELECT event_type AS series, CAST(date_trunc('minute', ts) AS TIMESTAMP) AS "minute", {value} AS value
-           FROM events GROUP BY ALL),
-g AS (SELECT series, unnest(generate_series(min("minute"), max("minute"), INTERVAL 1 MINUTE)) AS "minute"
+           FROM events WHERE {kinds} GROUP BY ALL),
+g AS (SELECT series, unnest(generate_series(min("minute"), {until}, INTERVAL 1 MINUTE)) AS "minute"
       FROM p GROUP BY series),
 d AS (SELECT g.series, g."minute", p.value, coalesce(p.value > {threshold}, {missing}) AS breaching
       FROM g LEFT JOIN p USING (series, "minute")),
@@ -77,6 +78,21 @@ def utilisation_alarm(spark, sf):
     return alarm_states(points, ["series"], UTILISATION).withColumn("value", F.round("value", 9))
 
 
+_CLICKS_END = "(SELECT min(ts) + INTERVAL 2 HOUR FROM events)"
+
+
+@query("o2_silent_series_alarm", _alarm_sql(
+    _MEAN, 80, 5, 5, "true", f"event_type <> 'click' OR ts < {_CLICKS_END}",
+    "(SELECT CAST(date_trunc('minute', max(ts)) AS TIMESTAMP) FROM events)"))
+def silent_series_alarm(spark, sf):
+    """One series stops after two hours; up to the last event of all its missing minutes are breaches."""
+    events = _series(spark, sf)
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    kept = events.filter((F.col("event_type") != "click") | (F.col("ts") < F.lit(first) + F.expr("INTERVAL 2 HOURS")))
+    points = metric_points(kept, ["series"], "ts", F.col("value"), UTILISATION.statistic)
+    return alarm_states(points, ["series"], UTILISATION, until=F.lit(last)).withColumn("value", F.round("value", 9))
+
+
 @query("o2_throttle_alarm", _alarm_sql(_SUM, 0, 1, 1, "false"))
 def throttle_alarm(spark, sf):
     points = metric_points(_series(spark, sf), ["series"], "ts", F.col("value"), THROTTLES.statistic)

@@ -77,6 +77,7 @@ class FeatureView:
     tiebreak: tuple[str, ...] = ()
     tiebreak_type: T.DataType = field(default_factory=T.LongType)
     date_column: str | None = None
+    date_grain: str = "day"
     online: bool = True
 
     @property

@@ -26,6 +26,13 @@ def build_session(app: str = "featureline", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder of intermediate tables through Spark's file system."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 _own: dict[str, str] = {}
 
 

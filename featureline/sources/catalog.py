@@ -16,7 +16,7 @@ CREATE_COLUMNS = ["model_name", "feature_view", "feature_refs", "label_column",
 
 def model_id(name: Column, created_at: Column) -> Column:
     """An id in UUID form that a repeated task computes again."""
-    digest = F.md5(F.concat_ws(":", name, created_at.cast("string")))
+    digest = F.md5(F.concat_ws(":", name, F.unix_micros(created_at).cast("string")))
     return F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
 
 

@@ -14,7 +14,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
-from featureline.functions.exprs import ts_literal
+from featureline.functions.exprs import ts_literal, utc_text
 from featureline.operators.keyed import latest_per_key
 from featureline.operators.registry import append, read_or_empty
 from featureline.operators.skew import complete_key
@@ -26,7 +26,7 @@ STATE = T.StructType([
     T.StructField("view", T.StringType()),
     T.StructField("sequence", T.LongType()),
     T.StructField("run_id", T.StringType()),
-    T.StructField("interval_end", T.StringType()),
+    T.StructField("interval_end", T.StringType()),  # with its zone, unless the view's times have none
     T.StructField("folder", T.StringType()),
     T.StructField("is_full", T.BooleanType()),
 ])
@@ -45,11 +45,10 @@ class OnlineTable:
         return f"{self.base}/state"
 
     def _live(self) -> list[Row]:
-        """State rows since the last full folder, in order; at most ``full_every`` of them."""
+        """State rows from the last full folder on, in order: one for each run since then, whatever ``full_every`` is now."""
         state = read_or_empty(self.spark, self.state_path, STATE)
-        newest_first = state.orderBy(F.col("sequence").desc()).limit(self.full_every).collect()
-        fulls = [i for i, r in enumerate(newest_first) if r["is_full"]]
-        return newest_first[:fulls[0] + 1][::-1] if fulls else []
+        full = state.filter("is_full").agg(F.max("sequence")).first()[0]
+        return state.filter(F.col("sequence") >= full).orderBy("sequence").collect() if full is not None else []
 
     def read(self) -> DataFrame:
         return self._read(self._live())
@@ -81,10 +80,10 @@ class OnlineTable:
 
     def materialize_incremental(self, table: DataFrame, end: datetime | str, run_id: str | None = None) -> DataFrame:
         """Rows with event time after the last run's end and not after ``end``."""
-        end = end if isinstance(end, str) else end.isoformat(sep=" ")
         live = self._live()
         ts = F.col(self.view.ts_col)
         ts_type = table.schema[self.view.ts_col].dataType
+        end = utc_text(end, ts_type)
         rows = table.filter((ts <= ts_literal(end, ts_type)) & complete_key(self.view.keys))
         if live and live[-1]["interval_end"]:
             rows = rows.filter(ts > ts_literal(live[-1]["interval_end"], ts_type))

@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from featureline.functions.exprs import ts_literal, utc_timestamp
+from featureline.functions.exprs import partition_date, ts_literal, utc_timestamp
 from featureline.operators.asof import in_time_range
 from featureline.operators.keyed import latest_per_key
 from featureline.operators.quality import SPINE_RULES, validate
@@ -76,12 +76,13 @@ def score_spine(entities: DataFrame, run_ts: datetime | str, ts_type: T.DataType
 
 def write_features(df: DataFrame, path: str, ts_col: str = EVENT_TIMESTAMP, grain: str = "day",
                    date_column: str = "event_date") -> None:
-    """Parquet partitioned by event date; never onto existing data.
+    """Parquet partitioned by event date (in UTC, the first day of its ``grain``); never onto existing data.
 
+    A view that reads it names the same grain in ``date_grain``.
     The rebalance hint gathers each date into few files and splits a date that is too big
     for one task.
     """
-    day = F.to_date(F.date_trunc(grain, F.col(ts_col)))
+    day = partition_date(F.col(ts_col), df.schema[ts_col].dataType, grain)
     (df.withColumn(date_column, day).hint("rebalance", F.col(date_column))
      .write.mode("errorifexists").partitionBy(date_column).parquet(path))
 
