@@ -228,7 +228,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, text: str = "text", ke
         bpe = _loaded(definition.value)
         for batch in batches:
             columns = {c: batch.column(c) for c in others}
-            texts = batch.column("_text")
+            texts = batch.column("__featureline_text")
             ids = [bpe.encode(t.as_py() or "") for t in texts]
             made = {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary()),
                     "ids_sha256": pa.array([sha256(x).hexdigest() for x in ids], pa.string()),
@@ -237,7 +237,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, text: str = "text", ke
             columns |= {f.name: made[f.name] for f in results}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return docs.select(*others, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*others, F.col(text).cast("string").alias("__featureline_text")).mapInArrow(run, schema)
 
 
 def decode_documents(rows: DataFrame, vocabulary: str, *, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -250,8 +250,8 @@ def decode_documents(rows: DataFrame, vocabulary: str, *, ids: str = "ids", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(definition.value)
         for batch in batches:
-            texts = [bpe.decode(x.as_py() or b"").decode(errors="replace") for x in batch.column("_ids")]
+            texts = [bpe.decode(x.as_py() or b"").decode(errors="replace") for x in batch.column("__featureline_ids")]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in others] + [pa.array(texts, pa.string())],
                                              names=[*others, text])
 
-    return rows.select(*others, F.col(ids).alias("_ids")).mapInArrow(run, schema)
+    return rows.select(*others, F.col(ids).alias("__featureline_ids")).mapInArrow(run, schema)

@@ -95,7 +95,7 @@ def _scan(schema: T.StructType, kept: list[str], shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _Table(shared.value)
         for batch in batches:
-            data, offsets = utf8(batch.column("_text"))
+            data, offsets = utf8(batch.column("__featureline_text"))
             n_words, marks, items = np.zeros(len(batch), np.int64), {}, {}
             for a, b in parts(offsets):
                 low = _LOWER[data[offsets[a]:offsets[b]]]
@@ -136,7 +136,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     """
     kept = others(docs, text, *(f.name for f in RESULT))
     schema = T.StructType([docs.schema[c] for c in kept] + RESULT)
-    bare = docs.select(*kept, F.col(text).cast("string").alias("_text"))
+    bare = docs.select(*kept, F.col(text).cast("string").alias("__featureline_text"))
     passes = [bare.mapInArrow(_scan(schema, kept, docs.sparkSession.sparkContext.broadcast(block)), schema)
               for block in _blocks(benchmark, size, block_windows, item, item_text)]
     if len(passes) == 1:
@@ -174,12 +174,12 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """The documents with hit words cut out of their texts; all columns stay."""
-    found = contamination(docs.withColumn("_whole", F.col(text)), benchmark, text=text, **options)
+    found = contamination(docs.withColumn("__featureline_whole", F.col(text)), benchmark, text=text, **options)
     schema = T.StructType([docs.schema[c] for c in docs.columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole, starts, ends = (batch.column(c).to_pylist() for c in ("_whole", "hit_starts", "hit_ends"))
+            whole, starts, ends = (batch.column(c).to_pylist() for c in ("__featureline_whole", "hit_starts", "hit_ends"))
             clean = [t if not s else _cut(t, list(zip(s, e))) for t, s, e in zip(whole, starts, ends)]
             yield record(schema, {c: batch.column(c) for c in docs.columns if c != text} | {text: pa.array(clean, pa.string())})
 
@@ -188,5 +188,5 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", *
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """The documents without any hit; all columns stay."""
-    found = contamination(docs.withColumn("_whole", F.col(text)), benchmark, text=text, **options)
-    return found.where("n_hit = 0").select(*(F.col("_whole").alias(c) if c == text else F.col(c) for c in docs.columns))
+    found = contamination(docs.withColumn("__featureline_whole", F.col(text)), benchmark, text=text, **options)
+    return found.where("n_hit = 0").select(*(F.col("__featureline_whole").alias(c) if c == text else F.col(c) for c in docs.columns))

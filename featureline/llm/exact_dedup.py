@@ -204,20 +204,20 @@ def exact_groups(docs: DataFrame, *, id: str = "doc_id", text: str = "text", buc
 
 
 def remove_copies(docs: DataFrame, *, id: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """The rows that stay; all columns stay. Rows without an id are told apart by their texts alone."""
+    """The rows that stay; all columns stay."""
     spark, path = docs.sparkSession, work_dir(docs.sparkSession, "groups")
     exact_groups(docs, id=id, text=text, bucket_bytes=bucket_bytes).write.parquet(path)
-    groups = spark.read.parquet(path)
-    # An id whose rows differ in text may stay in one group and go in another: such rows are matched by text, too.
-    stays = groups.where("kept").select(F.col(id).alias("_id"), "text_sha256")
-    gone = groups.where("NOT kept").select(F.col(id).alias("_id")).distinct()
-    doubtful = groups.groupBy(F.col(id).alias("_id")).agg(F.count("*").alias("_n"), F.max(F.col("kept").cast("int")).alias("_kept")) \
-        .where("_n > 1 AND _kept = 1").select("_id")
-    sure = docs.join(gone, docs[id].eqNullSafe(F.col("_id")), "left_anti")
-    digest = F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", "").cast("binary"), 256)
-    mixed = docs.join(doubtful, docs[id].eqNullSafe(F.col("_id")), "left_semi").join(gone, docs[id].eqNullSafe(F.col("_id")), "left_semi") \
-        .withColumn("_sha", digest)
-    first = Window.partitionBy(id, "_sha").orderBy(F.desc(F.length(text)), text)
-    kept = mixed.join(stays, mixed[id].eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("text_sha256")), "left_semi") \
-        .withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k", "_sha")
-    return sure.unionByName(kept)
+    key, digest, place = "__featureline_id", "__featureline_sha", "__featureline_k"
+    groups = spark.read.parquet(path).select(F.col(id).alias(key), F.col("text_sha256").alias(digest), "kept")
+    gone = groups.where("NOT kept").select(key).distinct()
+    same_id = docs[id].eqNullSafe(F.col(key))
+    sure = docs.join(gone, same_id, "left_anti")
+    # Where an id has rows that stay and rows that go, its rows are told apart by their texts, and one of those repeated in both stays.
+    both = groups.groupBy(key).agg(F.bool_and("kept").alias("_all"), F.bool_or("kept").alias("_some")).where("_some AND NOT _all")
+    norm = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", "")
+    doubtful = docs.join(both.select(key), same_id, "left_semi").withColumn(digest, F.sha2(norm.cast("binary"), 256))
+    stays = groups.where("kept").select(key, F.col(digest).alias("__featureline_stays"))
+    same_text = doubtful[id].eqNullSafe(F.col(key)) & (F.col(digest) == F.col("__featureline_stays"))
+    first = Window.partitionBy(id, digest).orderBy(F.desc(F.length(text)), text)
+    kept = doubtful.join(stays, same_text, "left_semi").withColumn(place, F.row_number().over(first)).where(F.col(place) == 1)
+    return sure.unionByName(kept.drop(place, digest))

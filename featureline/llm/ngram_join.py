@@ -8,13 +8,14 @@ the l with the lowest estimated cost, from the estimated frequencies of its own
 1. One pass makes a key of each set (equal sets are one node from here on) and a count sketch of all shingles of all documents: ``1 << SKETCH_BITS``
    counters whatever the corpus, which tell the common shingles from the rest. The order is (counter's logarithm, shingle hash).
 2. A second pass cuts the prefixes. Prefix shingles are dealt and sorted, and those of one document only go.
-3. Stars: in each posting list every document is paired with the list's smallest id. Pairs that share much are verified. Documents that link to the
+3. Stars: in each posting list every document is paired with the list's smallest id. Of its centres, a document is verified with the one it
+   shares most with. Documents that link to the
    same centre are connected, so no pair of them is looked at again: a large group of near copies costs a number of pairs in proportion to it.
 4. All remaining pairs of a posting list whose documents have different centres are counted; those that share enough are verified.
    No candidate is capped or sampled.
 5. Classes are the connected components of the verified links, by alternating large and small stars on tables in the shared folder.
 
-Verifying compares the whole sets of 64-bit shingle hashes. They are computed again from the texts of the documents that a bit table of
+Verifying compares the whole sets, with 40 bits of each shingle's hash. They are computed again from the texts of the documents that a bit table of
 fixed size lets through (it lets through all that are needed, and some more).
 
 Null and empty texts, and texts without words, have empty sets, which link with nothing. Rows that share an id are one document with the links
@@ -210,6 +211,17 @@ def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                                   pa.array(ids[k]), pa.array(n[k])], names=_POSTINGS.names)
 
 
+def _short(shingles: np.ndarray) -> bytes:
+    """The upper 40 bits of each hash: what two sets don't share agrees by chance in one of some 10 ** 9 pairs."""
+    return shingles.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _long(raw: pa.Scalar) -> np.ndarray:
+    out = np.zeros((len(raw.as_buffer()) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw.as_buffer(), np.uint8).reshape(-1, 5)
+    return out.view(">u8").ravel()
+
+
 def _bit(id_column):
     return F.pmod(F.xxhash64(id_column), F.lit(1 << FILTER_BITS))
 
@@ -229,7 +241,7 @@ def _needed_sets(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             at = batch.column("bit").to_numpy(zero_copy_only=False)
             take = (bits[at >> 6] >> (at & 63).astype(U64)) & U64(1) == 1
-            found = [(k, s.tobytes()) for k, s in _sets(batch.column("text"), size, take)]
+            found = [(k, _short(s)) for k, s in _sets(batch.column("text"), size, take)]
             ids = batch.column("id")
             yield pa.RecordBatch.from_arrays([ids.take(pa.array([k for k, _ in found], pa.int64())),
                                               pa.array([s for _, s in found], pa.binary())], names=_SETS.names)
@@ -245,14 +257,15 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, share: tuple[int, in
     sets = f"{folder}-sets"
     _needed_sets(docs, pairs, size).write.parquet(sets)
     own = spark.read.parquet(sets)
-    both = pairs.join(own.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a") \
-        .join(own.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    # The larger part goes first: most documents are the second one of one pair.
+    both = pairs.join(own.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b") \
+        .join(own.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
             for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+                x, y = _long(x), _long(y)
                 common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
                 linked.append(common > 0 and share[1] * common >= share[0] * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
@@ -277,7 +290,8 @@ def links(docs: DataFrame, nodes: DataFrame, levels: np.ndarray, size: int, shar
         F.count("*").alias("shared"), F.first("n").alias("n"), F.first("extra").alias("extra"))
     # Half of a shorter prefix in common is likely enough; what is left out here is looked at below.
     likely = F.col("shared") * 2 * share[1] >= F.col("n") * (share[1] - share[0])
-    _verified(docs, stars.where(likely).select(F.col("centre").alias("a"), F.col("id").alias("b")), size, share, f"{folder}/stars")
+    closest = stars.where(likely).groupBy(F.col("id").alias("b")).agg(F.max_by("centre", F.struct("shared", -F.col("centre"))).alias("a"))
+    _verified(docs, closest, size, share, f"{folder}/stars")
     starred = spark.read.parquet(f"{folder}/stars")
 
     centres = starred.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("c"))

@@ -50,20 +50,20 @@ def numbered(rows: DataFrame, *keys: str, ranges: int | None = None) -> tuple[Da
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64(*(F.col(c) for c in rows.columns))
     # The last key only deals rows that are equal in everything over several ranges.
-    by = [*(F.col(k) for k in keys), F.col("_tie"), F.col("_spread")]
-    placed = rows.withColumns({"_tie": tie, "_spread": F.monotonically_increasing_id()}) \
-        .repartitionByRange(ranges, *by).sortWithinPartitions(*by).drop("_tie", "_spread") \
-        .withColumn("_place", F.monotonically_increasing_id())
+    by = [*(F.col(k) for k in keys), F.col("__featureline_tie"), F.col("__featureline_spread")]
+    placed = rows.withColumns({"__featureline_tie": tie, "__featureline_spread": F.monotonically_increasing_id()}) \
+        .repartitionByRange(ranges, *by).sortWithinPartitions(*by).drop("__featureline_tie", "__featureline_spread") \
+        .withColumn("__featureline_place", F.monotonically_increasing_id())
     path = work_dir(spark, "numbered")
     placed.write.parquet(path)
     placed = spark.read.parquet(path)
     places = 1 << 33  # a range's number is above this bit of the place, the place in the range below
-    sizes = placed.groupBy(F.floor(F.col("_place") / places).alias("_range")).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))  # one row per range
-    out = placed.withColumn("_range", F.floor(F.col("_place") / places)).join(F.broadcast(offsets), "_range") \
-        .withColumn("row_no", F.col("_before") + F.pmod("_place", F.lit(places)))
-    return out.drop("_range", "_before", "_place"), placed.count()
+    sizes = placed.groupBy(F.floor(F.col("__featureline_place") / places).alias("__featureline_range")).agg(F.count("*").alias("__featureline_n"))
+    before = F.sum("__featureline_n").over(Window.orderBy("__featureline_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("__featureline_range", F.coalesce(before, F.lit(0)).alias("__featureline_before"))  # one row per range
+    out = placed.withColumn("__featureline_range", F.floor(F.col("__featureline_place") / places)).join(F.broadcast(offsets), "__featureline_range") \
+        .withColumn("row_no", F.col("__featureline_before") + F.pmod("__featureline_place", F.lit(places)))
+    return out.drop("__featureline_range", "__featureline_before", "__featureline_place"), placed.count()
 
 
 def feistel_shards(docs: DataFrame, shards: int, *, key: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
@@ -73,6 +73,6 @@ def feistel_shards(docs: DataFrame, shards: int, *, key: str = "doc_id", text: s
     rows = docs.select(*kept, (F.octet_length(bare) + 16).cast("long").alias("size"),
                        F.crc32(bare.cast("binary")).alias("text_crc32"))
     rows, n = numbered(rows, key)
-    place = rows.withColumn("_p", permuted(F.col("row_no"), n, seed) if n else F.lit(0).cast("long"))
-    return place.withColumns({"shard": F.pmod("_p", F.lit(shards)).cast("int"),
-                              "slot": F.floor(F.col("_p") / shards).cast("long")}).drop("_p", "row_no")
+    place = rows.withColumn("__featureline_p", permuted(F.col("row_no"), n, seed) if n else F.lit(0).cast("long"))
+    return place.withColumns({"shard": F.pmod("__featureline_p", F.lit(shards)).cast("int"),
+                              "slot": F.floor(F.col("__featureline_p") / shards).cast("long")}).drop("__featureline_p", "row_no")

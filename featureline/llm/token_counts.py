@@ -118,10 +118,10 @@ def count_tokens(docs: DataFrame, model: str, *, text: str = "text", per_task: i
             _state[id(own)] = Lengths(*own)
         count = _state[id(own)].count
         for batch in batches:
-            n_tokens = pa.array([count(t.as_py() or "") for t in batch.column("_text")], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), batch.column("_bytes"), n_tokens],
+            n_tokens = pa.array([count(t.as_py() or "") for t in batch.column("__featureline_text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), batch.column("__featureline_bytes"), n_tokens],
                                              names=[*others, *RESULT.names])
 
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(*others, F.octet_length(whole).cast("long").alias("_bytes"), whole.alias("_text")) \
+    return docs.select(*others, F.octet_length(whole).cast("long").alias("__featureline_bytes"), whole.alias("__featureline_text")) \
         .mapInArrow(run, schema)

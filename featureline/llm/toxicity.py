@@ -220,19 +220,19 @@ def _train(docs: DataFrame, labels: DataFrame, model, id: str, text: str, label:
     spark = docs.sparkSession
     known = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).where(learn).groupBy(F.col(id).alias("_id")).agg(
         F.max(F.col(label).cast("int")).alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    chosen = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(known), "_id")
+    chosen = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("__featureline_text")).join(F.broadcast(known), "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = _restorer(model)
         for batch in batches:
-            words = [sorted(w.decode("utf-8", "replace") for w in restorer.words(t or "")) for t in batch.column("_text").to_pylist()]
+            words = [sorted(w.decode("utf-8", "replace") for w in restorer.words(t or "")) for t in batch.column("__featureline_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_label"), batch.column("_hash"),
                                               pa.array(words, pa.list_(pa.string()))], names=["_id", "_label", "_hash", "words"])
 
     schema = T.StructType([T.StructField("_id", chosen.schema["_id"].dataType), *fields("_label int, _hash long"),
                            T.StructField("words", T.ArrayType(T.StringType()))])
     path = work_dir(spark, "toxicity")
-    chosen.withColumn("_hash", F.xxhash64("_text")).mapInArrow(run, schema).dropDuplicates(["_hash"]).write.parquet(path)
+    chosen.withColumn("_hash", F.xxhash64("__featureline_text")).mapInArrow(run, schema).dropDuplicates(["_hash"]).write.parquet(path)
     rows = spark.read.parquet(path)
     n0, n1 = (int(x or 0) for x in rows.agg(F.sum(1 - F.col("_label")), F.sum("_label")).first())
     if not n0 or not n1:
@@ -280,12 +280,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, corpus: DataFrame | N
         restorer, telling = _restorer(model), frozenset(weights)
         for batch in batches:
             total = [intercept + sum(map(weights.__getitem__, sorted(telling & restorer.words(t.as_py() or ""))))
-                     for t in batch.column("_text")]
+                     for t in batch.column("__featureline_text")]
             score = 1 / (1 + np.exp(-np.clip(np.array(total, float), -30, 30)))
             yield record(schema, {c: batch.column(c) for c in kept} | {
                 "score": pa.array(score), "predicted": pa.array((score >= 0.5).astype(np.int32))})
 
-    return docs.select(*kept, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text).cast("string").alias("__featureline_text")).mapInArrow(run, schema)
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
