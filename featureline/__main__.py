@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 
 from featureline.plans.publish import check, generate, materialize
 from featureline.plans.score import ScoreConfig, score_catalog, score_job
-from featureline.plans.train import TrainConfig, train_job
+from featureline.plans.train import TrainConfig, from_catalog, train_job
 from featureline.schema import CUSTOMER_FEATURE_REFS
 from featureline.session import build_session
 from featureline.sources.catalog import Catalog
@@ -35,10 +35,12 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     train = job("train")
     train.add_argument("--registry", required=True)
     train.add_argument("--model-name", default="churn_model")
+    train.add_argument("--catalog", help="take label, feature references and experiment from the model's catalog row")
     score = job("score", predictions="folder for predictions")
     score.add_argument("--registry", required=True)
     score.add_argument("--model-name", default="churn_model")
     score.add_argument("--feature-refs", default=",".join(CUSTOMER_FEATURE_REFS))
+    score.add_argument("--catalog", help="take the feature references from the model's catalog row")
     score.add_argument("--output", choices=["class", "probability"], default="class")
     catalog = job("score-catalog", predictions="folder for predictions")
     catalog.add_argument("--registry", required=True)
@@ -57,9 +59,13 @@ def run(args: argparse.Namespace) -> None:
     elif args.job == "materialize":
         logger.info("online rows: %d", materialize(spark, args.base, now).count())
     elif args.job == "train":
-        logger.info("%s", train_job(spark, TrainConfig(args.base, args.registry, args.model_name), now))
+        cfg = TrainConfig(args.base, args.registry, args.model_name)
+        if args.catalog:
+            cfg = from_catalog(Catalog(spark, args.catalog).get(args.model_name).first(), cfg)
+        logger.info("%s", train_job(spark, cfg, now))
     elif args.job == "score":
-        cfg = ScoreConfig(args.base, args.registry, args.model_name, args.feature_refs,
+        refs = Catalog(spark, args.catalog).get(args.model_name).first()["feature_refs"] if args.catalog else args.feature_refs
+        cfg = ScoreConfig(args.base, args.registry, args.model_name, refs,
                           predictions=args.predictions, output=args.output)
         logger.info("predictions in %s", score_job(spark, cfg, now))
     else:

@@ -4,9 +4,9 @@ Plain form: spine and feature rows are put into one frame, shuffled once by key
 by time; a running ``last`` carries the newest feature row to the spine rows behind it.
 Several views with the same keys share that one shuffle.
 
-Keys with very many rows are cut into time ranges (``skew``). Each range is seeded with the
-newest feature row of the ranges before it, found on a per-range summary, and then runs as a
-group of its own.
+With ``bucket``, the rows of every key are cut into time buckets of that width (``skew``). Each bucket is seeded with the
+newest feature row of the buckets before it, found on a summary with one row per key and bucket, and then runs as a group of its
+own: a key with very many rows runs in many tasks, and no key is looked for beforehand.
 """
 
 from __future__ import annotations
@@ -44,15 +44,15 @@ def historical_features(
     full_names: bool = False,
     time_range: tuple[datetime | str | int, datetime | str | int] | None = None,
     prune: bool = True,
-    hot_rows: int | None = skew.HOT_ROWS,
+    bucket: timedelta | None = skew.BUCKET,
 ) -> DataFrame:
     """Every spine row (duplicates too) with the referenced features as of its time.
 
     ``allow_exact`` decides whether a feature row of exactly the spine time counts; by
     default it does not. ``time_range`` is the spine's (first, last) time where known; with
     ``prune`` it is read otherwise, so that features outside it are never scanned.
-    ``hot_rows`` is the number of rows above which a key is cut into ranges; None turns the
-    search for such keys off.
+    ``bucket`` is the width of the time buckets that cut every key; None runs each key whole, which saves the summary
+    where no key has more rows than a task should sort.
     """
     wanted = _group_refs(refs, views, tables, full_names)
     clash = {name for w in wanted for _, name in w.columns} & set(spine.columns)
@@ -72,8 +72,7 @@ def historical_features(
         incomplete = dict(zip(by_keys, facts[2:]))
     result = spine
     for keys, group in by_keys.items():
-        points = spine.select(*keys, F.col(spine_ts).alias("_ts"))
-        result = _join_group(result, points, list(keys), group, spine_ts, allow_exact, time_range, hot_rows,
+        result = _join_group(result, list(keys), group, spine_ts, allow_exact, time_range, bucket,
                              bool(incomplete[keys]))
     order = [name for _, name in _output_names(parse_refs(refs, views), full_names)]
     return result.select(*spine.columns, *order)
@@ -134,7 +133,7 @@ def _feature_row(w: _Wanted, ts: Column) -> Column:
     return F.struct(*fields)
 
 
-def _join_group(spine, points, keys, group, spine_ts, allow_exact, time_range, hot_rows, incomplete) -> DataFrame:
+def _join_group(spine, keys, group, spine_ts, allow_exact, time_range, bucket, incomplete) -> DataFrame:
     """Spine and feature rows in one frame: keys, ``_ts``, ``_side``, one ``_f<i>`` per view, and the rest of the
     spine as ``_p<i>``. Keys and time are not carried twice."""
     payload = [c for c in spine.columns if c not in keys and c != spine_ts]
@@ -152,19 +151,12 @@ def _join_group(spine, points, keys, group, spine_ts, allow_exact, time_range, h
 
     carried = {f"_p{i}": c for i, c in enumerate(payload)}
     rows = spine.select(*keys, F.col(spine_ts).alias("_ts"), *[F.col(c).alias(p) for p, c in carried.items()])
-    hot = None
-    if hot_rows is not None:
-        seen = points
-        for f in features:
-            seen = seen.unionByName(f.select(*keys, "_ts"))
-        hot = skew.hot_ranges(seen, keys, "_ts", hot_rows)
-
-    if hot is not None:
-        spine_rows, feature_rows = _cut_hot(rows, features, hot, keys)
-        groups = [*keys, "_g", "_copy"]
+    if bucket is not None:
+        spine_rows, feature_rows = _bucketed(rows, features, keys, spine.schema[spine_ts].dataType, bucket)
+        groups = [*keys, "_g"]
     elif incomplete:
         spine_rows = rows.withColumn("_g", skew.null_key_group(keys))
-        feature_rows = [f.withColumn("_g", F.lit(0)) for f in features]
+        feature_rows = [f.withColumn("_g", F.lit(0).cast("long")) for f in features]
         groups = [*keys, "_g"]
     else:
         spine_rows, feature_rows, groups = rows, features, keys
@@ -193,40 +185,25 @@ def _join_group(spine, points, keys, group, spine_ts, allow_exact, time_range, h
     return matched.select(*out)
 
 
-def _cut_hot(rows, features, hot, keys):
-    """Groups for hot keys: ``_g`` is the time range, ``_copy`` spreads one crowded range."""
-    index = skew.range_index(F.col("_ts"))
-    is_hot = F.col("_starts").isNotNull()
-    helper = ["_starts", "_copies"]
-
-    # + 1 keeps the hot groups apart from group 0 of all other keys.
-    marked = hot.mark(rows)
-    spine_rows = marked.withColumns({
-        "_g": F.when(is_hot, index + 1).otherwise(skew.null_key_group(keys)),
-        "_copy": F.when(is_hot, skew.spread(rows, skew.copies_of(index))).otherwise(F.lit(0)),
-    }).drop(*helper)
-    used = marked.filter(is_hot).select(*keys, (index + 1).alias("_g")).distinct()
+def _bucketed(rows, features, keys, ts_type, width):
+    """Both sides with their time bucket ``_g``, and for each bucket with spine rows the newest feature row before it."""
+    number = skew.time_bucket(F.col("_ts"), ts_type, width)
+    spine_rows = rows.withColumn("_g", skew.null_key_group(keys, F.coalesce(number, F.lit(-1).cast("long"))))
+    used = spine_rows.filter(skew.complete_key(keys) & F.col("_ts").isNotNull()).select(*keys, "_g").distinct()
 
+    # One row per key and bucket, combined before the shuffle, so this window stays small.
+    before = Window.partitionBy(*keys).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
     feature_rows = []
     for f in features:
-        f = hot.mark(f)
-        cold = f.filter(~is_hot).drop(*helper).withColumns({"_g": F.lit(0), "_copy": F.lit(0)})
-
-        # One row per (key, time) is enough: the greatest wins. Collapsed before the shuffle.
-        best = hot.mark(f.filter(is_hot).groupBy(*keys, "_ts").agg(F.max("_row").alias("_row")))
-        local = best.select(*keys, "_ts", "_row", (index + 1).alias("_g"), "_copies")
-        newest = local.groupBy(*keys, "_g").agg(F.max("_row").alias("_row"))
-        # At most MAX_RANGES summary rows per key, so this window stays small.
-        before = Window.partitionBy(*keys).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+        local = f.withColumn("_g", number)
         nothing = F.lit(None).cast(f.schema["_row"].dataType)
+        newest = local.groupBy(*keys, "_g").agg(F.max("_row").alias("_row"), F.lit(False).alias("_used"))
+        summary = newest.unionByName(used.select("*", nothing.alias("_row"), F.lit(True).alias("_used")))
         seeds = (
-            newest.unionByName(used.withColumn("_row", nothing))
-            .groupBy(*keys, "_g").agg(F.max("_row").alias("_row"))
-            .select(*keys, "_g", F.last("_row", ignorenulls=True).over(before).alias("_row"))
-            .filter(F.col("_row").isNotNull())
+            summary.groupBy(*keys, "_g").agg(F.max("_row").alias("_row"), F.bool_or("_used").alias("_used"))
+            .select(*keys, "_g", "_used", F.last("_row", ignorenulls=True).over(before).alias("_row"))
+            .filter(F.col("_used") & F.col("_row").isNotNull())
             .select(*keys, F.col("_row.ts").alias("_ts"), "_row", "_g")
         )
-        copied = local.unionByName(hot.mark(seeds).drop("_starts")).withColumn(
-            "_copy", F.explode(F.sequence(F.lit(0), F.element_at("_copies", F.col("_g")) - 1))).drop("_copies")
-        feature_rows.append(cold.unionByName(copied))
+        feature_rows.append(local.unionByName(seeds))
     return spine_rows, feature_rows

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from featureline.operators.skew import HOT_ROWS, skew_join
+from featureline.operators.skew import skew_join
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], ts_col: str, tiebreak: Sequence[str] = ()) -> DataFrame:
@@ -24,23 +24,22 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str])
     return best.select(*[F.col(c) if c in keys else F.col(f"_best.`{c}`").alias(c) for c in df.columns])
 
 
-def inner_join(features: DataFrame, labels: DataFrame, keys: Sequence[str], hot_rows: int | None = HOT_ROWS,
-               feature_keys: DataFrame | None = None) -> DataFrame:
-    """Rows present on both sides. ``feature_keys`` holds the keys of the features where they are cheaper to read."""
-    return skew_join(features, labels, keys, "inner", hot_rows, feature_keys)
+def inner_join(features: DataFrame, labels: DataFrame, keys: Sequence[str], salts: int = 1) -> DataFrame:
+    """Rows present on both sides."""
+    return skew_join(features, labels, keys, "inner", salts)
 
 
 def suffix_join(left: DataFrame, right: DataFrame, on: Sequence[str], suffixes: tuple[str, str],
-                hot_rows: int | None = HOT_ROWS) -> DataFrame:
+                salts: int = 1) -> DataFrame:
     """Inner join that keeps both copies of equally named columns, told apart by suffix."""
     shared = [c for c in left.columns if c in right.columns and c not in on]
     left = left.withColumnsRenamed({c: c + suffixes[0] for c in shared})
     right = right.withColumnsRenamed({c: c + suffixes[1] for c in shared})
-    return skew_join(left, right, on, "inner", hot_rows)
+    return skew_join(left, right, on, "inner", salts)
 
 
 def keyed_insert(existing: DataFrame, requests: DataFrame, key: str, order_cols: Sequence[str],
-                 hot_rows: int | None = HOT_ROWS) -> DataFrame:
+                 salts: int = 1) -> DataFrame:
     """Requests with ``status``: the first request of an unknown key is accepted, all others conflict.
 
     ``order_cols`` tell requests of one key apart and order them.
@@ -48,7 +47,7 @@ def keyed_insert(existing: DataFrame, requests: DataFrame, key: str, order_cols:
     order = F.struct(*order_cols)
     firsts = requests.groupBy(key).agg(F.min(order).alias("_first"))
     firsts = firsts.join(existing.select(key), key, "left_anti")
-    judged = skew_join(requests, firsts, [key], "left", hot_rows)
+    judged = skew_join(requests, firsts, [key], "left", salts)
     return judged.withColumn(
         "status", F.when(F.col("_first") == order, F.lit("accepted")).otherwise(F.lit("conflict"))
     ).drop("_first")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import timedelta
 from functools import reduce
 from operator import or_
 
@@ -103,31 +104,29 @@ def not_empty(df: DataFrame, what: str = "merged training dataset") -> DataFrame
 
 
 def leakage_report(features: DataFrame, labels: DataFrame, keys: Sequence[str] = (ENTITY_ID,),
-                   ts_col: str = EVENT_TIMESTAMP, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
+                   ts_col: str = EVENT_TIMESTAMP, bucket: timedelta | None = skew.BUCKET) -> DataFrame:
     """One row: pairs (feature row, label row) of one key, and how many have the feature not before the label."""
-    return leakage_by_key(features, labels, keys, ts_col, hot_rows).agg(
+    return leakage_by_key(features, labels, keys, ts_col, bucket).agg(
         F.coalesce(F.sum("n_pairs"), F.lit(0)).cast(PAIRS).alias("n_pairs"),
         F.coalesce(F.sum("n_leaking"), F.lit(0)).cast(PAIRS).alias("n_leaking"),
     ).withColumn("passed", F.col("n_leaking") == 0)
 
 
 def leaking_keys(features: DataFrame, labels: DataFrame, keys: Sequence[str] = (ENTITY_ID,),
-                 ts_col: str = EVENT_TIMESTAMP, hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
+                 ts_col: str = EVENT_TIMESTAMP, bucket: timedelta | None = skew.BUCKET) -> DataFrame:
     """The keys with at least one feature row that is not before a label, and their counts."""
-    return leakage_by_key(features, labels, keys, ts_col, hot_rows).filter(F.col("n_leaking") > 0)
+    return leakage_by_key(features, labels, keys, ts_col, bucket).filter(F.col("n_leaking") > 0)
 
 
 def leakage_by_key(features: DataFrame, labels: DataFrame, keys: Sequence[str], ts_col: str,
-                   hot_rows: int | None) -> DataFrame:
+                   bucket: timedelta | None) -> DataFrame:
     """Per key the number of pairs and of leaking pairs.
 
     The pairs are counted, never formed: per key the rows are reduced to counts per time and a
-    running sum over time says how many labels lie at or before each feature. Hot keys are cut
-    into time ranges; each starts from the counts of the ranges before it.
+    running sum over time says how many labels lie at or before each feature. Every key is cut
+    into time buckets; each starts from the counts of the buckets before it.
     """
     keys = list(keys)
-    at = F.col("_ts")
-
     def reduced(df: DataFrame, is_feature: int) -> DataFrame:
         return (df.filter(F.col(ts_col).isNotNull() & skew.complete_key(keys))
                 .groupBy(*keys, F.col(ts_col).alias("_ts")).agg(F.count(F.lit(1)).alias("_n"))
@@ -135,12 +134,8 @@ def leakage_by_key(features: DataFrame, labels: DataFrame, keys: Sequence[str],
 
     times = reduced(features, 1).unionByName(reduced(labels, 0))
     times = times.groupBy(*keys, "_ts").agg(F.sum("_f").alias("_f"), F.sum("_l").alias("_l"))
-    hot = skew.hot_ranges(times, keys, "_ts", hot_rows) if hot_rows is not None else None
-    if hot is None:
-        times = times.withColumn("_g", F.lit(0))
-    else:
-        times = hot.mark(times).withColumn("_g", F.coalesce(skew.range_index(at) + 1, F.lit(0))).drop(
-            "_starts", "_copies")
+    number = skew.time_bucket(F.col("_ts"), features.schema[ts_col].dataType, bucket) if bucket else F.lit(0)
+    times = times.withColumn("_g", number)
     upto = (Window.partitionBy(*keys, "_g").orderBy("_ts")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = times.withColumn("_seen", F.sum("_l").over(upto))

@@ -1,110 +1,34 @@
-"""Finding keys that hold too many rows, cutting their rows into time ranges, and salting joins on them.
+"""Time buckets that cut every key's rows, and salted joins. No key is counted or collected beforehand.
 
-A window over one key runs in one task. Keys above ``hot_rows`` rows are cut into ranges
-of about equal size, so that the window runs per (key, range) instead. What comes to the
-driver is bounded: at most ``MAX_HOT_KEYS`` keys with at most ``MAX_RANGES`` range starts
-each. A key that is not among the first MAX_HOT_KEYS holds less than 1/MAX_HOT_KEYS of
-all rows.
+A window over one key runs in one task. With ``bucket`` set, it runs per (key, time bucket), whatever the key; what a bucket needs from
+the ones before it comes from a summary with one row per key and bucket. The width is the caller's: a key's rows within one bucket
+are what one task sorts, so it follows from how many rows of the busiest key a task should hold.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 from datetime import timedelta
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
-
-HOT_ROWS = 2_000_000
-MAX_HOT_KEYS = 256
-MAX_RANGES = 256
-NULL_KEY_SPREAD = 1024
-SALTS = 64
-
-TICK = timedelta(microseconds=1)
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from featureline.functions.exprs import utc_timestamp
 
-@dataclass(frozen=True)
-class HotRanges:
-    """Per hot key: ``_starts`` (ascending range starts) and ``_copies`` per range, the range
-    before the first start included. A range gets several copies when a single time holds
-    more rows than a range should."""
-
-    keys: list[str]
-    table: DataFrame
-
-    def mark(self, df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(self.table), self.keys, "left")
+#: Default width of a time bucket.
+BUCKET = timedelta(days=30)
+NULL_KEY_SPREAD = 1024
 
 
 def complete_key(keys: Sequence[str]) -> Column:
     return reduce(and_, [F.col(key).isNotNull() for key in keys])
 
 
-def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> list[Row]:
-    """The largest keys above ``hot_rows`` rows with their row count ``_n``; usually none, at most MAX_HOT_KEYS."""
-    counts = rows.filter(complete_key(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.filter(F.col("_n") > hot_rows).orderBy(F.col("_n").desc()).limit(MAX_HOT_KEYS).collect()
-
-
-def key_table(rows: DataFrame, keys: Sequence[str], hot: list[Row]) -> DataFrame:
-    schema = T.StructType([rows.schema[key] for key in keys])
-    return rows.sparkSession.createDataFrame([tuple(r[key] for key in keys) for r in hot], schema)
-
-
-def hot_ranges(rows: DataFrame, keys: list[str], ts_col: str, hot_rows: int = HOT_ROWS) -> HotRanges | None:
-    """Range starts for the hot keys of ``rows``; None when no key is hot (the usual case)."""
-    hot = hot_keys(rows, keys, hot_rows)
-    if not hot:
-        return None
-    spark = rows.sparkSession
-    steps = min(MAX_RANGES, -(-hot[0]["_n"] // hot_rows))
-    quantiles = (
-        rows.join(F.broadcast(key_table(rows, keys, hot)), keys, "left_semi")
-        .filter(F.col(ts_col).isNotNull())
-        .groupBy(*keys)
-        .agg(F.percentile_approx(ts_col, [i / steps for i in range(1, steps)] or [0.5], 10 * steps).alias("_q"))
-        .collect()
-    )
-    cut = []
-    for row in quantiles:
-        key = tuple(row[k] for k in keys)
-        starts, copies = _ranges(list(row["_q"]))
-        cut.append((*key, starts, copies))
-    table = spark.createDataFrame(cut, T.StructType([
-        *[rows.schema[key] for key in keys],
-        T.StructField("_starts", T.ArrayType(rows.schema[ts_col].dataType)),
-        T.StructField("_copies", T.ArrayType(T.IntegerType())),
-    ]))
-    return HotRanges(keys, table)
-
-
-def _ranges(quantiles: list) -> tuple[list, list[int]]:
-    """Distinct starts; a time that fills several quantiles becomes a range of its own with as many copies."""
-    starts: list = []
-    copies = [1]
-    for ts in sorted(set(quantiles)):
-        share = quantiles.count(ts)
-        if starts and starts[-1] == ts:
-            copies[-1] = share
-        else:
-            starts.append(ts)
-            copies.append(share)
-        if share > 1:
-            starts.append(ts + TICK)
-            copies.append(1)
-    return starts, copies
-
-
-def range_index(ts: Column) -> Column:
-    """Which range of its hot key a row falls in; null for rows of other keys."""
-    return F.size(F.filter(F.col("_starts"), lambda start: start <= ts))
-
-
-def copies_of(index: Column) -> Column:
-    return F.element_at(F.col("_copies"), index + 1)
+def time_bucket(ts: Column, dtype: T.DataType, width: timedelta) -> Column:
+    """The number of the bucket since 1970 (UTC)."""
+    micros = F.unix_micros(utc_timestamp(ts) if isinstance(dtype, T.TimestampNTZType) else ts)
+    return F.floor(micros / F.lit(width // timedelta(microseconds=1)))
 
 
 def spread(df: DataFrame, copies: Column) -> Column:
@@ -115,32 +39,21 @@ def spread(df: DataFrame, copies: Column) -> Column:
     return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hashable], F.spark_partition_id()), copies).cast("int")
 
 
-def null_key_group(keys: list[str]) -> Column:
-    """0 for rows with a complete key; rows without one match nothing and are spread out."""
-    return F.when(complete_key(keys), F.lit(0)).otherwise(F.pmod(F.spark_partition_id(), F.lit(NULL_KEY_SPREAD)))
+def null_key_group(keys: list[str], otherwise: Column | None = None) -> Column:
+    """``otherwise`` (0) for rows with a complete key; rows without one match nothing and are spread out."""
+    group = F.lit(0).cast("long") if otherwise is None else otherwise
+    return F.when(complete_key(keys), group).otherwise(-1 - F.pmod(F.spark_partition_id(), F.lit(NULL_KEY_SPREAD)))
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
-              hot_rows: int | None = HOT_ROWS, left_keys: DataFrame | None = None) -> DataFrame:
-    """Equi-join that spreads the rows of hot keys over SALTS groups.
+def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 1) -> DataFrame:
+    """Equi-join; adaptive execution splits large partitions.
 
-    Rows of a key that is hot on one side get a salt there and one copy per salt on the other
-    side. Without hot keys this is the plain join. For outer, semi and anti joins only the left
-    side is salted. ``left_keys`` may hold the keys of the left rows in a cheaper frame.
+    Where that is not enough, ``salts`` deals each key's left rows over so many groups, and copies the right rows to each: right for
+    a small right side, whatever the keys are.
     """
     keys = list(keys)
-    if hot_rows is None:
+    if salts <= 1:
         return left.join(right, keys, how)
-    hot = {"_sl": hot_keys((left_keys or left).select(*keys), keys, hot_rows)}
-    if how == "inner":
-        hot["_sr"] = hot_keys(right.select(*keys), keys, hot_rows)
-    hot = {salt: rows for salt, rows in hot.items() if rows}
-    for salt, rows in hot.items():
-        marks = F.broadcast(key_table(left, keys, rows).withColumn("_hot", F.lit(True)))
-        every = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-        salted, copied = (left, right) if salt == "_sl" else (right, left)
-        own = F.when(F.col("_hot"), spread(salted, F.lit(SALTS))).otherwise(F.lit(0))
-        salted = salted.join(marks, keys, "left").withColumn(salt, own).drop("_hot")
-        copied = copied.join(marks, keys, "left").withColumn(salt, every).drop("_hot")
-        left, right = (salted, copied) if salt == "_sl" else (copied, salted)
-    return left.join(right, [*keys, *hot], how).drop(*hot)
+    salted = left.withColumn("_salt", spread(left, F.lit(salts)))
+    copied = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copied, [*keys, "_salt"], how).drop("_salt")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -17,9 +18,12 @@ from featureline.operators.quality import PREDICTION_RULES, validate
 from featureline.operators.registry import Registry
 from featureline.plans.train import view_tables
 from featureline.schema import CUSTOMER_FEATURES, FeatureView, parse_refs
+from featureline.session import work_dir
 from featureline.sources.tables import (JSON_TIMESTAMP, PREDICTIONS_DIR, prediction_rows, run_folder,
                                         score_entities_file, score_spine, write_predictions)
 
+logger = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class ScoreConfig:
@@ -32,7 +36,7 @@ class ScoreConfig:
     predictions: str | None = None
     output: str = "class"
     allow_exact: bool = False
-    hot_rows: int | None = skew.HOT_ROWS
+    bucket: timedelta | None = skew.BUCKET
 
     @property
     def prefix(self) -> str:
@@ -54,7 +58,7 @@ def score_job(spark: SparkSession, cfg: ScoreConfig, run_ts: datetime | None = N
     tables = view_tables(spark, cfg.views, cfg.base, cfg.view_paths)
     # The spine has one time, so the scanned range is known without a job.
     features = historical_features(spine, cfg.feature_refs, cfg.views, tables, allow_exact=cfg.allow_exact,
-                                   time_range=(run_ts, run_ts), hot_rows=cfg.hot_rows)
+                                   time_range=(run_ts, run_ts), bucket=cfg.bucket)
     champion = Registry(spark, cfg.registry).champion(cfg.model_name)
     scored = score_rows(load_model(champion["source"]), features, cfg.output)
     predictions = as_predictions(scored, champion["model_uri"], champion["version"], run_ts)
@@ -64,11 +68,11 @@ def score_job(spark: SparkSession, cfg: ScoreConfig, run_ts: datetime | None = N
 
 def score_models(catalog_rows: list, spines: dict[str, DataFrame], champions: dict, views, tables: dict[str, DataFrame],
                  run_ts: datetime, *, spine_time=None, output: str = "class", allow_exact: bool = False,
-                 hot_rows: int | None = skew.HOT_ROWS) -> DataFrame:
+                 bucket: timedelta | None = skew.BUCKET) -> DataFrame:
     """Predictions of several models with a ``model_name`` column.
 
-    All spines go through one point-in-time join over the references of all models; only the
-    models themselves are loaded one by one, for the few rows of the catalog.
+    All spines go through one point-in-time join over the references of all models, and its rows are written once, in a folder for
+    each model; the models are loaded one by one and each reads its own folder.
     """
     refs: list[str] = []
     for row in catalog_rows:
@@ -78,7 +82,11 @@ def score_models(catalog_rows: list, spines: dict[str, DataFrame], champions: di
     tagged = [spines[row["model_name"]].withColumn("model_name", F.lit(row["model_name"])) for row in catalog_rows]
     spine = reduce(DataFrame.unionByName, tagged)
     features = historical_features(spine, refs, views, tables, allow_exact=allow_exact,
-                                   time_range=spine_time, hot_rows=hot_rows)
+                                   time_range=spine_time, bucket=bucket)
+    spark = features.sparkSession
+    folder = work_dir(spark, "scoring")
+    features.write.partitionBy("model_name").parquet(folder)
+    features = spark.read.schema(features.schema).parquet(folder)
     parts = []
     for row in catalog_rows:
         name = row["model_name"]
@@ -95,7 +103,10 @@ def score_catalog(spark: SparkSession, catalog: DataFrame, base: str, registry:
                   predictions: str | None = None, output: str = "class") -> str:
     """Scores every model of the catalog that has a champion; one output folder, partitioned by model."""
     champions = {row["name"]: row for row in Registry(spark, registry).champions().collect()}
-    rows = [row for row in catalog.select("model_name", "feature_refs").collect() if row["model_name"] in champions]
+    models = catalog.select("model_name", "feature_refs").collect()  # one row per model
+    rows = [row for row in models if row["model_name"] in champions]
+    if left_out := [row["model_name"] for row in models if row["model_name"] not in champions]:
+        logger.warning("%d models have no champion and are not scored: %s", len(left_out), ", ".join(left_out))
     spines = {row["model_name"]: score_spine(spark.read.parquet(f"{base}/{score_entities_file(row['model_name'])}"),
                                              run_ts) for row in rows}
     tables = view_tables(spark, views, base, view_paths or {})

@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 import uuid
 from dataclasses import dataclass, field, replace
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from functools import reduce
 from operator import or_
 
@@ -51,7 +51,7 @@ class TrainConfig:
     missing: str = "impute"
     partitions: int = 32
     allow_exact: bool = False
-    hot_rows: int | None = skew.HOT_ROWS
+    bucket: timedelta | None = skew.BUCKET
 
 
 @dataclass(frozen=True)
@@ -81,9 +81,8 @@ def view_tables(spark: SparkSession, views, base: str, paths: dict[str, str]) ->
 def training_set(spine: DataFrame, labels: DataFrame, tables: dict[str, DataFrame], cfg: TrainConfig) -> DataFrame:
     """Features as of each spine row, kept where there is a label for the same key and time."""
     features = historical_features(spine, list(cfg.refs), cfg.views, tables, allow_exact=cfg.allow_exact,
-                                   hot_rows=cfg.hot_rows)
-    return inner_join(features, label_scan(labels, cfg.label), [ENTITY_ID, EVENT_TIMESTAMP], cfg.hot_rows,
-                      feature_keys=spine)
+                                   bucket=cfg.bucket)
+    return inner_join(features, label_scan(labels, cfg.label), [ENTITY_ID, EVENT_TIMESTAMP])
 
 
 def row_key(rows: DataFrame) -> Column:

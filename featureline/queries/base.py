@@ -131,7 +131,7 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     spine = train_entities(spark, sf_dir)
     features = historical_features(spine, CUSTOMER_FEATURE_REFS, (CUSTOMER_VIEW,),
                                    {"customer_features": customer_features(spark, sf_dir)})
-    return inner_join(features, churn_labels(spark, sf_dir), ["entity_id", "event_timestamp"], feature_keys=spine)
+    return inner_join(features, churn_labels(spark, sf_dir), ["entity_id", "event_timestamp"])
 
 
 def catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

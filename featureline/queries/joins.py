@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from featureline.operators.asof import historical_features
@@ -42,14 +44,14 @@ FROM (SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_orderstatus
 ASOF LEFT JOIN f ON s.o_custkey = f.o_custkey AND s.o_orderdate {operator} f.o_orderdate"""
 
 
-def _order_asof(spark, sf, allow_exact, hot_rows=2_000_000):
+def _order_asof(spark, sf, allow_exact, bucket=timedelta(days=90)):
     orders = table(spark, sf, "orders")
     spine = orders.filter("o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "o_orderdate")
     pending = orders.filter("o_orderstatus = 'P'").select(
         "o_custkey", "o_orderdate", F.col("o_orderkey").alias("p_orderkey"), F.col("o_totalprice").alias("p_totalprice"))
     return historical_features(spine, "pending:p_orderkey,pending:p_totalprice", (b.PENDING_ORDERS,),
                                {"pending": pending}, spine_ts="o_orderdate", allow_exact=allow_exact,
-                               hot_rows=hot_rows)
+                               bucket=bucket)
 
 
 @query("j1_asof_strict_tiebreak", _order_asof_sql(">"))
@@ -76,13 +78,13 @@ SELECT s.event_id, s.user_id, s.ts, CASE WHEN f.ts >= s.ts - INTERVAL 1 DAY THEN
 FROM (SELECT event_id, user_id, ts FROM e WHERE event_type = 'purchase') s
 ASOF LEFT JOIN f ON s.user_id = f.user_id AND s.ts >= f.ts""")
 def asof_hot_user(spark, sf):
-    """Half of all rows on one user: that user is cut into time ranges."""
+    """Half of all rows on one user: every user is cut into time buckets."""
     events = table(spark, sf, "events").withColumn(
         "user_id", F.when(F.col("event_id") % 2 == 0, F.lit(0)).otherwise(F.col("user_id")))
     spine = events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
     views = events.filter("event_type = 'view'").select("user_id", "ts", "value")
     return historical_features(spine, "page_views:value", (b.PAGE_VIEWS,), {"page_views": views}, spine_ts="ts",
-                               allow_exact=True, hot_rows=500)
+                               allow_exact=True, bucket=timedelta(hours=6))
 
 
 @query("j2_two_views", f"""

@@ -19,6 +19,9 @@ def build_session(app: str = "featureline", master: str | None = None, **conf: s
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
+        # The alarm stream keeps its state in column families, which only this store has.
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         **conf,
     }
     for key, value in settings.items():

@@ -148,15 +148,15 @@ def sample(seed, n):
 def test_plain_and_cut_forms_equal_brute_force(spark, seed, exact):
     spine, features = sample(seed, 600)
     expected = brute(spine, features, VIEW.ttl, exact)
-    for hot_rows in (None, 10_000, 40):
-        out = join(spark, spine, features, allow_exact=exact, hot_rows=hot_rows)
-        assert rows(out, "note", "a", "b") == expected, hot_rows
+    for bucket in (None, timedelta(days=400), timedelta(days=30), timedelta(hours=7)):
+        out = join(spark, spine, features, allow_exact=exact, bucket=bucket)
+        assert rows(out, "note", "a", "b") == expected, bucket
 
 
 def test_identical_spine_rows_of_a_hot_key_are_all_kept(spark):
     spine = [("hot", ts("2024-02-01"), "same")] * 500 + [("k", ts("2024-02-01"), "one")]
     features = [("hot", ts("2024-01-25") + timedelta(hours=i % 100), 1, i) for i in range(300)]
-    out = join(spark, spine, features, hot_rows=50)
+    out = join(spark, spine, features, bucket=timedelta(hours=5))
     assert out.groupBy("note", "b").count().orderBy("note").collect()[1]["count"] == 500
     assert out.count() == 501
 
@@ -166,7 +166,7 @@ def test_result_does_not_depend_on_partitioning(spark, parts):
     spine, features = sample(3, 200)
     s = spark.createDataFrame(spine, SPINE).repartition(parts)
     f = spark.createDataFrame(features, FEATURES).repartition(parts)
-    out = historical_features(s, "v:a,v:b", (VIEW,), {"v": f}, hot_rows=30)
+    out = historical_features(s, "v:a,v:b", (VIEW,), {"v": f}, bucket=timedelta(days=1))
     assert rows(out, "note", "a", "b") == brute(spine, features, VIEW.ttl, False)
 
 
@@ -175,7 +175,7 @@ def test_views_with_equal_keys_share_one_shuffle(spark):
     s = spark.createDataFrame([("x", ts("2024-01-10"), "s")], SPINE)
     f = spark.createDataFrame([("x", ts("2024-01-09"), 1, 2)], FEATURES)
     g = f.select("entity_id", "event_timestamp", F.col("a").alias("c"))
-    out = historical_features(s, "v:a,w:c", (VIEW, other), {"v": f, "w": g}, hot_rows=None)
+    out = historical_features(s, "v:a,w:c", (VIEW, other), {"v": f, "w": g}, bucket=None)
     plan = explained(out)
     assert plan.count(") Exchange") == 1 and plan.count(") Window") == 1
     assert rows(out, "a", "c") == [(1, 1)]
@@ -195,15 +195,15 @@ def test_hot_keys_of_two_views_and_two_key_columns(spark):
 
     spine, lt, rt = table(300, "n"), table(300, "a"), table(300, "c")
     args = (spine, "l:a,r:c", (left, right), {"l": lt, "r": rt})
-    plain = historical_features(*args, hot_rows=None)
-    cut = historical_features(*args, hot_rows=60)
+    plain = historical_features(*args, bucket=None)
+    cut = historical_features(*args, bucket=timedelta(days=2))
     assert rows(plain) == rows(cut)
 
 
 def test_scan_is_cut_to_the_spine_times(spark, folder):
     spark.createDataFrame([("x", ts("2024-01-09"), 1, 2)], FEATURES).write.parquet(f"{folder}/f")
     s = spark.createDataFrame([("x", ts("2024-01-10"), "s")], SPINE)
-    out = historical_features(s, "v:a", (VIEW,), {"v": spark.read.parquet(f"{folder}/f")}, hot_rows=None)
+    out = historical_features(s, "v:a", (VIEW,), {"v": spark.read.parquet(f"{folder}/f")}, bucket=None)
     plan = explained(out)
     assert "GreaterThanOrEqual(event_timestamp,2023-12-31T00:00)" in plan
     assert "LessThanOrEqual(event_timestamp,2024-01-10T00:00)" in plan
@@ -217,7 +217,7 @@ def test_date_partitions_are_skipped(spark, folder):
     view = FeatureView("v", (CUSTOMER,), VIEW.schema, ttl=timedelta(days=5), ts_type=NTZ, date_column="event_date")
     table = read_view(spark, view, f"{folder}/f")
     s = spark.createDataFrame([("x", ts("2024-02-01"), "s")], SPINE)
-    out = historical_features(s, "v:a", (view,), {"v": table}, hot_rows=None)
+    out = historical_features(s, "v:a", (view,), {"v": table}, bucket=None)
     plan = explained(out)
     assert "PartitionFilters: [isnotnull(event_date" in plan
     assert out.first()["a"] == 30

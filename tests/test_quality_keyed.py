@@ -91,8 +91,8 @@ def test_empty_guard(spark):
     assert caught.value.error_id == "2001"
 
 
-@pytest.mark.parametrize("hot_rows", [None, 1_000_000, 25])
-def test_leakage_counts_equal_all_pairs(spark, hot_rows):
+@pytest.mark.parametrize("bucket", [None, timedelta(days=30), timedelta(hours=9)])
+def test_leakage_counts_equal_all_pairs(spark, bucket):
     rng = random.Random(5)
 
     def table(n):
@@ -101,7 +101,7 @@ def test_leakage_counts_equal_all_pairs(spark, hot_rows):
 
     f, l = table(300), table(200)
     schema = "entity_id string, event_timestamp timestamp_ntz"
-    out = leakage_report(spark.createDataFrame(f, schema), spark.createDataFrame(l, schema), hot_rows=hot_rows).first()
+    out = leakage_report(spark.createDataFrame(f, schema), spark.createDataFrame(l, schema), bucket=bucket).first()
     pairs = [(a, b) for k, a in f for j, b in l if k == j]
     assert int(out["n_pairs"]) == len(pairs)
     assert int(out["n_leaking"]) == sum(a >= b for a, b in pairs)
@@ -132,11 +132,11 @@ def test_latest_and_first_per_key(spark):
     assert rows(first_per_key(df, ["k"], ["t", "n"])) == [("a", 1, 5, "x"), ("b", 1, 1, "z")]
 
 
-@pytest.mark.parametrize("hot_rows", [None, 1_000_000, 3])
-def test_insert_accepts_the_first_of_new_names(spark, hot_rows):
+@pytest.mark.parametrize("salts", [1, 5])
+def test_insert_accepts_the_first_of_new_names(spark, salts):
     existing = spark.createDataFrame([("old",)], "name string")
     requests = [("new", i) for i in range(10)] + [("old", 20), ("other", 30)]
-    out = keyed_insert(existing, spark.createDataFrame(requests, "name string, n int"), "name", ["n"], hot_rows)
+    out = keyed_insert(existing, spark.createDataFrame(requests, "name string, n int"), "name", ["n"], salts)
     got = {(r["name"], r["n"]): r["status"] for r in out.collect()}
     assert len(got) == 12
     assert [k for k, s in sorted(got.items()) if s == "accepted"] == [("new", 0), ("other", 30)]
@@ -150,25 +150,25 @@ def test_update_null_clears_and_unknown_is_reported(spark):
     assert rows(unknown_keys(table, updates, "k")) == [("q", "n")]
 
 
-@pytest.mark.parametrize("hot_rows", [None, 1_000_000, 4])
-def test_joins_with_hot_keys_on_either_side(spark, hot_rows):
+@pytest.mark.parametrize("salts", [1, 4])
+def test_joins_with_hot_keys_on_either_side(spark, salts):
     left = [("h", i) for i in range(20)] + [("r", 100), ("x", 101), (None, 102)]
     right = [("r", i) for i in range(15)] + [("h", 200), ("y", 201), (None, 202)]
     l, r = spark.createDataFrame(left, "k string, a int"), spark.createDataFrame(right, "k string, b int")
     expected = sorted([(k, a, b) for k, a in left for j, b in right if k is not None and k == j], key=str)
-    assert rows(inner_join(l, r, ["k"], hot_rows)) == expected
-    both = suffix_join(l.withColumnRenamed("a", "t"), r.withColumnRenamed("b", "t"), ["k"], ("_l", "_r"), hot_rows)
+    assert rows(inner_join(l, r, ["k"], salts)) == expected
+    both = suffix_join(l.withColumnRenamed("a", "t"), r.withColumnRenamed("b", "t"), ["k"], ("_l", "_r"), salts)
     assert both.columns == ["k", "t_l", "t_r"] and rows(both) == expected
 
 
 def test_hot_rows_of_one_partition_are_spread(spark):
-    from featureline.operators.skew import SALTS, spread
+    from featureline.operators.skew import spread
 
     df = spark.range(0, 2000, 1, 1).select(F.lit("h").alias("k"), "id")
-    copies = df.select(spread(df, F.lit(SALTS)).alias("c")).groupBy("c").count().collect()
-    assert len(copies) == SALTS and max(r["count"] for r in copies) < 100
+    copies = df.select(spread(df, F.lit(64)).alias("c")).groupBy("c").count().collect()
+    assert len(copies) == 64 and max(r["count"] for r in copies) < 100
     equal = spark.range(0, 2000, 1, 50).select(F.lit("h").alias("k"))
-    assert equal.select(spread(equal, F.lit(SALTS)).alias("c")).distinct().count() > 20
+    assert equal.select(spread(equal, F.lit(64)).alias("c")).distinct().count() > 20
 
 
 def test_unmatched(spark):
