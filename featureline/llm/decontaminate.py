@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from featureline.llm.frames import fields, others, parts, record, utf8
+from featureline.llm.frames import ROW, fields, others, parts, record, utf8, whole_rows
 from featureline.llm.words import U64, letters, lowered, split_words
 
 WINDOW = 10
@@ -172,21 +172,23 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents with hit words cut out of their texts; all columns stay."""
-    found = contamination(docs.withColumn("__featureline_whole", F.col(text)), benchmark, text=text, **options)
-    schema = T.StructType([docs.schema[c] for c in docs.columns])
+    found = contamination(whole_rows(docs, id, text), benchmark, id=id, text=text, **options).select(
+        ROW, F.col(f"{ROW}.`{text}`").alias("text"), "hit_starts", "hit_ends")
+    schema = T.StructType([found.schema[ROW], *fields("text string")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole, starts, ends = (batch.column(c).to_pylist() for c in ("__featureline_whole", "hit_starts", "hit_ends"))
-            clean = [t if not s else _cut(t, list(zip(s, e))) for t, s, e in zip(whole, starts, ends)]
-            yield record(schema, {c: batch.column(c) for c in docs.columns if c != text} | {text: pa.array(clean, pa.string())})
+            columns = (batch.column(c).to_pylist() for c in ("text", "hit_starts", "hit_ends"))
+            clean = [t if not s else _cut(t, list(zip(s, e))) for t, s, e in zip(*columns)]
+            yield record(schema, {ROW: batch.column(ROW), "text": pa.array(clean, pa.string())})
 
-    return found.mapInArrow(run, schema)
+    cut = found.mapInArrow(run, schema)
+    return cut.select(*(F.col("text").alias(c) if c == text else F.col(f"{ROW}.`{c}`").alias(c) for c in docs.columns))
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
+def remove_documents(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents without any hit; all columns stay."""
-    found = contamination(docs.withColumn("__featureline_whole", F.col(text)), benchmark, text=text, **options)
-    return found.where("n_hit = 0").select(*(F.col("__featureline_whole").alias(c) if c == text else F.col(c) for c in docs.columns))
+    found = contamination(whole_rows(docs, id, text), benchmark, id=id, text=text, **options)
+    return found.where("n_hit = 0").select(f"{ROW}.*")

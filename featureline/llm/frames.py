@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 _KINDS = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "binary": T.BinaryType(),
           "boolean": T.BooleanType(), "double": T.DoubleType(), "longs": T.ArrayType(T.LongType()),
@@ -18,6 +18,15 @@ def fields(text: str) -> list[T.StructField]:
     return [T.StructField(*(lambda n, k: (n, _KINDS[k]))(*x.split())) for x in text.split(",")]
 
 
+#: A whole row, carried through an operator whose results may have the names of its columns.
+ROW = "__featureline_row"
+
+
+def whole_rows(df: DataFrame, *names: str) -> DataFrame:
+    """Each row as one column, beside the columns that an operator reads."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(ROW), *names)
+
+
 def others(df: DataFrame, *results: str) -> list[str]:
     """The columns of ``df`` that go along: all but those with the names of results."""
     return [c for c in df.columns if c not in results]
@@ -25,13 +34,15 @@ def others(df: DataFrame, *results: str) -> list[str]:
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and where each row begins; null rows are empty."""
-    column = column.cast(pa.large_string()).fill_null("")
+    if column.null_count:
+        column = column.fill_null("")
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset: column.offset + len(column) + 1]
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(offsets, kind)[column.offset: column.offset + len(column) + 1].astype(np.int64)
     return (np.frombuffer(data, np.uint8) if data and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def parts(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def parts(offsets: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Runs of rows with about ``most`` bytes of text each; a longer row is a run of its own."""
     at, last = 0, len(offsets) - 1
     while at < last:

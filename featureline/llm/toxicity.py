@@ -6,8 +6,8 @@ cost; a run of three or more may stand for one letter or two. Viterbi decoding u
 reading. The trigrams are counted over all documents (each task sends its sums) on the bytes of their words, so the model has a
 fixed size.
 
-Score. A logistic regression on which words occur in the restored text. It is fitted on at most ``sample`` labelled rows, those with the
-smallest hash of doc_id among the rows to learn from; their most telling ``FEATURES`` words are its features.
+Score. A logistic regression on which words, and beginnings of words, occur in the restored text. It is fitted on at most ``sample`` labelled rows, those with the
+smallest hash of doc_id among the rows to learn from; their most telling ``FEATURES`` words and beginnings are its features.
 
 Null and empty texts have no words and get the base score. Several labels of one document count as toxic if one is; null labels are ignored. Copies
 of a text are fitted once. Without rows of both classes all scores are equal. Empty tables give empty ones. Other columns stay, but for
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from featureline.llm.frames import fields, others, parts, record, utf8
+from featureline.llm.frames import ROW, fields, others, parts, record, utf8, whole_rows
 from featureline.session import work_dir
 
 #: Symbols of the character model: a border, a-z, and the low six bits of other bytes.
@@ -31,6 +31,8 @@ SYMBOLS = 91
 FEATURES = 512
 #: Labelled rows that the classifier is fitted on at most.
 SAMPLE = 20_000
+#: Bytes of a word's beginning.
+BEGINNING = 4
 CACHE_ENTRIES = 200_000
 RESULT = fields("score double, predicted int")
 #: What each look-alike may stand for.
@@ -60,7 +62,7 @@ def hidden(low: str) -> list[tuple[int, int]]:
     found = []
     for m in _SPACED.finditer(low):
         start = m.start() + (m[0][0] in " .-_\n")
-        if (whole := _SPELT.match(low, start)) and whole.end() - start >= 5:
+        if (whole := _SPELT.match(low, start)) and whole.end() - start >= 5 and any(c.isalpha() for c in whole[0]):
             found.append((start, whole.end()))
     for m in _LOOKS.finditer(low):
         start = _starts(low, m.start())
@@ -107,16 +109,12 @@ class Restorer:
             c, end = seen[at], at + 1
             while end < len(seen) and seen[end] == c:
                 end += 1
-            run = end - at if c.isalpha() else 1
+            run = end - at
             if c.isalpha():
-                if run >= 3:
-                    out.append([(c, _RUN), (c + c, 2 * _RUN)])
-                else:
-                    out += [[(c, _SAME)]] * run
+                out += [[(c, _RUN), (c + c, 2 * _RUN)]] if run >= 3 else [[(c, _SAME)]] * run
             elif c in LOOKALIKES:
-                out.append([(m, _MEANT) for m in LOOKALIKES[c]])
-                if c in "!|*+(":
-                    out[-1].append(("", _MEANT + _GAP))
+                one = [(m, _MEANT) for m in LOOKALIKES[c]] + ([("", _MEANT + _GAP)] if c in "!|*+(" else [])
+                out += [[(k * m, cost + k * _RUN) for m, cost in one for k in (1, 2)]] if run >= 3 else [one] * run
             elif spaced:
                 out.append([("", _GAP)])
             at += run
@@ -153,13 +151,15 @@ class Restorer:
             at = b
         return "".join([*out, low[at:]])
 
-    def words(self, text: str) -> set[bytes]:
-        """The words as they stand, and the restored ones."""
+    def features(self, text: str) -> set[bytes]:
+        """The words as they stand and the restored ones, and the beginnings of all (with a star)."""
         low = text.lower()
         words = plain_words(low)
         for a, b in hidden(low):
             words |= plain_words(self.restore(low[a:b]))
-        return words
+        return words | {w[:BEGINNING] + b"*" for w in words if len(w) > BEGINNING}
+
+    words = features
 
 
 def count_trigrams(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
@@ -169,10 +169,8 @@ def count_trigrams(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         data, offsets = utf8(batch.column(0))
         for a, b in parts(offsets):
             block = _SYMBOL[data[offsets[a]:offsets[b]]]
-            line = np.zeros(len(block) + 2, np.int64)
-            ends = (offsets[a:b] - offsets[a])[1:]  # a border between texts, in place of the byte before it
-            line[2:] = block
-            line[ends[ends > 0] + 1] = 0
+            # A border after each text, and two before the first.
+            line = np.concatenate([[0, 0], np.insert(block, offsets[a + 1:b + 1] - offsets[a], 0)])
             first, middle, last = line[:-2], line[1:-1], line[2:]
             used = (middle > 0) | (last > 0)
             first = np.where(middle > 0, first, 0)
@@ -195,7 +193,7 @@ def char_model(docs: DataFrame, text: str = "text") -> CharModel:
     return CharModel(counts)
 
 
-def _fit(rows: list[tuple[list[int], int]], n: int, l2: float = 0.3, steps: int = 30) -> tuple[np.ndarray, float]:
+def _fit(rows: list[tuple[list[int], int]], n: int, l2: float = 0.1, steps: int = 30) -> tuple[np.ndarray, float]:
     """Weights and intercept of a regularised logistic regression, by Newton steps."""
     x = np.zeros((len(rows), n + 1), np.float32)
     x[:, n] = 1
@@ -225,7 +223,7 @@ def _train(docs: DataFrame, labels: DataFrame, model, id: str, text: str, label:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = _restorer(model)
         for batch in batches:
-            words = [sorted(w.decode("utf-8", "replace") for w in restorer.words(t or "")) for t in batch.column("__featureline_text").to_pylist()]
+            words = [sorted(w.decode("utf-8", "replace") for w in restorer.features(t or "")) for t in batch.column("__featureline_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_label"), batch.column("_hash"),
                                               pa.array(words, pa.list_(pa.string()))], names=["_id", "_label", "_hash", "words"])
 
@@ -262,8 +260,8 @@ def _restorer(shared) -> Restorer:
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, *, corpus: DataFrame | None = None, id: str = "doc_id", text: str = "text",
-                    label: str = "toxic", learn=None, sample: int = SAMPLE, keep_text: bool = False) -> DataFrame:
-    """Adds score and predicted to every row.
+                    label: str = "toxic", learn=None, sample: int = SAMPLE) -> DataFrame:
+    """Adds score and predicted to every row; ``text`` stays behind.
 
     ``corpus`` is what the character model is counted on and the labelled texts are taken from (by default the documents themselves); ``learn`` is a
     condition on label rows: which of them may be learnt from.
@@ -272,14 +270,14 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, corpus: DataFrame | N
     model = docs.sparkSession.sparkContext.broadcast(char_model(corpus, text))
     learn = F.lit(True) if learn is None else learn
     weights, intercept = _train(corpus, labels, model, id, text, label, learn, sample)
-    kept = others(docs, *(f.name for f in RESULT), *(() if keep_text else (text,)))
+    kept = others(docs, text, *(f.name for f in RESULT))
     schema = T.StructType([docs.schema[c] for c in kept] + RESULT)
     weights = {w.encode(): x for w, x in weights.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, telling = _restorer(model), frozenset(weights)
         for batch in batches:
-            total = [intercept + sum(map(weights.__getitem__, sorted(telling & restorer.words(t.as_py() or ""))))
+            total = [intercept + sum(map(weights.__getitem__, sorted(telling & restorer.features(t.as_py() or ""))))
                      for t in batch.column("__featureline_text")]
             score = 1 / (1 + np.exp(-np.clip(np.array(total, float), -30, 30)))
             yield record(schema, {c: batch.column(c) for c in kept} | {
@@ -288,7 +286,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, corpus: DataFrame | N
     return docs.select(*kept, F.col(text).cast("string").alias("__featureline_text")).mapInArrow(run, schema)
 
 
-def remove_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def remove_toxic(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents that are not predicted to be toxic; all columns stay."""
-    scored = toxicity_scores(docs, labels, keep_text=True, **options)
-    return scored.where("predicted = 0").select(*docs.columns)
+    scored = toxicity_scores(whole_rows(docs, id, text), labels, corpus=docs, id=id, text=text, **options)
+    return scored.where("predicted = 0").select(f"{ROW}.*")
