@@ -1,19 +1,21 @@
 """Byte-level substring deduplication by merged Burrows-Wheeler transforms.
 
-A byte is removed if it lies in a string of ``window`` bytes that also starts in a document with a smaller id. The distinct contexts (see
-:mod:`featureline.llm.repeats`) of several anchors make a block; each anchor's contexts are dealt over shards, so that equal strings meet in different ones. Each shard
-is sorted on its own and gives its transform. Two transforms are merged without looking at their suffixes again: the interleave (which
-shard each merged row comes from) starts as "all of the first, then all of the second", and every step sorts it, stably, by the
-symbols that the transforms hold, which refines it by one symbol. Rows that a step tells apart for the first time have a common prefix
-of as many symbols as there were steps before; after ``window`` steps, rows that no step told apart are the repeated intervals. The smallest
-document of an interval decides for all of its rows.
-
-Merging goes on in pairs until the block is one transform. Blocks hold about ``BLOCK`` bytes (a crowded anchor makes a larger one), so a task's memory doesn't
-grow with the corpus.
-
-Texts are their UTF-8 bytes; null and empty texts have none. Matches never cross documents: every context ends with a separator, which is no
-byte. Strings are judged on the input; repeats within a document, and between rows that share an id, stay. Rows with a null id stay as
-they are. An empty table gives an empty one. Columns other than id and text are not read.
+A byte is removed if it lies in a string of ``window`` bytes that also starts in a document with a smaller id. The
+distinct contexts (see :mod:`featureline.llm.repeats`) of several anchors make a block; each anchor's contexts are dealt
+over shards, so that equal strings meet in different ones. Each shard is sorted on its own and gives its transform. Two
+transforms are merged without looking at their suffixes again: the interleave (which shard each merged row comes from)
+starts as "all of the first, then all of the second", and every step sorts it, stably, by the symbols that the
+transforms hold, which refines it by one symbol. Rows that a step tells apart for the first time have a common prefix of
+as many symbols as there were steps before; after ``window`` steps, rows that no step told apart are the repeated
+intervals. The smallest document of an interval decides for all of its rows.
+
+Merging goes on in pairs until the block is one transform. Blocks hold about ``BLOCK`` bytes (a crowded anchor makes a
+larger one), so a task's memory doesn't grow with the corpus.
+
+Texts are their UTF-8 bytes; null and empty texts have none. Matches never cross documents: every context ends with a
+separator, which is no byte. Strings are judged on the input; repeats within a document, and between rows that share an
+id, stay. Rows with a null id stay as they are. An empty table gives an empty one. Columns other than id and text are
+not read.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from featureline.llm.frames import fields, utf8
-from featureline.llm.repeats import SPANS, Kind, covered, grouped, repeated
+from featureline.llm.repeats import Kind, contexts_of, covered, repeated, spans
 from featureline.session import work_dir
 
 WINDOW = 50
@@ -47,7 +49,7 @@ class Transform:
     places: np.ndarray
 
 
-def shard_transform(text: np.ndarray, places: np.ndarray, depth: int) -> Transform:
+def shard_transform(text: np.ndarray, places: np.ndarray, depth: int, kind: type) -> Transform:
     """Of the rotations of a text (symbols below 512), sorted by at least ``depth`` symbols."""
     n = len(text)
     # Seven symbols of nine bits are sorted at once, then twice as many each time.
@@ -60,7 +62,7 @@ def shard_transform(text: np.ndarray, places: np.ndarray, depth: int) -> Transfo
         rank = np.unique(key, return_inverse=True)[1].ravel()
         done *= 2
     order = np.argsort(rank, kind="stable")
-    return Transform(text[order - 1].astype(np.uint16), places[order])
+    return Transform(text[order - 1].astype(kind), places[order])
 
 
 def merged(x: Transform, y: Transform, depth: int) -> tuple[Transform, np.ndarray]:
@@ -99,9 +101,11 @@ def block_repeats(contexts: list[tuple[int, bytes]], window: int) -> Iterator[tu
     begins = np.cumsum(sizes) - sizes
     whole = np.frombuffer(b"".join(c + b"\0" for _, c in contexts), np.uint8).astype(np.int64) + 1
     whole[begins + sizes - 1] = 0
+    whole = np.unique(whole, return_inverse=True)[1].ravel()  # few symbols, in the same order
     owner = np.repeat(np.arange(len(contexts)), sizes)
     place = np.arange(len(whole))
-    shards = [shard_transform(whole[k], place[k], window) for s in range(SHARDS)
+    kind = np.uint8 if whole.max() < 256 else np.uint16
+    shards = [shard_transform(whole[k], place[k], window, kind) for s in range(SHARDS)
               if (k := owner % SHARDS == s).any()]
     while len(shards) > 1:
         pairs = [merged(a, b, window) for a, b in zip(shards[::2], shards[1::2])]
@@ -118,24 +122,24 @@ def block_repeats(contexts: list[tuple[int, bytes]], window: int) -> Iterator[tu
     yield from zip(owner[found].tolist(), (found - begins[owner[found]]).tolist())
 
 
-def _resolve(window: int):
-    def spans(rows: list[tuple]) -> pa.RecordBatch:
+def _resolve(kind: Kind):
+    def found(rows: list[tuple]) -> list[tuple]:
         starts: dict[int, list[int]] = {}
-        for k, offset in block_repeats([(i, c) for i, _, _, c in rows], window):
+        for k, offset in block_repeats([(i, c) for i, _, _, c in rows], kind.window):
             starts.setdefault(k, []).append(rows[k][2] + offset)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([rows[k][0] for k in starts], pa.int64()), pa.array([rows[k][1] for k in starts], pa.int32()),
-             pa.array(list(starts.values()), pa.list_(pa.int32()))], names=SPANS.names)
+        return [(*rows[k][:2], s) for k, s in starts.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size = [], 0
-        for rows in grouped(batches):
-            block += rows
-            size += sum(len(c) for *_, c in rows)
-            if size >= BLOCK:
-                yield spans(block)
-                block, size = [], 0
-        yield spans(block)
+        block, size, out = [], 0, []
+        for rows, known in contexts_of(batches, kind):
+            out += known
+            if len(rows) > 1:
+                block += rows
+                size += sum(len(c) for *_, c in rows)
+            if size >= BLOCK or len(out) >= 10_000:
+                yield spans(out + found(block))
+                block, size, out = [], 0, []
+        yield spans(out + found(block))
 
     return run
 
@@ -169,6 +173,6 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", w
     """One row per document: id, n_bytes, n_removed, n_spans, kept (the bytes left) and kept_sha256."""
     bare = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     kind = Kind(False, window, gram)
-    out = repeated(bare, kind, _resolve(window), work_dir(docs.sparkSession, "bytes"), _finish(kind, keep_bytes), RESULT)
+    out = repeated(bare, kind, _resolve(kind), work_dir(docs.sparkSession, "bytes"), _finish(kind, keep_bytes), RESULT)
     out = out.withColumnRenamed("id", id)
     return out if keep_bytes else out.drop("kept")

@@ -22,9 +22,24 @@ def fields(text: str) -> list[T.StructField]:
 ROW = "__featureline_row"
 
 
-def whole_rows(df: DataFrame, *names: str) -> DataFrame:
-    """Each row as one column, beside the columns that an operator reads."""
-    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(ROW), *names)
+#: The text that an operator reads, beside the other columns.
+TEXT = "__featureline_text"
+
+
+def whole_rows(df: DataFrame, id: str, text: str) -> DataFrame:
+    """Each row as one column, with its text once more under a name that is known; the id stands beside it."""
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text), F.col(text).cast("string").alias(TEXT))
+    return df.select(row.alias(ROW), id, F.lit(None).cast("string").alias(text))
+
+
+def text_of(batch: pa.RecordBatch) -> pa.Array:
+    """The text column, or the text inside whole rows."""
+    return batch.column(ROW).field(TEXT) if ROW in batch.schema.names else batch.column(TEXT)
+
+
+def columns_of(df: DataFrame, text: str) -> list:
+    """The columns of whole rows, under their own names."""
+    return [F.col(f"{ROW}.{TEXT}").alias(c) if c == text else F.col(f"{ROW}.`{c}`").alias(c) for c in df.columns]
 
 
 def others(df: DataFrame, *results: str) -> list[str]:

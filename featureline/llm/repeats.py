@@ -1,17 +1,20 @@
 """Windows of ``window`` symbols (words or bytes) that also start in a document with a smaller id.
 
-Finding what can repeat. In each window the ``gram`` of the smallest hash is its anchor, so equal windows have equal anchors. A window lies in the *context* of its
-anchor: the anchor with ``window - gram`` symbols on each side. Each task joins its own anchors first: of documents with equal
-contexts only the first is sent, and all windows of that context repeat in the others. What is sent is packed in byte strings, one for each bucket
-of anchors, so that sorting and comparing are array operations.
-
-A bucket's task joins equal contexts in the same way. Anchors of one document only, and anchors with one context only, are done then. Where an
-anchor has several contexts (at the ends of repeated passages, and around edits), the contexts' contents are fetched from the first
-document of each, dealt by anchor, and handed to ``resolve``, which says which of their windows start in a smaller document.
-
-Documents are told apart by (id, 32 bits of a hash of the text), so rows that share an id may have different texts; windows of
-rows with the same id never count against each other. Rows with a null id are neither changed nor looked up. What one task holds
-is a batch, a bucket (a ``1 / buckets`` share of all anchors) or the distinct contexts of one anchor.
+Finding what can repeat. In each window the ``gram`` of the smallest hash is its anchor, so equal windows have equal
+anchors. A window lies in the *context* of its anchor: the anchor with ``window - gram`` symbols on each side. Each task
+joins its own anchors first: of documents with equal contexts only the first is sent, and all windows of that context
+repeat in the others. What is sent is packed in byte strings, one for each bucket of anchors, so that sorting and
+comparing are array operations.
+
+A bucket's task joins equal contexts in the same way. Anchors of one document only, and anchors with one context only,
+are done then. Where an anchor has several contexts (at the ends of repeated passages, and around edits), the contexts'
+contents are fetched from the first document of each, dealt by anchor, and handed to ``resolve``, which says which of
+their windows start in a smaller document.
+
+Documents are told apart by (id, 31 bits of a hash of the text), so rows that share an id may have different texts;
+windows of rows with the same id never count against each other. Rows with a null id are neither changed nor looked up.
+What one task holds is a batch, a bucket (a ``1 / buckets`` share of all anchors) or the distinct contexts of one
+anchor.
 """
 
 from __future__ import annotations
@@ -21,14 +24,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from featureline.llm.frames import fields, parts, utf8
 from featureline.llm.words import U64, letters, mixed, numbers, split_words
 
 #: Anchors that a task gathers before it sends them.
-GATHERED = 1 << 20
+GATHERED = 1 << 18
 #: Bits of the table that tells which documents have findings: 8 MB.
 FILTER_BITS = 26
 _BYTE = numbers(256, 5)
@@ -37,7 +39,7 @@ _powers: dict[int, np.ndarray] = {}
 LETTERS = letters((0x20, 0x20), (0x09, 0x0D))
 
 _FOUND = T.StructType(fields("bucket int, packed binary, id long, mark int, pos ints, anchors longs"))
-_CONTEXTS = T.StructType(fields("anchor long, id long, mark int, start int, content binary"))
+_CONTEXTS = T.StructType(fields("anchor long, id long, mark int, start int, at int, content binary"))
 SPANS = T.StructType(fields("id long, mark int, starts ints"))
 
 
@@ -65,10 +67,6 @@ class Kind:
         return np.maximum(pos - self.reach, 0), np.minimum(pos + self.gram + self.reach, n)
 
 
-def mark_of(raw: bytes) -> int:
-    return xxhash.xxh32_intdigest(raw) - (1 << 31)
-
-
 def _power(base: int, n: int) -> np.ndarray:
     """The first n powers of an odd number, modulo 2 ** 64."""
     known = _powers.get(base)
@@ -193,7 +191,7 @@ def _unpacked(raw: bytes, bucket: int, bucket_bits: int) -> tuple[np.ndarray, ..
     context, place, pos = (np.ascontiguousarray(planes(4, n)).view("<u4").ravel() for _ in range(3))
     ids = np.cumsum(np.ascontiguousarray(planes(8, n_docs)).view("<i8").ravel())
     marks = np.frombuffer(raw, "<i4", n_docs, at)
-    return anchor, context.astype(U64), ids[place], marks[place], pos.astype(np.int32)
+    return anchor, context, ids[place], marks[place], pos.astype(np.int32)
 
 
 def _send(kind: Kind, bucket_bits: int):
@@ -212,7 +210,7 @@ def _send(kind: Kind, bucket_bits: int):
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            marks = np.array([mark_of(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])], np.int32)
+            marks = batch.column("mark").to_numpy(zero_copy_only=False)
             for a, b in parts(offsets):
                 symbols, first = kind.symbols(data, offsets[a:b + 1])
                 p, anchor, context = anchors(symbols, first, kind)
@@ -279,29 +277,69 @@ def _fetch(kind: Kind):
                 n = len(words.starts) if kind.words else len(raw)
                 for each in asked:
                     pos = np.array(each["pos"])
-                    for s, e, anchor in zip(*(x.tolist() for x in kind.around(pos, n)), each["anchors"]):
+                    for p, s, e, anchor in zip(each["pos"], *(x.tolist() for x in kind.around(pos, n)), each["anchors"]):
                         got = raw[words.starts[s]:words.ends[e - 1]] if kind.words else raw[s:e]
-                        rows.append((anchor, i, mark, s, got.tobytes()))
+                        rows.append((anchor, i, mark, s, p - s, got.tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))],
+                    [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))],
                     names=_CONTEXTS.names)
 
     return run
 
 
-def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows (id, mark, start, content) of each anchor, from rows in the order of anchors."""
+def _agreeing(sides: list) -> list[int]:
+    """How much of each side begins like some other side: what it shares with a neighbour in sorted order."""
+    order = sorted(range(len(sides)), key=sides.__getitem__)
+    most = [0] * len(sides)
+    for i, j in zip(order, order[1:]):
+        x, y, n = sides[i], sides[j], 0
+        for a, b in zip(x, y):
+            if a != b:
+                break
+            n += 1
+        most[i], most[j] = max(most[i], n), max(most[j], n)
+    return most
+
+
+def contexts_of(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[tuple[list[tuple], list[tuple]]]:
+    """For each anchor, from rows in the order of anchors: its distinct contexts (id, mark, start, symbols) in the order of ids, and
+    the windows (id, mark, starts) that are known to repeat.
+
+    The ends of a context that agree with no other one can't be in a repeat, so they are cut off. Contexts that become equal are joined:
+    the first document's goes on, in the others all of its windows repeat.
+    """
+    def joined(rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+        symbols = [c.split() if kind.words else c for *_, c in rows]
+        left = _agreeing([s[:at][::-1] for s, (*_, at, _) in zip(symbols, rows)])
+        right = _agreeing([s[at + kind.gram:] for s, (*_, at, _) in zip(symbols, rows)])
+        first, known = {}, []
+        for s, (i, mark, start, at, _), a, b in zip(symbols, rows, left, right):
+            s, start = s[at - a:at + kind.gram + b], start + at - a
+            if len(s) < kind.window:
+                continue
+            key = tuple(s) if kind.words else s
+            if (old := first.setdefault(key, (i, mark, start, s)))[0] < i:
+                known.append((i, mark, list(range(start, start + len(s) - kind.window + 1))))
+            elif old[1:3] != (mark, start):  # once more in the first document
+                first[key, mark, start] = (i, mark, start, s)
+        return sorted(first.values(), key=lambda x: x[0]), known
+
     last, held = None, []
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in _CONTEXTS.names)):
             if row[0] != last and held:
-                yield held
+                yield joined(held)
                 held = []
             last = row[0]
             held.append(row[1:])
     if held:
-        yield held
+        yield joined(held)
+
+
+def spans(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32())]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=SPANS.names)
 
 
 def _bit(*columns: str):
@@ -318,27 +356,21 @@ def _table(keys: DataFrame):
 
 
 def _through(shared, wanted: bool):
-    """Rows that the table lets through, or the others."""
+    """Rows that the table lets through, or the others. Without the column ``bit``, which only serves here."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, U64)
         for batch in batches:
             at = batch.column("bit").to_numpy(zero_copy_only=False)
             take = ((bits[at >> 6] >> (at & 63).astype(U64)) & U64(1) == 1) & batch.column("id").is_valid().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(take if wanted else ~take))
+            yield batch.filter(pa.array(take if wanted else ~take)).select([n for n in batch.schema.names if n != "bit"])
 
     return run
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """(id, mark, text, bit) of every row; null texts are empty."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            marks = [mark_of(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(marks, pa.int32()), batch.column("text")],
-                                             names=["id", "mark", "text"])
-
-    return docs.mapInArrow(run, T.StructType(fields("id long, mark int, text string"))).withColumn("bit", _bit("id", "mark"))
+    """(id, mark, text) of every row; null texts are empty."""
+    docs = docs.select("id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.withColumn("mark", F.pmod(F.xxhash64("text"), F.lit((1 << 31) - 1)).cast("int"))
 
 
 def repeated(docs: DataFrame, kind: Kind, resolve: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], folder: str,
@@ -347,14 +379,15 @@ def repeated(docs: DataFrame, kind: Kind, resolve: Callable[[Iterator[pa.RecordB
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(1, (partitions - 1).bit_length())
-    known = docs.where("id IS NOT NULL")
-    known.mapInArrow(_send(kind, bits), _FOUND).repartition(partitions, "bucket").sortWithinPartitions("bucket") \
+    docs = marked(docs).select("id", "mark", "text")
+    docs.where("id IS NOT NULL").mapInArrow(_send(kind, bits), _FOUND).repartition(partitions, "bucket").sortWithinPartitions("bucket") \
         .mapInArrow(_join(bits), _FOUND).drop("bucket", "packed").write.parquet(f"{folder}/found")
     found = spark.read.parquet(f"{folder}/found")
 
     questions = found.where("anchors IS NOT NULL").groupBy("id", "mark").agg(F.collect_list(F.struct("pos", "anchors")).alias("asked"))
-    schema = T.StructType(fields("id long, mark int, text string, bit long"))
-    likely = marked(docs).mapInArrow(_through(_table(found.where("anchors IS NOT NULL")), True), schema).drop("bit")
+    schema = T.StructType(fields("id long, mark int, text string"))
+    tested = docs.withColumn("bit", _bit("id", "mark"))
+    likely = tested.mapInArrow(_through(_table(found.where("anchors IS NOT NULL")), True), schema)
     likely.join(questions, ["id", "mark"]).mapInArrow(_fetch(kind), _CONTEXTS).repartition(partitions, "anchor") \
         .sortWithinPartitions("anchor", "id", "mark", "start").mapInArrow(resolve, SPANS).write.parquet(f"{folder}/resolved")
     resolved = spark.read.parquet(f"{folder}/resolved")
@@ -367,10 +400,10 @@ def repeated(docs: DataFrame, kind: Kind, resolve: Callable[[Iterator[pa.RecordB
     findings.write.parquet(f"{folder}/findings")
     findings = spark.read.parquet(f"{folder}/findings")
     table = _table(findings)
-    changed = marked(docs).mapInArrow(_through(table, True), schema).drop("bit").join(findings, ["id", "mark"], "left")
-    same = marked(docs).mapInArrow(_through(table, False), schema).drop("bit").withColumns({"pos": none, "starts": none})
-    return changed.select("id", "text", "pos", "starts").mapInArrow(finish, results).unionByName(
-        same.select("id", "text", "pos", "starts").mapInArrow(finish, results))
+    changed = tested.mapInArrow(_through(table, True), schema).join(findings, ["id", "mark"], "left").select("id", "text", "pos", "starts")
+    others = _through(table, False)
+    same = tested.withColumns({"pos": none, "starts": none}).mapInArrow(lambda batches: finish(others(batches)), results)
+    return changed.mapInArrow(finish, results).unionByName(same)
 
 
 def covered(n: int, pos: list[int] | None, starts: list[int] | None, kind: Kind) -> np.ndarray:

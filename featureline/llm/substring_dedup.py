@@ -1,17 +1,18 @@
 """Substring deduplication by suffix automata of reference shards.
 
-A word is removed if it lies in a window of ``window`` words whose sequence also starts in a document with a smaller id. A shard holds the distinct contexts
-(see :mod:`featureline.llm.repeats`) of an anchor; its suffix automaton is built in the order of ids, so every state knows the
-smallest document in which its words occur. The contexts then stream through it: the matching statistics give the longest match that
-ends at each word, and where it reaches the window's length, the state of just that length tells the first document. Runs of
-removed words are the unions of such windows, that is the maximal spans above the threshold.
-
-An automaton of all documents would not fit a broadcast, so automata are dealt with the documents' contexts instead: both go to the
-task of their anchor.
-
-Words are runs of characters other than ``[\\x20\\x09-\\x0D]``, unchanged. Null and empty texts have no words. Windows are judged on the input.
-Repeats within a document, and between rows that share an id, stay. Rows with a null id stay as they are. An empty table gives an
-empty one. Columns other than id and text are not read.
+A word is removed if it lies in a window of ``window`` words whose sequence also starts in a document with a smaller id.
+A shard holds the distinct contexts (see :mod:`featureline.llm.repeats`) of an anchor; its suffix automaton is built in
+the order of ids, so every state knows the smallest document in which its words occur. The contexts then stream through
+it: the matching statistics give the longest match that ends at each word, and where it reaches the window's length, the
+state of just that length tells the first document. Runs of removed words are the unions of such windows, that is the
+maximal spans above the threshold.
+
+An automaton of all documents would not fit a broadcast, so automata are dealt with the documents' contexts instead:
+both go to the task of their anchor.
+
+Words are runs of characters other than ``[\\x20\\x09-\\x0D]``, unchanged. Null and empty texts have no words. Windows
+are judged on the input. Repeats within a document, and between rows that share an id, stay. Rows with a null id stay as
+they are. An empty table gives an empty one. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -19,13 +20,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from hashlib import sha256
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from featureline.llm.frames import fields, utf8
-from featureline.llm.repeats import LETTERS, SPANS, Kind, covered, grouped, repeated
-from featureline.llm.words import split_words
+from featureline.llm.repeats import Kind, contexts_of, covered, repeated, spans
 from featureline.session import work_dir
 
 WINDOW = 13
@@ -91,29 +90,26 @@ class Automaton:
                 yield k - window + 1, self.first[state]
 
 
-def _resolve(window: int):
+def _resolve(kind: Kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for rows in grouped(batches):
-            shard, texts = Automaton(), [c.split() for *_, c in rows]
-            for (i, *_), words in zip(rows, texts):
-                shard.add(words, i)
-            for (i, mark, start, _), words in zip(rows, texts):
-                if starts := [start + k for k, first in shard.matches(words, window) if first < i]:
-                    out.append((i, mark, starts))
+        for rows, known in contexts_of(batches, kind):
+            out += known
+            if len(rows) > 1:
+                shard = Automaton()
+                for i, _, _, words in rows:
+                    shard.add(words, i)
+                for i, mark, start, words in rows:
+                    if starts := [start + k for k, first in shard.matches(words, kind.window) if first < i]:
+                        out.append((i, mark, starts))
             if len(out) >= 10_000:
-                yield _spans(out)
+                yield spans(out)
                 out = []
-        yield _spans(out)
+        yield spans(out)
 
     return run
 
 
-def _spans(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32())]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=SPANS.names)
-
-
 def _finish(kind: Kind, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,6 +135,6 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", w
     """One row per document: id, n_words, n_removed, kept (the words left, one space between) and kept_sha256."""
     bare = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     kind = Kind(True, window, gram)
-    out = repeated(bare, kind, _resolve(window), work_dir(docs.sparkSession, "substrings"), _finish(kind, keep_text), RESULT)
+    out = repeated(bare, kind, _resolve(kind), work_dir(docs.sparkSession, "substrings"), _finish(kind, keep_text), RESULT)
     out = out.withColumnRenamed("id", id)
     return out if keep_text else out.drop("kept")
