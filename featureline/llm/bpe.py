@@ -1,15 +1,16 @@
 """Byte-level BPE: a backtracking encoder and a decoder with an offset table.
 
-Encoding. A sequence of tokens is the BPE encoding of its bytes exactly if every two neighbours are *compatible*: no merge across
-their border would have come before the merges that built them. So the encoder goes from left to right, takes the longest
-token at each place (found for all places by one pass of an Aho-Corasick automaton), and keeps it if it is compatible with the token before;
-else it tries the next shorter token, and goes one token back where none fits. Places that can't be completed are marked, so that
-no place is tried twice and the work is linear in the text.
+Encoding. A sequence of tokens is the BPE encoding of its bytes exactly if every two neighbours are *compatible*: no
+merge across their border would have come before the merges that built them. So the encoder goes from left to right,
+takes the longest token at each place (found for all places by one pass of an Aho-Corasick automaton), and keeps it if
+it is compatible with the token before; else it tries the next shorter token, and goes one token back where none fits.
+Places that can't be completed are marked, so that no place is tried twice and the work is linear in the text.
 
 Decoding. All tokens lie one after the other in one byte string; an offset table says where each begins.
 
-Null texts count as empty; an empty text has no tokens. Rows are independent of each other, so repeated rows and any number of rows
-per source give the same results, and an empty table gives an empty one. Other columns stay, but for those with the names of results.
+Null texts count as empty; an empty text has no tokens. Rows are independent of each other, so repeated rows and any
+number of rows per source give the same results, and an empty table gives an empty one. Other columns stay, but for
+those with the names of results.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from featureline.llm.frames import fields, others as other_columns
 
 #: Entries that a Python worker keeps of what it has encoded; it begins anew beyond that.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 120_000
 RESULT = fields("n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
 
 

@@ -1,12 +1,15 @@
-"""Conversations as training text: a finite-state machine over the roles, and segments with loss flags from a declarative template.
-
-A template names the marks around a turn, the roles whose text is trained on, and which role may follow which. Each turn gives three segments: its head,
-its text and its end; only the texts of trained roles carry the loss flag. Marks inside a text can't be taken for marks: a backslash is put
-between ``<`` and ``|`` (one more, if there are some), which :func:`unescaped` undoes.
-
-Turns are ordered by turn, then role, then text; null turns come first. A null text or role is empty. A conversation whose roles don't
-follow the template is formatted all the same, with ``valid`` false. Repeated rows are repeated turns; rows with a null conv_id are one
-conversation; an empty table gives an empty one. Columns besides conv_id, turn, role and text are not read.
+"""Conversations as training text: a finite-state machine over the roles, and segments with loss flags from a declarative
+template.
+
+A template names the marks around a turn, the roles whose text is trained on, and which role may follow which. Each turn
+gives three segments: its head, its text and its end; only the texts of trained roles carry the loss flag. Marks inside
+a text can't be taken for marks: a backslash is put between ``<`` and ``|`` (one more, if there are some), which
+:func:`unescaped` undoes.
+
+Turns are ordered by turn, then role, then text; null turns come first. A null text or role is empty. A conversation
+whose roles don't follow the template is formatted all the same, with ``valid`` false. Repeated rows are repeated turns;
+rows with a null conv_id are one conversation; an empty table gives an empty one. Columns besides conv_id, turn, role
+and text are not read.
 """
 
 from __future__ import annotations

@@ -1,13 +1,16 @@
-"""Benchmark decontamination: a broadcast hash set of the benchmark's word windows, looked up for every window of every document.
-
-Words are runs of digits, letters and bytes beyond ASCII of the lower-cased text (only A-Z are lowered). A window is ``size`` consecutive words of an
-item; an item with fewer words is one window. The windows' 64-bit hashes go to the tasks as a sorted array behind a bit table; a document
-position that hits is verified by comparing the words themselves. Every document word inside a verified occurrence is hit.
-
-The hash set is bounded: the benchmark is read in blocks of at most ``block_windows`` windows, one pass over the documents for each
-block (a usual benchmark is one block). Null texts have no words; items without words have no windows; repeated items count each by
-its id, items with a null id have windows that hit but are not listed; an empty benchmark hits nothing; an empty table gives an
-empty one. Columns of the documents with names of results are replaced; other columns stay.
+"""Benchmark decontamination: a broadcast hash set of the benchmark's word windows, looked up for every window of every
+document.
+
+Words are runs of digits, letters and bytes beyond ASCII of the lower-cased text (only A-Z are lowered). A window is
+``size`` consecutive words of an item; an item with fewer words is one window. The windows' 64-bit hashes go to the
+tasks as a sorted array behind a bit table; a document position that hits is verified by comparing the words themselves.
+Every document word inside a verified occurrence is hit.
+
+The hash set is bounded: the benchmark is read in blocks of at most ``block_windows`` windows, one pass over the
+documents for each block (a usual benchmark is one block). Null texts have no words; items without words have no
+windows; repeated items count each by its id, items with a null id have windows that hit but are not listed; an empty
+benchmark hits nothing; an empty table gives an empty one. Columns of the documents with names of results are replaced;
+other columns stay.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from featureline.llm.frames import ROW, fields, others, parts, record, utf8, whole_rows
+from featureline.llm.frames import ROW, TEXT, columns_of, fields, others, parts, record, text_of, utf8, whole_rows
 from featureline.llm.words import U64, letters, lowered, split_words
 
 WINDOW = 10
@@ -95,7 +98,7 @@ def _scan(schema: T.StructType, kept: list[str], shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _Table(shared.value)
         for batch in batches:
-            data, offsets = utf8(batch.column("__featureline_text"))
+            data, offsets = utf8(text_of(batch))
             n_words, marks, items = np.zeros(len(batch), np.int64), {}, {}
             for a, b in parts(offsets):
                 low = _LOWER[data[offsets[a]:offsets[b]]]
@@ -136,7 +139,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     """
     kept = others(docs, text, *(f.name for f in RESULT))
     schema = T.StructType([docs.schema[c] for c in kept] + RESULT)
-    bare = docs.select(*kept, F.col(text).cast("string").alias("__featureline_text"))
+    bare = docs.select(*kept) if ROW in kept else docs.select(*kept, F.col(text).cast("string").alias(TEXT))
     passes = [bare.mapInArrow(_scan(schema, kept, docs.sparkSession.sparkContext.broadcast(block)), schema)
               for block in _blocks(benchmark, size, block_windows, item, item_text)]
     if len(passes) == 1:
@@ -175,13 +178,13 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents with hit words cut out of their texts; all columns stay."""
     found = contamination(whole_rows(docs, id, text), benchmark, id=id, text=text, **options).select(
-        ROW, F.col(f"{ROW}.`{text}`").alias("text"), "hit_starts", "hit_ends")
+        ROW, "hit_starts", "hit_ends")
     schema = T.StructType([found.schema[ROW], *fields("text string")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("text", "hit_starts", "hit_ends"))
-            clean = [t if not s else _cut(t, list(zip(s, e))) for t, s, e in zip(*columns)]
+            starts, ends = (batch.column(c).to_pylist() for c in ("hit_starts", "hit_ends"))
+            clean = [t.as_py() if not s else _cut(t.as_py(), list(zip(s, e))) for t, s, e in zip(text_of(batch), starts, ends)]
             yield record(schema, {ROW: batch.column(ROW), "text": pa.array(clean, pa.string())})
 
     cut = found.mapInArrow(run, schema)
@@ -191,4 +194,4 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", t
 def remove_documents(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents without any hit; all columns stay."""
     found = contamination(whole_rows(docs, id, text), benchmark, id=id, text=text, **options)
-    return found.where("n_hit = 0").select(f"{ROW}.*")
+    return found.where("n_hit = 0").select(*columns_of(docs, text))

@@ -1,17 +1,19 @@
 """Exact deduplication over an extendible-hash index on shared files.
 
-The index maps a 64-bit hash of the normalised text to a bucket. Its directory has ``2 ** depth`` slots, one for each prefix of
-the hash; a bucket owns all slots that share its own, shorter prefix. While a bucket with more than one key holds more than
-``bucket_bytes``, it is split in two, and the directory doubles where a split needs a longer prefix. One byte for each slot (the length of its bucket's
-prefix) describes it all; ``MAX_DEPTH`` bounds it to 16 MB, and buckets that are overfull there just grow on.
-
-Texts reach the index once for every ``SLICE`` rows and distinct text (copies among them are joined before the shuffle, so a large
-group of copies shrinks by that much). Owner tasks take ranges of keys, read them in key order, and keep the texts of one key as a chain: equal
-bytes join an entry, other bytes with the same hash begin the next one. Every bucket is a folder of Parquet files.
-
-Normalising deletes the characters ``[\\x20\\x09-\\x0D]``. Null texts count as empty, so null, empty and blank texts are one group. Of equal texts the row with
-the most code points stays, then the smallest id (null ids last), then any one of the rows repeated in both. An empty table gives an
-empty result. Columns other than id and text are not read.
+The index maps a 64-bit hash of the normalised text to a bucket. Its directory has ``2 ** depth`` slots, one for each
+prefix of the hash; a bucket owns all slots that share its own, shorter prefix. While a bucket with more than one key
+holds more than ``bucket_bytes``, it is split in two, and the directory doubles where a split needs a longer prefix. One
+byte for each slot (the length of its bucket's prefix) describes it all; ``MAX_DEPTH`` bounds it to 16 MB, and buckets
+that are overfull there just grow on.
+
+Texts reach the index once for every ``SLICE`` rows and distinct text (copies among them are joined before the shuffle,
+so a large group of copies shrinks by that much). Owner tasks take ranges of keys, read them in key order, and keep the
+texts of one key as a chain: equal bytes join an entry, other bytes with the same hash begin the next one. Every bucket
+is a folder of Parquet files.
+
+Normalising deletes the characters ``[\\x20\\x09-\\x0D]``. Null texts count as empty, so null, empty and blank texts are
+one group. Of equal texts the row with the most code points stays, then the smallest id (null ids last), then any one of
+the rows repeated in both. An empty table gives an empty result. Columns other than id and text are not read.
 """
 
 from __future__ import annotations

@@ -1,25 +1,31 @@
 """Jaccard self-join of documents' word n-grams with adaptive multi-match prefixes, and the classes its links make.
 
-A document is the set of its distinct shingles (``size`` words; a shorter text is one shingle). All sets are sorted in one order, rare shingles
-first. Let n be a set's size and t the least overlap a partner needs. Then two linked documents share at least l of their first
-``n - t + l`` shingles, whatever l: a longer prefix has more rows, but a partner must share more of it. Each document takes
-the l with the lowest estimated cost, from the estimated frequencies of its own shingles; a pair must share the smaller l of the two.
-
-1. One pass makes a key of each set (equal sets are one node from here on) and a count sketch of all shingles of all documents: ``1 << SKETCH_BITS``
-   counters whatever the corpus, which tell the common shingles from the rest. The order is (counter's logarithm, shingle hash).
+A document is the set of its distinct shingles (``size`` words; a shorter text is one shingle). All sets are sorted in
+one order, rare shingles first. Let n be a set's size and t the least overlap a partner needs. Then two linked documents
+share at least l of their first ``n - t + l`` shingles, whatever l: a longer prefix has more rows, but a partner must
+share more of it. Each document takes the l with the lowest estimated cost, from the estimated frequencies of its own
+shingles; a pair must share the smaller l of the two.
+
+1. One pass makes a key of each set (equal sets are one node from here on) and a count sketch of all shingles of all
+   documents: ``1 << SKETCH_BITS`` counters whatever the corpus, for the shingles in the lower 3/8 of the hashes, which
+   tell the common ones from the rest. The order is (counter's logarithm, shingle hash); shingles that aren't counted
+   stand before the common ones.
 2. A second pass cuts the prefixes. Prefix shingles are dealt and sorted, and those of one document only go.
-3. Stars: in each posting list every document is paired with the list's smallest id. Of its centres, a document is verified with the one it
-   shares most with. Documents that link to the
-   same centre are connected, so no pair of them is looked at again: a large group of near copies costs a number of pairs in proportion to it.
-4. All remaining pairs of a posting list whose documents have different centres are counted; those that share enough are verified.
-   No candidate is capped or sampled.
-5. Classes are the connected components of the verified links, by alternating large and small stars on tables in the shared folder.
-
-Verifying compares the whole sets, with 40 bits of each shingle's hash. They are computed again from the texts of the documents that a bit table of
-fixed size lets through (it lets through all that are needed, and some more).
-
-Null and empty texts, and texts without words, have empty sets, which link with nothing. Rows that share an id are one document with the links
-of all its rows; null ids are left out of links. An empty table gives an empty one. Columns other than id and text are not read.
+3. Stars: in each posting list every document is paired with the list's smallest id. Of its centres, a document is
+   verified with the one it shares most with. Documents that link to the same centre are connected, so no pair of them
+   is looked at again: a large group of near copies costs a number of pairs in proportion to it.
+4. All remaining pairs of a posting list whose documents have different centres are counted; those that share enough are
+   verified. Enough is l, and what is missing to the overlap that both sizes ask for after all that lies behind the
+   prefix. No candidate is capped or sampled.
+5. Classes are the connected components of the verified links, by alternating large and small stars on tables in the
+   shared folder.
+
+Verifying compares the whole sets, with 40 bits of each shingle's hash. They are computed again from the texts of the
+documents that a bit table of fixed size lets through (it lets through all that are needed, and some more).
+
+Null and empty texts, and texts without words, have empty sets, which link with nothing. Rows that share an id are one
+document with the links of all its rows; null ids are left out of links. An empty table gives an empty one. Columns
+other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -37,8 +43,12 @@ from featureline.session import work_dir
 
 SHINGLE = 4
 SHARE = (85, 100)
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 _CHUNKS = 64
+#: Shingles with a hash below this are counted. Prefixes are short and equally common shingles go by their hash, so they hold few others.
+COUNTED = U64(3 << 61)
+#: Where the others stand: behind shingles of less than this (doubled) level.
+_UNCOUNTED = 5
 #: Bits of the table that lets documents through to be verified: 8 MB.
 FILTER_BITS = 26
 #: Longest lengthening of a prefix that is weighed.
@@ -78,16 +88,20 @@ def _sets(column: pa.Array, size: int, take: np.ndarray | None = None) -> Iterat
                 yield a + k, np.zeros(0, U64)
 
 
+def _counter(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & U64((1 << SKETCH_BITS) - 1)).astype(np.int64)
+
+
 def _describe(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, np.int32)
         none = pa.nulls
         for batch in batches:
             n, keys = np.zeros(len(batch), np.int64), np.zeros((len(batch), 2), np.int64)
             for k, shingles in _sets(batch.column("text"), size):
                 n[k] = len(shingles)
                 keys[k] = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64)
-                np.add.at(counts, (shingles >> U64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                np.add.at(counts, _counter(shingles[:np.searchsorted(shingles, COUNTED)]), 1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(n), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()),
                  none(len(batch), pa.int32()), none(len(batch), pa.binary())], names=_DOCS.names)
@@ -104,7 +118,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for c, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts")):
-            total[c] = total.get(c, 0) + np.frombuffer(counts.as_buffer(), np.int64)
+            total[c] = total.get(c, 0) + np.frombuffer(counts.as_buffer(), np.int32)
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())],
                                      names=["chunk", "counts"])
 
@@ -119,8 +133,8 @@ def _levels(described: DataFrame) -> np.ndarray:
         own = (own.withColumn("_s", spread) if "_s" in by else own).repartition(*by).select("chunk", "counts").mapInArrow(_add, schema)
     chunks: dict[int, np.ndarray] = {}
     for r in own.collect():
-        chunks[r.chunk] = chunks.get(r.chunk, 0) + np.frombuffer(r.counts, np.int64)
-    counts = np.concatenate([chunks[c] for c in sorted(chunks)]) if chunks else np.zeros(1 << SKETCH_BITS, np.int64)
+        chunks[r.chunk] = chunks.get(r.chunk, 0) + np.frombuffer(r.counts, np.int32)
+    counts = np.concatenate([chunks[c] for c in sorted(chunks)]) if chunks else np.zeros(1 << SKETCH_BITS, np.int32)
     usual = float(np.median(counts))
     above = np.maximum(counts - usual - 3 * np.sqrt(usual), 0)  # chance makes the rest
     return np.floor(np.log2(above + 1)).astype(np.uint8)
@@ -135,10 +149,11 @@ def prefix_of(shingles: np.ndarray, levels: np.ndarray, share: tuple[int, int])
     """(l, prefix, level of each of its shingles) of the lowest estimated cost."""
     n = len(shingles)
     t = least_overlap(n, share)
-    level = levels[(shingles >> U64(64 - SKETCH_BITS)).astype(np.int64)]
+    counted = np.arange(n) < np.searchsorted(shingles, COUNTED)
+    level = np.where(counted, levels[_counter(shingles)], 0)
     most = min(n, n - t + MOST_EXTRA)
-    order = np.lexsort((shingles, level))[:most]
-    frequency = np.exp2(level[order].astype(float)) - 1
+    order = np.argsort(np.where(counted, 2 * level.astype(np.int16), _UNCOUNTED), kind="stable")[:most]
+    frequency = np.where(counted[order], np.exp2(level[order].astype(float)) - 1, 0.5)
     extra = np.arange(1, most - (n - t) + 1)
     candidates = np.cumsum(frequency)[n - t + extra - 1]
     cost = ROW_COST * (n - t + extra) + candidates * (1 + COMPARE_COST * n / extra)
@@ -303,10 +318,16 @@ def links(docs: DataFrame, nodes: DataFrame, levels: np.ndarray, size: int, shar
     x, y = left.alias("x"), left.alias("y")
     fits = (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) \
         & (F.lit(share[1]) * F.col("x.n") >= F.lit(share[0]) * F.col("y.n")) & (F.lit(share[1]) * F.col("y.n") >= F.lit(share[0]) * F.col("x.n"))
-    pairs = x.join(y, fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"),
-                                   F.least("x.extra", "y.extra").alias("extra"))
-    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("extra").alias("extra"))
-    rest = counted.where("shared >= extra").join(starred, ["a", "b"], "left_anti")
+    pairs = x.join(y, fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("an"), F.col("y.n").alias("bn"),
+                                   F.col("x.extra").alias("ax"), F.col("y.extra").alias("bx"))
+    counted = pairs.groupBy(*pairs.columns).agg(F.count("*").alias("shared"))
+    # Of the set whose prefix ends first, what lies behind the prefix is all that can be common besides; the overlap must reach
+    # what the two sizes ask for.
+    up, down = share
+    least = f"({up} * (an + bn) + {up + down - 1}) div {up + down}"
+    behind = f"greatest(({up} * an + {down - 1}) div {down} - ax, ({up} * bn + {down - 1}) div {down} - bx)"
+    enough = counted.where(f"shared >= greatest(least(ax, bx), {least} - {behind})")
+    rest = enough.select("a", "b").distinct().join(starred, ["a", "b"], "left_anti")
     others = _verified(docs, rest, size, share, f"{folder}/others")
     return starred.unionByName(others)
 

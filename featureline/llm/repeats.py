@@ -38,7 +38,7 @@ _STEP = 0x9E3779B97F4A7C15
 _powers: dict[int, np.ndarray] = {}
 LETTERS = letters((0x20, 0x20), (0x09, 0x0D))
 
-_FOUND = T.StructType(fields("bucket int, packed binary, id long, mark int, pos ints, anchors longs"))
+_FOUND = T.StructType(fields("bucket int, packed binary, id long, mark int, pos ints, asked ints, anchors longs"))
 _CONTEXTS = T.StructType(fields("anchor long, id long, mark int, start int, at int, content binary"))
 SPANS = T.StructType(fields("id long, mark int, starts ints"))
 
@@ -123,17 +123,18 @@ def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Arra
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
 
 
-def _by_document(ids: np.ndarray, marks: np.ndarray, pos: np.ndarray, found: np.ndarray | None) -> pa.RecordBatch:
-    """Findings as one row for each document; with ``found`` (the anchors), they are questions."""
+def _by_document(ids: np.ndarray, marks: np.ndarray, pos: np.ndarray, anchor: np.ndarray, asks: np.ndarray) -> pa.RecordBatch:
+    """One row for each document: places of anchors whose context repeats, and, where ``asks``, places to be looked at with their anchors."""
     o = np.lexsort((pos, marks, ids))
-    ids, marks, pos = ids[o], marks[o], pos[o]
+    ids, marks, pos, anchor, asks = (x[o] for x in (ids, marks, pos, anchor, asks))
     head = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])]))
-    bounds, n = np.append(head, len(ids)), len(head)
-    asked = _lists(found[o].view(np.int64), bounds, pa.int64()) if found is not None else pa.nulls(n, pa.list_(pa.int64()))
+    before = np.concatenate([[0], np.cumsum(asks)])[np.append(head, len(ids))]  # questions before each document
+    bounds = np.append(head, len(ids)) - before
     # Findings go through the exchange with the anchors; the bucket only spreads them.
     return pa.RecordBatch.from_arrays(
-        [pa.array((ids[head] % (1 << 30)).astype(np.int32)), pa.nulls(n, pa.binary()), pa.array(ids[head]), pa.array(marks[head]),
-         _lists(pos, bounds, pa.int32()), asked], names=_FOUND.names)
+        [pa.array((ids[head] % (1 << 30)).astype(np.int32)), pa.nulls(len(head), pa.binary()), pa.array(ids[head]), pa.array(marks[head]),
+         _lists(pos[~asks], bounds, pa.int32()), _lists(pos[asks], before, pa.int32()),
+         _lists(anchor[asks].view(np.int64), before, pa.int64())], names=_FOUND.names)
 
 
 def _joined(anchor, context, ids, marks, pos) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,7 +172,7 @@ def _packed(bucket_bits: int, anchor, context, ids, marks, pos) -> Iterator[pa.R
                          steps.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), docs[1].astype("<i4").tobytes()])
         head = np.array([k.stop - k.start, docs.shape[1]], "<i8").tobytes()
         one = [pa.array([b], pa.int32()), pa.array([head + body], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()),
-               pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.int64()))]
+               *(pa.nulls(1, pa.list_(pa.int32())) for _ in range(2)), pa.nulls(1, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(one, names=_FOUND.names)
 
 
@@ -200,7 +201,7 @@ def _send(kind: Kind, bucket_bits: int):
         o, repeats, _ = _joined(anchor, context, ids, marks, pos)
         done = o[repeats]
         if len(done):
-            yield _by_document(ids[done], marks[done], pos[done], None)
+            yield _by_document(ids[done], marks[done], pos[done], anchor[done], np.zeros(len(done), bool))
         left = np.ones(len(anchor), bool)
         left[done] = False
         yield from _packed(bucket_bits, *(x[left] for x in (anchor, context, ids, marks, pos)))
@@ -233,17 +234,16 @@ def _join(bucket_bits: int):
         o, repeats, new_anchor = _joined(anchor, context, ids, marks, pos)
         if not len(o):
             return
-        if repeats.any():
-            done = o[repeats]
-            yield _by_document(ids[done], marks[done], pos[done], None)
         # Anchors with several contexts and several documents: of each context, the occurrences in its first document.
         heads = np.flatnonzero(new_anchor)
         group = np.cumsum(new_anchor) - 1
         several = (np.maximum.reduceat(ids[o], heads) > np.minimum.reduceat(ids[o], heads)) \
             & (np.maximum.reduceat(context[o], heads) > np.minimum.reduceat(context[o], heads))
-        asked = o[several[group] & ~repeats]
-        if len(asked):
-            yield _by_document(ids[asked], marks[asked], pos[asked], anchor[asked])
+        asks = several[group] & ~repeats
+        told = asks | repeats
+        if told.any():
+            k = o[told]
+            yield _by_document(ids[k], marks[k], pos[k], anchor[k], asks[told])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
@@ -384,16 +384,17 @@ def repeated(docs: DataFrame, kind: Kind, resolve: Callable[[Iterator[pa.RecordB
         .mapInArrow(_join(bits), _FOUND).drop("bucket", "packed").write.parquet(f"{folder}/found")
     found = spark.read.parquet(f"{folder}/found")
 
-    questions = found.where("anchors IS NOT NULL").groupBy("id", "mark").agg(F.collect_list(F.struct("pos", "anchors")).alias("asked"))
+    questions = found.where("size(anchors) > 0")
     schema = T.StructType(fields("id long, mark int, text string"))
     tested = docs.withColumn("bit", _bit("id", "mark"))
-    likely = tested.mapInArrow(_through(_table(found.where("anchors IS NOT NULL")), True), schema)
+    likely = tested.mapInArrow(_through(_table(questions), True), schema)
+    questions = questions.groupBy("id", "mark").agg(F.collect_list(F.struct(F.col("asked").alias("pos"), "anchors")).alias("asked"))
     likely.join(questions, ["id", "mark"]).mapInArrow(_fetch(kind), _CONTEXTS).repartition(partitions, "anchor") \
         .sortWithinPartitions("anchor", "id", "mark", "start").mapInArrow(resolve, SPANS).write.parquet(f"{folder}/resolved")
     resolved = spark.read.parquet(f"{folder}/resolved")
 
     none = F.array().cast("array<int>")
-    findings = found.where("anchors IS NULL").select("id", "mark", "pos", none.alias("starts")).unionByName(
+    findings = found.where("size(pos) > 0").select("id", "mark", "pos", none.alias("starts")).unionByName(
         resolved.select("id", "mark", none.alias("pos"), "starts"))
     findings = findings.groupBy("id", "mark").agg(F.flatten(F.collect_list("pos")).alias("pos"),
                                                   F.flatten(F.collect_list("starts")).alias("starts"))

@@ -1,12 +1,14 @@
 """A reproducible shuffle into shards: a Feistel permutation of global row numbers, with cycle walking.
 
-Rows get gapless numbers in the order of their key. A keyed Feistel network permutes a domain ``a * b`` just above the number of rows N; a number that
-lands at N or beyond is permuted again until it lands below. Row number p then lies in shard ``p % shards`` at slot ``p // shards``, so shard sizes
-are at most one apart, slots have no gaps, and both can be computed for a row number without the data.
-
-Numbering needs no global window: rows are sorted in key ranges and written to the shared folder with their place in their range, and the
-ranges' sizes (one row per range) give the offsets. Equal keys are ordered by a hash of the whole row; rows equal in every column are
-interchangeable. Null keys come first. Null texts have no bytes and checksum 0. Empty tables give empty ones.
+Rows get gapless numbers in the order of their key. A keyed Feistel network permutes a domain ``a * b`` just above the
+number of rows N; a number that lands at N or beyond is permuted again until it lands below. Row number p then lies in
+shard ``p % shards`` at slot ``p // shards``, so shard sizes are at most one apart, slots have no gaps, and both can be
+computed for a row number without the data.
+
+Numbering needs no global window: rows are sorted in key ranges and written to the shared folder with their place in
+their range, and the ranges' sizes (one row per range) give the offsets. Equal keys are ordered by a hash of the whole
+row; rows equal in every column are interchangeable. Null keys come first. Null texts have no bytes and checksum 0.
+Empty tables give empty ones.
 """
 
 from __future__ import annotations

@@ -1,13 +1,15 @@
 """Token counts of documents under a sentencepiece BPE model, by a two-tier lookup on the map side.
 
-No merge of such a model crosses a border between other text and the space after it, if no piece has a space behind another
-character (checked when the model is loaded). So the count of a text is the sum over its pre-tokens: a run of spaces with what follows it up to
-the next space. Lengths of pre-tokens are looked up in two tiers: first in a table of the corpus's frequent pre-tokens, which is
-broadcast; then in the worker's own cache, which holds what the worker had to encode itself. No pre-token is shuffled but for the
-short lists of frequent ones, of which each task of the first pass sends at most ``per_task``; ``table_entries`` bounds the table.
-
-The table only saves work: counts are the same whatever it holds. Null texts count as empty; an empty text has no tokens. Rows
-are independent of each other; an empty table gives an empty one. Other columns stay, but for those with the names of results.
+No merge of such a model crosses a border between other text and the space after it, if no piece has a space behind
+another character (checked when the model is loaded). So the count of a text is the sum over its pre-tokens: a run of
+spaces with what follows it up to the next space. Lengths of pre-tokens are looked up in two tiers: first in a table of
+the corpus's frequent pre-tokens, which is broadcast; then in the worker's own cache, which holds what the worker had to
+encode itself. No pre-token is shuffled but for the short lists of frequent ones, of which each task of the first pass
+sends at most ``per_task``; ``table_entries`` bounds the table.
+
+The table only saves work: counts are the same whatever it holds. Null texts count as empty; an empty text has no
+tokens. Rows are independent of each other; an empty table gives an empty one. Other columns stay, but for those with
+the names of results.
 """
 
 from __future__ import annotations

@@ -1,17 +1,18 @@
 """Toxicity of texts that hide their words: restore them by a noisy-channel model, then score the restored words.
 
-Channel. A writer means letters; what is seen may be a look-alike (``1d10t``), letters with spaces or marks between them (``i d i o t``,
-``i.d.i.o.t``) or letters repeated (``idiooot``). Every token that looks like this becomes a lattice: at each place the letters that may be meant, each with its
-cost; a run of three or more may stand for one letter or two. Viterbi decoding under a character trigram model finds the likeliest
-reading. The trigrams are counted over all documents (each task sends its sums) on the bytes of their words, so the model has a
-fixed size.
-
-Score. A logistic regression on which words, and beginnings of words, occur in the restored text. It is fitted on at most ``sample`` labelled rows, those with the
-smallest hash of doc_id among the rows to learn from; their most telling ``FEATURES`` words and beginnings are its features.
-
-Null and empty texts have no words and get the base score. Several labels of one document count as toxic if one is; null labels are ignored. Copies
-of a text are fitted once. Without rows of both classes all scores are equal. Empty tables give empty ones. Other columns stay, but for
-those with names of results.
+Channel. A writer means letters; what is seen may be a look-alike (``1d10t``), letters with spaces or marks between them
+(``i d i o t``, ``i.d.i.o.t``) or letters repeated (``idiooot``). Every token that looks like this becomes a lattice: at
+each place the letters that may be meant, each with its cost; a run of three or more may stand for one letter or two.
+Viterbi decoding under a character trigram model finds the likeliest reading. The trigrams are counted over all
+documents (each task sends its sums) on the bytes of their words, so the model has a fixed size.
+
+Score. A logistic regression on which words, and beginnings of words, occur in the restored text. It is fitted on at
+most ``sample`` labelled rows, those with the smallest hash of doc_id among the rows to learn from; their most telling
+``FEATURES`` words and beginnings are its features.
+
+Null and empty texts have no words and get the base score. Several labels of one document count as toxic if one is; null
+labels are ignored. Copies of a text are fitted once. Without rows of both classes all scores are equal. Empty tables
+give empty ones. Other columns stay, but for those with names of results.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from featureline.llm.frames import ROW, fields, others, parts, record, utf8, whole_rows
+from featureline.llm.frames import ROW, TEXT, columns_of, fields, others, parts, record, text_of, utf8, whole_rows
 from featureline.session import work_dir
 
 #: Symbols of the character model: a border, a-z, and the low six bits of other bytes.
@@ -159,7 +160,6 @@ class Restorer:
             words |= plain_words(self.restore(low[a:b]))
         return words | {w[:BEGINNING] + b"*" for w in words if len(w) > BEGINNING}
 
-    words = features
 
 
 def count_trigrams(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
@@ -278,15 +278,16 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, corpus: DataFrame | N
         restorer, telling = _restorer(model), frozenset(weights)
         for batch in batches:
             total = [intercept + sum(map(weights.__getitem__, sorted(telling & restorer.features(t.as_py() or ""))))
-                     for t in batch.column("__featureline_text")]
+                     for t in text_of(batch)]
             score = 1 / (1 + np.exp(-np.clip(np.array(total, float), -30, 30)))
             yield record(schema, {c: batch.column(c) for c in kept} | {
                 "score": pa.array(score), "predicted": pa.array((score >= 0.5).astype(np.int32))})
 
-    return docs.select(*kept, F.col(text).cast("string").alias("__featureline_text")).mapInArrow(run, schema)
+    bare = docs.select(*kept) if ROW in kept else docs.select(*kept, F.col(text).cast("string").alias(TEXT))
+    return bare.mapInArrow(run, schema)
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents that are not predicted to be toxic; all columns stay."""
     scored = toxicity_scores(whole_rows(docs, id, text), labels, corpus=docs, id=id, text=text, **options)
-    return scored.where("predicted = 0").select(f"{ROW}.*")
+    return scored.where("predicted = 0").select(*columns_of(docs, text))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from featureline.llm import bwt_dedup, exact_dedup, substring_dedup
-from featureline.llm.ngram_join import components, least_overlap, ngram_classes, one_of_each, prefix_of
+from featureline.llm.ngram_join import SKETCH_BITS, components, least_overlap, ngram_classes, one_of_each, prefix_of
 from featureline.llm.substring_dedup import Automaton
 from featureline.session import work_dir
 
@@ -130,10 +130,10 @@ def test_one_of_each_and_empty(spark):
 
 def test_prefixes_of_linked_sets_share_enough():
     rng = np.random.default_rng(3)
-    levels = rng.integers(0, 8, 1 << 20).astype(np.uint8)
-    for _ in range(300):
+    levels = rng.integers(0, 8, 1 << SKETCH_BITS).astype(np.uint8)
+    for _ in range(200):
         n = int(rng.integers(1, 120))
-        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
         y = x.copy()
         for _ in range(int(rng.integers(0, 6))):
             y[rng.integers(len(y))] = rng.integers(0, 1 << 63)
