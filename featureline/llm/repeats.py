@@ -4,7 +4,8 @@ Finding what can repeat. In each window the ``gram`` of the smallest hash is its
 anchors. A window lies in the *context* of its anchor: the anchor with ``window - gram`` symbols on each side. Each task
 joins its own anchors first: of documents with equal contexts only the first is sent, and all windows of that context
 repeat in the others. What is sent is packed in byte strings, one for each bucket of anchors, so that sorting and
-comparing are array operations.
+comparing are array operations. Contexts are compared by 64-bit hashes here: an anchor with m distinct contexts has
+about m * m / 2 ** 65 false matches.
 
 A bucket's task joins equal contexts in the same way. Anchors of one document only, and anchors with one context only,
 are done then. Where an anchor has several contexts (at the ends of repeated passages, and around edits), the contexts'
@@ -167,8 +168,8 @@ def _packed(bucket_bits: int, anchor, context, ids, marks, pos) -> Iterator[pa.R
         docs, place = np.unique(np.stack([ids[k], marks[k].astype(np.int64)]), axis=1, return_inverse=True)
         steps = np.diff(docs[0], prepend=0)
         low = (anchor[k] << U64(bucket_bits)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]
-        planes = lambda x, n: x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :n].T.tobytes()
-        body = b"".join([low.T.tobytes(), planes(context[k] >> U64(32), 4), planes(place.ravel(), 4), planes(pos[k], 4),
+        planes = lambda x, kind: x.astype(kind).view(np.uint8).reshape(len(x), -1).T.tobytes()
+        body = b"".join([low.T.tobytes(), planes(context[k], "<u8"), planes(place.ravel(), "<u4"), planes(pos[k], "<u4"),
                          steps.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), docs[1].astype("<i4").tobytes()])
         head = np.array([k.stop - k.start, docs.shape[1]], "<i8").tobytes()
         one = [pa.array([b], pa.int32()), pa.array([head + body], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()),
@@ -189,7 +190,7 @@ def _unpacked(raw: bytes, bucket: int, bucket_bits: int) -> tuple[np.ndarray, ..
     low = np.zeros((n, 8), np.uint8)
     low[:, :5] = planes(5, n)
     anchor = (low.view(">u8").ravel().astype(U64) >> U64(bucket_bits)) | (U64(bucket) << U64(64 - bucket_bits))
-    context, place, pos = (np.ascontiguousarray(planes(4, n)).view("<u4").ravel() for _ in range(3))
+    context, place, pos = (np.ascontiguousarray(planes(width, n)).view(f"<u{width}").ravel() for width in (8, 4, 4))
     ids = np.cumsum(np.ascontiguousarray(planes(8, n_docs)).view("<i8").ravel())
     marks = np.frombuffer(raw, "<i4", n_docs, at)
     return anchor, context, ids[place], marks[place], pos.astype(np.int32)
@@ -216,7 +217,8 @@ def _send(kind: Kind, bucket_bits: int):
                 symbols, first = kind.symbols(data, offsets[a:b + 1])
                 p, anchor, context = anchors(symbols, first, kind)
                 d = np.searchsorted(first, p, side="right") - 1
-                held.append((anchor, context, ids[a + d], marks[a + d], (p - first[d]).astype(np.int32)))
+                # An anchor's hash is a small one, so it is mixed again: buckets are ranges of equal shares.
+                held.append((mixed(anchor), context, ids[a + d], marks[a + d], (p - first[d]).astype(np.int32)))
                 n += len(p)
                 if n >= GATHERED:
                     yield from flush(held)

@@ -9,6 +9,7 @@ import pytest
 
 from featureline.llm import bwt_dedup, exact_dedup, substring_dedup
 from featureline.llm.ngram_join import SKETCH_BITS, components, least_overlap, ngram_classes, one_of_each, prefix_of
+from featureline.llm.repeats import Kind, anchors
 from featureline.llm.substring_dedup import Automaton
 from featureline.session import work_dir
 
@@ -211,6 +212,48 @@ def test_repeated_bytes(spark, seed, words):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out) == sorted(want)
 
 
+def half_alike(kind, unit):
+    """Two texts around one anchor whose contexts differ and have hashes that agree in the upper 32 bits."""
+    rng = np.random.default_rng(1)
+
+    def texts(n, symbols):
+        out = rng.integers(97, 123, (n, symbols * unit), np.uint8)
+        if unit > 1:
+            out[:, unit - 1::unit] = 32
+        return out
+
+    def found(block):
+        return anchors(*kind.symbols(block.ravel(), np.arange(len(block) + 1) * block.shape[1]), kind)
+
+    # A gram of a small hash is the only anchor of a text that it stands in the middle of.
+    grams = texts(20_000, kind.window)
+    place, anchor, _ = found(grams)
+    least = place[np.argmin(anchor)]
+    gram = grams.ravel()[least * unit:(least + kind.gram) * unit]
+    held, upper = [], []
+    for _ in range(20):
+        block = texts(40_000, 2 * kind.reach + kind.gram)
+        block[:, kind.reach * unit:(kind.reach + kind.gram) * unit] = gram
+        place, anchor, context = found(block)
+        mine = place % (2 * kind.reach + kind.gram) == kind.reach
+        held.append(block[place[mine] // (2 * kind.reach + kind.gram)])
+        upper.append(context[mine] >> np.uint64(32))
+        every = np.concatenate(upper)
+        order = np.argsort(every, kind="stable")
+        same = np.flatnonzero(every[order][1:] == every[order][:-1])
+        if len(same):
+            blocks = np.concatenate(held)
+            return [blocks[order[same[0] + k]].tobytes().decode() for k in (0, 1)]
+    raise AssertionError("no such texts")
+
+
+@pytest.mark.parametrize("operator, words, unit", [(substring_dedup, True, 4), (bwt_dedup, False, 1)])
+def test_contexts_are_told_apart_by_all_bits(spark, operator, words, unit):
+    x, y = half_alike(Kind(words, operator.WINDOW, operator.GRAM), unit)
+    out = operator.remove_repeats(frame(spark, [(1, x), (2, y), (3, x)])).collect()
+    assert x != y and {r.doc_id: r.n_removed > 0 for r in out} == {1: False, 2: False, 3: True}
+
+
 def test_repeats_of_an_empty_table(spark):
     assert substring_dedup.remove_repeats(frame(spark, [(1, "a")]).limit(0)).count() == 0
     assert bwt_dedup.remove_repeats(frame(spark, [(1, "a")]).limit(0)).count() == 0
