@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from featureline.llm.frames import ROW, TEXT, columns_of, fields, others, parts, record, text_of, utf8, whole_rows
 from featureline.llm.words import U64, letters, lowered, split_words
+from featureline.session import work_dir
 
 WINDOW = 10
 #: Windows of the benchmark in a broadcast block: 16 MB of hashes and some 200 MB of words at most.
@@ -32,6 +34,9 @@ _LETTERS = letters((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 _LOWER = lowered()
 RESULT = fields("n_words long, n_hit long, n_items long, item_ids longs, hit_starts ints, hit_ends ints")
 _BITS = 22
+#: A row's own key, where several passes are put together.
+_KEY = "__featureline_key"
+_KEYED = fields(f"{_KEY} long")
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -135,27 +140,35 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
                   item_text: str = "text", size: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """Adds n_words, n_hit, n_items, item_ids, and the hit runs of words (hit_starts, hit_ends); ``text`` stays behind.
 
-    With several blocks the documents' ids must be unique: each block's findings are put together by id.
+    With several blocks the rows are written with a key of their own first, and each block's findings are put together by it.
     """
     kept = others(docs, text, *(f.name for f in RESULT))
     schema = T.StructType([docs.schema[c] for c in kept] + RESULT)
     bare = docs.select(*kept) if ROW in kept else docs.select(*kept, F.col(text).cast("string").alias(TEXT))
-    passes = [bare.mapInArrow(_scan(schema, kept, docs.sparkSession.sparkContext.broadcast(block)), schema)
-              for block in _blocks(benchmark, size, block_windows, item, item_text)]
-    if len(passes) == 1:
-        return passes[0]
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    merged = every.groupBy(id).agg(
-        *(F.first(c).alias(c) for c in kept if c != id), F.first("n_words").alias("n_words"),
+    blocks = _blocks(benchmark, size, block_windows, item, item_text)
+    block, later = next(blocks), next(blocks, None)
+    scan = lambda rows, kept, schema, block: rows.mapInArrow(
+        _scan(schema, kept, docs.sparkSession.sparkContext.broadcast(block)), schema)
+    if later is None:
+        return scan(bare, kept, schema, block)
+    folder = work_dir(docs.sparkSession, "blocks")
+    bare.select("*", F.monotonically_increasing_id().alias(_KEY)).write.parquet(folder)
+    keyed = docs.sparkSession.read.schema(T.StructType([*bare.schema, *_KEYED])).parquet(folder)
+    schema = T.StructType(_KEYED + RESULT)
+    texts = keyed.select(_KEY, F.col(f"{ROW}.{TEXT}" if ROW in kept else TEXT).alias(TEXT))
+    every = scan(texts, [_KEY], schema, block)
+    for block in chain([later], blocks):
+        every = every.unionByName(scan(texts, [_KEY], schema, block))
+    merged = every.groupBy(_KEY).agg(
+        F.first("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.flatten(F.transform(
             F.arrays_zip("hit_starts", "hit_ends"), lambda x: F.sequence(x["hit_starts"], x["hit_ends"] - 1))))))).alias("_hit"))
     begins = F.filter("_hit", lambda x: ~F.array_contains("_hit", x - 1))
     ends = F.transform(F.filter("_hit", lambda x: ~F.array_contains("_hit", x + 1)), lambda x: x + 1)
-    return merged.select(*kept, "n_words", F.size("_hit").cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
-                         "item_ids", begins.alias("hit_starts"), ends.alias("hit_ends"))
+    merged = merged.select(_KEY, "n_words", F.size("_hit").cast("long").alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
+                           "item_ids", begins.alias("hit_starts"), ends.alias("hit_ends"))
+    return keyed.select(_KEY, *kept).join(merged, _KEY).select(*kept, *(f.name for f in RESULT))
 
 
 def items_digest(items: list[int]) -> str:

@@ -76,6 +76,24 @@ def test_removal_of_spans_and_documents(spark):
     assert decontaminate.contamination(frame(spark, rows).limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("block_windows", [3, 1 << 20])
+def test_rows_that_share_an_id_stay_apart(spark, block_windows):
+    rows, items = bench_case(2)
+    rows = [(None if k % 5 == 0 else k % 7, t) for k, (_, t) in enumerate(rows)] + [(1, "clean"), (1, "clean"), (None, "clean"), (None, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs, options = frame(spark, rows).repartition(3), {"block_windows": block_windows}
+    out = decontaminate.contamination(docs, bench, **options).collect()
+    got = [(r.doc_id, r.n_words, [k for s, e in zip(r.hit_starts, r.hit_ends) for k in range(s, e)], r.item_ids) for r in out]
+    want = brute_hits(rows, items, 10)
+    assert sorted(got, key=str) == sorted(want, key=str)
+    left = decontaminate.remove_documents(docs, bench, **options)
+    clean = [(i, t) for (i, t), (*_, hit, _) in zip(rows, want) if not hit]
+    assert left.columns == docs.columns and sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(clean, key=str)
+    cut = decontaminate.remove_spans(docs, bench, **options).collect()
+    gone = [(i, len(words(t)) - len(hit)) for (i, t), (*_, hit, _) in zip(rows, want)]
+    assert sorted(((r.doc_id, len(words(r.text))) for r in cut), key=str) == sorted(gone, key=str)
+
+
 @pytest.fixture(scope="module")
 def restorer(spark):
     text = "the idiot is a stupid moron and a loser but the clown was worthless trash so pathetic and disgusting scum " * 50
