@@ -41,11 +41,12 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
               "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou"}
 _SAME, _MEANT, _GAP, _RUN = -0.01, -1.5, -0.7, -0.3
 _LEET = re.escape("".join(LOOKALIKES))
-#: Where a hidden word may be: a look-alike before a letter, three equal letters, single letters with gaps.
-_LOOKS = re.compile(rf"[{_LEET}][^\W\d_]")
+_SIGN = rf"(?:[^\W_]|[{_LEET}])"
+#: Where a hidden word may be: a look-alike beside a letter, three equal letters, single letters and look-alikes with gaps.
+_LOOKS = re.compile(rf"[{_LEET}][^\W\d_]|[^\W\d_][{_LEET}]")
 _RUNS = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?:^|[ .\-_\n])[^\W_][ .\-_][^\W_](?=[ .\-_][^\W_])")
-_SPELT = re.compile(r"[^\W_](?:[ .\-_][^\W_])+(?![^\W_])")
+_SPACED = re.compile(rf"(?:^|[ .\-_\n]){_SIGN}[ .\-_]{_SIGN}(?=[ .\-_]{_SIGN})")
+_SPELT = re.compile(rf"{_SIGN}(?:[ .\-_]{_SIGN})+(?![^\W_])")
 _PIECE = re.compile(rf"(?:[^\W\d_]|[{_LEET}])+")
 _SYMBOL = np.array([0 if b < 65 else 27 + b % 64 if b > 127 else max(0, (b | 32) - 96) if (b | 32) <= 122 else 0 for b in range(256)])
 _BLANK = bytes(c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -60,11 +61,14 @@ def _starts(low: str, at: int) -> int:
 
 def hidden(low: str) -> list[tuple[int, int]]:
     """Places of a lower-cased text that may hide words, in order, apart from each other."""
-    found = []
+    found, done = [], 0
     for m in _SPACED.finditer(low):
         start = m.start() + (m[0][0] in " .-_\n")
-        if (whole := _SPELT.match(low, start)) and whole.end() - start >= 5 and any(c.isalpha() for c in whole[0]):
-            found.append((start, whole.end()))
+        if start < done or not (whole := _SPELT.match(low, start)):
+            continue
+        done = whole.end()  # long rows of single marks are read once
+        if done - start >= 5 and any(c.isalpha() for c in whole[0]):
+            found.append((start, done))
     for m in _LOOKS.finditer(low):
         start = _starts(low, m.start())
         found.append((start, _PIECE.match(low, start).end()))
@@ -105,7 +109,7 @@ class Restorer:
     def lattice(self, seen: str) -> list[list[tuple[str, float]]]:
         """For each place what may be meant, with its log-probability; an empty text means nothing was."""
         out, at = [], 0
-        spaced = re.fullmatch(r"(?:[^\W_][ .\-_])+[^\W_]", seen) is not None
+        spaced = re.fullmatch(rf"(?:{_SIGN}[ .\-_])+{_SIGN}", seen) is not None
         while at < len(seen):
             c, end = seen[at], at + 1
             while end < len(seen) and seen[end] == c:

@@ -107,6 +107,13 @@ def test_hidden_words_are_restored(restorer, seen, meant):
     assert restorer.text(seen) == meant
 
 
+@pytest.mark.parametrize("seen, meant", [
+    ("idio7", "idiot"), ("worthle55", "worthless"), ("trash and 4 wa5", "was"), ("s t u p ! d", "stupid"), ("p.@.t.h.e.t.!.c", "pathetic")])
+def test_look_alikes_at_ends_and_in_spelt_words(restorer, seen, meant):
+    assert meant.encode() in restorer.features(seen)
+    assert {b"idiot", b"stupid"} <= toxicity.plain_words(restorer.text("an idiot! so (stupid)"))
+
+
 def test_decoding_is_the_best_path(restorer):
     """Viterbi against all readings of the lattice."""
     log = restorer.model.log
