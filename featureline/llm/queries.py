@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from featureline.llm import (bpe, bwt_dedup, chat, decontaminate, exact_dedup, ngram_join, sharding, substring_dedup, token_counts,
-                             toxicity)
+                             toxicity, warc)
+from featureline.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -156,3 +157,19 @@ SELECT doc_id, n AS n_bytes, n - coalesce(left_over, 0) AS n_removed, coalesce(n
 FROM docs LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_bytes=False)
+
+
+@query("op13_warc", r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+letters AS (SELECT page_id, html, list_transform(range(8), lambda g: CAST('0x' || substr(h, 5 * g + 1, 5) AS INTEGER)) AS g FROM p),
+named AS (SELECT page_id, html, array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((g[k // 4 + 1] >> (15 - 5 * (k % 4))) & 31) + 1, 1)), '') AS d, min(page_id) OVER (PARTITION BY html) AS f FROM letters)
+SELECT page_id, strlen(html) AS payload_bytes, d AS payload_digest, CASE WHEN f < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN f < page_id THEN f END AS refers_to
+FROM named""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_dir(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder, min_bytes=0)
+    found = warc.records(warc.read_archives(spark, folder))
+    return found.select(warc.row_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                        warc.row_id("refers_to").alias("refers_to"))
