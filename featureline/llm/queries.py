@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featureline.llm import (bpe, bwt_dedup, chat, decontaminate, exact_dedup, ngram_join, sharding, substring_dedup, token_counts,
-                             toxicity, warc)
+from featureline.llm import (bpe, bwt_dedup, chat, decontaminate, exact_dedup, ngram_join, phrases, sharding, substring_dedup,
+                             token_counts, toxicity, warc)
 from featureline.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,6 +159,29 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_bytes=False)
 
 
+@query("op12_phrase_mining", r"""
+WITH pieces AS (SELECT lang, regexp_extract_all(s, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS s FROM documents)),
+totals AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+starts AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM pieces, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m),
+f AS (SELECT lang, array_to_string(w[k:k + m - 1], ' ') AS phrase, m, count(*) AS f FROM starts GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT lang, phrase, f AS a, m, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM f WHERE m >= 2),
+scored AS (SELECT c.lang, c.phrase, c.a, c.m, c.k, x.f AS l, y.f AS r, t.n, (1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f) AS score
+    FROM cuts c JOIN totals t ON t.lang = c.lang JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+    JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:c.m], ' ')),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, f, string_split(phrase, ' ') AS w, m, unnest(range(2, m)) AS z FROM f WHERE m >= 3),
+inside AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, f, array_to_string(w[s:s + z - 1], ' ') AS phrase
+    FROM (SELECT *, unnest(range(1, m - z + 2)) AS s FROM inner_)) GROUP BY ALL)
+SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) AS rank, w.phrase, a, l, r,
+    CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM worst w LEFT JOIN inside i ON i.lang = w.lang AND i.phrase = w.phrase WHERE i.f IS NULL OR i.f < a
+QUALIFY row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) <= 2000""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"), threshold=100, top=2000)
+
+
 @query("op13_warc", r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
 letters AS (SELECT page_id, html, list_transform(range(8), lambda g: CAST('0x' || substr(h, 5 * g + 1, 5) AS INTEGER)) AS g FROM p),
