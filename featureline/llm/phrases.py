@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from featureline.llm.frames import fields, parts, record, utf8
-from featureline.llm.words import U64, letters, lowered, mixed, numbers, split_words
+from featureline.llm.words import U64, letters, lowered, mixed, numbers
 from featureline.session import remove_folder, work_dir
 
 LONGEST = 5
@@ -81,78 +81,86 @@ def _texts(words: pa.Array, at: list[np.ndarray]) -> pa.Array:
     return columns[0] if len(columns) == 1 else pc.binary_join_element_wise(*columns, " ")
 
 
-def _distinct(ids: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows of numbers below ``most``: a row of each kind, and how many there are. Numbers are put together two at a time,
-    and renumbered, so that they stay exact."""
+def _distinct(ids: list[np.ndarray], most: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of numbers below ``most``, and how many there are of each."""
+    if most ** len(ids) < 1 << 62:
+        key = ids[0].astype(np.int64)
+        for column in ids[1:]:
+            key = key * most + column
+        key.sort()
+        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[:len(key)])
+        n, key, out = np.diff(np.append(heads, len(key))), key[heads], []
+        for _ in ids[1:]:
+            key, last = np.divmod(key, most)
+            out.insert(0, last)
+        return [key, *out], n
     key = ids[0].astype(np.int64)
     for k, column in enumerate(ids[1:]):
-        if k:
+        if k:  # numbered anew, so that numbers put together stay below 2 ** 63
             key = np.unique(key, return_inverse=True)[1].astype(np.int64)
         key = key * most + column
-    order = np.argsort(key, kind="stable")
-    heads = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])[:len(order)])
-    return order[heads], np.diff(np.append(heads, len(order)))
+    _, one, n = np.unique(key, return_index=True, return_counts=True)
+    return [x[one] for x in ids], n
+
+
+def split(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.DictionaryArray]:
+    """Of texts in lower case: where words begin, each word's text, whether the next word stands in the same piece, and the words."""
+    inside = _WORD[low]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    borders = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(low))]  # a word that ends a text doesn't go on in the next
+    begins[borders] = inside[borders]
+    ends[borders - 1] = inside[borders - 1]
+    starts = np.flatnonzero(begins)
+    bounds = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(np.flatnonzero(ends) + 1 - starts, out=bounds[1:])
+    words = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(low[inside])])
+    first = np.searchsorted(starts, offsets)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    piece = np.cumsum(~_PIECE_ENDS[low], dtype=np.int32)[starts]
+    return starts, text, (text[1:] == text[:-1]) & (piece[1:] == piece[:-1]), words.dictionary_encode()
 
 
 def counted(langs: pa.Array, texts: pa.Array, table: np.ndarray, scan: int, shards: int) -> Iterator[pa.RecordBatch]:
     """Counts of the phrases that are in their cycle in this scan. A phrase of size 0 stands for all words of its language."""
     data, offsets = utf8(texts)
-    low = _LOWER[data[offsets[0]:offsets[-1]]]
-    offsets = offsets - offsets[0]
-    found = split_words(low, offsets, _WORD)
-    if not len(found.starts):
+    starts, text, goes_on, words = split(_LOWER[data[offsets[0]:offsets[-1]]], offsets - offsets[0])
+    if not len(starts):
         return
     langs = langs.dictionary_encode()
-    names, lang_of = langs.dictionary, langs.indices.to_numpy()
-    lang = np.repeat(lang_of, np.diff(found.first)).astype(np.int64)
-    sizes = found.ends - found.starts
-    raw = low[np.repeat(found.starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    words = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(raw)]) \
-        .dictionary_encode()
-    spelt, word = words.dictionary, words.indices.to_numpy().astype(np.int64)
+    names, lang = langs.dictionary, langs.indices.to_numpy()[text]
+    spelt, word = words.dictionary, words.indices.to_numpy()
     most = max(len(spelt), len(names))
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(found.first))
-    piece = np.searchsorted(np.flatnonzero(~_PIECE_ENDS[low]), found.starts)
-    goes_on = (text[1:] == text[:-1]) & (piece[1:] == piece[:-1])  # whether the next word stands in the same piece
-
-    def rows(ids: list[np.ndarray], began: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        heads, n = _distinct([lang[at], *(x[at] for x in ids)], most)
-        one = at[heads]
-        return record(_COUNTS, {
-            "lang": names.take(pa.array(lang[one])).cast(pa.string()), "phrase": _texts(spelt, [x[one] for x in ids]),
-            "size": pa.array(np.full(len(one), len(ids), np.int32)), "began": pa.array(began[one].astype(np.int32)), "n": pa.array(n)})
-
-    every = np.arange(len(word))
+
+    def rows(size: int, at, began) -> Iterator[pa.RecordBatch]:
+        """Phrases of one size at places, by the scan in which they began."""
+        for scan_of in np.unique(began).tolist() if size > 1 else [0]:
+            here = at[began == scan_of] if size > 1 else at
+            (lang_of, *ids), n = _distinct([lang[here], *(word[k:][here] for k in range(size))], most)
+            yield record(_COUNTS, {
+                "lang": names.take(pa.array(lang_of)).cast(pa.string()), "phrase": _texts(spelt, ids) if size else pa.array([""] * len(n)),
+                "size": pa.array(np.full(len(n), size, np.int32)), "began": pa.array(np.full(len(n), scan_of, np.int32)), "n": pa.array(n)})
+
     if scan < shards:
-        total = np.bincount(lang, minlength=len(names))
-        used = np.flatnonzero(total)
-        yield record(_COUNTS, {"lang": names.take(pa.array(used)).cast(pa.string()), "phrase": pa.array([""] * len(used), pa.string()),
-                               "size": pa.array(np.zeros(len(used), np.int32)), "began": pa.array(np.zeros(len(used), np.int32)),
-                               "n": pa.array(total[used])})
-        yield rows([word], np.zeros(len(word), np.int32), every)
-    # Of the phrases of each size: where they begin, their hashes, and the scan from which longer ones may count them.
+        yield from rows(0, slice(None), None)
+        yield from rows(1, slice(None), None)
+    # Phrases of growing size: the places where frequent ones begin, their hashes, and the scan from which longer ones count.
     spelling = _hashes(spelt)[word]
-    hashes = _first_words(spelling, _hashes(names)[lang])
     shift = U64(64 - (len(table) - 1).bit_length())
-    since, there = table[hashes >> shift], np.ones(len(word), bool)
+    at = np.arange(len(word))
+    hashes = _first_words(spelling, _hashes(names)[lang])
+    since = table[hashes >> shift]
     for size in range(2, LONGEST + 1):
-        n = len(word) - size + 1
-        if n <= 0:
-            return
-        began = np.maximum(since[:n], since[1:n + 1])
-        there = there[:n] & there[1:n + 1] & (began != NEVER) & (began <= scan)
-        if size == 2:
-            there &= goes_on
-        at = np.flatnonzero(there)
-        if not len(at):
-            return
-        counts = at[began[at].astype(np.int64) + shards > scan]
-        if len(counts):
-            yield rows([word[k:] for k in range(size)], began, counts)
-        hashes = _longer(hashes[:n], spelling[size - 1:])
-        since = np.full(n, NEVER, np.uint8)
-        since[at] = table[hashes[at] >> shift]
+        often = since != NEVER
+        at, hashes, since = at[often], hashes[often], since[often]
+        follows = np.flatnonzero(goes_on[at[:-1]] & (at[1:] == at[:-1] + 1) if size == 2 else at[1:] == at[:-1] + 1)
+        at, hashes, since = at[follows], hashes[follows], np.maximum(since[follows], since[follows + 1])
+        counts = since.astype(np.int64) + shards > scan
+        if counts.any():
+            yield from rows(size, at[counts], since[counts])
+        hashes = _longer(hashes, spelling[at + size - 1])
+        since = table[hashes >> shift]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
@@ -185,11 +193,11 @@ def _slots(phrases: DataFrame, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            split = [p.split(" ") for p in batch.column("phrase").to_pylist()]
-            sizes = np.array([len(s) for s in split], np.int64)
+            parted = [p.split(" ") for p in batch.column("phrase").to_pylist()]
+            sizes = np.array([len(s) for s in parted], np.int64)
             if not len(sizes):
                 continue
-            words = _hashes(pa.array([w.encode() for s in split for w in s], pa.binary()))
+            words = _hashes(pa.array([w.encode() for s in parted for w in s], pa.binary()))
             first = np.cumsum(sizes) - sizes
             hashes = _first_words(words[first], _hashes(batch.column("lang").cast(pa.binary())))
             for k in range(1, int(sizes.max())):
@@ -201,16 +209,20 @@ def _slots(phrases: DataFrame, bits: int) -> DataFrame:
 
 
 def _marked(slots: DataFrame, table: np.ndarray, scan: int) -> bool:
-    """Notes in the table from which scan on its frequent phrases count; bits reach the driver 32,768 at a time."""
+    """Notes in the table from which scan on its frequent phrases count, and says whether that is news. Bits reach the driver
+    32,768 at a time."""
+    news = False
     found = slots.groupBy(F.bitmap_bucket_number(F.col("slot") + 1).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(F.col("slot") + 1)).alias("bits")).collect()
     for row in found:
         at = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(row.bits), np.uint8), bitorder="little")) + 32768 * (row.bucket - 1)
-        table[at] = np.minimum(table[at], scan)
-    return bool(found)
+        at = at[table[at] == NEVER]
+        table[at] = scan
+        news |= bool(len(at))
+    return news
 
 
-def phrase_counts(docs: DataFrame, *, threshold: int = 100, shards: int = 4, text: str = "text", lang: str = "lang",
+def phrase_counts(docs: DataFrame, *, threshold: int = 100, shards: int = 3, text: str = "text", lang: str = "lang",
                   table_bits: int = 24) -> DataFrame:
     """lang, phrase, size and n of all phrases of at most five words that occur ``threshold`` times in a language, and for each
     language a row of size 0 with the number of all words. The rows are a written table."""
@@ -225,29 +237,23 @@ def phrase_counts(docs: DataFrame, *, threshold: int = 100, shards: int = 4, tex
         .write.partitionBy("shard").parquet(f"{folder}/shards")
     corpus = spark.read.schema(schema).parquet(f"{folder}/shards")
     table = np.full(1 << table_bits, NEVER, np.uint8)
-    running = T.StructType([*_COUNTS, *fields("known boolean")])
     ended, scan, last = [], 0, shards - 1
     while scan <= last:
         shared = spark.sparkContext.broadcast(table.copy())
-        counts = _scanned(corpus.where(F.col("shard") == scan % shards).select("lang", "text"), shared, scan, shards) \
-            .withColumn("known", F.lit(False))
+        counts = _scanned(corpus.where(F.col("shard") == scan % shards).select("lang", "text"), shared, scan, shards)
         if scan:
-            before = spark.read.schema(running).parquet(f"{folder}/{scan - 1}")
+            before = spark.read.schema(_COUNTS).parquet(f"{folder}/{scan - 1}")
             counts = counts.unionByName(before.where(F.col("began") > scan - shards))
-        summed = counts.groupBy("lang", "phrase", "size", "began").agg(F.sum("n").alias("n"), F.max("known").alias("known"))
-        # "known" rows were frequent after an earlier scan; now is the time to say so of the others.
-        frequent = F.col("n") >= threshold
+        summed = counts.groupBy("lang", "phrase", "size", "began").agg(F.sum("n").alias("n"))
         cycle_over = F.col("began") == scan - shards + 1
-        summed.where(~cycle_over | frequent | (F.col("size") == 0)) \
-            .withColumn("new", frequent & ~F.col("known") & F.col("size").between(1, LONGEST - 1)) \
-            .withColumn("known", F.col("known") | frequent).write.parquet(f"{folder}/{scan}")
-        now = spark.read.schema(T.StructType([*running, *fields("new boolean")])).parquet(f"{folder}/{scan}")
-        if _marked(_slots(now.where("new"), table_bits), table, scan + 1):
-            last = max(last, scan + shards)
+        summed.where(~cycle_over | (F.col("n") >= threshold) | (F.col("size") == 0)).write.parquet(f"{folder}/{scan}")
+        frequent = spark.read.schema(_COUNTS).parquet(f"{folder}/{scan}").where((F.col("n") >= threshold) & F.col("size").between(1, LONGEST - 1))
+        if _marked(_slots(frequent, table_bits), table, scan + 1):
+            last = scan + shards
         shared.destroy()  # what was computed with it is written
         ended.append(f"{folder}/{scan}")
         scan += 1
-    finished = [spark.read.schema(running).parquet(path).where((F.col("began") == k - shards + 1) & ((F.col("n") >= threshold) | (F.col("size") == 0)))
+    finished = [spark.read.schema(_COUNTS).parquet(path).where((F.col("began") == k - shards + 1) & ((F.col("n") >= threshold) | (F.col("size") == 0)))
                 for k, path in enumerate(ended)]
     reduce(DataFrame.unionByName, finished).select("lang", "phrase", "size", "n").write.parquet(f"{folder}/counts")
     for path in [f"{folder}/shards", *ended]:
