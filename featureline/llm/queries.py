@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featureline.llm import (bpe, bwt_dedup, chat, decontaminate, exact_dedup, ngram_join, phrases, sharding, substring_dedup,
-                             token_counts, toxicity, warc)
+from featureline.llm import (alignment, bpe, bwt_dedup, chat, decontaminate, exact_dedup, ngram_join, phrases, sharding,
+                             substring_dedup, token_counts, toxicity, warc)
 from featureline.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,6 +159,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_bytes=False)
 
 
+@query("op11_tokenizer_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op12_phrase_mining", r"""
 WITH pieces AS (SELECT lang, regexp_extract_all(s, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang,
     unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
