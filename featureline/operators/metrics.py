@@ -8,6 +8,8 @@ from math import isfinite
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from featureline.session import work_dir
+
 #: Distinct scores that one score range holds, about.
 RANGE_SCORES = 1_000_000
 
@@ -50,34 +52,45 @@ def classification_metrics(df: DataFrame, truth: str, predicted: str, by: Sequen
     })
 
 
+def running_below(df: DataFrame, order: str, weights: Sequence[str], range_rows: int = RANGE_SCORES) -> DataFrame:
+    """Adds ``<weight>_below`` for every weight: its sum over all rows with a smaller ``order``, a double that differs in every row.
+
+    Sums go over ranges of about ``range_rows`` rows first and then inside each, so no task sees all rows. ``df`` is read
+    several times: give a table or something cheap.
+    """
+    ranges = -(-df.count() // range_rows)
+    cuts = df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.5 / ranges) if ranges > 1 else []
+    splits = [float("-inf"), *sorted({c for c in cuts if isfinite(c)}), float("inf")]
+    ranged = Bucketizer(splits=splits, inputCol=order, outputCol="_r").transform(df) \
+        if len(splits) > 2 else df.withColumn("_r", F.lit(0.0))
+    below = Window.partitionBy(F.lit(0)).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_r").agg(*[F.sum(w).alias(f"_range_{w}") for w in weights]).select(
+        "_r", *[F.coalesce(F.sum(f"_range_{w}").over(below), F.lit(0)).alias(f"_offset_{w}") for w in weights])
+    inside = Window.partitionBy("_r").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    # offsets has one row per range.
+    counted = ranged.withColumns({f"_inside_{w}": F.coalesce(F.sum(w).over(inside), F.lit(0)) for w in weights}).join(offsets, "_r")
+    return counted.select(*[F.col(f"`{c}`") for c in df.columns],
+                          *[(F.col(f"_offset_{w}") + F.col(f"_inside_{w}")).alias(f"{w}_below") for w in weights])
+
+
 def roc_auc(df: DataFrame, truth: str, score: str, range_scores: int = RANGE_SCORES) -> DataFrame:
     """One row: positives, negatives and the area under the ROC curve; equal scores count half.
 
-    Rows shrink to one per distinct score. The running count of negatives goes over score
-    ranges of about ``range_scores`` scores first and then inside each range, so
-    no task sees all scores. Infinite scores count like any other; NaN and null scores and null truths are left out and counted in
-    ``n_unscored``. ``roc_auc`` is null when only one class is present.
+    Rows shrink to one per distinct score, which are written and read from there on. Infinite scores count like any other; NaN and
+    null scores and null truths are left out and counted in ``n_unscored``. ``roc_auc`` is null when only one class is present.
     """
     t = F.col(truth).cast("int") == 1
     # Adding 0.0 makes -0.0 and 0.0 one score.
     rows = df.select((F.col(score).cast("double") + F.lit(0.0)).alias("_score"), t.alias("_t"))
     known = F.col("_score").isNotNull() & ~F.isnan("_score") & F.col("_t").isNotNull()
+    folder = work_dir(df.sparkSession, "scores")
     # Rows that can't be ranked are one more score, null, and only counted.
-    by_score = rows.withColumn("_score", F.when(known, F.col("_score"))).groupBy("_score").agg(
-        F.count_if("_t").alias("_pos"), F.count_if(~F.col("_t")).alias("_neg"), F.count(F.lit(1)).alias("_n"))
+    rows.withColumn("_score", F.when(known, F.col("_score"))).groupBy("_score").agg(
+        F.count_if("_t").alias("_pos"), F.count_if(~F.col("_t")).alias("_neg"), F.count(F.lit(1)).alias("_n")).write.parquet(folder)
+    by_score = df.sparkSession.read.schema("_score double, _pos long, _neg long, _n long").parquet(folder)
     left_out, by_score = by_score.filter("_score IS NULL"), by_score.filter("_score IS NOT NULL").drop("_n")
-    ranges = -(-by_score.count() // range_scores)
-    cuts = by_score.approxQuantile("_score", [i / ranges for i in range(1, ranges)], 0.5 / ranges) if ranges > 1 else []
-    splits = [float("-inf"), *sorted({c for c in cuts if isfinite(c)}), float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol="_score", outputCol="_r").transform(by_score) \
-        if len(splits) > 2 else by_score.withColumn("_r", F.lit(0.0))
-    below = Window.partitionBy(F.lit(0)).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranged.groupBy("_r").agg(F.sum("_neg").alias("_range_neg")).select(
-        "_r", F.coalesce(F.sum("_range_neg").over(below), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_r").orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
-    # offsets has one row per range.
-    counted = ranged.withColumn("_inside", F.coalesce(F.sum("_neg").over(inside), F.lit(0))).join(offsets, "_r")
-    wins = F.col("_pos").cast("double") * (F.col("_offset") + F.col("_inside") + F.col("_neg") / 2)
+    counted = running_below(by_score, "_score", ["_neg"], range_scores)
+    wins = F.col("_pos").cast("double") * (F.col("_neg_below") + F.col("_neg") / 2)
     counted = counted.select("_pos", "_neg", wins.alias("_win"), F.lit(0).cast("long").alias("_n")).unionByName(
         left_out.select(F.lit(0).cast("long").alias("_pos"), F.lit(0).cast("long").alias("_neg"), F.lit(0.0).alias("_win"), "_n"))
     totals = counted.agg(
