@@ -15,6 +15,7 @@ from featureline.schema import conform, explode_refs
 from featureline.session import work_dir
 from featureline.sources import synth
 from featureline.sources.catalog import get_all
+from featureline.sources.buckets import BucketedOnlineTable
 from featureline.sources.online import OnlineTable
 from featureline.sources.tables import (label_scan, latest_predictions, prediction_rows, read_predictions, read_view,
                                         score_spine, training_spine, write_features, write_predictions, write_table)
@@ -120,6 +121,40 @@ def online_incremental(spark, sf):
     return newest
 
 
+@query("s9_online_buckets", f"""
+WITH {b.CUSTOMER_FEATURES_SQL}
+SELECT * FROM customer_features WHERE event_timestamp <= TIMESTAMP '2000-12-31'
+QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY event_timestamp DESC) = 1""")
+def online_buckets(spark, sf):
+    """Six intervals into key buckets, of which two of a level become one of the next."""
+    folder = work_dir(spark, "buckets")
+    write_table(b.customer_features(spark, sf), f"{folder}/features")
+    features = read_view(spark, b.CUSTOMER_VIEW, f"{folder}/features")
+    online = BucketedOnlineTable(spark, folder, b.CUSTOMER_VIEW, buckets=16, fanout=2)
+    for end in ("1996-12-31", "1997-06-30", "1999-01-31", "1999-12-31", "2000-06-30", "2000-12-31"):
+        newest = online.materialize_incremental(features, f"{end} 00:00:00")
+    return newest
+
+
+@query("r1_online_lookup", f"""
+WITH {b.CUSTOMER_FEATURES_SQL},
+newest AS (SELECT * FROM customer_features QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY event_timestamp DESC) = 1),
+asked AS (SELECT CASE WHEN o_orderkey % 5 = 0 THEN -o_custkey ELSE o_custkey END AS entity_id, o_orderkey FROM orders),
+joined AS (SELECT a.*, n.* EXCLUDE (entity_id), n.entity_id IS NOT NULL AS found,
+  coalesce(n.event_timestamp < TIMESTAMP '2001-08-02' - INTERVAL 365 DAY, false) AS expired
+  FROM asked a LEFT JOIN newest n ON n.entity_id = CAST(a.entity_id AS VARCHAR))
+SELECT entity_id, o_orderkey, CASE WHEN NOT expired THEN age END AS age, CASE WHEN NOT expired THEN account_balance END AS account_balance,
+  CASE WHEN NOT expired THEN num_transactions END AS num_transactions, CASE WHEN NOT expired THEN days_since_last_txn END AS days_since_last_txn,
+  event_timestamp AS feature_timestamp, found, expired FROM joined""")
+def online_lookup(spark, sf):
+    """One request per order, a fifth of them for keys that are not there."""
+    online = BucketedOnlineTable(spark, work_dir(spark, "lookup"), b.CUSTOMER_VIEW, buckets=16)
+    online.materialize_incremental(b.customer_features(spark, sf), "2001-08-01 00:00:00")
+    asked = table(spark, sf, "orders").select(
+        F.when(F.col("o_orderkey") % 5 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey")).alias("entity_id"), "o_orderkey")
+    return online.lookup(asked, "2001-08-02 00:00:00")
+
+
 @query("s10_catalog_scan", f"WITH {b.CATALOG_SQL} SELECT * FROM catalog")
 def catalog_scan(spark, sf):
     folder = work_dir(spark, "catalog")

@@ -36,6 +36,13 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def folders_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right below ``path``; none if it isn't there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(target) if f.isDirectory()] if files.exists(target) else []
+
+
 _own: dict[str, str] = {}
 
 
