@@ -222,6 +222,11 @@ def _marked(slots: DataFrame, table: np.ndarray, scan: int) -> bool:
     return news
 
 
+def _stored(spark, path: str) -> DataFrame:
+    """The table of a scan; ``over`` says whether a phrase's cycle has ended."""
+    return spark.read.schema(T.StructType([*_COUNTS, *fields("over boolean")])).parquet(path)
+
+
 def phrase_counts(docs: DataFrame, *, threshold: int = 100, shards: int = 3, text: str = "text", lang: str = "lang",
                   table_bits: int = 24) -> DataFrame:
     """lang, phrase, size and n of all phrases of at most five words that occur ``threshold`` times in a language, and for each
@@ -242,20 +247,21 @@ def phrase_counts(docs: DataFrame, *, threshold: int = 100, shards: int = 3, tex
         shared = spark.sparkContext.broadcast(table.copy())
         counts = _scanned(corpus.where(F.col("shard") == scan % shards).select("lang", "text"), shared, scan, shards)
         if scan:
-            before = spark.read.schema(_COUNTS).parquet(f"{folder}/{scan - 1}")
-            counts = counts.unionByName(before.where(F.col("began") > scan - shards))
+            counts = counts.unionByName(_stored(spark, f"{folder}/{scan - 1}").where("NOT over").drop("over"))
         summed = counts.groupBy("lang", "phrase", "size", "began").agg(F.sum("n").alias("n"))
-        cycle_over = F.col("began") == scan - shards + 1
-        summed.where(~cycle_over | (F.col("n") >= threshold) | (F.col("size") == 0)).write.parquet(f"{folder}/{scan}")
-        frequent = spark.read.schema(_COUNTS).parquet(f"{folder}/{scan}").where((F.col("n") >= threshold) & F.col("size").between(1, LONGEST - 1))
+        over = F.col("began") == scan - shards + 1
+        summed.where(~over | (F.col("n") >= threshold) | (F.col("size") == 0)).withColumn("over", over) \
+            .write.option("compression", "zstd").partitionBy("over").parquet(f"{folder}/{scan}")
+        if scan:  # what went on from the scan before is in this one's table
+            remove_folder(spark, f"{folder}/{scan - 1}/over=false")
+        frequent = _stored(spark, f"{folder}/{scan}").where((F.col("n") >= threshold) & F.col("size").between(1, LONGEST - 1))
         if _marked(_slots(frequent, table_bits), table, scan + 1):
             last = scan + shards
         shared.destroy()  # what was computed with it is written
         ended.append(f"{folder}/{scan}")
         scan += 1
-    finished = [spark.read.schema(_COUNTS).parquet(path).where((F.col("began") == k - shards + 1) & ((F.col("n") >= threshold) | (F.col("size") == 0)))
-                for k, path in enumerate(ended)]
-    reduce(DataFrame.unionByName, finished).select("lang", "phrase", "size", "n").write.parquet(f"{folder}/counts")
+    finished = [_stored(spark, path).where("over").select("lang", "phrase", "size", "n") for path in ended]
+    reduce(DataFrame.unionByName, finished).write.parquet(f"{folder}/counts")
     for path in [f"{folder}/shards", *ended]:
         remove_folder(spark, path)
     return spark.read.schema(T.StructType(fields("lang string, phrase string, size int, n long"))).parquet(f"{folder}/counts")
