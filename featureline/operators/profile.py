@@ -26,19 +26,28 @@ def positive_rate(df: DataFrame, label: str) -> DataFrame:
     return df.agg((F.avg(F.col(label).cast("int")) * 100).alias("positive_pct"))
 
 
+def row_digest(columns: Sequence[str]) -> Column:
+    """An aggregate: the sums of two parts (60 bits each) of every row's md5, joined by a hyphen. A row is the text of its values, each with its
+    length before it, and n for null."""
+    texts = [F.col(f"`{c}`").cast("string") for c in columns]
+    whole = F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("n")) for t in texts])
+    part = lambda at: F.sum(F.conv(F.substring(F.md5(whole.cast("binary")), at, 15), 16, 10).cast("decimal(20,0)"))
+    return F.concat_ws("-", *[F.coalesce(part(at).cast("string"), F.lit("0")) for at in (1, 16)])
+
+
 def dataset_profile(df: DataFrame, name: str, source: str, targets: str, context: str = "training",
                     digest: bool = True) -> DataFrame:
     """One row per column: rows, type, nulls, smallest and largest value as text, and a digest of the rows.
 
-    The digest is a sum of row hashes, the same for any order of the rows. One pass.
+    The digest is a sum of row hashes, the same for any order of the rows. It is made of md5 so that any engine that writes values
+    as text in the same way can check it. One pass.
     """
     measures: list[Column] = [F.count(F.lit(1)).alias("_n")]
     for i, field in enumerate(df.schema.fields):
         c = F.col(f"`{field.name}`")
         measures += [F.count_if(c.isNull()).alias(f"_nulls{i}"), F.min(c).cast("string").alias(f"_min{i}"),
                      F.max(c).cast("string").alias(f"_max{i}")]
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    measures.append(F.sum(row_hash.cast("decimal(20,0)")).cast("string").alias("_digest"))
+    measures.append(row_digest(df.columns).alias("_digest"))
     one = df.agg(*measures)
     columns = F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"),

@@ -16,9 +16,11 @@ from pyspark.sql.types import TimestampType
 from featureline.functions.exprs import is_missing, wall_clock
 from featureline.operators import skew
 from featureline.operators.asof import historical_features
+from featureline.operators.gate import compare_models
 from featureline.operators.keyed import inner_join
+from featureline.operators.linear import fit_linear
 from featureline.operators.metrics import classification_metrics, roc_auc
-from featureline.operators.model import ForestConfig, fit_forest, predict, save_model
+from featureline.operators.model import ForestConfig, fit_forest, load_model, predict, save_model
 from featureline.operators.profile import dataset_profile, input_example, row_counts
 from featureline.operators.quality import apply_missing_policy, not_empty
 from featureline.operators.registry import CHAMPION, Registry
@@ -33,7 +35,8 @@ logger = logging.getLogger(__name__)
 
 @dataclass(frozen=True)
 class TrainConfig:
-    """``base`` holds the offline folders, ``registry`` the run and model tables and the artifacts."""
+    """``base`` holds the offline folders, ``registry`` the run and model tables and the artifacts. ``kind`` names the fitter. With ``gate`` a
+    version becomes champion only if it beats the present one on this run's validation rows."""
 
     base: str
     registry: str
@@ -52,6 +55,21 @@ class TrainConfig:
     partitions: int = 32
     allow_exact: bool = False
     bucket: timedelta | None = skew.BUCKET
+    kind: str = "forest"
+    gate: bool = False
+
+
+def _fit_forest(train: DataFrame, features: list[str], cfg: TrainConfig) -> PipelineModel:
+    return fit_forest(train, ForestConfig(tuple(features), cfg.label, cfg.num_trees, cfg.max_depth, cfg.max_bins,
+                                          cfg.seed, cfg.missing, cfg.partitions))
+
+
+def _fit_linear(train: DataFrame, features: list[str], cfg: TrainConfig) -> PipelineModel:
+    return fit_linear(train, features, cfg.label, cfg.missing)
+
+
+#: Kinds of models: the name that is logged, and training rows, features and settings to a pipeline with class and probability.
+KINDS = {"forest": ("RandomForestClassifier", _fit_forest), "linear": ("LeastSquares", _fit_linear)}
 
 
 @dataclass(frozen=True)
@@ -67,6 +85,7 @@ class TrainResult:
     n_labels: int = 0
     n_merged: int = 0
     n_incomplete: int = 0
+    promoted: bool = True
 
 
 def view_tables(spark: SparkSession, views, base: str, paths: dict[str, str]) -> dict[str, DataFrame]:
@@ -105,6 +124,17 @@ def evaluate(model: PipelineModel, validation: DataFrame, label: str, folder: st
     return {"accuracy": one["accuracy"], "f1_score": one["f1_score"], "roc_auc": auc["roc_auc"]}
 
 
+def beats_champion(registry: Registry, model: PipelineModel, validation: DataFrame, cfg: TrainConfig) -> bool:
+    """Whether there is no champion yet, or the gate lets the model take its place. Both score the same validation rows."""
+    champion = registry.champions().filter(F.col("name") == cfg.model_name).first()
+    if champion is None:
+        return True
+    old = predict(load_model(champion["source"]), validation).drop("prediction").withColumnRenamed("probability", "_champion")
+    judged = compare_models(predict(model, old), cfg.label, "_champion", "probability").first()
+    logger.info("%s: candidate %s", cfg.model_name, judged.asDict())
+    return judged["promote"]
+
+
 def stored_split(merged: DataFrame, cfg: TrainConfig, folder: str) -> tuple[DataFrame, DataFrame]:
     """(training, validation) rows, kept as a table in two folders so that each is read alone."""
     features = [feature for _, feature in parse_refs(list(cfg.refs), cfg.views)]
@@ -155,8 +185,8 @@ def train_on(spark: SparkSession, spine: DataFrame, labels: DataFrame, tables: d
     sizes |= stage_counts(train, validation, features)
     n_train, n_validation = sizes["n_train"], sizes["n_validation"]
     sizes["n_dropped"] = sizes["n_merged"] - n_train - n_validation
-    model = fit_forest(train, ForestConfig(tuple(features), cfg.label, cfg.num_trees, cfg.max_depth, cfg.max_bins,
-                                           cfg.seed, cfg.missing, cfg.partitions))
+    model_class, fit = KINDS[cfg.kind]
+    model = fit(train, features, cfg)
     metrics = evaluate(model, validation, cfg.label, f"{folder}/scored")
     artifact = f"{cfg.registry.rstrip('/')}/artifacts/{run_id}/model"
     save_model(model, artifact)
@@ -165,14 +195,16 @@ def train_on(spark: SparkSession, spine: DataFrame, labels: DataFrame, tables: d
     registry = Registry(spark, cfg.registry)
     registry.log_input(run_id, dataset_profile(merged, "features_with_labels", cfg.base, cfg.label))
     registry.log_run(run_id, cfg.experiment, started, {
-        "model_class": "RandomForestClassifier", "n_estimators": cfg.num_trees, "random_state": cfg.seed,
+        "model_class": model_class, "n_estimators": cfg.num_trees if cfg.kind == "forest" else 0, "random_state": cfg.seed,
         "n_train": n_train, "n_val": n_validation, **{k: sizes[k] for k in (
             "n_features", "n_labels", "n_merged", "n_dropped", "n_imputed")}, "features": ",".join(features), "label_column": cfg.label,
     }, metrics, {"model_name": cfg.model_name}, artifact)
     version = registry.register(cfg.model_name, run_id, artifact, metrics["f1_score"], metrics["roc_auc"], started)
-    registry.set_alias(cfg.model_name, CHAMPION, version, started)
+    promoted = not cfg.gate or beats_champion(registry, model, validation, cfg)
+    if promoted:
+        registry.set_alias(cfg.model_name, CHAMPION, version, started)
     uri = f"models:/{cfg.model_name}@{CHAMPION}"
     logger.info("trained %s version %d run %s %s", cfg.model_name, version, run_id, metrics)
     remove_folder(spark, folder)
     return TrainResult(run_id, version, artifact, uri, metrics, n_train, n_validation, sizes["n_features"],
-                       sizes["n_labels"], sizes["n_merged"], sizes["n_dropped"] + sizes["n_imputed"])
+                       sizes["n_labels"], sizes["n_merged"], sizes["n_dropped"] + sizes["n_imputed"], promoted)

@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession, functions as F
 
 from featureline.functions.exprs import utc_timestamp, wall_clock
 from featureline.operators.asof import historical_features
+from featureline.operators.linear import linear_weights
 from featureline.operators.metrics import standardize
 from featureline.operators.model import (ForestConfig, fit_forest, load_model, predict, save_model, score_foreign,
                                          score_rows)
@@ -304,6 +305,53 @@ def catalog_scoring(spark, sf):
                          wall_clock(F.col("predicted_at")).alias("predicted_at"), F.col("score").between(0, 1).alias("in_unit_range"))
 
 
+_TWO = ("account_balance", "num_transactions")
+_LINEAR_SQL = _VALIDATION_SQL + """,
+means AS (SELECT avg(account_balance) AS m1, avg(num_transactions) AS m2 FROM keyed JOIN split USING (k) WHERE NOT is_validation),
+filled AS (SELECT is_validation, CAST(keyed.churned AS INTEGER)::DOUBLE AS y, coalesce(account_balance, m1) AS x1, coalesce(num_transactions, m2) AS x2
+  FROM keyed JOIN split USING (k), means),
+centre AS (SELECT avg(x1) AS a1, avg(x2) AS a2, avg(y) AS ay FROM filled WHERE NOT is_validation),
+sums AS (SELECT sum((x1 - a1) * (x1 - a1)) AS s11, sum((x1 - a1) * (x2 - a2)) AS s12, sum((x2 - a2) * (x2 - a2)) AS s22,
+  sum((x1 - a1) * (y - ay)) AS s1y, sum((x2 - a2) * (y - ay)) AS s2y FROM filled, centre WHERE NOT is_validation),
+weights AS (SELECT (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS w1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS w2 FROM sums),
+model AS (SELECT w1, w2, ay - w1 * a1 - w2 * a2 AS w0 FROM weights, centre)"""
+
+
+@query("r8_linear_weights", f"""
+{_LINEAR_SQL}
+SELECT 'account_balance' AS feature, round(w1, 12) AS weight FROM model UNION ALL SELECT 'num_transactions', round(w2, 9) FROM model
+UNION ALL SELECT 'intercept', round(w0, 9) FROM model""")
+def linear_model_weights(spark, sf):
+    """The weights of the second kind of model, against the closed form for two features."""
+    weights, intercept, _ = linear_weights(_split(spark, sf).filter("NOT is_validation"), _TWO, "churned")
+    made = [("account_balance", round(weights["account_balance"], 12)), ("num_transactions", round(weights["num_transactions"], 9)),
+            ("intercept", round(intercept, 9))]
+    return spark.createDataFrame(made, "feature string, weight double")
+
+
+@query("m12_linear_train_job", f"""
+{_LINEAR_SQL},
+scored AS (SELECT y = 1 AS t, least(greatest(w0 + w1 * x1 + w2 * x2, 0), 1) AS p FROM filled, model WHERE is_validation),
+c AS (SELECT count(*) AS n, count(*) FILTER (t AND p > 0.5) AS tp, count(*) FILTER (NOT t AND p > 0.5) AS fp, count(*) FILTER (t AND p <= 0.5) AS fn FROM scored),
+ranks AS (SELECT t, rank() OVER (ORDER BY round(p, 12)) + (count(*) OVER (PARTITION BY round(p, 12)) - 1) / 2.0::DOUBLE AS r FROM scored),
+a AS (SELECT count(*) FILTER (t) AS pos, count(*) FILTER (NOT t) AS neg, sum(r) FILTER (t) AS ranks FROM ranks)
+SELECT 'LeastSquares' AS model_class, (SELECT count(*) FROM filled WHERE NOT is_validation) AS n_train, n AS n_validation, CAST(1 AS BIGINT) AS version,
+  round((n - fp - fn) / n, 6) AS accuracy, round(2 * tp / (2 * tp + fp + fn), 6) AS f1_score,
+  round((ranks - pos * (pos + 1) / 2.0::DOUBLE) / (pos * neg), 6) AS roc_auc FROM c, a""")
+def train_linear(spark, sf):
+    """The same job with the second kind of model; the logged metrics are those that SQL works out from the closed form."""
+    folder = work_dir(spark, "registry")
+    refs = tuple(f"customer_features:{c}" for c in _TWO)
+    cfg = TrainConfig(base=sf, registry=folder, views=(b.CUSTOMER_VIEW,), refs=refs, kind="linear", model_name=f"linear_{uuid.uuid4().hex[:6]}")
+    train_on(spark, b.train_entities(spark, sf), b.churn_labels(spark, sf), {"customer_features": b.customer_features(spark, sf)}, cfg)
+    registry = Registry(spark, folder)
+    runs = registry.read("runs").select(
+        "run_id", F.col("params")["model_class"].alias("model_class"), F.col("params")["n_train"].cast("long").alias("n_train"),
+        F.col("params")["n_val"].cast("long").alias("n_validation"),
+        *(F.round(F.col("metrics")[c], 6).alias(c) for c in ("accuracy", "f1_score", "roc_auc")))
+    return runs.join(registry.champions().select("run_id", "version"), "run_id").drop("run_id")
+
+
 @query("m12_train_job", f"""
 WITH {b.AS_OF_LABELS_SQL}
 SELECT (SELECT count(*) FROM as_of_labels) AS n_features, (SELECT count(*) FROM churn_labels) AS n_labels, count(*) AS n_merged,

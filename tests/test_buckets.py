@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from featureline.session import folders_in
 from featureline.sources.buckets import BucketedOnlineTable
-from tests.conftest import rows, ts
-from tests.test_sources_registry import FEATURES, VIEW
+from conftest import rows, ts
+from test_sources_registry import FEATURES, VIEW
 
 LIVE_FOR = replace(VIEW, ttl=timedelta(days=10))
 
