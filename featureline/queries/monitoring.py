@@ -1,9 +1,10 @@
-"""R2 and R5: the promotion gate and feature drift."""
+"""R2, R3 and R5: the promotion gate, rollbacks and feature drift."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from featureline.operators.commits import alias_history
 from featureline.operators.drift import ERROR, feature_drift, feature_sketches, sketch_quantiles
 from featureline.operators.gate import compare_models
 from featureline.queries import base as b
@@ -107,3 +108,27 @@ def gate_many_scores(spark, sf):
         (F.col("o_orderstatus") == "F").alias("done"), (F.col("o_totalprice") / 600000).alias("old"),
         (F.pmod(F.col("o_totalprice") * 7, F.lit(1000.0)) / 1000).alias("new"))
     return _rounded(compare_models(orders, "done", "old", "new", range_scores=5_000))
+
+
+@query("r3_alias_rollback", """
+WITH RECURSIVE events_ AS (SELECT user_id AS name, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, event_id AS version,
+  CASE event_type WHEN 'error' THEN 'rollback' WHEN 'signup' THEN 'rollback' WHEN 'click' THEN 'restore' ELSE 'set' END AS action FROM events),
+walk(name, k, stack, undone) AS (
+  SELECT DISTINCT name, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM events_
+  UNION ALL
+  SELECT w.name, e.k,
+    CASE WHEN e.action = 'set' THEN list_append(stack, version) WHEN e.action = 'rollback' AND len(stack) > 1 THEN stack[1:len(stack) - 1]
+         WHEN e.action = 'restore' AND len(undone) > 0 THEN list_append(stack, undone[len(undone)]) ELSE stack END,
+    CASE WHEN e.action = 'set' THEN CAST([] AS BIGINT[]) WHEN e.action = 'rollback' AND len(stack) > 1 THEN list_append(undone, stack[len(stack)])
+         WHEN e.action = 'restore' AND len(undone) > 0 THEN undone[1:len(undone) - 1] ELSE undone END
+  FROM walk w JOIN events_ e ON e.name = w.name AND e.k = w.k + 1)
+SELECT name, CASE WHEN len(stack) > 0 THEN stack[len(stack)] END AS version, greatest(len(stack) - 1, 0) AS n_below, len(undone) AS n_undone
+FROM walk QUALIFY row_number() OVER (PARTITION BY name ORDER BY k DESC) = 1""")
+def rollbacks(spark, sf):
+    """Each user's events as promotions, rollbacks and restores, folded in their order."""
+    kind = F.col("event_type")
+    action = F.when(kind.isin("error", "signup"), "rollback").when(kind == "click", "restore").otherwise("set")
+    moved = table(spark, sf, "events").select(F.col("user_id").alias("name"), F.struct("ts", "event_id").alias("at"), action.alias("action"),
+                                              F.col("event_id").alias("version"))
+    return alias_history(moved, ["name"], "at").select(
+        "name", "version", F.size("below").cast("long").alias("n_below"), F.size("undone").cast("long").alias("n_undone"))
