@@ -11,14 +11,16 @@ most ``sample`` labelled rows, those with the smallest hash of doc_id among the
 ``FEATURES`` words and beginnings are its features.
 
 Null and empty texts have no words and get the base score. Several labels of one document count as toxic if one is; null
-labels are ignored. Copies of a text are fitted once. Without rows of both classes all scores are equal. Empty tables
+labels are ignored. Copies of a text are fitted once, as toxic if one is marked so, and rows in the order of their hash, so scores
+don't depend on the partitioning. Without rows of both classes all scores are equal. Empty tables
 give empty ones. Other columns stay, but for those with names of results.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,11 +54,19 @@ _SYMBOL = np.array([0 if b < 65 else 27 + b % 64 if b > 127 else max(0, (b | 32)
 _BLANK = bytes(c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
 
-def _starts(low: str, at: int) -> int:
-    """Where the piece of letters and look-alikes around ``at`` begins."""
-    while at and (low[at - 1].isalpha() or low[at - 1] in LOOKALIKES):
-        at -= 1
-    return at
+def _pieces(low: str, places: Iterable[int]) -> Iterator[tuple[int, int]]:
+    """The pieces of letters and look-alikes around places that grow. Nothing is read twice, however many places a piece has."""
+    last, start, end = -1, 0, 0
+    for place in places:
+        at = place
+        while at > max(last, 0) and (low[at - 1].isalpha() or low[at - 1] in LOOKALIKES):
+            at -= 1
+        if last < 0 or at > last:  # else this place lies in the piece of the one before
+            start = at
+        # From anywhere inside a piece it goes on to the same end.
+        end = end if start < end else _PIECE.match(low, start).end()
+        last = place
+        yield start, end
 
 
 def hidden(low: str) -> list[tuple[int, int]]:
@@ -69,13 +79,8 @@ def hidden(low: str) -> list[tuple[int, int]]:
         done = whole.end()  # long rows of single marks are read once
         if done - start >= 5 and any(c.isalpha() for c in whole[0]):
             found.append((start, done))
-    for m in _LOOKS.finditer(low):
-        start = _starts(low, m.start())
-        found.append((start, _PIECE.match(low, start).end()))
-    for m in _RUNS.finditer(low):
-        if m[1].isalpha():
-            start = _starts(low, m.start())
-            found.append((start, _PIECE.match(low, start).end()))
+    found += _pieces(low, (m.start() for m in _LOOKS.finditer(low)))
+    found += _pieces(low, (m.start() for m in _RUNS.finditer(low) if m[1].isalpha()))
     out: list[tuple[int, int]] = []
     for a, b in sorted(found, key=lambda x: (x[0], -x[1])):
         if not out or a >= out[-1][1]:
@@ -87,6 +92,11 @@ def plain_words(low: str) -> set[bytes]:
     return set(low.encode("utf-8", "replace").translate(_BLANK).split())
 
 
+@lru_cache(maxsize=4096)
+def _symbols(meant: str) -> tuple[int, ...]:
+    return tuple(_SYMBOL[list(meant.encode("utf-8", "replace"))].tolist()) if meant else ()
+
+
 class CharModel:
     """Log-probabilities of a symbol after two others; symbol 0 is the border of a word."""
 
@@ -129,19 +139,31 @@ class Restorer:
         if (word := self.known.get(seen)) is not None:
             return word
         log = self.model.log
-        paths = {(0, 0): (0.0, "")}
+        paths, back = {(0, 0): 0.0}, []  # at each place of the text, from which pair of symbols the best path comes and what it means
         for options in self.lattice(seen):
             step: dict = {}
-            for (a, b), (score, text) in paths.items():
+            came: dict = {}
+            for (a, b), score in paths.items():
                 for meant, cost in options:
                     p, q, s = a, b, score + cost
-                    for k in _SYMBOL[list(meant.encode("utf-8", "replace"))] if meant else ():
+                    for k in _symbols(meant):
                         s += log[p, q, k]
                         p, q = q, k
-                    if (p, q) not in step or step[p, q][0] < s:
-                        step[p, q] = s, text + meant
+                    if (p, q) not in step or step[p, q] < s:
+                        step[p, q], came[p, q] = s, (a, b, meant)
             paths = step
-        word = max((s + log[a, b, 0], text) for (a, b), (s, text) in paths.items())[1]
+            back.append(came)
+
+        def told(pair: tuple[int, int]) -> str:
+            out = []
+            for came in reversed(back):
+                *pair, meant = came[tuple(pair)]
+                out.append(meant)
+            return "".join(reversed(out))
+
+        best = {pair: s + log[*pair, 0] for pair, s in paths.items()}
+        most = max(best.values())
+        word = max(told(pair) for pair, s in best.items() if s == most)
         if len(seen) <= 64:
             if len(self.known) >= CACHE_ENTRIES:
                 self.known.clear()
@@ -234,7 +256,9 @@ def _train(docs: DataFrame, labels: DataFrame, model, id: str, text: str, label:
     schema = T.StructType([T.StructField("_id", chosen.schema["_id"].dataType), *fields("_label int, _hash long"),
                            T.StructField("words", T.ArrayType(T.StringType()))])
     path = work_dir(spark, "toxicity")
-    chosen.withColumn("_hash", F.xxhash64("__featureline_text")).mapInArrow(run, schema).dropDuplicates(["_hash"]).write.parquet(path)
+    # Of equal texts one is learnt from, as toxic if any of them is marked so.
+    chosen.withColumn("_hash", F.xxhash64("__featureline_text")).mapInArrow(run, schema).groupBy("_hash").agg(
+        F.max("_label").alias("_label"), F.min("_id").alias("_id"), F.max("words").alias("words")).write.parquet(path)
     rows = spark.read.parquet(path)
     n0, n1 = (int(x or 0) for x in rows.agg(F.sum(1 - F.col("_label")), F.sum("_label")).first())
     if not n0 or not n1:
@@ -246,7 +270,7 @@ def _train(docs: DataFrame, labels: DataFrame, model, id: str, text: str, label:
     chi = F.pow(a * d - b * c, F.lit(2.0)) / ((a + b).cast("double") * (c + d + 1))
     features = [r.word for r in found.orderBy(F.desc(chi), "word").limit(FEATURES).select("word").collect()]
     named = F.array(*map(F.lit, features)) if features else F.array().cast("array<string>")
-    kept = rows.select(F.array_intersect("words", named).alias("words"), "_label").collect()
+    kept = rows.select(F.array_intersect("words", named).alias("words"), "_label").orderBy("_hash").collect()  # ``sample`` rows at most
     place = {w: k for k, w in enumerate(features)}
     weights, intercept = _fit([([place[w] for w in r.words], r["_label"]) for r in kept], len(features))
     return {w: float(weights[k]) for w, k in place.items()}, intercept

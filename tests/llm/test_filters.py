@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import time
 import re
 
 import pytest
@@ -209,3 +210,46 @@ def test_pipeline_equals_brute_force(spark, folder):
     last = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in last} == set(texts)
     assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in last)
+
+
+def test_hidden_places_equal_a_search_from_every_look_alike():
+    """Against walking back to the beginning of the piece from each place."""
+    def plain(low):
+        def piece(at):
+            while at and (low[at - 1].isalpha() or low[at - 1] in toxicity.LOOKALIKES):
+                at -= 1
+            return at, toxicity._PIECE.match(low, at).end()
+
+        found = [piece(m.start()) for m in toxicity._LOOKS.finditer(low)]
+        return found, [piece(m.start()) for m in toxicity._RUNS.finditer(low) if m[1].isalpha()]
+
+    rng = random.Random(12)
+    for _ in range(3000):
+        low = "".join(rng.choice("ab1@* .²é_7") for _ in range(rng.randint(0, 25)))
+        looks, runs = plain(low)
+        assert list(toxicity._pieces(low, (m.start() for m in toxicity._LOOKS.finditer(low)))) == looks, low
+        assert list(toxicity._pieces(low, (m.start() for m in toxicity._RUNS.finditer(low) if m[1].isalpha()))) == runs, low
+
+
+@pytest.mark.parametrize("unit", ["a1", "0f3c9b", "a1²", "aaab4"])
+def test_long_tokens_take_time_in_proportion(restorer, unit):
+    def seconds(n):
+        began = time.process_time()
+        restorer.features(unit * (n // len(unit)))
+        return time.process_time() - began
+
+    seconds(2000)
+    assert seconds(80_000) < 30 * max(seconds(8_000), 0.02)
+
+
+def test_copies_with_different_labels_score_alike_in_any_partitioning(spark):
+    rng = random.Random(4)
+    clean, bad = [f"w{c}" for c in "abcdefghij"], ["idiot", "moron"]
+    rows = [(k, " ".join(rng.choices(clean, k=12) + (rng.choices(bad, k=2) if k % 4 == 0 else []))) for k in range(160)]
+    rows += [(200 + k, t) for k, t in rows[:40]]  # copies
+    labels = [(k, int(k % 4 == 0)) for k in range(160)] + [(200 + k, int(k % 3 == 0)) for k in range(40)]
+    got = []
+    for parts in (1, 5, 9):
+        scored = toxicity_scores(frame(spark, rows).repartition(parts), spark.createDataFrame(labels, "doc_id long, toxic int").repartition(parts))
+        got.append(sorted((r.doc_id, r.score) for r in scored.select("doc_id", "score").collect()))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 200
