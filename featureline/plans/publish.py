@@ -10,6 +10,7 @@ from featureline.operators.asof import historical_features
 from featureline.operators.quality import completeness, leakage_report
 from featureline.schema import CUSTOMER_FEATURE_REFS, CUSTOMER_FEATURES
 from featureline.sources import synth
+from featureline.sources.buckets import BucketedOnlineTable
 from featureline.sources.online import OnlineTable
 from featureline.sources.tables import (FEATURES_DIR, LABELS_FILE, TRAIN_ENTITIES_FILE, read_labels, read_view,
                                         score_entities_file, as_spine, write_features, write_table)
@@ -35,6 +36,14 @@ def check(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
     return leakage_report(features, labels), completeness(joined, CUSTOMER_FEATURES.features)
 
 
-def materialize(spark: SparkSession, base: str, end: datetime | str) -> DataFrame:
+def materialize(spark: SparkSession, base: str, end: datetime | str, buckets: int | None = None) -> DataFrame:
+    """Brings the online table forward: appended folders, or with ``buckets`` key buckets, which bulk lookups need."""
     features = read_view(spark, CUSTOMER_FEATURES, f"{base}/{FEATURES_DIR}")
-    return OnlineTable(spark, f"{base}/online", CUSTOMER_FEATURES).materialize_incremental(features, end)
+    online = BucketedOnlineTable(spark, f"{base}/online_buckets", CUSTOMER_FEATURES, buckets) if buckets else \
+        OnlineTable(spark, f"{base}/online", CUSTOMER_FEATURES)
+    return online.materialize_incremental(features, end)
+
+
+def lookup(spark: SparkSession, base: str, keys: DataFrame, at: datetime | str) -> DataFrame:
+    """Features of the asked keys from the table in key buckets, as of its last run."""
+    return BucketedOnlineTable(spark, f"{base}/online_buckets", CUSTOMER_FEATURES).lookup(keys, at)

@@ -1,13 +1,15 @@
 import os
 import random
 from dataclasses import replace
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
+from featureline.plans.publish import generate, lookup, materialize
 from featureline.session import folders_in
 from featureline.sources.buckets import BucketedOnlineTable
+from featureline.streaming.materialize import feature_stream, materialize_stream
 from conftest import rows, ts
 from test_sources_registry import FEATURES, VIEW
 
@@ -93,3 +95,20 @@ def test_intervals_and_a_second_writer(spark, folder):
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         online._merge(frame(spark, [("a", ts("2024-01-09"), 7)]), "late", None, before)
     assert rows(online.read(), "entity_id", "a") == [("a", 3), ("b", 2)]
+
+
+def test_the_stream_feeds_key_buckets_too(spark, folder):
+    for k in range(4):
+        frame(spark, [("a", ts("2024-01-01") + timedelta(days=(k * 3) % 4), k), (f"b{k}", ts("2024-01-01"), k)]).write.mode("append").parquet(f"{folder}/in")
+    online = BucketedOnlineTable(spark, f"{folder}/online", VIEW, buckets=3, fanout=2)
+    stream = feature_stream(spark, VIEW, f"{folder}/in", files_per_batch=3)
+    materialize_stream(stream, online, f"{folder}/checkpoint").awaitTermination()
+    assert rows(online.read(), "entity_id", "a") == [("a", 1), ("b0", 0), ("b1", 1), ("b2", 2), ("b3", 3)]
+
+
+def test_publish_and_lookup(spark, folder):
+    now = datetime(2026, 1, 15, tzinfo=timezone.utc)
+    generate(spark, folder, 50, now)
+    assert materialize(spark, folder, now, buckets=4).count() == 50
+    found = lookup(spark, folder, spark.createDataFrame([("cust-0007",), ("nobody",)], "entity_id string"), now).collect()
+    assert {r.entity_id: r.found for r in found} == {"cust-0007": True, "nobody": False}
