@@ -15,12 +15,14 @@ from __future__ import annotations
 
 from math import isqrt
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from featureline.llm.frames import others
 from featureline.session import work_dir
 
 ROUNDS = 6
+#: The column of row numbers.
+NUMBER = "__featureline_number"
 #: Most passes a number walks. A pass ends outside with a chance below 1 / sqrt(N), and small domains have fewer outside
 #: places than this; a row that were still outside stops the job.
 WALK = 64
@@ -46,13 +48,19 @@ def permuted(number: Column, n: int, seed: int = 0) -> Column:
     return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("a row number stayed outside of the table")).cast("long"))
 
 
+def _hashable(field: T.StructField):
+    """A column as ``xxhash64`` takes it: maps and variants, also inside other types, as JSON."""
+    column = F.col(f"`{field.name}`")
+    return F.to_json(F.struct(column)) if any(kind in field.dataType.simpleString() for kind in ("map<", "variant")) else column
+
+
 def numbered(rows: DataFrame, *keys: str, ranges: int | None = None) -> tuple[DataFrame, int]:
-    """The rows with gapless numbers ``row_no`` in the order of the keys, and how many there are."""
+    """The rows with gapless numbers (``NUMBER``) in the order of the keys, and how many there are."""
     spark = rows.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tie = F.xxhash64(*(F.col(c) for c in rows.columns))
+    tie = F.xxhash64(*map(_hashable, rows.schema.fields))
     # The last key only deals rows that are equal in everything over several ranges.
-    by = [*(F.col(k) for k in keys), F.col("__featureline_tie"), F.col("__featureline_spread")]
+    by = [*(F.col(f"`{k}`") for k in keys), F.col("__featureline_tie"), F.col("__featureline_spread")]
     placed = rows.withColumns({"__featureline_tie": tie, "__featureline_spread": F.monotonically_increasing_id()}) \
         .repartitionByRange(ranges, *by).sortWithinPartitions(*by).drop("__featureline_tie", "__featureline_spread") \
         .withColumn("__featureline_place", F.monotonically_increasing_id())
@@ -64,17 +72,17 @@ def numbered(rows: DataFrame, *keys: str, ranges: int | None = None) -> tuple[Da
     before = F.sum("__featureline_n").over(Window.orderBy("__featureline_range").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("__featureline_range", F.coalesce(before, F.lit(0)).alias("__featureline_before"))  # one row per range
     out = placed.withColumn("__featureline_range", F.floor(F.col("__featureline_place") / places)).join(F.broadcast(offsets), "__featureline_range") \
-        .withColumn("row_no", F.col("__featureline_before") + F.pmod("__featureline_place", F.lit(places)))
+        .withColumn(NUMBER, F.col("__featureline_before") + F.pmod("__featureline_place", F.lit(places)))
     return out.drop("__featureline_range", "__featureline_before", "__featureline_place"), placed.count()
 
 
 def feistel_shards(docs: DataFrame, shards: int, *, key: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
     """Adds size (UTF-8 bytes plus 16), text_crc32, shard and slot to every row; ``text`` stays behind."""
-    bare = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    kept = others(docs, text, "size", "text_crc32", "shard", "slot", "row_no")
-    rows = docs.select(*kept, (F.octet_length(bare) + 16).cast("long").alias("size"),
+    bare = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    kept = others(docs, text, "size", "text_crc32", "shard", "slot")
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), (F.octet_length(bare) + 16).cast("long").alias("size"),
                        F.crc32(bare.cast("binary")).alias("text_crc32"))
     rows, n = numbered(rows, key)
-    place = rows.withColumn("__featureline_p", permuted(F.col("row_no"), n, seed) if n else F.lit(0).cast("long"))
+    place = rows.withColumn("__featureline_p", permuted(F.col(NUMBER), n, seed) if n else F.lit(0).cast("long"))
     return place.withColumns({"shard": F.pmod("__featureline_p", F.lit(shards)).cast("int"),
-                              "slot": F.floor(F.col("__featureline_p") / shards).cast("long")}).drop("__featureline_p", "row_no")
+                              "slot": F.floor(F.col("__featureline_p") / shards).cast("long")}).drop("__featureline_p", NUMBER)

@@ -123,3 +123,18 @@ def test_escaping_leaves_no_mark(spark):
     given = ["<|a", "<\\|a", "<\\\\|", "<<||", "plain <b> |"]
     out = spark.createDataFrame([(g,) for g in given], "t string").select("t", escaped(F.col("t")).alias("e"), unescaped(escaped(F.col("t"))).alias("u"))
     assert all("<|" not in r.e and r.u == r.t for r in out.collect())
+
+
+def test_shards_equal_a_plain_feistel_order_and_keep_any_column(spark):
+    """Maps, columns named like results of the numbering, and dots; null keys come first."""
+    schema = "doc_id long, text string, row_no string, m map<string,int>, `a.b` string, s struct<m:map<string,int>>"
+    rows = [(k, f"t{k}", f"r{k}", {"x": k}, "d", ({"y": k},)) for k in range(30)] + [(None, None, None, None, None, None)] * 2
+    df = spark.createDataFrame(rows, schema).repartition(4)
+    out = feistel_shards(df, 5).collect()
+    assert feistel_shards(df, 5).columns == ["doc_id", "row_no", "m", "a.b", "s", "size", "text_crc32", "shard", "slot"]
+    assert {r.doc_id: (r.row_no, r.m, r["a.b"]) for r in out if r.doc_id is not None} == {k: (f"r{k}", {"x": k}, "d") for k in range(30)}
+    assert sorted((r.shard, r.slot) for r in out) == sorted((p % 5, p // 5) for p in range(32))
+    place = {r.n: r.p for r in spark.range(32).select(F.col("id").alias("n"), permuted(F.col("id"), 32, 0).alias("p")).collect()}
+    for r in out:
+        if r.doc_id is not None:  # rows 0 and 1 are those without a key
+            assert (r.shard, r.slot) == (place[r.doc_id + 2] % 5, place[r.doc_id + 2] // 5)
