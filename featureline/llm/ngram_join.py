@@ -6,17 +6,17 @@ share at least l of their first ``n - t + l`` shingles, whatever l: a longer pre
 share more of it. Each document takes the l with the lowest estimated cost, from the estimated frequencies of its own
 shingles; a pair must share the smaller l of the two.
 
-1. One pass makes a key of each set (equal sets are one node from here on) and a count sketch of all shingles of all
-   documents: ``1 << SKETCH_BITS`` counters whatever the corpus, for the shingles in the lower 3/8 of the hashes, which
-   tell the common ones from the rest. The order is (counter's logarithm, shingle hash); shingles that aren't counted
-   stand before the common ones.
-2. A second pass cuts the prefixes. Prefix shingles are dealt and sorted, and those of one document only go.
-3. Stars: in each posting list every document is paired with the list's smallest id. Of its centres, a document is
-   verified with the one it shares most with. Documents that link to the same centre are connected, so no pair of them
-   is looked at again: a large group of near copies costs a number of pairs in proportion to it.
-4. All remaining pairs of a posting list whose documents have different centres are counted; those that share enough are
-   verified. Enough is l, and what is missing to the overlap that both sizes ask for after all that lies behind the
-   prefix. No candidate is capped or sampled.
+1. One pass makes a key of each set (equal sets are one node from here on) and counts every shingle of every document
+   exactly, through one shuffle of short keys. A table of ``1 << SKETCH_BITS`` slots, whatever the corpus, holds the
+   count of the most frequent shingle of each slot, as a level. The order is (level of the slot, shingle hash).
+2. A second pass cuts the prefixes. Prefix shingles are dealt and sorted, and those of one document only go. Each
+   carries its place: two sets that share one have at most what lies before it in both, and behind it in both, in common.
+3. Stars: in each posting list every document is paired with the list's most central one, whose prefix has the most
+   common shingles. Of its centres, a document is verified with the one it shares most with. Documents that are
+   connected then are not looked at again: a large group of near copies costs a number of pairs in proportion to it.
+4. All remaining pairs of a posting list whose documents are not connected yet, and whose places allow the overlap, are
+   counted; those that share enough are verified. Enough is l, and what is missing to the overlap that both sizes ask
+   for after all that lies behind the prefix. No candidate is capped or sampled.
 5. Classes are the connected components of the verified links, by alternating large and small stars on tables in the
    shared folder.
 
@@ -43,12 +43,12 @@ from featureline.session import work_dir
 
 SHINGLE = 4
 SHARE = (85, 100)
-SKETCH_BITS = 22
-_CHUNKS = 64
-#: Shingles with a hash below this are counted. Prefixes are short and equally common shingles go by their hash, so they hold few others.
-COUNTED = U64(3 << 61)
-#: Where the others stand: behind shingles of less than this (doubled) level.
-_UNCOUNTED = 5
+#: Slots of the table of levels: 16 MB.
+SKETCH_BITS = 24
+#: Shingles are counted in so many ranges of their hashes, by the 24 bits that follow those of the range.
+_RANGE_BITS = 12
+#: A task counts so many shingles before it sends them on.
+_FLUSH = 1 << 21
 #: Bits of the table that lets documents through to be verified: 8 MB.
 FILTER_BITS = 26
 #: Longest lengthening of a prefix that is weighed.
@@ -60,8 +60,8 @@ SPREAD = 1 << 16
 
 _LETTERS = letters((0x20, 0x20), (0x09, 0x0D))
 _LOWER = lowered()
-_DOCS = T.StructType(fields("id long, n long, key1 long, key2 long, chunk int, counts binary"))
-_PREFIXES = T.StructType(fields("id long, n int, extra int, prefix longs, spread ints"))
+_DOCS = T.StructType(fields("id long, n long, key1 long, key2 long, chunk int, shingles binary, times binary"))
+_PREFIXES = T.StructType(fields("id long, n int, extra int, own int, prefix longs, spread ints"))
 _SETS = T.StructType(fields("id long, shingles binary"))
 
 
@@ -88,56 +88,87 @@ def _sets(column: pa.Array, size: int, take: np.ndarray | None = None) -> Iterat
                 yield a + k, np.zeros(0, U64)
 
 
-def _counter(shingles: np.ndarray) -> np.ndarray:
-    return (shingles & U64((1 << SKETCH_BITS) - 1)).astype(np.int64)
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> U64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _counted(shingles: list[np.ndarray]) -> pa.RecordBatch:
+    """For each range of hashes, the 24 bits that tell its shingles apart and how often each is there."""
+    keys, times = np.unique(np.concatenate(shingles) >> U64(40 - _RANGE_BITS), return_counts=True)
+    chunk = (keys >> U64(24)).astype(np.int32)
+    chunks, first = np.unique(chunk, return_index=True)
+    bounds = np.append(first, len(keys))
+    low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3].ravel()
+    none = [pa.nulls(len(chunks), pa.int64())] * 4
+    return pa.RecordBatch.from_arrays(
+        [*none, pa.array(chunks),
+         pa.Array.from_buffers(pa.binary(), len(chunks), [None, pa.py_buffer((bounds * 3).astype(np.int32)), pa.py_buffer(low.tobytes())]),
+         pa.Array.from_buffers(pa.binary(), len(chunks), [None, pa.py_buffer((bounds * 4).astype(np.int32)),
+                                                          pa.py_buffer(times.astype("<u4").tobytes())])], names=_DOCS.names)
 
 
 def _describe(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int32)
+        waiting, held = [], 0
         none = pa.nulls
         for batch in batches:
             n, keys = np.zeros(len(batch), np.int64), np.zeros((len(batch), 2), np.int64)
             for k, shingles in _sets(batch.column("text"), size):
                 n[k] = len(shingles)
                 keys[k] = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64)
-                np.add.at(counts, _counter(shingles[:np.searchsorted(shingles, COUNTED)]), 1)
+                waiting.append(shingles)
+                held += len(shingles)
+                if held >= _FLUSH:
+                    yield _counted(waiting)
+                    waiting, held = [], 0
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(n), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()),
-                 none(len(batch), pa.int32()), none(len(batch), pa.binary())], names=_DOCS.names)
-        # The task's counters go as a few short byte strings.
-        for c, part in enumerate(np.split(counts, _CHUNKS)):
-            yield pa.RecordBatch.from_arrays(
-                [*(none(1, pa.int64()) for _ in range(4)), pa.array([c], pa.int32()), pa.array([part.tobytes()], pa.binary())],
-                names=_DOCS.names)
+                 none(len(batch), pa.int32()), none(len(batch), pa.binary()), none(len(batch), pa.binary())], names=_DOCS.names)
+        if held:
+            yield _counted(waiting)
 
     return run
 
 
+def _slice(keys: list[np.ndarray], times: list[np.ndarray]) -> bytes:
+    """The levels of a range: twice the binary logarithm of the count of each slot's most frequent shingle."""
+    keys, times = np.concatenate(keys), np.concatenate(times)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    total = np.add.reduceat(times[order].astype(np.int64), first)
+    out = np.zeros(1 << (SKETCH_BITS - _RANGE_BITS), np.uint8)
+    np.maximum.at(out, (keys[first] >> (24 + _RANGE_BITS - SKETCH_BITS)).astype(np.int64), np.floor(2 * np.log2(total)).astype(np.uint8))
+    return out.tobytes()
+
+
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
+    """Rows in the order of their range; one range is held."""
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([_slice(keys, times)], pa.binary())], names=["chunk", "levels"])
+
+    last, keys, times = None, [], []
     for batch in batches:
-        for c, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts")):
-            total[c] = total.get(c, 0) + np.frombuffer(counts.as_buffer(), np.int32)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())],
-                                     names=["chunk", "counts"])
+        for c, k, t in zip(batch.column("chunk").to_pylist(), batch.column("shingles"), batch.column("times")):
+            if c != last and keys:
+                yield done()
+                keys, times = [], []
+            last = c
+            raw = np.frombuffer(k.as_buffer(), np.uint8).reshape(-1, 3).astype(np.uint32)
+            keys.append(raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16)
+            times.append(np.frombuffer(t.as_buffer(), "<u4"))
+    if keys:
+        yield done()
 
 
 def _levels(described: DataFrame) -> np.ndarray:
-    """For each counter the binary logarithm of how much it is above the usual one."""
-    schema = T.StructType(fields("chunk int, counts binary"))
-    own = described.where(F.col("chunk").isNotNull()).select("chunk", "counts")
-    # Two steps, so that no task reads all tasks' counters of a chunk.
-    spread = F.pmod(F.monotonically_increasing_id(), F.lit(16))
-    for by in (["chunk", "_s"], ["chunk"]):
-        own = (own.withColumn("_s", spread) if "_s" in by else own).repartition(*by).select("chunk", "counts").mapInArrow(_add, schema)
-    chunks: dict[int, np.ndarray] = {}
-    for r in own.collect():
-        chunks[r.chunk] = chunks.get(r.chunk, 0) + np.frombuffer(r.counts, np.int32)
-    counts = np.concatenate([chunks[c] for c in sorted(chunks)]) if chunks else np.zeros(1 << SKETCH_BITS, np.int32)
-    usual = float(np.median(counts))
-    above = np.maximum(counts - usual - 3 * np.sqrt(usual), 0)  # chance makes the rest
-    return np.floor(np.log2(above + 1)).astype(np.uint8)
+    """The level of each slot; the driver gets the table, whose size is fixed."""
+    own = described.where(F.col("chunk").isNotNull()).select("chunk", "shingles", "times")
+    parts = own.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_add, T.StructType(fields("chunk int, levels binary")))
+    levels = np.zeros((1 << _RANGE_BITS, 1 << (SKETCH_BITS - _RANGE_BITS)), np.uint8)
+    for r in parts.collect():
+        levels[r.chunk] = np.frombuffer(r.levels, np.uint8)
+    return levels.ravel()
 
 
 def least_overlap(n: int, share: tuple[int, int] = SHARE) -> int:
@@ -149,11 +180,10 @@ def prefix_of(shingles: np.ndarray, levels: np.ndarray, share: tuple[int, int])
     """(l, prefix, level of each of its shingles) of the lowest estimated cost."""
     n = len(shingles)
     t = least_overlap(n, share)
-    counted = np.arange(n) < np.searchsorted(shingles, COUNTED)
-    level = np.where(counted, levels[_counter(shingles)], 0)
+    level = levels[_slot(shingles)]
     most = min(n, n - t + MOST_EXTRA)
-    order = np.argsort(np.where(counted, 2 * level.astype(np.int16), _UNCOUNTED), kind="stable")[:most]
-    frequency = np.where(counted[order], np.exp2(level[order].astype(float)) - 1, 0.5)
+    order = np.argsort(level, kind="stable")[:most]
+    frequency = np.exp2(level[order] / 2) - 1
     extra = np.arange(1, most - (n - t) + 1)
     candidates = np.cumsum(frequency)[n - t + extra - 1]
     cost = ROW_COST * (n - t + extra) + candidates * (1 + COMPARE_COST * n / extra)
@@ -172,42 +202,40 @@ def _prefixes(size: int, share: tuple[int, int], shared):
                 if len(shingles) and ids[k] is not None:
                     extra, prefix, level = prefix_of(shingles, levels, share)
                     # Common ones are dealt by document: as many ways as lists of SPREAD need.
-                    ways = np.left_shift(1, np.maximum(level.astype(np.int64) - int(np.log2(SPREAD)), 0))
-                    out.append((ids[k], len(shingles), extra))
+                    ways = np.left_shift(1, np.maximum(level.astype(np.int64) // 2 - int(np.log2(SPREAD)), 0))
+                    out.append((ids[k], len(shingles), extra, -int(level.sum())))
                     prefixes.append(prefix.view(np.int64))
                     spreads.append(np.where(ways > 1, 1 + xxhash.xxh32_intdigest(str(ids[k])) % ways, 0).astype(np.int32))
             if out:
                 bounds = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32()))]
+                    [pa.array(list(c), k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int32()))]
                     + [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(prefixes))),
                        pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(spreads)))], names=_PREFIXES.names)
 
     return run
 
 
-_POSTINGS = T.StructType(fields("token long, id long, n int, extra int, centre long, centre_n int"))
+_POSTINGS = T.StructType(fields("token long, id long, n int, extra int, pos int, centre long, centre_n int, centre_pos int"))
 
 
 def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of postings in the order of (token, spread, id) those of several documents, each with its list's first document.
+    """Of postings in the order of (token, spread, most central first) those of several documents, each with its list's first document.
 
     One batch and one waiting row are held, however long a list is.
     """
-    names = ["token", "spread", "id", "n", "extra"]
     last, centre, waiting = None, None, None
     for batch in batches:
         if not len(batch):
             continue
-        token, spread, ids, n, extra = (batch.column(c).to_numpy(zero_copy_only=False) for c in names)
+        token, spread, ids, n, pos = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "spread", "id", "n", "pos"))
         first = np.ones(len(token), bool)
         first[1:] = (token[1:] != token[:-1]) | (spread[1:] != spread[:-1])
         goes_on = last == (token[0], spread[0])
         first[0] = not goes_on
         group = np.cumsum(first) - 1 + goes_on  # 0 is the list of the batch before, if it goes on
         heads = np.flatnonzero(first)
-        centres = np.concatenate([[centre[0]] if goes_on else [], ids[heads]]).astype(np.int64)
-        sizes = np.concatenate([[centre[1]] if goes_on else [], n[heads]]).astype(np.int32)
+        of_list = [np.concatenate([[centre[k]] if goes_on else [], x[heads]]).astype(x.dtype)[group] for k, x in enumerate((ids, n, pos))]
         # A list's first row goes out once a second one is there; lists dealt out by document always do.
         follows = np.zeros(len(token), bool)
         follows[:-1] = ~first[1:]
@@ -215,15 +243,12 @@ def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if goes_on and waiting is not None:
             yield waiting
         waiting = None
-        out = pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(ids[keep]), pa.array(n[keep]), pa.array(extra[keep]),
-                                          pa.array(centres[group[keep]]), pa.array(sizes[group[keep]])], names=_POSTINGS.names)
-        if len(out):
-            yield out
-        last, centre = (token[-1], spread[-1]), (centres[group[-1]], sizes[group[-1]])
+        whole = pa.RecordBatch.from_arrays([*(batch.column(c) for c in _POSTINGS.names[:5]), *map(pa.array, of_list)], names=_POSTINGS.names)
+        if keep.any():
+            yield whole.filter(pa.array(keep))
+        last, centre = (token[-1], spread[-1]), [x[-1] for x in of_list]
         if first[-1] and not spread[-1]:
-            k = slice(len(token) - 1, None)
-            waiting = pa.RecordBatch.from_arrays([pa.array(token[k]), pa.array(ids[k]), pa.array(n[k]), pa.array(extra[k]),
-                                                  pa.array(ids[k]), pa.array(n[k])], names=_POSTINGS.names)
+            waiting = whole.slice(len(whole) - 1)
 
 
 def _short(shingles: np.ndarray) -> bytes:
@@ -294,41 +319,46 @@ def links(docs: DataFrame, nodes: DataFrame, levels: np.ndarray, size: int, shar
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(levels.tobytes())
     cut = docs.mapInArrow(_prefixes(size, share, shared), _PREFIXES).join(nodes.select("id"), "id", "left_semi")
-    rows = cut.select("id", "n", "extra", F.inline(F.arrays_zip("prefix", "spread"))).withColumnRenamed("prefix", "token")
+    rows = cut.select("id", "n", "extra", "own", F.posexplode(F.arrays_zip("prefix", "spread")).alias("pos", "p")) \
+        .select(F.col("p.prefix").alias("token"), F.col("p.spread").alias("spread"), "id", "n", "extra", "own", "pos")
     by = ["token", "spread"]
-    rows.repartition(*by).sortWithinPartitions(*by, "id").select("token", "spread", "id", "n", "extra") \
-        .mapInArrow(_shared_only, _POSTINGS).write.parquet(f"{folder}/postings")
+    rows.repartition(*by).sortWithinPartitions(*by, "own", "id").mapInArrow(_shared_only, _POSTINGS).write.parquet(f"{folder}/postings")
     postings = spark.read.parquet(f"{folder}/postings")
 
-    near = F.lit(share[1]) * F.least("n", "centre_n") >= F.lit(share[0]) * F.greatest("n", "centre_n")
-    stars = postings.where(F.col("id") != F.col("centre")).where(near).groupBy("centre", "id").agg(
-        F.count("*").alias("shared"), F.first("n").alias("n"), F.first("extra").alias("extra"))
+    up, down = share
+
+    def least(a: str, b: str) -> str:
+        """The overlap that two sizes ask for."""
+        return f"({up} * ({a} + {b}) + {up + down - 1}) div {up + down}"
+
+    def possible(a: str, b: str, apos: str, bpos: str) -> str:
+        """Whether what lies before and behind a shared shingle lets two sets overlap enough."""
+        return f"least({apos}, {bpos}) + least({a} - {apos}, {b} - {bpos}) >= {least(a, b)}"
+
+    stars = postings.where("id <> centre").where(possible("n", "centre_n", "pos", "centre_pos")).groupBy("centre", "id").agg(
+        F.count("*").alias("shared"), F.first("n").alias("n"))
     # Half of a shorter prefix in common is likely enough; what is left out here is looked at below.
     likely = F.col("shared") * 2 * share[1] >= F.col("n") * (share[1] - share[0])
     closest = stars.where(likely).groupBy(F.col("id").alias("b")).agg(F.max_by("centre", F.struct("shared", -F.col("centre"))).alias("a"))
-    _verified(docs, closest, size, share, f"{folder}/stars")
-    starred = spark.read.parquet(f"{folder}/stars")
+    starred = _verified(docs, closest, size, share, f"{folder}/stars")
 
-    centres = starred.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("c"))
-    placed = postings.select("token", "id", "n", "extra").join(centres, "id", "left").withColumn("c", F.coalesce("c", "id"))
-    # Lists with documents of one centre only are done.
+    joined = components(starred, f"{folder}/joined").withColumnRenamed("component", "c")
+    placed = postings.select("token", "id", "n", "extra", "pos").join(joined, "id", "left").withColumn("c", F.coalesce("c", "id"))
+    # Lists with documents of one class only are done.
     open_tokens = placed.groupBy("token").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo <> _hi").select("token")
     placed.join(open_tokens, "token", "left_semi").write.parquet(f"{folder}/open")
     left = spark.read.parquet(f"{folder}/open")
     x, y = left.alias("x"), left.alias("y")
     fits = (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) \
-        & (F.lit(share[1]) * F.col("x.n") >= F.lit(share[0]) * F.col("y.n")) & (F.lit(share[1]) * F.col("y.n") >= F.lit(share[0]) * F.col("x.n"))
+        & F.expr(possible("x.n", "y.n", "x.pos", "y.pos"))
     pairs = x.join(y, fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("an"), F.col("y.n").alias("bn"),
                                    F.col("x.extra").alias("ax"), F.col("y.extra").alias("bx"))
     counted = pairs.groupBy(*pairs.columns).agg(F.count("*").alias("shared"))
     # Of the set whose prefix ends first, what lies behind the prefix is all that can be common besides; the overlap must reach
     # what the two sizes ask for.
-    up, down = share
-    least = f"({up} * (an + bn) + {up + down - 1}) div {up + down}"
     behind = f"greatest(({up} * an + {down - 1}) div {down} - ax, ({up} * bn + {down - 1}) div {down} - bx)"
-    enough = counted.where(f"shared >= greatest(least(ax, bx), {least} - {behind})")
-    rest = enough.select("a", "b").distinct().join(starred, ["a", "b"], "left_anti")
-    others = _verified(docs, rest, size, share, f"{folder}/others")
+    enough = counted.where(f"shared >= greatest(least(ax, bx), {least('an', 'bn')} - {behind})")
+    others = _verified(docs, enough.select("a", "b").distinct(), size, share, f"{folder}/others")
     return starred.unionByName(others)
 
 
