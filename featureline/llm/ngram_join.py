@@ -14,9 +14,10 @@ shingles; a pair must share the smaller l of the two.
 3. Stars: in each posting list every document is paired with the list's most central one, whose prefix has the most
    common shingles. Of its centres, a document is verified with the one it shares most with. Documents that are
    connected then are not looked at again: a large group of near copies costs a number of pairs in proportion to it.
-4. All remaining pairs of a posting list whose documents are not connected yet, and whose places allow the overlap, are
-   counted; those that share enough are verified. Enough is l, and what is missing to the overlap that both sizes ask
-   for after all that lies behind the prefix. No candidate is capped or sampled.
+4. Of all remaining pairs of a posting list those are candidates whose documents are not connected yet and for which the
+   shingle can be the first that linked sets share: what lies behind it in both must make the overlap that both sizes
+   ask for. Candidates whose prefixes share enough are verified. Enough is l, and what is missing to that overlap after
+   all that lies behind the prefix. No candidate is capped or sampled.
 5. Classes are the connected components of the verified links, by alternating large and small stars on tables in the
    shared folder.
 
@@ -331,12 +332,9 @@ def links(docs: DataFrame, nodes: DataFrame, levels: np.ndarray, size: int, shar
         """The overlap that two sizes ask for."""
         return f"({up} * ({a} + {b}) + {up + down - 1}) div {up + down}"
 
-    def possible(a: str, b: str, apos: str, bpos: str) -> str:
-        """Whether what lies before and behind a shared shingle lets two sets overlap enough."""
-        return f"least({apos}, {bpos}) + least({a} - {apos}, {b} - {bpos}) >= {least(a, b)}"
-
-    stars = postings.where("id <> centre").where(possible("n", "centre_n", "pos", "centre_pos")).groupBy("centre", "id").agg(
-        F.count("*").alias("shared"), F.first("n").alias("n"))
+    stars = postings.where("id <> centre") \
+        .where(f"least(pos, centre_pos) + least(n - pos, centre_n - centre_pos) >= {least('n', 'centre_n')}") \
+        .groupBy("centre", "id").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
     # Half of a shorter prefix in common is likely enough; what is left out here is looked at below.
     likely = F.col("shared") * 2 * share[1] >= F.col("n") * (share[1] - share[0])
     closest = stars.where(likely).groupBy(F.col("id").alias("b")).agg(F.max_by("centre", F.struct("shared", -F.col("centre"))).alias("a"))
@@ -350,15 +348,17 @@ def links(docs: DataFrame, nodes: DataFrame, levels: np.ndarray, size: int, shar
     left = spark.read.parquet(f"{folder}/open")
     x, y = left.alias("x"), left.alias("y")
     fits = (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) \
-        & F.expr(possible("x.n", "y.n", "x.pos", "y.pos"))
-    pairs = x.join(y, fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("an"), F.col("y.n").alias("bn"),
-                                   F.col("x.extra").alias("ax"), F.col("y.extra").alias("bx"))
-    counted = pairs.groupBy(*pairs.columns).agg(F.count("*").alias("shared"))
+        & F.expr(f"least(x.n - x.pos, y.n - y.pos) >= {least('x.n', 'y.n')}")
+    pairs = x.join(y, fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    # A document's row is its prefix, which is shorter than its text.
+    own = left.groupBy("id").agg(F.collect_set("token").alias("tokens"), F.first("n").alias("n"), F.first("extra").alias("x"))
+    both = pairs.join(own.toDF("b", "bt", "bn", "bx"), "b").join(own.toDF("a", "at", "an", "ax"), "a") \
+        .withColumn("shared", F.size(F.array_intersect("at", "bt")))
     # Of the set whose prefix ends first, what lies behind the prefix is all that can be common besides; the overlap must reach
     # what the two sizes ask for.
     behind = f"greatest(({up} * an + {down - 1}) div {down} - ax, ({up} * bn + {down - 1}) div {down} - bx)"
-    enough = counted.where(f"shared >= greatest(least(ax, bx), {least('an', 'bn')} - {behind})")
-    others = _verified(docs, enough.select("a", "b").distinct(), size, share, f"{folder}/others")
+    enough = both.where(f"shared >= greatest(least(ax, bx), {least('an', 'bn')} - {behind})")
+    others = _verified(docs, enough.select("a", "b"), size, share, f"{folder}/others")
     return starred.unionByName(others)
 
 
