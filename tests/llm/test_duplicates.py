@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from featureline.llm import bwt_dedup, exact_dedup, substring_dedup
+from featureline.llm import bwt_dedup, exact_dedup, ngram_join, substring_dedup
 from featureline.llm.ngram_join import SKETCH_BITS, components, least_overlap, ngram_classes, one_of_each, prefix_of
 from featureline.llm.repeats import Kind, anchors
 from featureline.llm.substring_dedup import Automaton
@@ -120,6 +120,49 @@ def test_classes_equal_brute_force(spark, seed, size, share):
     assert sorted((str(r.doc_id), r.n_shingles) for r in out) == sorted((str(i), len(shingles(t, size))) for i, t in rows)
 
 
+def test_dealt_lists_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SPREAD", 2)
+    rows = near_copies(6)
+    got = {r.doc_id: r.component_id for r in ngram_classes(frame(spark, rows)).collect() if r.doc_id is not None}
+    assert got == brute_classes(rows, 4, 85, 100)
+
+
+def edited(n, seed=8):
+    """Copies of one text of 200 words, each with 0 to 9 words of its own."""
+    rng = random.Random(seed)
+    base = [f"b{k}" for k in range(200)]
+    rows = []
+    for i in range(n):
+        own = list(base)
+        for k in rng.sample(range(200), rng.randint(0, 9)):
+            own[k] = f"own{i}-{k}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_pairs_of_a_group_of_near_copies_grow_in_proportion(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(ngram_join, "work_dir", lambda *a: made.append(work_dir(*a)) or made[-1])
+    for n in (300, 1200):
+        rows = edited(n)
+        got = {r.doc_id: r.component_id for r in ngram_classes(frame(spark, rows)).collect()}
+        if n == 300:
+            assert got == brute_classes(rows, 4, 85, 100)
+    pairs = [sum(spark.read.parquet(f"{f}/{p}-pairs").count() for p in ("stars", "others")) for f in made]
+    assert pairs[1] <= 5 * max(pairs[0], 300)
+
+
+def test_counts_are_exact_across_flushes_and_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "_FLUSH", 50)
+    rows = [(k, f"the very same words and own{k} ones besides{k}") for k in range(40)]
+    described = frame(spark, rows).selectExpr("doc_id AS id", "text").repartition(3).mapInArrow(ngram_join._describe(4), ngram_join._DOCS)
+    levels = ngram_join._levels(described)
+    assert len(levels) == 1 << SKETCH_BITS
+    # Two shingles are in all 40 texts: twice the logarithm of 40, rounded down. All others are in one.
+    assert sorted(levels[levels > 0].tolist()) == [10, 10]
+    assert not ngram_join._levels(described.limit(0)).any()
+
+
 def test_one_of_each_and_empty(spark):
     rows = near_copies(5)
     left = one_of_each(frame(spark, rows))
