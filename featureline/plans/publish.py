@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from featureline.operators.asof import historical_features
+from featureline.operators.contracts import VIOLATIONS, Contract, ContractBroken, broken, column_facts, report, with_violations
 from featureline.operators.quality import completeness, leakage_report
 from featureline.schema import CUSTOMER_FEATURE_REFS, CUSTOMER_FEATURES
+from featureline.session import remove_folder, work_dir
 from featureline.sources import synth
 from featureline.sources.buckets import BucketedOnlineTable
 from featureline.sources.online import OnlineTable
@@ -47,3 +49,28 @@ def materialize(spark: SparkSession, base: str, end: datetime | str, buckets: in
 def lookup(spark: SparkSession, base: str, keys: DataFrame, at: datetime | str) -> DataFrame:
     """Features of the asked keys from the table in key buckets, as of its last run."""
     return BucketedOnlineTable(spark, f"{base}/online_buckets", CUSTOMER_FEATURES).lookup(keys, at)
+
+
+def ingest(spark: SparkSession, df: DataFrame, contract: Contract, base: str, table: str, run_id: str, period: Column | None = None) -> DataFrame:
+    """Takes rows into ``{base}/{table}``, one folder per run; returns the report of the table rules.
+
+    Rows that break a row rule go to ``{base}/{table}_quarantine`` with their reasons, the facts of all rows to ``{base}/{table}_facts``.
+    A broken table rule stops the run before any row is taken in; its facts and rows aside stay to be looked at.
+    """
+    run = f"run={run_id}"
+    folder = work_dir(spark, "ingest")
+    marked = with_violations(df, contract).withColumn("_good", F.size(VIOLATIONS) == 0)
+    marked.write.partitionBy("_good").parquet(folder)
+    checked = spark.read.schema(marked.schema).parquet(folder)
+    whole = checked.drop("_good", VIOLATIONS)
+    facts = f"{base}/{table}_facts/{run}"
+    column_facts(whole, contract, period).write.parquet(facts)
+    found = report(whole, spark.read.parquet(facts), contract)
+    lines = spark.createDataFrame(found.collect(), found.schema)  # one line per declared rule
+    checked.where(~F.col("_good")).drop("_good").write.parquet(f"{base}/{table}_quarantine/{run}")
+    if wrong := broken(lines):
+        remove_folder(spark, folder)
+        raise ContractBroken("; ".join(wrong))
+    checked.where("_good").drop("_good", VIOLATIONS).write.parquet(f"{base}/{table}/{run}")
+    remove_folder(spark, folder)
+    return lines

@@ -1,7 +1,7 @@
 """Registered queries over the given tables, each with its SQL counterpart where SQL can say it."""
 
 from featureline.queries.base import ORACLES, QUERIES
-from featureline.queries import (aggregates, functions, joins, models, monitoring, observability, quality, scans,  # noqa: F401
-                                 streams, windows)
+from featureline.queries import (aggregates, contracts, functions, joins, models, monitoring, observability, quality,  # noqa: F401
+                                 scans, streams, windows)
 
 __all__ = ["ORACLES", "QUERIES"]
