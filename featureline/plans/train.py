@@ -28,7 +28,9 @@ from featureline.operators.split import stratified_split
 from featureline.schema import CUSTOMER_FEATURE_REFS, CUSTOMER_FEATURES, ENTITY_ID, EVENT_TIMESTAMP, FeatureView
 from featureline.schema import parse_refs
 from featureline.session import remove_folder, work_dir
-from featureline.sources.tables import FEATURES_DIR, read_labels, read_training_spine, read_view, label_scan
+from featureline.sources.snapshots import Snapshots
+from featureline.sources.tables import (FEATURES_DIR, LABELS_FILE, OFFLINE, TRAIN_ENTITIES_FILE, label_scan, read_labels, read_training_spine,
+                                        read_view, training_spine, view_rows)
 
 logger = logging.getLogger(__name__)
 
@@ -36,7 +38,8 @@ logger = logging.getLogger(__name__)
 @dataclass(frozen=True)
 class TrainConfig:
     """``base`` holds the offline folders, ``registry`` the run and model tables and the artifacts. ``kind`` names the fitter. With ``gate`` a
-    version becomes champion only if it beats the present one on this run's validation rows."""
+    version becomes champion only if it beats the present one on this run's validation rows. With ``snapshots`` (a folder that keeps them)
+    the job reads a snapshot of ``base``/offline and logs its id: the one named ``snapshot``, which repeats an earlier run, or a new one."""
 
     base: str
     registry: str
@@ -57,6 +60,8 @@ class TrainConfig:
     bucket: timedelta | None = skew.BUCKET
     kind: str = "forest"
     gate: bool = False
+    snapshots: str | None = None
+    snapshot: str | None = None
 
 
 def _fit_forest(train: DataFrame, features: list[str], cfg: TrainConfig) -> PipelineModel:
@@ -161,7 +166,22 @@ def stage_counts(train: DataFrame, validation: DataFrame, features: list[str]) -
                     F.count_if(lacking).alias("n_imputed")).first().asDict()
 
 
+def pinned_tables(spark: SparkSession, cfg: TrainConfig) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """(spine, labels, view tables) of the snapshot that the settings name. Views lie below ``base``/offline."""
+    kept = Snapshots(spark, f"{cfg.base}/{OFFLINE}", cfg.snapshots)
+
+    def pinned(location: str) -> DataFrame:
+        return kept.read(cfg.snapshot, location.removeprefix(f"{OFFLINE}/"))
+
+    tables = {v.name: view_rows(v, pinned(FEATURES_DIR if v.name == CUSTOMER_FEATURES.name else v.name)) for v in cfg.views}
+    return training_spine(pinned(TRAIN_ENTITIES_FILE)), label_scan(pinned(LABELS_FILE), cfg.label), tables
+
+
 def train_job(spark: SparkSession, cfg: TrainConfig, now: datetime | None = None) -> TrainResult:
+    if cfg.snapshots:
+        if not cfg.snapshot:
+            cfg = replace(cfg, snapshot=Snapshots(spark, f"{cfg.base}/{OFFLINE}", cfg.snapshots).take())
+        return train_on(spark, *pinned_tables(spark, cfg), cfg, now)
     spine = read_training_spine(spark, cfg.base)
     labels = read_labels(spark, cfg.base, cfg.label)
     tables = view_tables(spark, cfg.views, cfg.base, cfg.view_paths)
@@ -198,6 +218,7 @@ def train_on(spark: SparkSession, spine: DataFrame, labels: DataFrame, tables: d
         "model_class": model_class, "n_estimators": cfg.num_trees if cfg.kind == "forest" else 0, "random_state": cfg.seed,
         "n_train": n_train, "n_val": n_validation, **{k: sizes[k] for k in (
             "n_features", "n_labels", "n_merged", "n_dropped", "n_imputed")}, "features": ",".join(features), "label_column": cfg.label,
+        **({"snapshot": cfg.snapshot} if cfg.snapshot else {}),
     }, metrics, {"model_name": cfg.model_name}, artifact)
     version = registry.register(cfg.model_name, run_id, artifact, metrics["f1_score"], metrics["roc_auc"], started)
     promoted = not cfg.gate or beats_champion(registry, model, validation, cfg)

@@ -2,6 +2,6 @@
 
 from featureline.queries.base import ORACLES, QUERIES
 from featureline.queries import (aggregates, contracts, functions, joins, models, monitoring, observability, quality,  # noqa: F401
-                                 scans, streams, windows)
+                                 scans, snapshots, streams, windows)
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -14,6 +14,7 @@ from featureline.operators.quality import SPINE_RULES, validate
 from featureline.schema import ENTITY_ID, EVENT_TIMESTAMP, PREDICTION, FeatureView, conform
 
 # Fixed folder layout under a base folder.
+OFFLINE = "offline"
 FEATURES_DIR = "offline/customer_features"
 LABELS_FILE = "offline/labels/labels_synthetic.parquet"
 TRAIN_ENTITIES_FILE = "offline/entities/train_entities.parquet"
@@ -28,9 +29,11 @@ def score_entities_file(model_name: str) -> str:
 
 def read_view(spark: SparkSession, view: FeatureView, path: str | None = None, time_range=None) -> DataFrame:
     """The declared columns of a feature view, cut to the rows a spine of that time range can match."""
-    location = path or view.source
-    # The stored types decide: a file that differs from the declaration must not be read as null.
-    table = spark.read.parquet(location)
+    return view_rows(view, spark.read.parquet(path or view.source), time_range)
+
+
+def view_rows(view: FeatureView, table: DataFrame, time_range=None) -> DataFrame:
+    """The same from a table that was read already. The stored types decide: a file that differs from the declaration must not be read as null."""
     declared = conform(table, view.table_schema)
     if view.date_column and view.date_column in table.columns:
         declared = table.select(*view.table_schema.fieldNames(), view.date_column)
