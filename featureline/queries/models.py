@@ -288,7 +288,7 @@ SELECT CAST(c_custkey AS VARCHAR) AS entity_id, name AS model_name, 'models:/' |
   CAST(1 AS BIGINT) AS model_version, TIMESTAMP '2001-08-02' AS predicted_at, true AS in_unit_range
 FROM customer, (SELECT unnest(['churn_model', 'retention_model']) AS name) WHERE name = 'churn_model' OR c_acctbal >= 0""")
 def catalog_scoring(spark, sf):
-    """Two models with their own spines go through one point-in-time join."""
+    """Two models with their own spines go through one point-in-time join; the group's predictions are kept as a table."""
     path = _model_path(spark, sf)
     customers = table(spark, sf, "customer").withColumnRenamed("c_custkey", "entity_id")
     spines = {
@@ -298,9 +298,9 @@ def catalog_scoring(spark, sf):
     refs = ",".join(b.CUSTOMER_FEATURE_REFS)
     rows = [{"model_name": name, "feature_refs": refs} for name in spines]
     champions = {name: {"source": path, "model_uri": f"models:/{name}@champion", "version": 1} for name in spines}
-    scored = score_models(rows, spines, champions, (b.CUSTOMER_VIEW,),
-                          {"customer_features": b.customer_features(spark, sf)}, RUN_AT, spine_time=(RUN_AT, RUN_AT),
-                          output="probability")
+    scored = score_models(rows, spines.__getitem__, champions, (b.CUSTOMER_VIEW,),
+                          {"customer_features": b.customer_features(spark, sf)}, RUN_AT, work_dir(spark, "scoring"),
+                          spine_time=(RUN_AT, RUN_AT), output="probability")
     return scored.select("entity_id", "model_name", "model_uri", "model_version",
                          wall_clock(F.col("predicted_at")).alias("predicted_at"), F.col("score").between(0, 1).alias("in_unit_range"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from featureline.errors import ChampionMissing, EmptyDataset, InvalidRows
 from featureline.operators.model import columns_with_nulls, load_model, score_foreign, score_rows
 from featureline.operators.registry import Registry
+from featureline.plans import score
 from featureline.plans.publish import check, generate, materialize
 from featureline.plans.score import ScoreConfig, score_catalog, score_job
 from featureline.plans.train import TrainConfig, train_job
@@ -115,6 +116,24 @@ def test_catalog_scoring_covers_models_with_a_champion(spark, base, trained):
     assert out.filter("score is null").count() == 0
 
 
+def test_no_plan_grows_with_the_catalog(spark, base, trained, monkeypatch):
+    names = [f"m{k}" for k in range(5)]
+    registry = Registry(spark, f"{base}/registry")
+    source = registry.champion("churn_model")["source"]
+    for name in names:
+        registry.set_alias(name, "champion", registry.register(name, "r", source, None, None, NOW), NOW)
+        write_table(spark.createDataFrame([(f"cust-000{k}",) for k in range(1, 4)], "entity_id string"), f"{base}/{score_entities_file(name)}")
+    sizes, one = [], score._score_group
+    monkeypatch.setattr(score, "_score_group", lambda rows_, *more: sizes.append(len(rows_)) or one(rows_, *more))
+    catalog = spark.createDataFrame([(n, REFS) for n in names], "model_name string, feature_refs string")
+    apart = spark.read.json(score_catalog(spark, catalog, base, f"{base}/registry", NOW, group=2))
+    assert sizes == [2, 2, 1]
+    together = spark.read.json(score_catalog(spark, catalog, base, f"{base}/registry", NOW))
+    assert rows(apart, "model_name", "entity_id", "score") == rows(together, "model_name", "entity_id", "score") and apart.count() == 15
+    none = score_catalog(spark, catalog.limit(0), base, f"{base}/registry", NOW)
+    assert read_predictions(spark, none).count() == 0
+
+
 def test_empty_join_stops_training(spark, base, folder):
     generate(spark, folder, 20, NOW)
     other = spark.createDataFrame([("nobody", NOW)], "entity_id string, event_timestamp timestamp")
