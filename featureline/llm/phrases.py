@@ -7,9 +7,10 @@ full cycle, so each shard is scanned once for it. A phrase can't occur more ofte
 The work ends when no phrase is being counted any more, after 5 cycles at most and usually after far fewer.
 
 What tasks must know to do so is for every frequent phrase the scan after which it became so. That is broadcast as a table of
-``2 ** table_bits`` bytes, by hash, whatever the corpus's size. Where phrases meet in a slot, the earliest scan counts: a
-phrase may then be counted earlier than needed, or without need. It is still counted in each shard exactly once, because its
-first scan follows from the tables alone, and tables only grow. So counts are exact; a full table costs work only.
+``2 ** table_bits`` bytes, by hash, whatever the corpus's size. Where phrases meet in a slot, the earliest scan counts, but for a
+phrase none before those of its subphrases: it may then be counted earlier than needed, or without need. It is still counted in
+each shard exactly once, because its first scan follows from the tables alone, and tables only grow. So counts are exact; a full
+table costs work only.
 
 Tasks count within blocks, by the words themselves and not by their hashes. Counts are summed up by Spark, with partial sums
 before the shuffle; after each scan the phrases in their cycle are written as a table, and what has ended its cycle below the
@@ -160,7 +161,7 @@ def counted(langs: pa.Array, texts: pa.Array, table: np.ndarray, scan: int, shar
         if counts.any():
             yield from rows(size, at[counts], since[counts])
         hashes = _longer(hashes, spelling[at + size - 1])
-        since = table[hashes >> shift]
+        since = np.maximum(table[hashes >> shift], since)  # a slot shared with another phrase may be older than the phrase's parts
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:

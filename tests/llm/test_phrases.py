@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +60,27 @@ def test_equals_counting_by_hand(spark, shards, bits, threshold, parts, monkeypa
     assert sorted(map(tuple, out.collect())) == by_hand(rows, threshold, 25)
 
 
+@pytest.mark.parametrize("shards,bits,threshold,seed", [(3, 5, 3, 0), (4, 6, 5, 5)])
+def test_slots_shared_with_older_phrases_lose_no_count(spark, shards, bits, threshold, seed):
+    """Words that become frequent late, inside phrases whose slots were taken before."""
+    rng = random.Random(seed)
+    rows = [(k, " ".join(rng.choice([f"w{j}" for j in range(rng.randint(1, 10))]) for _ in range(rng.randint(0, 30))), rng.choice(["en", "de"]), "", "")
+            for k in range(60)]
+    out = phrases.collocations(spark.createDataFrame(rows, DOCS).coalesce(1), threshold=threshold, shards=shards, table_bits=bits)
+    assert sorted(map(tuple, out.collect())) == by_hand(rows, threshold, 2000)
+
+
+def test_a_phrase_begins_no_earlier_than_its_words():
+    table = np.full(1 << 24, phrases.NEVER, np.uint8)
+    word = phrases._hashes(pa.array([b"p", b"q", b"r"]))
+    first = phrases._first_words(word, np.repeat(phrases._hashes(pa.array([b"en"])), 3))
+    table[first >> np.uint64(40)] = 2
+    table[phrases._longer(first[:2], word[1:]) >> np.uint64(40)] = 1  # by other phrases of the same hash
+    batches = phrases.counted(pa.array(["en"]), pa.array(["p q r"]), table, 2, 4)
+    found = {r["phrase"]: r["began"] for b in batches for r in b.to_pylist() if r["size"] > 1}
+    assert found == {"p q": 2, "q r": 2, "p q r": 2}
+
+
 def test_a_phrase_of_the_last_shard_is_found(spark):
     """Everything frequent lies in the shard scanned last, so each length takes a cycle more."""
     rows = [(k, "p q r s t" if k % 4 == 3 else f"u{k}", "en", "", "") for k in range(400)]
