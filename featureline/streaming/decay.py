@@ -45,12 +45,18 @@ def score_histogram(decided: DataFrame, bins: int = BINS) -> DataFrame:
     return decided.where(scored).groupBy(week.alias("week"), place.alias("bin"), "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def batch_counts(batch: DataFrame, bins: int = BINS) -> DataFrame:
+    """The histogram of a micro-batch in one part. Its few rows are put together after the counting: by ``coalesce`` one task would
+    count, and hold the memory of, all partitions."""
+    return score_histogram(batch, bins).repartition(1)
+
+
 def start_decay_stream(decided: DataFrame, path: str, checkpoint: str, bins: int = BINS) -> StreamingQuery:
     """Writes the histogram of each micro-batch to a folder of its own, takes in all that is there and stops. A batch that
     comes again replaces its folder."""
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        score_histogram(batch, bins).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch_counts(batch, bins).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return decided.writeStream.foreachBatch(take).outputMode("append").option("checkpointLocation", checkpoint) \
         .trigger(availableNow=True).start()

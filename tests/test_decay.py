@@ -2,8 +2,9 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
-from featureline.streaming.decay import histograms, start_decay_stream, weekly_metrics, with_late_labels
+from featureline.streaming.decay import batch_counts, histograms, start_decay_stream, weekly_metrics, with_late_labels
 from conftest import rows
 
 START = datetime(2024, 1, 1)
@@ -79,6 +80,16 @@ def test_stream_equals_counting_by_hand_for_files_within_the_bound(spark, folder
     assert len(rows(hist)) > 0
 
 
+def test_no_task_counts_all_partitions(spark, folder):
+    """A task keeps the memory of each count that it does until it ends."""
+    decided = spark.range(4000).selectExpr("timestamp'2024-01-01' + make_interval(0, 0, id % 50) AS predicted_at",
+                                           "id % 100 / 100.0 AS score", "id % 3 = 0 AS label")
+    counts = batch_counts(decided)
+    assert counts.rdd.getNumPartitions() == 1 and counts.agg(F.sum("n")).first()[0] == 4000
+    steps = [x.strip(" +-:") for x in counts._jdf.queryExecution().sparkPlan().toString().splitlines()]
+    assert not [x for x in steps if x.startswith("Coalesce")] and steps[0].startswith("Exchange SinglePartition")
+
+
 def test_nothing_labelled_and_one_class(spark):
     hist = spark.createDataFrame([(START, 1, None, 5), (START + timedelta(days=7), 3, True, 2), (START + timedelta(days=7), 7, True, 1)],
                                  "week timestamp_ntz, bin int, label boolean, n long")
