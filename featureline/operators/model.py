@@ -62,6 +62,7 @@ def forest_pipeline(cfg: ForestConfig, with_nulls: Sequence[str] = ()) -> Pipeli
         featuresCol="scaled_vector", labelCol="_label", predictionCol="prediction",
         numTrees=cfg.num_trees, maxDepth=cfg.max_depth, maxBins=cfg.max_bins, seed=cfg.seed,
         impurity="gini", featureSubsetStrategy="sqrt", maxMemoryInMB=cfg.max_memory_mb,
+        cacheNodeIds=True,  # a level goes on from where the level before left each row, not from the roots of all trees
     )
     return Pipeline(stages=[*scaling_stages(cfg.features, with_nulls, cfg.missing != "fail"), forest])
 
@@ -72,8 +73,12 @@ def fit_forest(train: DataFrame, cfg: ForestConfig) -> PipelineModel:
     spread = F.pmod(F.xxhash64(*train.columns), F.lit(cfg.partitions))
     rows = train.select(*cfg.features, F.col(cfg.label).cast("double").alias("_label"), spread.alias("_part"),
                         F.xxhash64(*train.columns).alias("_row"))
-    rows = rows.repartition(cfg.partitions, "_part").sortWithinPartitions("_part", "_row").drop("_part", "_row")
-    return forest_pipeline(cfg, with_nulls).fit(rows)
+    # Every stage of the pipeline passes over the rows; they are dealt out and sorted once.
+    rows = rows.repartition(cfg.partitions, "_part").sortWithinPartitions("_part", "_row").drop("_part", "_row").persist()
+    try:
+        return forest_pipeline(cfg, with_nulls).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -133,3 +133,19 @@ def test_a_silent_series_breaches_until_the_end(spark):
     out = alarm_states(df, ["series"], rule, until=F.lit(start + timedelta(minutes=9, seconds=30)).cast("timestamp_ntz"))
     assert out.where("series = 'b'").count() == 10 and out.where("series = 'a'").count() == 10
     assert [r.minute.minute for r in out.where("in_alarm").orderBy("minute").collect()] == [7, 8, 9]
+
+
+def test_a_forest_makes_its_training_rows_once(spark):
+    """Besides the count of nulls; the stages of the pipeline share rows that are dealt and sorted once."""
+    made, kept = spark.sparkContext.accumulator(0), spark.sparkContext._jsc.getPersistentRDDs().size()
+
+    def count(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    df = spark.range(400).selectExpr("id % 7 AS x", "id % 5 AS y", "id % 3 = 0 AS churned")
+    model = fit_forest(df.mapInPandas(count, df.schema), ForestConfig(("x", "y"), "churned", num_trees=3, max_depth=3))
+    assert made.value == 2 * 400
+    assert model.stages[-1].getCacheNodeIds()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
