@@ -18,14 +18,13 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from featureline.llm.frames import fields, others as other_columns
+from featureline.llm.frames import fields, held, others as other_columns
 
 #: Entries that a Python worker keeps of what it has encoded; it begins anew beyond that.
 CACHE_ENTRIES = 120_000
@@ -209,9 +208,8 @@ class ByteBPE:
         return self._bytes[np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)].tobytes()
 
 
-@lru_cache(maxsize=2)
 def _loaded(definition: str) -> ByteBPE:
-    return ByteBPE(definition)
+    return held(("bpe", definition), lambda: ByteBPE(definition))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, *, text: str = "text", keep_ids: bool = True) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,22 @@ def columns_of(df: DataFrame, text: str) -> list:
     return [F.col(f"{ROW}.{TEXT}").alias(c) if c == text else F.col(f"{ROW}.`{c}`").alias(c) for c in df.columns]
 
 
+_held: dict = {}
+
+
+def held(key: Hashable, make: Callable[[], object]):
+    """What ``make`` builds. A worker keeps it for its next tasks, and only the last such object: workers live through many operators."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Gives back what an operator before this one kept."""
+    _held.clear()
+
+
 def others(df: DataFrame, *results: str) -> list[str]:
     """The columns of ``df`` that go along: all but those with the names of results."""
     return [c for c in df.columns if c not in results]

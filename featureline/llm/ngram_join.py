@@ -38,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from featureline.llm.frames import fields, parts, utf8
+from featureline.llm.frames import fields, parts, release, utf8
 from featureline.llm.words import U64, letters, lowered, mixed, split_words
 from featureline.session import work_dir
 
@@ -49,7 +49,7 @@ SKETCH_BITS = 24
 #: Shingles are counted in so many ranges of their hashes, by the 24 bits that follow those of the range.
 _RANGE_BITS = 12
 #: A task counts so many shingles before it sends them on.
-_FLUSH = 1 << 21
+_FLUSH = 1 << 19
 #: Bits of the table that lets documents through to be verified: 8 MB.
 FILTER_BITS = 26
 #: Longest lengthening of a prefix that is weighed.
@@ -110,6 +110,7 @@ def _counted(shingles: list[np.ndarray]) -> pa.RecordBatch:
 
 def _describe(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         waiting, held = [], 0
         none = pa.nulls
         for batch in batches:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from featureline.llm.frames import ROW, TEXT, columns_of, fields, others, parts, record, text_of, utf8, whole_rows
+from featureline.llm.frames import ROW, TEXT, columns_of, fields, held, others, parts, record, text_of, utf8, whole_rows
 from featureline.session import work_dir
 
 #: Symbols of the character model: a border, a-z, and the low six bits of other bytes.
@@ -276,15 +276,9 @@ def _train(docs: DataFrame, labels: DataFrame, model, id: str, text: str, label:
     return {w: float(weights[k]) for w, k in place.items()}, intercept
 
 
-_restorers: dict[int, Restorer] = {}
-
-
 def _restorer(shared) -> Restorer:
-    key = id(shared.value)
-    if key not in _restorers:
-        _restorers.clear()
-        _restorers[key] = Restorer(shared.value)
-    return _restorers[key]
+    model = shared.value
+    return held(("restorer", id(model)), lambda: Restorer(model))  # it holds the model, so no other one gets this id
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, *, corpus: DataFrame | None = None, id: str = "doc_id", text: str = "text",

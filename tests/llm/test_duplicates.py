@@ -319,3 +319,27 @@ def test_merged_transforms_and_automaton_find_the_same(monkeypatch, shards):
         for d, t in texts:
             automaton.add(list(t), d)
         assert sorted((j, k) for j, (d, t) in enumerate(texts) for k, f in automaton.matches(list(t), window) if f < d) == want
+
+
+def test_a_worker_keeps_nothing_of_other_operators_while_shingles_are_counted():
+    """Workers live through the stages of a pipeline; what a stage kept for its tasks would stay beside the next one's rows."""
+    import pyarrow as pa
+    from featureline.llm import bpe, frames, toxicity
+
+    restorer = toxicity.Restorer(toxicity.CharModel(np.ones(toxicity.SYMBOLS ** 3)))
+    assert frames.held("a", lambda: restorer) is frames.held("a", lambda: None)
+    assert frames.held("b", lambda: "other") == "other" and "a" not in frames._held
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b c d e", None])], names=["id", "text"])
+    described, counted = ngram_join._describe(4)(iter([batch]))
+    assert not frames._held and described.column("n").to_pylist() == [2, 0] and len(counted) == 2
+    assert not hasattr(bpe._loaded, "cache_info") and not hasattr(toxicity, "_restorers")
+
+
+def test_shingles_are_sent_on_before_they_fill_a_worker():
+    import pyarrow as pa
+
+    texts = [" ".join(f"{k}x{j}" for j in range(70_000)) for k in range(16)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(16)), pa.array(texts)], names=["id", "text"])
+    counts = [b for b in ngram_join._describe(4)(iter([batch])) if b.column("chunk").null_count == 0]
+    each = [sum(len(t.as_py()) // 4 for t in b.column("times")) for b in counts]
+    assert sum(each) == pytest.approx(16 * 69_997, abs=50) and max(each) < 600_000
