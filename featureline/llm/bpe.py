@@ -6,6 +6,10 @@ takes the longest token at each place (found for all places by one pass of an Ah
 it is compatible with the token before; else it tries the next shorter token, and goes one token back where none fits.
 Places that can't be completed are marked, so that no place is tried twice and the work is linear in the text.
 
+Texts are encoded in runs. A run's distinct pieces that the worker does not know yet are cut into pre-tokens, and all
+of these go through the automaton and the backtracking together, one step of each at a time, in arrays. The automaton
+reads them from their ends, over tokens turned round: its state at a place then names the longest token that begins there.
+
 Decoding. All tokens lie one after the other in one byte string; an offset table says where each begins.
 
 Null texts count as empty; an empty text has no tokens. Rows are independent of each other, so repeated rows and any
@@ -19,6 +23,7 @@ import json
 import re
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import batched, chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +31,14 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from featureline.llm.frames import fields, held, others as other_columns
 
-#: Entries that a Python worker keeps of what it has encoded; it begins anew beyond that.
-CACHE_ENTRIES = 120_000
+#: Entries that a Python worker keeps of what it has encoded; beyond that, only those of the present run stay.
+CACHE_ENTRIES = 240_000
+#: Characters of text in a run, but for longer texts, and bytes of the longest pre-tokens that are encoded together.
+RUN, LONG = 1 << 20, 128
+#: Pre-tokens that are encoded together at most: some MB of arrays, however long a text is.
+TOGETHER = 1 << 16
+#: Bits of a slot in the table of compatible pairs. A pair takes the slot of an older one.
+PAIR_BITS = 20
 RESULT = fields("n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
 
 
@@ -63,6 +74,7 @@ class ByteBPE:
         self.id_of = [vocabulary[t] for t in self.tokens]
         self.id_bytes = [i.to_bytes(4, "little") for i in self.id_of]
         self.sizes = [len(t) for t in self.tokens]
+        self._sizes, self._ids = np.array(self.sizes), np.array(self.id_of, "<u4")
         self._compatible: dict[int, bool] = {}
         special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self._special_ids = {s: i.to_bytes(4, "little") for s, i in special.items()}
@@ -76,7 +88,7 @@ class ByteBPE:
         self._crowded = regex.compile(r"\p{White_Space} (?:\p{White_Space}|\Z)")
         self._borders = regex.compile(r"(?V1)(?<=\P{White_Space})(?= )|(?= \P{White_Space})")
         self._chunks: dict[str, bytes] = {}  # of pieces between spaces
-        self._known: dict[str, bytes] = {}  # of pre-tokens
+        self._pair_table()
         self._automaton(rank)
         self._offset_table(special)
 
@@ -95,6 +107,52 @@ class ByteBPE:
                 automaton.add_word(t.decode("latin-1"), (len(t) - 1, i))
         automaton.make_automaton()
         self._longest = automaton
+        self._shorter = np.array(self.shorter, np.int32)
+        self._from_ends({t[::-1]: i for t, i in rank.items() if self.reachable(i)})
+
+    def _from_ends(self, turned: dict[bytes, int]) -> None:
+        """The same automaton as tables, over tokens turned round: states by row of moves, and the longest token of each."""
+        moves: dict[int, int] = {}
+        parent, letter, token = [0], [0], [-1]
+        for t, i in turned.items():
+            node = 0
+            for b in t:
+                child = moves.get(node << 8 | b)
+                if child is None:
+                    child = moves[node << 8 | b] = len(parent)
+                    parent.append(node)
+                    letter.append(b)
+                    token.append(-1)
+                node = child
+            token[node] = i
+        parent, letter, best = np.array(parent), np.array(letter), np.array(token, np.int32)
+        depth = np.zeros(len(parent), np.int64)
+        for v in range(1, len(parent)):  # parents come first
+            depth[v] = depth[parent[v]] + 1
+        inner = np.unique(parent)
+        # A state without children moves as the one does that it falls back to; so it has no row of its own.
+        row, fail = np.zeros(len(parent), np.int32), np.zeros(len(parent), np.int64)
+        row[inner] = np.arange(len(inner))
+        step = np.zeros((len(inner), 256), np.int32)
+        for d in range(depth.max() + 1):
+            at = np.flatnonzero(depth == d)
+            if d > 1:
+                fail[at] = step[row[fail[parent[at]]], letter[at]]
+            best[at] = np.where(best[at] < 0, best[fail[at]], best[at])
+            own = np.isin(at, inner)
+            row[at[~own]] = row[fail[at[~own]]]
+            step[row[at[own]]] = step[row[fail[at[own]]]]
+            below = np.flatnonzero(depth == d + 1)
+            step[row[parent[below]], letter[below]] = below
+        self._row, self._step, self._best = row, step.ravel(), best
+
+    def _pair_table(self) -> None:
+        halves = np.array(self.halves, np.int64)
+        self._left, self._right = halves[:, 0], halves[:, 1]
+        pairs = halves[256:, 0] * len(halves) + halves[256:, 1]
+        order = np.argsort(pairs)
+        self._pairs, self._made = np.append(pairs[order], -1), np.append(order + 256, 0)
+        self._pair_slots = np.full(1 << PAIR_BITS, -1, np.int64)
 
     def reachable(self, token: int) -> bool:
         """Whether the token's own halves, each reachable, would merge into it."""
@@ -157,38 +215,116 @@ class ByteBPE:
             last = token
         return out
 
-    def _word(self, word: str) -> bytes:
-        ids = b"".join([self.id_bytes[t] for t in self.encode_word(word.encode())])
-        if len(word) <= 64:
-            if len(self._known) >= CACHE_ENTRIES:
-                self._known.clear()
-            self._known[word] = ids
-        return ids
-
-    def _chunk(self, chunk: str) -> bytes:
-        known, fresh = self._known.get, self._word
-        ids = b"".join([fresh(w) if (x := known(w)) is None else x for w in self._words.findall(chunk)])
-        if len(chunk) <= 64:
-            if len(self._chunks) >= CACHE_ENTRIES:
-                self._chunks.clear()
-            self._chunks[chunk] = ids
-        return ids
-
-    def _plain(self, text: str) -> bytes:
+    def _meet(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """:meth:`_meets` for many pairs of tokens."""
+        out, pair, until = np.ones(len(a), bool), np.arange(len(a)), np.full(len(a), len(self.tokens))
+        while len(pair):
+            key = a * len(self.tokens) + b
+            place = np.searchsorted(self._pairs[:-1], key)
+            merged = (self._pairs[place] == key) & (self._made[place] < until)
+            out[pair[merged]] = False
+            go = np.flatnonzero(~merged & (np.maximum(a, b) >= 256))
+            a, b, until, pair = a[go], b[go], until[go], pair[go]
+            first = a > b
+            until = np.minimum(until, np.where(first, a, b + 1))
+            a, b = np.where(first, self._right[a], a), np.where(first, b, self._left[b])
+        return out
+
+    def _fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """:meth:`compatible` for many pairs of tokens."""
+        key = a.astype(np.int64) * len(self.tokens) + b
+        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        found = self._pair_slots[slot]
+        out = (found & 1).astype(bool)
+        fresh = np.flatnonzero(found >> 1 != key)
+        if len(fresh):
+            out[fresh] = self._meet(a[fresh].astype(np.int64), b[fresh].astype(np.int64))
+            self._pair_slots[slot[fresh]] = key[fresh] << 1 | out[fresh]
+        return out
+
+    def _together(self, words: list[bytes]) -> list[bytes]:
+        """The ids of pre-tokens that are not empty: :meth:`encode_word`, one step of each at a time."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        letters = np.frombuffer(b"\0".join(words) + b"\0", np.uint8)
+        limits = np.cumsum(sizes + 1) - 1
+        starts = limits - sizes
+        longest = np.zeros(len(letters), np.int32)
+        ends, length = (x[np.argsort(-sizes, kind="stable")] for x in (limits, sizes))
+        state = np.zeros(len(words), np.int32)
+        for back in range(int(length[0])):
+            at = ends[:np.searchsorted(-length, -back)] - 1 - back
+            state = self._step[(self._row[state[:len(at)]].astype(np.int64) << 8) + letters[at]]
+            longest[at] = self._best[state]
+        token_sizes, shorter = self._sizes, self._shorter
+        out, dead, counts = np.zeros(len(letters), np.int32), np.zeros(len(letters), bool), np.zeros(len(words), np.int64)
+        word, start, at, limit = np.arange(len(words)), starts, starts.copy(), limits
+        put, last, token = starts.copy(), np.full(len(words), -1, np.int32), longest[starts]
+        while len(word):
+            none = np.flatnonzero(token < 0)
+            if len(none):  # no token fits here: the one before must be shorter
+                dead[at[none]] = True
+                put[none] -= 1
+                token[none] = out[put[none]]
+                at[none] -= token_sizes[token[none]]
+                last[none] = np.where(put[none] > start[none], out[put[none] - 1], -1)
+            end = at + token_sizes[token]
+            fits = ~dead[end]
+            fits[none] = False
+            asked = np.flatnonzero(fits & (last >= 0))
+            fits[asked] = self._fit(last[asked], token[asked])
+            out[put[fits]] = token[fits]
+            put += fits
+            last = np.where(fits, token, last)
+            at = np.where(fits, end, at)
+            token = np.where(fits, longest[at], shorter[token])
+            done = at == limit
+            if done.any():
+                counts[word[done]] = put[done] - start[done]
+                word, start, at, limit, put, last, token = (x[~done] for x in (word, start, at, limit, put, last, token))
+        ids = self._ids[out].tobytes()
+        return [ids[4 * a:4 * z] for a, z in zip(starts.tolist(), (starts + counts).tolist())]
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of pieces between spaces."""
+        words = list(map(self._words.findall, chunks))
+        ids: dict[str, bytes] = {}
+        short: dict[str, bytes] = {}
+        for w in set(chain.from_iterable(words)):
+            raw = w.encode()
+            if len(raw) <= LONG:
+                short[w] = raw
+            else:
+                ids[w] = b"".join([self.id_bytes[t] for t in self.encode_word(raw)])
+        for some in batched(short, TOGETHER):
+            ids.update(zip(some, self._together([short[w] for w in some])))
+        return {c: ids[w[0]] if len(w) == 1 else b"".join([ids[x] for x in w]) for c, w in zip(chunks, words)}
+
+    def _cut(self, text: str) -> list[str]:
         if self._crowded.search(text):
-            chunks = self._borders.split(text)
-        else:
-            first, *rest = text.split(" ")
-            chunks = [first, *[" " + c for c in rest]]
-        known, fresh = self._chunks.get, self._chunk
-        return b"".join([fresh(c) if (ids := known(c)) is None else ids for c in chunks])
-
-    def encode(self, text: str) -> bytes:
-        """Token ids as little-endian unsigned 32-bit integers; special strings in the text become their own ids."""
-        if not self._specials or not any(s in text for s in self._special_ids):
-            return self._plain(text)
-        parts = self._specials.split(text)
-        return b"".join(self._special_ids[p] if k % 2 else self._plain(p) for k, p in enumerate(parts))
+            return self._borders.split(text)
+        first, *rest = text.split(" ")
+        return [first, *[" " + c for c in rest]]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        cut = list(map(self._cut, texts))
+        present = set().union(*cut)
+        fresh = self._learn(list(present.difference(self._chunks)))
+        self._chunks.update(fresh)
+        out = [b"".join(map(self._chunks.__getitem__, c)) for c in cut]
+        for c in fresh:
+            if len(c) > 64:
+                del self._chunks[c]
+        if len(self._chunks) > CACHE_ENTRIES:
+            self._chunks = {c: self._chunks[c] for c in islice(present.intersection(self._chunks), CACHE_ENTRIES)}
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Token ids of each text as little-endian unsigned 32-bit integers; special strings in a text become their own ids."""
+        special = self._special_ids
+        parts = [self._specials.split(t) if any(s in t for s in special) else [t] for t in texts]
+        plain = iter(self._plain([p for ps in parts for p in ps[::2]]))
+        return [next(plain) if len(ps) == 1 else b"".join([special[p] if k % 2 else next(plain) for k, p in enumerate(ps)])
+                for ps in parts]
 
     def _offset_table(self, special: dict[str, int]) -> None:
         by_id = dict(zip(self.id_of, self.tokens)) | {i: s.encode() for s, i in special.items()}
@@ -208,6 +344,18 @@ class ByteBPE:
         return self._bytes[np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)].tobytes()
 
 
+def _runs(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts, with null as empty, in runs of some RUN characters; a longer text ends its run."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t.as_py() or "")
+        size += len(some[-1])
+        if size >= RUN:
+            yield some
+            some, size = [], 0
+    yield some
+
+
 def _loaded(definition: str) -> ByteBPE:
     return held(("bpe", definition), lambda: ByteBPE(definition))
 
@@ -228,7 +376,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, *, text: str = "text", ke
         for batch in batches:
             columns = {c: batch.column(c) for c in others}
             texts = batch.column("__featureline_text")
-            ids = [bpe.encode(t.as_py() or "") for t in texts]
+            ids = [x for some in _runs(texts) for x in bpe.encode(some)]
             made = {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary()),
                     "ids_sha256": pa.array([sha256(x).hexdigest() for x in ids], pa.string()),
                     "decoded_sha256": pa.array(

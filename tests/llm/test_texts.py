@@ -1,16 +1,19 @@
 """BPE, token counts, sharding, chat formatting."""
 
+import cProfile
 import hashlib
 import random
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from featureline.llm.bpe import decode_documents, encode_documents
+from featureline.llm import bpe as bpe_module
+from featureline.llm.bpe import ByteBPE, decode_documents, encode_documents
 from featureline.llm.chat import Template, escaped, format_conversations, read_back, unescaped
 from featureline.llm.sharding import feistel_shards, permuted
 from featureline.llm.token_counts import count_tokens
@@ -50,6 +53,48 @@ def test_bpe_round_trip_and_empty_table(spark):
     assert empty.count() == 0 and "ids" in empty.columns
 
 
+def test_new_words_are_encoded_together():
+    """Steps of Python for each word that a worker did not know were most of the encoder's time."""
+    rng = random.Random(5)
+    with open(BPE, encoding="utf-8") as f:
+        bpe = ByteBPE(f.read())
+    words = ["".join(rng.choice(["th", "er", "on", "a", "e", "s", "é", "ß", "中", "_"]) for _ in range(rng.randint(4, 12))) for _ in range(20_000)]
+    given = [" ".join(words[k:k + 500]) for k in range(0, len(words), 500)]
+    profile = cProfile.Profile()
+    got = profile.runcall(bpe.encode, given)
+    calls = sum(entry.callcount for entry in profile.getstats())
+    assert calls < 10 * len(words)
+    library = Tokenizer.from_file(BPE)
+    assert got == [b"".join(i.to_bytes(4, "little") for i in library.encode(t).ids) for t in given]
+
+
+def test_words_encoded_together_are_those_encoded_alone(monkeypatch):
+    rng = random.Random(6)
+    with open(BPE, encoding="utf-8") as f:
+        bpe = ByteBPE(f.read())
+    some = [t for t in bpe.tokens if len(t) > 1]
+    words = [bytes(rng.choice(b"-=_* \x00\xff\n") for _ in range(rng.randint(1, 128))) for _ in range(500)]
+    words += [b"".join(rng.choice(some)[-rng.randint(1, 6):] for _ in range(rng.randint(1, 9))) for _ in range(20_000)]
+    alone = [b"".join(bpe.id_bytes[t] for t in bpe.encode_word(w)) for w in words]
+    assert bpe._together(words) == alone
+    bpe._pair_slots = np.full(1 << 20, -1, np.int64)
+    assert [x for w in words[:40] for x in bpe._together([w])] == alone[:40]
+    monkeypatch.setattr(bpe_module, "PAIR_BITS", 3)  # pairs that take each other's slots
+    bpe._pair_slots = np.full(8, -1, np.int64)
+    assert bpe._together(words) == alone
+
+
+def test_a_worker_keeps_a_bounded_number_of_pieces(monkeypatch):
+    with open(BPE, encoding="utf-8") as f:
+        bpe = ByteBPE(f.read())
+    monkeypatch.setattr(bpe_module, "CACHE_ENTRIES", 50)
+    library = Tokenizer.from_file(BPE)
+    for k in range(6):
+        given = [f"often {k}x{j} <|endoftext|>" + "y" * 70 + str(j) for j in range(12 * (k + 1))] + ["z" * 300, "", " "]
+        assert bpe.encode(given) == [b"".join(i.to_bytes(4, "little") for i in library.encode(t).ids) for t in given]
+        assert len(bpe._chunks) <= 50 and all(len(c) <= 64 for c in bpe._chunks)
+
+
 @pytest.mark.parametrize("table_entries", [0, 40])
 def test_token_counts_equal_the_library(spark, table_entries):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
